@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from labtrail.functions.basic import blank_to_null, strip
+from labtrail.functions.basic import blank_to_null, let, strip
 
 _PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 _INFINITE = r"(?i)^[+-]?inf(inity)?$"
@@ -132,7 +132,10 @@ def _group(c: Column, pattern: str, group: int) -> Column:
 def reference_range(c: Column) -> Column:
     """struct(low, high, kind) of a printed range; all null when unreadable."""
     t = blank_to_null(c)
-    t = F.when(F.lower(t) != "n/a", t)
+    return let(F.when(F.lower(t) != "n/a", t), _read_range)
+
+
+def _read_range(t: Column) -> Column:
     span = rf"{_NUM}\s*-\s*{_NUM}"
     below = rf"(?i)(?:<|Less than|upto)\s*{_NUM}"
     above = rf"(?i)(?:>|Greater than|above)\s*{_NUM}"

@@ -19,7 +19,10 @@ NO_DATE = "0001-01-01"
 def finding_entries(records: DataFrame) -> DataFrame:
     """Typed findings with severity and deviation.  Unknown dates count as the
     oldest; tests without a usable name are left out."""
-    source = records.withColumn("_raw_name", F.coalesce("Test_Name", "Original_Test_Name", F.lit(nm.UNKNOWN_TEST)))
+    source = records.select(
+        SCOPE, ORDER, F.coalesce("Test_Name", "Original_Test_Name", F.lit(nm.UNKNOWN_TEST)).alias("_raw_name"),
+        "Test_Category", "Result", "Unit", "Reference_Range", "Status", "Test_Date",
+    )
     named = with_derived(source, "_raw_name", {"test_name": nm.client_test_name(F.col("_key"))})
     named = with_derived(named, "Test_Category", {"category": nm.canonical_category(F.col("_key"))})
     ref = va.client_range(F.col("Reference_Range"))
