@@ -77,10 +77,11 @@ def register() -> None:
         line = lambda pre, vals: F.concat_ws(",", *[F.lit(v) for v in [*pre, *vals]])
         one = s.range(1)
         title = one.select(F.lit(0).alias("o"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), t.alias("value")) for i, t in enumerate([
-            line(["title"], [""] * (len(cols) + 2)), line(["Date", ""], [c.split("_")[0] for c in cols] + ["Reference"]),
-            line(["Lab", ""], [c.split("_")[1] for c in cols] + ["Ranges"]), line(["", ""], [""] * (len(cols) + 1))])])).alias("e")).select("o", "e.i", "e.value")
+            line(["title"], [""] * (len(cols) + 2)), line(["Date", ""], [c.split("_")[0] for c in cols] + ["Reference Ranges"]),
+            line(["Lab", ""], [c.split("_")[1] for c in cols] + [""]), line(["", ""], [""] * (len(cols) + 1))])])).alias("e")).select("o", "e.i", "e.value")
         quote = lambda c: F.concat(F.lit('"'), F.coalesce(c, F.lit("")), F.lit('"'))
         body = wide.select(F.lit(1).alias("o"), F.lit(9).alias("i"), F.concat_ws(",", *[quote(F.col(f"`{c}`")) for c in ["Test_Category", "Test_Name", *cols, "Reference_Ranges"]]).alias("value"))
+        # one file, as such an export is; its size is that of the test vocabulary
         title.unionByName(body).coalesce(1).sortWithinPartitions("o", "i").select("value").write.text(path)
         return his.unpivot_history(his.read_stacked_headers(s, path), "export.csv").select(*CELL[1:])
 
@@ -152,7 +153,7 @@ def register() -> None:
         path = scratch_path(s, "reports")
         r = lab_records(s, f).select("report_id", "study_id", "row_ord", (F.col("report_id") % 2).cast("int").alias("normalization_version"))
         for half in (0, 1):
-            sinks.append_reports(r.where(F.col("report_id") % 4 // 2 == half) if False else r.where(F.floor(F.col("report_id") % 4 / 2) == half), path)
+            sinks.append_reports(r.where(F.floor(F.col("report_id") % 4 / 2) == half), path)
         return s.read.parquet(path).groupBy("normalization_version").agg(N.alias("n"))
 
     query("a13_append_reports", "SELECT CAST(report_id % 2 AS INTEGER) AS normalization_version, count(*) AS n FROM lab_records GROUP BY 1", L)(append_twice)

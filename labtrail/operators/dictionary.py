@@ -37,17 +37,36 @@ def with_derived(
     answers: dict[str, Column],
     limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Add columns computed once per distinct value of ``source``.
+    """Add columns computed once per distinct value of ``source``."""
+    return with_all_derived(df, {source: answers}, limit)
 
-    Each answer is an expression over column ``_key`` (the source value) and
-    over the answers listed before it.  A column of the same name is replaced.
+
+def with_all_derived(
+    df: DataFrame,
+    plan: dict[str, dict[str, Column]],
+    limit: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """Add derived columns for several text columns.
+
+    ``plan`` maps a source column to its answers; each answer is an expression
+    over column ``_key`` (the source value) and over the answers before it.  A
+    column of the same name is replaced.  The distinct values of all sources
+    are collected in one pass over ``df``; a ``df`` that is expensive to
+    compute should be materialized first, since that pass computes it too.
     """
-    kept = [c for c in df.columns if c not in answers]
-    keyed = df.select(*kept, F.col(source).alias("_key"))
-    table = keyed.select("_key").distinct()
-    for name, answer in answers.items():
-        table = table.withColumn(name, answer)
-    table = table.withColumnRenamed("_key", "_dict_key").persist(StorageLevel.MEMORY_AND_DISK)
-    right = checked_broadcast(table, limit)
-    joined = keyed.join(right, F.col("_key").eqNullSafe(F.col("_dict_key")), "left")
-    return joined.select(*[F.col(c) for c in kept], *[F.col(n) for n in answers])
+    made = [n for answers in plan.values() for n in answers]
+    kept = [c for c in df.columns if c not in made]
+    sources = list(plan)
+    tagged = F.array(*[F.struct(F.lit(i).alias("f"), F.col(s).alias("v")) for i, s in enumerate(sources)])
+    distinct = df.select(F.explode(tagged).alias("e")).select("e.f", "e.v").distinct()
+    if len(sources) > 1:
+        distinct = distinct.persist(StorageLevel.MEMORY_AND_DISK)
+    keys = [f"_key{i}" for i in range(len(sources))]
+    out = df.select(*kept, *[F.col(s).alias(k) for s, k in zip(sources, keys)])
+    for i, (answers, key) in enumerate(zip(plan.values(), keys)):
+        part = distinct.where(F.col("f") == i).select(F.col("v").alias("_key"))
+        for name, answer in answers.items():
+            part = part.withColumn(name, answer)
+        part = part.withColumnRenamed("_key", f"_d{i}").persist(StorageLevel.MEMORY_AND_DISK)
+        out = out.join(checked_broadcast(part, limit), F.col(key).eqNullSafe(F.col(f"_d{i}")), "left")
+    return out.select(*[F.col(c) for c in kept], *[F.col(n) for n in made])

@@ -15,7 +15,7 @@ from labtrail.functions import names as nm
 from labtrail.functions import values as va
 from labtrail.functions.basic import blank_to_null, strip
 from labtrail.functions.status import normalize_status
-from labtrail.operators.dictionary import with_derived
+from labtrail.operators.dictionary import with_all_derived
 
 SCOPE = "scope_id"
 ORDER = "row_ord"
@@ -57,9 +57,9 @@ def normalize_records(df: DataFrame) -> DataFrame:
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("string"))
 
-    named = with_derived(df.withColumn("_raw", raw_name(df)), "_raw", name_facts())
-    tidy = with_derived(
-        named, "Test_Category", {"_category": nm.canonical_category(F.col("_key"))}
+    tidy = with_all_derived(
+        df.withColumn("_raw", raw_name(df)),
+        {"_raw": name_facts(), "Test_Category": {"_category": nm.canonical_category(F.col("_key"))}},
     )
     aliases = va.unique_strings(
         F.concat(_own_aliases(df), F.array(F.col("_raw"), F.col("Test_Name")))

@@ -9,6 +9,7 @@ from labtrail.functions import values as va
 from labtrail.operators import insights as ins
 from labtrail.operators import records as rec
 from labtrail.operators.resolve import ORDER, resolve_records
+from labtrail.session import materialize
 
 REPORT = ["study_id", "report_id"]
 CONTENT = [
@@ -36,12 +37,15 @@ def combined_reports(stored: DataFrame, legacy: DataFrame, reports: DataFrame) -
     ``stored`` rows were normalized when saved and are used as they are;
     ``legacy`` rows are cut to their report's file and normalized here.  Only
     studies with legacy rows are normalized again as a whole, and their rows
-    are the only ones shuffled for it.
+    are the only ones shuffled for it.  Both intermediate tables are written to
+    the shared folder: each is read several times.
     """
     sliced = rec.slice_deterministic(legacy, reports)
-    fresh = resolve_records(sliced, REPORT)
+    fresh = materialize(resolve_records(sliced, REPORT), "fresh")
     joined = rec.combine(stored.select(fresh.columns), fresh)
-    once = rec.distinct_rows(joined, [c for c in joined.columns if c not in (ORDER, "report_id")])
+    once = materialize(
+        rec.distinct_rows(joined, [c for c in joined.columns if c not in (ORDER, "report_id")]), "combined"
+    )
     redo = fresh.select("study_id").distinct()
     clean = once.join(redo, "study_id", "left_anti")
     again = resolve_records(once.join(redo, "study_id", "left_semi"), ["study_id"])

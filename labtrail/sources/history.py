@@ -85,7 +85,7 @@ def unpivot_history(
     return long.select(
         *carry, F.lit(file_name).alias("Source_Filename"), F.lit(patient.get("patient_id", "N/A")).alias("Patient_ID"),
         person.alias("Patient_Name"), F.lit(patient.get("age", "N/A")).alias("Age"), F.lit(patient.get("gender", "N/A")).alias("Gender"),
-        (F.coalesce(va.format_day_first(day), date) if reformat_dates else date).alias("Test_Date"),
+        (F.coalesce(F.date_format(day, "dd-MM-yyyy"), date) if reformat_dates else date).alias("Test_Date"),
         F.coalesce(F.get(parts, F.lit(1)), F.lit(default_lab)).alias("Lab_Name"),
         strip(F.coalesce("Test_Category", F.lit("General"))).alias("Test_Category"),
         name.alias("Original_Test_Name"), name.alias("Test_Name"), "Result", NA.alias("Unit"),

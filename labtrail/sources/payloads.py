@@ -9,6 +9,7 @@ from labtrail.functions import names as nm
 from labtrail.functions import status as st
 from labtrail.functions import values as va
 from labtrail.functions.basic import blank_to_null, let
+from labtrail.operators.dictionary import with_all_derived
 from labtrail.schema import EXTRACTED_TEST, PATIENT_FIELDS, PATIENT_INFO
 
 NA = F.lit("N/A")
@@ -33,12 +34,13 @@ def clean_patient(p: Column) -> Column:
 
 
 def clean_test(t: Column) -> Column:
-    """One usable test, null when its name or result is missing."""
-    category = nm.canonical_category(_clean(t["category"], "Other"))
+    """One usable test, null when its name or result is missing.  Category and
+    status keep their words; :func:`record_rows` makes them canonical, once
+    per distinct spelling."""
     row = F.struct(
         blank_to_null(t["test_name"]).alias("test_name"), blank_to_null(t["result"]).alias("result"),
         _clean(t["unit"], "").alias("unit"), _clean(t["reference_range"], "N/A").alias("reference_range"),
-        st.canonical_status(t["status"]).alias("status"), category.alias("category"),
+        t["status"].alias("status"), _clean(t["category"], "Other").alias("category"),
     )
     return F.when(blank_to_null(t["test_name"]).isNotNull() & blank_to_null(t["result"]).isNotNull(), row)
 
@@ -83,13 +85,19 @@ def record_rows(valid: DataFrame, file_name: Column, carry: list[str]) -> DataFr
     """Record rows of validated payloads, one per test."""
     rows = valid.select(*carry, file_name.alias("Source_Filename"), "patient_info", F.posexplode("test_results").alias("pos", "t"))
     p = {"Patient_ID": "patient_id", "Patient_Name": "name", "Age": "age", "Gender": "gender", "Test_Date": "date", "Lab_Name": "lab_name"}
-    out = rows.select(
+    flat = rows.select(
         *carry, "pos", "Source_Filename", *[F.col(f"patient_info.{v}").alias(k) for k, v in p.items()],
-        F.col("t.category").alias("Test_Category"), F.col("t.test_name").alias("Original_Test_Name"),
-        nm.normalize_test_name(nm.standard_test_name(F.col("t.test_name"))).alias("Test_Name"),
-        F.col("t.result").alias("Result"), nm.standard_unit(F.col("t.unit")).alias("Unit"),
-        F.col("t.reference_range").alias("Reference_Range"), F.col("t.status").alias("Status"),
+        F.col("t.test_name").alias("Original_Test_Name"), F.col("t.result").alias("Result"),
+        F.col("t.reference_range").alias("Reference_Range"), F.col("t.unit").alias("_unit"),
+        F.col("t.status").alias("_status"), F.col("t.category").alias("_category"),
     )
+    key = F.col("_key")
+    out = with_all_derived(flat, {
+        "Original_Test_Name": {"_std": nm.standard_test_name(key), "Test_Name": nm.normalize_test_name(F.col("_std"))},
+        "_unit": {"Unit": nm.standard_unit(key)},
+        "_status": {"Status": st.canonical_status(key)},
+        "_category": {"Test_Category": nm.canonical_category(key)},
+    }).drop("_std", "_unit", "_status", "_category")
     return out.withColumn("Result_Numeric", va.strict_numeric(F.col("Result"))).withColumn(
         "Test_Date_dt", va.parse_date_day_first(F.col("Test_Date"))
     )
