@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from labtrail.functions.basic import n_rows
+
 from labtrail.catalog import duck as d
 from labtrail.catalog.records import normalized, payload_rows, report_files, resolved
 from labtrail.catalog.registry import query
@@ -14,7 +16,6 @@ from labtrail.operators.resolve import resolve_records
 from labtrail.plans import jobs
 from labtrail.sources.payloads import alerts_in_document
 
-N = F.count(F.lit(1))
 
 
 def profiles(s, f):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from labtrail.functions.basic import n_rows
+
 from labtrail.catalog import duck as d
 from labtrail.catalog.records import normalized, resolved
 from labtrail.catalog.registry import query
@@ -12,7 +14,6 @@ from labtrail.functions import values as va
 from labtrail.operators import insights as ins
 from labtrail.operators import panel as pan
 
-N = F.count(F.lit(1))
 CLEAN_LABS = ["City Lab", "Apollo Diagnostics", "Metro", "Unknown Lab", "Sunrise Pathology", "Care", "LabOne"]
 YEAR_LABS = [f"{y}_{lab}" for y in range(1995, 2002) for lab in CLEAN_LABS]
 DATE_LAB = f"""coalesce("Test_Date", 'Unknown Date') || '_' || {d.clean_lab('"Lab_Name"')}"""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from labtrail.functions.basic import n_rows
+
 from labtrail.catalog import duck as d
 from labtrail.catalog.insights import YEAR_LABS, yearly
 from labtrail.catalog.registry import query
@@ -15,7 +17,6 @@ from labtrail.sources import payloads as pay
 from labtrail.sources import sinks
 from labtrail.session import scratch_path
 
-N = F.count(F.lit(1))
 
 
 def report_payloads(s, f):
@@ -145,7 +146,7 @@ def register() -> None:
         rows = pay.record_rows(pay.validate_payloads(texts), F.col("file_name"), [])
         out = scratch_path(s, "cleaned-csv")
         sinks.write_records_csv(rows.select("Source_Filename", "Test_Name", "Test_Date", "Test_Category", "Patient_ID", "Result", "Status"), out)
-        return his.read_csv(s, out).groupBy("Source_Filename", "Test_Name", "Status").agg(N.alias("n"))
+        return his.read_csv(s, out).groupBy("Source_Filename", "Test_Name", "Status").agg(n_rows().alias("n"))
 
     query("a12_folder_batch", f"""SELECT 'batch.pdf' AS "Source_Filename", n.name AS "Test_Name", {d.canonical_status('r."Status"')} AS "Status", count(*) AS n FROM checked r JOIN rec_name n ON n.raw = r."Original_Test_Name" WHERE k NOT IN (3, 4) GROUP BY ALL""", "checked", "rec_name")(folder)
 
@@ -154,7 +155,7 @@ def register() -> None:
         r = lab_records(s, f).select("report_id", "study_id", "row_ord", (F.col("report_id") % 2).cast("int").alias("normalization_version"))
         for half in (0, 1):
             sinks.append_reports(r.where(F.floor(F.col("report_id") % 4 / 2) == half), path)
-        return s.read.parquet(path).groupBy("normalization_version").agg(N.alias("n"))
+        return s.read.parquet(path).groupBy("normalization_version").agg(n_rows().alias("n"))
 
     query("a13_append_reports", "SELECT CAST(report_id % 2 AS INTEGER) AS normalization_version, count(*) AS n FROM lab_records GROUP BY 1", L)(append_twice)
 
@@ -172,7 +173,7 @@ def register() -> None:
         sinks.write_records_csv(lab_records(s, f).withColumn("Result_Numeric", F.lit(1.0)).withColumn("Aliases", F.array("Test_Name", "Unit")), path)
         back = his.read_csv(s, path)
         assert "Result_Numeric" not in back.columns
-        return back.groupBy("Lab_Name").agg(N.alias("n"), F.countDistinct("row_ord").alias("rows"))
+        return back.groupBy("Lab_Name").agg(n_rows().alias("n"), F.countDistinct("row_ord").alias("rows"))
 
     query("a15_csv_sinks", 'SELECT "Lab_Name", count(*) AS n, count(DISTINCT row_ord) AS rows FROM lab_records GROUP BY 1', L)(csv_sinks)
     query("a16_workbook_data", """SELECT c.scope_id, c."Test_Category", c."Test_Name", c.date_lab, c."Result", r."Reference_Range" AS common_range FROM cells c LEFT JOIN common_ref r USING (scope_id, "Test_Category", "Test_Name")""", "cells", "common_ref")(
@@ -185,7 +186,7 @@ def register() -> None:
 
         path = scratch_path(s, "metrics")
         sinks.append_metrics(metrics(s, f), path)
-        return s.read.parquet(path).groupBy("day", "metric_name").agg(N.alias("n"))
+        return s.read.parquet(path).groupBy("day", "metric_name").agg(n_rows().alias("n"))
 
     query("a18_metric_log_sink", "SELECT CAST(created_at AS DATE) AS day, metric_name, count(*) AS n FROM metrics GROUP BY ALL", "metrics")(telemetry)
 
@@ -204,7 +205,7 @@ def register() -> None:
         from labtrail.operators.records import combine
 
         old = his.unpivot_history(wide_history(s, f), "x.csv", carry=["scope_id"])
-        rows = combine(old, lab_records(s, f).drop("study_id"), "N/A").groupBy("scope_id").agg(N.alias("rows"), F.count_if(F.col("row_ord") == "N/A").alias("from_export"))
+        rows = combine(old, lab_records(s, f).drop("study_id"), "N/A").groupBy("scope_id").agg(n_rows().alias("rows"), F.count_if(F.col("row_ord") == "N/A").alias("from_export"))
         patient = pt.merge_with_existing(existing(s, f), infos(s, f).where("report_id % 3 > 0"))
         return rows.join(patient.select("scope_id", "name", "date"), "scope_id", "left")
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from labtrail.functions.basic import n_rows
+
 from labtrail import fixed_values as fv
 from labtrail.catalog import duck as d
 from labtrail.catalog.metrics_view import grade_sql, metrics
@@ -14,7 +16,6 @@ from labtrail.operators import guidelines as gl
 from labtrail.operators import quality as qu
 from labtrail.operators import timelines as tl
 
-N = F.count(F.lit(1))
 AS_OF = "2024-06-01"
 
 
@@ -145,7 +146,7 @@ def register() -> None:
         ask = top.select(F.col("scope_id").alias("question_id"), F.lit("what should i do next about my sugar history").alias("query"), "findings")
         hits = gl.retrieve(ask, F.lit(AS_OF).cast("date")).groupBy(F.col("question_id").alias("scope_id")).agg(F.array_join(F.array_sort(F.collect_list(F.format_string("%d %s", "rank", "id"))), "; ").alias("guidelines"))
         span = tl.date_range(found)
-        persist = tl.persistent_concerns(found).groupBy("scope_id").agg(N.alias("persistent_concerns"))
+        persist = tl.persistent_concerns(found).groupBy("scope_id").agg(n_rows().alias("persistent_concerns"))
         return span.join(persist, "scope_id", "left").join(hits, "scope_id", "left")
 
     query("p12_chat_context")(context)

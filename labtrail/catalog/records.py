@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from labtrail.functions.basic import n_rows
+
 from labtrail.catalog import duck as d
 from labtrail.catalog.registry import query
 from labtrail.catalog.views import SQL, lab_records, table
@@ -16,7 +18,6 @@ from labtrail.operators import records as rec
 from labtrail.operators import resolve as res
 from labtrail.schema import pad_columns
 
-N = F.count(F.lit(1))
 
 
 def normalized(spark, sf):
@@ -66,12 +67,12 @@ def register() -> None:
     query("b02_drop_empty", """SELECT row_ord FROM lab_records WHERE NOT ("Test_Category" IS NULL AND "Status" IS NULL)""", L)(
         lambda s, f: rec.drop_empty(lab_records(s, f).select("row_ord", F.col("Test_Category").alias("Test_Name"), F.col("Status").alias("Result"))).select("row_ord"))
     query("b03_valid_for_display", """SELECT scope_id, count(*) AS n FROM lab_records WHERE "Test_Name" IS NOT NULL AND "Test_Name" <> 'N/A' AND "Result" IS NOT NULL GROUP BY 1""", L)(
-        lambda s, f: ins.valid_for_display(lab_records(s, f), True).groupBy("scope_id").agg(N.alias("n")))
+        lambda s, f: ins.valid_for_display(lab_records(s, f), True).groupBy("scope_id").agg(n_rows().alias("n")))
     flags = {"score": (st.abnormal_score, d.ABN_SCORE), "chat": (st.abnormal_chat, d.ABN_CHAT), "dash": (st.abnormal_dash, d.ABN_DASH),
              "tree": (st.abnormal_tree, d.ABN_TREE), "panel": (st.abnormal_panel, d.ABN_PANEL), "migration": (st.abnormal_migration, d.ABN_MIGR),
              "print": (st.abnormal_print, d.ABN_PDF), "good": (st.good, d.GOOD)}
     query("b04_status_predicates", 'SELECT "Status" AS status, count(*) AS n, ' + ", ".join(f"""any_value({q('"Status"')}) AS "{k}" """ for k, (_, q) in flags.items()) + " FROM lab_records GROUP BY 1", L)(
-        lambda s, f: lab_records(s, f).groupBy(F.col("Status").alias("status")).agg(N.alias("n")).select("status", "n", *[p(F.col("status")).alias(k) for k, (p, _) in flags.items()]))
+        lambda s, f: lab_records(s, f).groupBy(F.col("Status").alias("status")).agg(n_rows().alias("n")).select("status", "n", *[p(F.col("status")).alias(k) for k, (p, _) in flags.items()]))
 
     def facets(s, f):
         r = normalized(s, f)
@@ -110,15 +111,15 @@ def register() -> None:
 
     # name and category joins
     query("j01_alias_join", 'SELECT "Test_Name", count(*) AS n, count(DISTINCT "Original_Test_Name") AS spellings FROM normalized GROUP BY 1', "normalized")(
-        lambda s, f: normalized(s, f).groupBy("Test_Name").agg(N.alias("n"), F.countDistinct("Original_Test_Name").alias("spellings")))
+        lambda s, f: normalized(s, f).groupBy("Test_Name").agg(n_rows().alias("n"), F.countDistinct("Original_Test_Name").alias("spellings")))
     query("j02_category_containment", 'SELECT "Test_Category", count(*) AS n FROM normalized GROUP BY 1', "normalized")(
-        lambda s, f: normalized(s, f).groupBy("Test_Category").agg(N.alias("n")))
+        lambda s, f: normalized(s, f).groupBy("Test_Category").agg(n_rows().alias("n")))
     query("j03_category_hint", 'SELECT "Test_Name", hint, count(*) AS n FROM normalized GROUP BY ALL', "normalized")(
-        lambda s, f: normalized(s, f).groupBy("Test_Name", F.col("_hint").alias("hint")).agg(N.alias("n")))
+        lambda s, f: normalized(s, f).groupBy("Test_Name", F.col("_hint").alias("hint")).agg(n_rows().alias("n")))
     query("j04_same_test_groups", 'SELECT scope_id, cluster, count(DISTINCT "Original_Test_Name") AS spellings, count(*) AS n FROM normalized GROUP BY ALL', "normalized")(
-        lambda s, f: normalized(s, f).groupBy("scope_id", F.col("_cluster").alias("cluster")).agg(F.countDistinct("Original_Test_Name").alias("spellings"), N.alias("n")))
+        lambda s, f: normalized(s, f).groupBy("scope_id", F.col("_cluster").alias("cluster")).agg(F.countDistinct("Original_Test_Name").alias("spellings"), n_rows().alias("n")))
     query("j05_category_body_parts", """SELECT n.scope_id, coalesce(b.part, 'General') AS part, count(*) AS n FROM normalized n LEFT JOIN body_t b ON b.category = n."Test_Category" GROUP BY ALL""", "normalized", "body_t")(
-        lambda s, f: ins.body_system_tests(normalized(s, f)).groupBy("scope_id", F.col("system").alias("part")).agg(N.alias("n")))
+        lambda s, f: ins.body_system_tests(normalized(s, f)).groupBy("scope_id", F.col("system").alias("part")).agg(n_rows().alias("n")))
     query("j08_category_counts", 'SELECT scope_id, "Test_Name", "Test_Category", count(DISTINCT "Test_Date") AS date_count, count(*) AS row_count FROM lab_records GROUP BY ALL', L)(
         lambda s, f: rec.category_counts(lab_records(s, f)))
     bc = """(SELECT scope_id, "Test_Name", arg_min(c, ROW(-d, -n, c)) AS best FROM (SELECT scope_id, "Test_Name", "Test_Category" AS c, count(DISTINCT "Test_Date") AS d, count(*) AS n
@@ -132,7 +133,7 @@ def register() -> None:
     query("p01_normalize_record", f"""SELECT {OUT_SQL}, array_to_string(list_sort("Aliases"), '|') AS aliases FROM normalized""", "normalized")(
         lambda s, f: with_sorted_aliases(normalized(s, f)))
     query("p02_same_test_classes", 'SELECT "Test_Name" AS name, cluster, count(*) AS n FROM normalized GROUP BY ALL', "normalized")(
-        lambda s, f: normalized(s, f).groupBy(F.col("Test_Name").alias("name"), F.col("_cluster").alias("cluster")).agg(N.alias("n")))
+        lambda s, f: normalized(s, f).groupBy(F.col("Test_Name").alias("name"), F.col("_cluster").alias("cluster")).agg(n_rows().alias("n")))
     full = f"SELECT {OUT_SQL}, aliases FROM resolved"
     query("p04_deduplicate", full, "resolved")(lambda s, f: with_sorted_aliases(res.deduplicate(normalized(s, f))))
     query("p05_normalize_records", full, "resolved")(lambda s, f: with_sorted_aliases(resolved(s, f)))

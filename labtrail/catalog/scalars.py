@@ -108,7 +108,7 @@ def scalar(name, source, spark_cols, sql_view=None, sql_cols=None):
 
     def run(spark, sf) -> DataFrame:
         distinct = source(spark, sf).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-        return distinct.select("x", "n", *[c.alias(k) for k, c in spark_cols.items()])
+        return distinct.select("x", "n", *[c.alias(k) for k, c in spark_cols().items()])
 
     sql = None
     if sql_cols:
@@ -117,7 +117,6 @@ def scalar(name, source, spark_cols, sql_view=None, sql_cols=None):
     query(name, sql, *([sql_view] if sql else []))(run)
 
 
-X = F.col("x")
 EXPORTED = "replace(nullif(regexp_extract(lower(x), 'medical_reports?_.*?_([^_]+(?:_[^_]+)*)', 1), ''), '_', ' ')"
 J = lambda c: F.array_join(c, "|")
 DJ = lambda c: f"array_to_string({c}, '|')"
@@ -125,77 +124,77 @@ DJ = lambda c: f"array_to_string({c}, '|')"
 
 
 def register_names() -> None:
-    scalar("c01_lookup_key", name_texts, {"y": nm.lookup_key(X)}, "name_texts", {"y": d.lookup_key("x")})
-    scalar("c02_compact", name_texts, {"y": nm.compact(X)}, "name_texts", {"y": d.compact("x")})
+    scalar("c01_lookup_key", name_texts, lambda: {"y": nm.lookup_key(F.col("x"))}, "name_texts", {"y": d.lookup_key("x")})
+    scalar("c02_compact", name_texts, lambda: {"y": nm.compact(F.col("x"))}, "name_texts", {"y": d.compact("x")})
     toks = "list_filter(regexp_split_to_array(lower(x), '[\\s\\-/,.]+'), lambda t0_: t0_ <> '')"
-    scalar("c03_tokenize", name_texts, {"y": J(nm.tokens(X))}, "name_texts", {"y": DJ(toks)})
-    scalar("c04_initials", name_texts, {"y": nm.initials(X)}, "name_texts",
+    scalar("c03_tokenize", name_texts, lambda: {"y": J(nm.tokens(F.col("x")))}, "name_texts", {"y": DJ(toks)})
+    scalar("c04_initials", name_texts, lambda: {"y": nm.initials(F.col("x"))}, "name_texts",
            {"y": f"array_to_string(list_transform({toks}, lambda i0_: left(i0_, 1)), '')"})
-    scalar("c05_structural_clean", name_texts, {"y": nm.structural_clean(X)}, "name_texts", {"y": d.structural_clean("x")})
-    scalar("c06_blocklist_key", name_texts, {"y": nm.blocklist_key(X)}, "name_texts",
+    scalar("c05_structural_clean", name_texts, lambda: {"y": nm.structural_clean(F.col("x"))}, "name_texts", {"y": d.structural_clean("x")})
+    scalar("c06_blocklist_key", name_texts, lambda: {"y": nm.blocklist_key(F.col("x"))}, "name_texts",
            {"y": d.strip(d.rr(d.rr(d.structural_clean("x"), r"[\-/,.]+", " "), r"\s+", " "))})
-    scalar("c07_title_fallback", name_texts, {"y": nm.title_fallback(X)}, "name_texts", {"y": d.title_fallback("x")})
-    scalar("c08_display_name", name_texts, {"y": nm.display_name(X)}, "name_texts", {"y": d.display_name("x")})
+    scalar("c07_title_fallback", name_texts, lambda: {"y": nm.title_fallback(F.col("x"))}, "name_texts", {"y": d.title_fallback("x")})
+    scalar("c08_display_name", name_texts, lambda: {"y": nm.display_name(F.col("x"))}, "name_texts", {"y": d.display_name("x")})
     query("c09_normalize_test_name",
           'SELECT r."Test_Name" AS x, count(*) AS n, any_value(n.test_name) AS y FROM lab_records r JOIN name_map n '
           f"ON n.raw = {d.strip('r.\"Test_Name\"')} GROUP BY 1", "lab_records", "name_map")(
         lambda spark, sf: column_of("Test_Name")(spark, sf).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-        .select("x", "n", nm.normalize_test_name(X).alias("y")))
+        .select("x", "n", nm.normalize_test_name(F.col("x")).alias("y")))
     query("c10_client_test_name",
           'SELECT r."Test_Name" AS x, count(*) AS n, any_value(n.name) AS y FROM lab_records r JOIN client_names n '
           f"ON n.raw = {d.strip('r.\"Test_Name\"')} GROUP BY 1", "lab_records", "client_names")(
         lambda spark, sf: column_of("Test_Name")(spark, sf).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-        .select("x", "n", nm.client_test_name(X).alias("y")))
+        .select("x", "n", nm.client_test_name(F.col("x")).alias("y")))
     query("c11_canonical_category",
           'SELECT r."Test_Category" AS x, count(*) AS n, any_value(c.category) AS y FROM lab_records r JOIN cat_map c '
           'ON c.raw IS NOT DISTINCT FROM r."Test_Category" GROUP BY 1', "lab_records", "cat_map")(
         lambda spark, sf: column_of("Test_Category")(spark, sf).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-        .select("x", "n", nm.canonical_category(X).alias("y")))
-    scalar("c12_normalize_status", status_texts, {"y": st.normalize_status(X), "client": st.client_status(X)},
+        .select("x", "n", nm.canonical_category(F.col("x")).alias("y")))
+    scalar("c12_normalize_status", status_texts, lambda: {"y": st.normalize_status(F.col("x")), "client": st.client_status(F.col("x"))},
            "status_texts", {"y": d.normalize_status("x"), "client": d.client_status("x")})
-    scalar("c13_canonical_status", status_texts, {"y": st.canonical_status(X)}, "status_texts", {"y": d.canonical_status("x")})
+    scalar("c13_canonical_status", status_texts, lambda: {"y": st.canonical_status(F.col("x"))}, "status_texts", {"y": d.canonical_status("x")})
     up = lambda v: v
     scalar("c14_standardize_value", column_of("Unit"),
-           {"titled": nm.standardize(X, fv.UNIT_PATTERNS, "title"), "lowered": nm.standardize(X, fv.UNIT_PATTERNS, "lower"),
-            "kept": nm.standard_unit(X)}, "x_unit",
+           lambda: {"titled": nm.standardize(F.col("x"), fv.UNIT_PATTERNS, "title"), "lowered": nm.standardize(F.col("x"), fv.UNIT_PATTERNS, "lower"),
+            "kept": nm.standard_unit(F.col("x"))}, "x_unit",
            {"titled": d.patterns(d.strip("x"), fv.UNIT_PATTERNS, str.title, d.title(d.strip("x"))),
             "lowered": d.patterns(d.strip("x"), fv.UNIT_PATTERNS, str.lower, f"lower({d.strip('x')})"),
             "kept": d.patterns(d.strip("x"), fv.UNIT_PATTERNS, up, d.strip("x"))})
     scalar("c15_pattern_maps", name_texts,
-           {"name": nm.standard_test_name(X), "unit": nm.standard_unit(X), "status": nm.standard_status(X)}, "name_texts",
+           lambda: {"name": nm.standard_test_name(F.col("x")), "unit": nm.standard_unit(F.col("x")), "status": nm.standard_status(F.col("x"))}, "name_texts",
            {"name": d.patterns(d.strip("x"), fv.TEST_NAME_PATTERNS, str.title, d.title(d.strip("x"))),
             "unit": d.patterns(d.strip("x"), fv.UNIT_PATTERNS, up, d.strip("x")),
             "status": d.patterns(d.strip("x"), fv.STATUS_PATTERNS, str.title, d.title(d.strip("x")))})
-    scalar("c16_normalize_person", column_of("Patient_Name"), {"y": tx.normalize_person(X)}, "x_patient_name", {"y": d.person("x")})
+    scalar("c16_normalize_person", column_of("Patient_Name"), lambda: {"y": tx.normalize_person(F.col("x"))}, "x_patient_name", {"y": d.person("x")})
 
 
 def register_texts() -> None:
     other = "'Ravi Kumar rao'"
     scalar("c17_persons_match", column_of("Patient_Name"),
-           {"y": tx.persons_match(tx.normalize_person(X), tx.normalize_person(F.lit("Ravi Kumar rao")))},
+           lambda: {"y": tx.persons_match(tx.normalize_person(F.col("x")), tx.normalize_person(F.lit("Ravi Kumar rao")))},
            "x_patient_name", {"y": d.persons_match(d.person("x"), d.person(other))})
-    scalar("c18_file_key", url_texts, {"name": tx.file_key(X), "stem": tx.file_stem(tx.file_key(X))}, "url_texts",
+    scalar("c18_file_key", url_texts, lambda: {"name": tx.file_key(F.col("x")), "stem": tx.file_stem(tx.file_key(F.col("x")))}, "url_texts",
            {"name": d.file_key("x"), "stem": d.file_stem(d.file_key("x"))})
     scalar("c19_patient_from_export_name",
-           lambda s, f: column_of("Patient_Name")(s, f).select(F.concat(F.lit("Medical_Report_2024_"), F.translate(X, " ", "_"), F.lit(".csv")).alias("x")),
-           {"y": tx.patient_from_export_name(X)},
+           lambda s, f: column_of("Patient_Name")(s, f).select(F.concat(F.lit("Medical_Report_2024_"), F.translate(F.col("x"), " ", "_"), F.lit(".csv")).alias("x")),
+           lambda: {"y": tx.patient_from_export_name(F.col("x"))},
            "x_export", {"y": f"coalesce({d.title(EXPORTED)}, 'N/A')"})
-    scalar("c20_clean_lab", column_of("Lab_Name"), {"y": tx.clean_lab(X)}, "x_lab_name", {"y": d.clean_lab("x")})
-    scalar("c21_grouping_name", name_texts, {"y": nm.grouping_name(X)}, "name_texts", {"y": d.grouping_name("x")})
-    scalar("c22_chat_key", name_texts, {"y": nm.chat_key(X)}, "name_texts", {"y": d.chat_key("x")})
-    scalar("c23_chat_severity", status_texts, {"y": st.chat_severity(X)}, "status_texts", {"y": d.chat_severity("x")})
+    scalar("c20_clean_lab", column_of("Lab_Name"), lambda: {"y": tx.clean_lab(F.col("x"))}, "x_lab_name", {"y": d.clean_lab("x")})
+    scalar("c21_grouping_name", name_texts, lambda: {"y": nm.grouping_name(F.col("x"))}, "name_texts", {"y": d.grouping_name("x")})
+    scalar("c22_chat_key", name_texts, lambda: {"y": nm.chat_key(F.col("x"))}, "name_texts", {"y": d.chat_key("x")})
+    scalar("c23_chat_severity", status_texts, lambda: {"y": st.chat_severity(F.col("x"))}, "status_texts", {"y": d.chat_severity("x")})
     scalar("c24_severity_rank", status_texts,
-           {"severity": st.severity3(X), "severity_rank": st.severity3_rank(st.severity3(X)), "tree_rank": st.tree_rank(X)},
+           lambda: {"severity": st.severity3(F.col("x")), "severity_rank": st.severity3_rank(st.severity3(F.col("x"))), "tree_rank": st.tree_rank(F.col("x"))},
            "status_texts",
            {"severity": d.severity3("x"),
             "severity_rank": f"CASE {d.severity3('x')} WHEN 'HIGH' THEN 3 WHEN 'BORDERLINE' THEN 2 ELSE 1 END",
             "tree_rank": "CASE WHEN lower(x) = 'critical' THEN 0 WHEN lower(x) IN ('high','positive','flagged') THEN 1 "
                          "WHEN lower(x) IN ('low','insufficient') THEN 2 WHEN lower(x) IN ('normal','negative') THEN 3 ELSE 4 END"})
-    scalar("c25_query_tokens", chat_texts, {"norm": tx.query_text(X), "tokens": J(tx.query_tokens(X))}, "chat_texts",
+    scalar("c25_query_tokens", chat_texts, lambda: {"norm": tx.query_text(F.col("x")), "tokens": J(tx.query_tokens(F.col("x")))}, "chat_texts",
            {"norm": d.query_text("x"), "tokens": DJ(d.query_tokens("x"))})
     cases = " ".join(f"WHEN {sql_text(k)} THEN {sql_list(v)}" for k, v in fv.CONCEPT_EXPANSIONS.items())
     added = f"flatten(list_transform({d.query_tokens('x')}, lambda c_: CASE c_ {cases} ELSE [] END))"
-    scalar("c26_concept_expansion", question_texts, {"y": J(F.array_sort(tx.expanded_tokens(tx.query_tokens(X))))},
+    scalar("c26_concept_expansion", question_texts, lambda: {"y": J(F.array_sort(tx.expanded_tokens(tx.query_tokens(F.col("x")))))},
            "question_texts", {"y": DJ(f"list_sort(list_distinct(list_concat({d.query_tokens('x')}, {added})))")})
     low = "lower(coalesce(x, ''))"
     sec = "nullif(regexp_extract(x, '(?i)retry in\\s+([\\d\\.]+)s', 1), '')"
@@ -203,7 +202,7 @@ def register_texts() -> None:
     s_ = f"coalesce(try_cast({sec} AS DOUBLE), try_cast({ms} AS DOUBLE) / 1000.0)"
     lab = lambda q, u: f"CAST(CAST(round_even({s_} / {q}, 0) AS BIGINT) AS VARCHAR) || '{u}'"
     scalar("c27_rate_limit", failure_texts,
-           {"is_error": tx.is_rate_limit_error(X), "is_reason": tx.is_rate_limit_reason(X), "delay": tx.retry_delay(X)},
+           lambda: {"is_error": tx.is_rate_limit_error(F.col("x")), "is_reason": tx.is_rate_limit_reason(F.col("x")), "delay": tx.retry_delay(F.col("x"))},
            "failure_texts",
            {"is_error": f"contains({low}, '429') OR contains({low}, 'quota exceeded') OR contains({low}, 'rate limit')",
             "is_reason": f"contains({low}, 'rate limit') OR contains({low}, 'quota') OR contains({low}, ' 429') OR contains({low}, ':429')",
@@ -262,7 +261,7 @@ def register_texts() -> None:
     from labtrail.catalog.metrics_view import grade_sql, metrics
 
     query("c33_metric_status", f"SELECT metric_name, {grade_sql('metric_name', 'value')} AS grade, count(*) AS n FROM metrics GROUP BY ALL", "metrics")(metric_grades)
-    scalar("c34_lower_is_better", name_texts, {"y": nm.lower_is_better(X)}, "name_texts", {"y": d.lower_better("x")})
+    scalar("c34_lower_is_better", name_texts, lambda: {"y": nm.lower_is_better(F.col("x"))}, "name_texts", {"y": d.lower_better("x")})
 
     def ages(spark, sf):
         o = table(spark, sf, "orders")
@@ -285,24 +284,24 @@ SQL.add("x_export", "SELECT 'Medical_Report_2024_' || replace(x, ' ', '_') || '.
 
 
 def register_values() -> None:
-    scalar("m01_parse_numeric", column_of("Result"), {"y": va.parse_numeric(X)}, "x_result", {"y": d.parse_numeric("x")})
-    scalar("m02_strict_numeric", column_of("Result"), {"y": va.strict_numeric(X)}, "x_result", {"y": d.strict_numeric("x")})
-    scalar("m03_leading_numeric", column_of("Result"), {"y": va.leading_numeric(X)}, "x_result", {"y": d.leading_numeric("x")})
-    scalar("m04_date_day_first", column_of("Test_Date"), {"y": va.parse_date_day_first(X)}, "x_test_date", {"y": d.date_day_first("x")})
-    scalar("m05_sort_date", column_of("Test_Date"), {"y": va.parse_sort_date(X)}, "x_test_date", {"y": d.sort_date("x")})
-    scalar("m06_report_date", column_of("Test_Date"), {"y": va.parse_report_date(X)}, "x_test_date", {"y": d.report_date("x")})
-    scalar("m07_client_date", column_of("Test_Date"), {"y": va.parse_client_date(X)}, "x_test_date", {"y": d.client_date("x")})
-    scalar("m08_format_date", column_of("Test_Date"), {"y": va.format_day_first(va.parse_date_day_first(X))}, "x_test_date",
+    scalar("m01_parse_numeric", column_of("Result"), lambda: {"y": va.parse_numeric(F.col("x"))}, "x_result", {"y": d.parse_numeric("x")})
+    scalar("m02_strict_numeric", column_of("Result"), lambda: {"y": va.strict_numeric(F.col("x"))}, "x_result", {"y": d.strict_numeric("x")})
+    scalar("m03_leading_numeric", column_of("Result"), lambda: {"y": va.leading_numeric(F.col("x"))}, "x_result", {"y": d.leading_numeric("x")})
+    scalar("m04_date_day_first", column_of("Test_Date"), lambda: {"y": va.parse_date_day_first(F.col("x"))}, "x_test_date", {"y": d.date_day_first("x")})
+    scalar("m05_sort_date", column_of("Test_Date"), lambda: {"y": va.parse_sort_date(F.col("x"))}, "x_test_date", {"y": d.sort_date("x")})
+    scalar("m06_report_date", column_of("Test_Date"), lambda: {"y": va.parse_report_date(F.col("x"))}, "x_test_date", {"y": d.report_date("x")})
+    scalar("m07_client_date", column_of("Test_Date"), lambda: {"y": va.parse_client_date(F.col("x"))}, "x_test_date", {"y": d.client_date("x")})
+    scalar("m08_format_date", column_of("Test_Date"), lambda: {"y": va.format_day_first(va.parse_date_day_first(F.col("x")))}, "x_test_date",
            {"y": d.fmt_date(d.date_day_first("x"))})
     query("m09_infer_report_date",
           f"""SELECT report_id, coalesce(arg_min(dt, row_ord) FILTER (WHERE dt IS NOT NULL), DATE '1999-01-01') AS report_date
           FROM (SELECT *, {d.report_date('"Test_Date"')} AS dt FROM lab_records) GROUP BY 1""", "lab_records")(
         lambda s, f: infer_dates(lab_records(s, f)))
-    rr = va.reference_range(X)
-    scalar("m10_reference_range", column_of("Reference_Range"), {"low": rr["low"], "high": rr["high"], "kind": rr["kind"]},
+    rr = lambda k: va.reference_range(F.col("x"))[k]
+    scalar("m10_reference_range", column_of("Reference_Range"), lambda: {"low": rr("low"), "high": rr("high"), "kind": rr("kind")},
            "x_reference_range", {"low": d.range_low("x"), "high": d.range_high("x"), "kind": d.range_kind("x")})
-    cr = va.client_range(X)
-    scalar("m11_client_range", column_of("Reference_Range"), {"low": cr["low"], "high": cr["high"]},
+    cr = lambda k: va.client_range(F.col("x"))[k]
+    scalar("m11_client_range", column_of("Reference_Range"), lambda: {"low": cr("low"), "high": cr("high")},
            "x_reference_range", {"low": d.client_low("x"), "high": d.client_high("x")})
 
     def dev(spark, sf):
@@ -328,7 +327,7 @@ def register_values() -> None:
 
     query("m16_recency_score", f"SELECT o_orderkey, {upd} AS updated, CASE WHEN {age} <= 12 THEN 3 WHEN {age} <= 24 THEN 2 WHEN {age} <= 36 THEN 1 ELSE 0 END AS score FROM orders")(recency)
     parts = "string_split(x, ' ')"
-    scalar("m17_unique_strings", chat_texts, {"y": J(va.unique_strings(F.split(X, " ")))}, "chat_texts",
+    scalar("m17_unique_strings", chat_texts, lambda: {"y": J(va.unique_strings(F.split(F.col("x"), " ")))}, "chat_texts",
            {"y": DJ(f"""list_transform(list_filter(list_transform(range(1, len({parts}) + 1), lambda u_: {{'i': u_, 'v': {d.strip(parts + '[u_]')}}}),
              lambda o_: o_.v <> '' AND list_position(list_transform({parts}, lambda z_: {d.strip('z_')}), o_.v) = o_.i), lambda r_: r_.v)""")})
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from labtrail.functions.basic import n_rows
+
 from labtrail.catalog import duck as d
 from labtrail.catalog.metrics_view import from_events, grade_sql
 from labtrail.catalog.registry import query
@@ -11,7 +13,6 @@ from labtrail.catalog.views import SQL, lab_records, table
 from labtrail.session import scratch_path
 from labtrail.streaming import jobs
 
-N = F.count(F.lit(1))
 
 
 def streamed(s, sf, name):
@@ -49,7 +50,7 @@ def register() -> None:
     daily = f"SELECT metric_name, day, events, round(value, 6) AS value, {grade_sql('metric_name', 'value')} AS grade FROM (SELECT metric_name, CAST(created_at AS DATE) AS day, count(*) AS events, avg(value) AS value FROM metrics GROUP BY 1, 2)"
     query("t02_metric_rollup", daily, "metrics")(rollup)
     query("t02_sliding_week", "SELECT metric_name, count(*) AS windows, CAST(sum(n) AS BIGINT) AS events FROM (SELECT metric_name, CAST(created_at AS DATE) + CAST(o AS INTEGER) AS w, count(*) AS n FROM metrics, range(0, 7) r(o) GROUP BY 1, 2) GROUP BY 1", "metrics")(
-        lambda s, sf: jobs.metric_windows(stamped(table(s, sf, "events")), "7 days", "1 day").groupBy("metric_name").agg(N.alias("windows"), F.sum("events").alias("events")))
+        lambda s, sf: jobs.metric_windows(stamped(table(s, sf, "events")), "7 days", "1 day").groupBy("metric_name").agg(n_rows().alias("windows"), F.sum("events").alias("events")))
 
     def memory(s, sf):
         out = jobs.drain_updates(jobs.session_memory(streamed(s, sf, "conversations"), 6, None), scratch_path(s, "memory"), scratch_path(s, "cp"))

@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 WHITESPACE = " \t\n\r\x0b\x0c"
 
 
+def n_rows() -> Column:
+    return F.count(F.lit(1))
+
+
+def na() -> Column:
+    return F.lit("N/A")
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of white space (Spark's trim removes blanks only)."""
     return F.trim(c, F.lit(WHITESPACE))

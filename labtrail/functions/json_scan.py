@@ -1,8 +1,7 @@
 """Brace matching over text columns (Arrow batches; brackets nest, so no
 regular expression can do it)."""
 
-from __future__ import annotations
-
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +11,7 @@ def first_balanced(texts: Column) -> Column:
     """The balanced object a text starts with, null when it never closes."""
 
     # defined here so that it travels to the executors by value
-    def cut_all(column):
+    def cut_all(column: pd.Series) -> pd.Series:
         import re
 
         # a string literal (closed or running to the end), or one brace
@@ -29,4 +28,4 @@ def first_balanced(texts: Column) -> Column:
 
         return column.map(cut)
 
-    return F.pandas_udf(cut_all, T.StringType(), F.PandasUDFType.SCALAR)(texts)
+    return F.pandas_udf(cut_all, T.StringType())(texts)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labtrail.functions.basic import n_rows
+
 from labtrail import fixed_values as fv
 from labtrail.functions import status as st
 from labtrail.functions import values as va
@@ -16,7 +18,6 @@ from labtrail.functions.basic import blank_to_null, constant_rows
 from labtrail.functions.text import clean_lab
 from labtrail.operators.resolve import ORDER, SCOPE
 
-N = F.count(F.lit(1))
 
 
 def count_if(c: Column) -> Column:
@@ -25,13 +26,13 @@ def count_if(c: Column) -> Column:
 
 def _weight_score(null_weight: int) -> Column:
     total = F.sum(st.status_weight(F.col("Status"), null_weight))
-    return F.floor(total / N).cast("bigint")
+    return F.floor(total / n_rows()).cast("bigint")
 
 
 def overall_score(records: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Mean status weight, truncated; a missing status weighs nothing."""
     scope = scope or [SCOPE]
-    return records.groupBy(*scope).agg(_weight_score(0).alias("overall_score"), N.alias("total_tests"))
+    return records.groupBy(*scope).agg(_weight_score(0).alias("overall_score"), n_rows().alias("total_tests"))
 
 
 def _has_category() -> Column:
@@ -45,7 +46,7 @@ def category_scores(records: DataFrame, scope: list[str] | None = None) -> DataF
         .groupBy(*scope, "Test_Category")
         .agg(
             _weight_score(fv.OTHER_STATUS_WEIGHT).alias("score"),
-            N.alias("total_tests"),
+            n_rows().alias("total_tests"),
             count_if(st.abnormal_score(F.col("Status"))).alias("abnormal_count"),
         )
     )
@@ -120,15 +121,15 @@ def migration_category_scores(records: DataFrame, scope: list[str] | None = None
     cat = F.coalesce(blank_to_null(F.col("Test_Category")), F.lit("Other"))
     bad = count_if(st.abnormal_migration(st.normalize_status(F.col("Status"))))
     return records.groupBy(*scope, cat.alias("Test_Category")).agg(
-        F.greatest(F.lit(0), va.js_round((N - bad) / N * 100)).cast("bigint").alias("score"),
-        N.alias("total_tests"), bad.alias("abnormal_count"),
+        F.greatest(F.lit(0), va.js_round((n_rows() - bad) / n_rows() * 100)).cast("bigint").alias("score"),
+        n_rows().alias("total_tests"), bad.alias("abnormal_count"),
     )
 
 
 def migration_overall(records: DataFrame, scope: list[str] | None = None) -> DataFrame:
     scope = scope or [SCOPE]
     return migration_category_scores(records, scope).groupBy(*scope).agg(
-        va.js_round(F.sum("score") / N).cast("bigint").alias("overall_score")
+        va.js_round(F.sum("score") / n_rows()).cast("bigint").alias("overall_score")
     )
 
 
@@ -137,7 +138,7 @@ def alerts_by_category(concern_rows: DataFrame, scope: list[str] | None = None)
     s = F.lower(F.coalesce(blank_to_null(F.col("status")), F.lit("")))
     cat = F.coalesce(blank_to_null(F.col("category")), F.lit("Uncategorized"))
     out = concern_rows.groupBy(*scope, cat.alias("category")).agg(
-        N.alias("total_alerts"),
+        n_rows().alias("total_alerts"),
         count_if(s == "critical").alias("critical_count"),
         count_if(s.isin("high", "positive", "flagged")).alias("high_count"),
         count_if(s == "low").alias("low_count"),
@@ -171,7 +172,7 @@ def alert_trend(records: DataFrame, scope: list[str] | None = None) -> DataFrame
     scope = scope or [SCOPE]
     day = F.coalesce(blank_to_null(F.col("Test_Date")), F.lit("Unknown"))
     return records.groupBy(*scope, day.alias("date")).agg(
-        count_if(st.abnormal_panel(F.col("Status"))).alias("alert_count"), N.alias("total_count")
+        count_if(st.abnormal_panel(F.col("Status"))).alias("alert_count"), n_rows().alias("total_count")
     )
 
 
@@ -180,7 +181,7 @@ def category_comparison(records: DataFrame, scope: list[str] | None = None) -> D
     return (
         records.where(st.abnormal_panel(F.col("Status")))
         .groupBy(*scope, F.col("Test_Category").alias("category"))
-        .agg(N.alias("alerts"))
+        .agg(n_rows().alias("alerts"))
     )
 
 
@@ -188,8 +189,8 @@ def trend_by_date(records: DataFrame, scope: list[str] | None = None) -> DataFra
     scope = scope or [SCOPE]
     bad = count_if(st.abnormal_dash(F.col("Status")))
     return records.groupBy(*scope, F.coalesce("Test_Date", F.lit("Unknown")).alias("date")).agg(
-        N.alias("total"), bad.alias("concerning"), count_if(st.good(F.col("Status"))).alias("good"),
-        va.js_round(bad / N * 100).cast("bigint").alias("concerning_percent"),
+        n_rows().alias("total"), bad.alias("concerning"), count_if(st.good(F.col("Status"))).alias("good"),
+        va.js_round(bad / n_rows() * 100).cast("bigint").alias("concerning_percent"),
     )
 
 
@@ -198,7 +199,7 @@ def counters(records: DataFrame, scope: list[str] | None = None) -> DataFrame:
     scope = scope or [SCOPE]
     status = F.col("Status")
     out = records.groupBy(*scope).agg(
-        N.alias("records"),
+        n_rows().alias("records"),
         count_if(st.good(status)).alias("normal"),
         count_if(st.abnormal_dash(status)).alias("concerning"),
         count_if(F.lower(status) == "critical").alias("critical"),
@@ -223,7 +224,7 @@ def trend_narrative(trend: DataFrame, scope: list[str] | None = None) -> DataFra
         F.coalesce(va.parse_client_date(F.col("date")), F.lit("9999-12-31").cast("date")), F.col("date")
     )
     out = trend.groupBy(*scope).agg(
-        N.alias("dates"), F.min_by("alert_count", order).alias("first_alerts"),
+        n_rows().alias("dates"), F.min_by("alert_count", order).alias("first_alerts"),
         F.max_by("alert_count", order).alias("last_alerts"),
     )
     delta = F.col("last_alerts") - F.col("first_alerts")
@@ -305,7 +306,7 @@ def common_ranges(records: DataFrame, scope: list[str] | None = None) -> DataFra
     counted = (
         cells.where((F.trim(r) != "") & (r != "N/A"))
         .groupBy(*scope, "Test_Category", "Test_Name", "Reference_Range")
-        .agg(N.alias("n"), F.min(first).alias("first"))
+        .agg(n_rows().alias("n"), F.min(first).alias("first"))
     )
     return counted.groupBy(*scope, "Test_Category", "Test_Name").agg(
         F.min_by("Reference_Range", F.struct(-F.col("n"), F.col("first"))).alias("Reference_Range")
@@ -321,7 +322,7 @@ def workbook_summary(records: DataFrame, scope: list[str] | None = None) -> Data
         F.count(va.strict_numeric(F.col("Result"))).alias("points")
     )
     charts = per_test.groupBy(*scope).agg(
-        F.countDistinct("Test_Category").alias("categories"), N.alias("tests"),
+        F.countDistinct("Test_Category").alias("categories"), n_rows().alias("tests"),
         count_if(F.col("points") > 1).alias("charts"),
     )
     dates = cells.groupBy(*scope).agg(
@@ -337,7 +338,7 @@ def tests_per_category(records: DataFrame, scope: list[str] | None = None) -> Da
     scope = scope or [SCOPE]
     return (
         organized_cells(records, scope).select(*scope, "Test_Category", "Test_Name").distinct()
-        .groupBy(*scope, "Test_Category").agg(N.alias("tests"))
+        .groupBy(*scope, "Test_Category").agg(n_rows().alias("tests"))
     )
 
 
@@ -352,7 +353,7 @@ def chart_series(records: DataFrame, scope: list[str] | None = None) -> DataFram
     day = va.parse_date_day_first(F.element_at(F.split("date_lab", "_"), 1))
     first = F.struct(F.coalesce(day, F.lit("0001-01-01").cast("date")), F.col("date_lab"))
     limits = ranges.where((F.trim(r) != "") & (r != "N/A")).groupBy(*keys).agg(F.min_by("Reference_Range", first).alias("ref"))
-    span = points.groupBy(*keys).agg(N.alias("points"), F.min("value").alias("lo"), F.max("value").alias("hi")).where("points > 1")
+    span = points.groupBy(*keys).agg(n_rows().alias("points"), F.min("value").alias("lo"), F.max("value").alias("hi")).where("points > 1")
     ref = va.reference_range(F.col("ref"))
     facts = span.join(limits, keys, "left").select(
         *keys, ref["low"].alias("low"), ref["high"].alias("high"),

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labtrail.functions.basic import n_rows
+
 from labtrail.functions import names as nm
 from labtrail.functions import status as st
 from labtrail.functions import values as va
 from labtrail.operators.dictionary import with_all_derived
 from labtrail.operators.resolve import ORDER, SCOPE
 
-N = F.count(F.lit(1))
 KEYS = [SCOPE, "test_name"]
 NO_DATE = "0001-01-01"
 
@@ -57,7 +58,7 @@ def abnormal_streaks(entries: DataFrame) -> DataFrame:
     return (
         abnormal.join(stop, KEYS, "left")
         .where(F.col("_stop").isNull() | (F.col("_at") < F.col("_stop")))
-        .groupBy(*KEYS).agg(N.alias("streak"))
+        .groupBy(*KEYS).agg(n_rows().alias("streak"))
     )
 
 
@@ -80,7 +81,7 @@ def priority_findings(entries: DataFrame, k: int = 8) -> DataFrame:
     by_deviation = F.struct(-F.col("deviation"), -st.severity3_rank(F.col("severity")), F.col(ORDER))
     groups = entries.groupBy(*KEYS).agg(
         F.min_by(worst, by_deviation).alias("w"), F.min_by(latest, _newest_first()).alias("l"),
-        N.alias("total_reports"), F.count_if(F.col("severity") != "NORMAL").alias("abnormal_count"),
+        n_rows().alias("total_reports"), F.count_if(F.col("severity") != "NORMAL").alias("abnormal_count"),
         F.min(ORDER).alias("_first"),
     ).where("abnormal_count > 0")
     scored = groups.join(abnormal_streaks(entries), KEYS, "left").withColumn("streak", F.coalesce("streak", F.lit(0)))
@@ -118,7 +119,7 @@ def latest_two(entries: DataFrame) -> DataFrame:
 
 
 def priority_metrics(entries: DataFrame, k: int = 6) -> DataFrame:
-    counts = entries.groupBy(*KEYS).agg(N.alias("report_count"), F.min(ORDER).alias("_first"))
+    counts = entries.groupBy(*KEYS).agg(n_rows().alias("report_count"), F.min(ORDER).alias("_first"))
     rows = latest_two(entries).join(counts, KEYS)
     order = [
         F.desc(F.col("latest_severity") != "NORMAL"), F.desc(F.col("trend") == "worsening"),
@@ -130,10 +131,10 @@ def priority_metrics(entries: DataFrame, k: int = 6) -> DataFrame:
 def structured_review(entries: DataFrame) -> DataFrame:
     """Totals, most affected category and the facts the advice lines rest on."""
     totals = entries.groupBy(SCOPE).agg(
-        N.alias("records"), F.count_if(F.col("severity") != "NORMAL").alias("total_alerts"),
+        n_rows().alias("records"), F.count_if(F.col("severity") != "NORMAL").alias("total_alerts"),
         F.countDistinct("report_date").alias("report_dates"),
     )
-    alerts = entries.where("severity <> 'NORMAL'").groupBy(SCOPE, "category").agg(N.alias("n"), F.min(ORDER).alias("o"))
+    alerts = entries.where("severity <> 'NORMAL'").groupBy(SCOPE, "category").agg(n_rows().alias("n"), F.min(ORDER).alias("o"))
     worst = alerts.groupBy(SCOPE).agg(F.min_by("category", F.struct(-F.col("n"), F.col("o"))).alias("c"))
     streaks = priority_findings(entries).groupBy(SCOPE).agg(F.max(F.col("streak") >= 2).alias("s"))
     trends = priority_metrics(entries).groupBy(SCOPE).agg(F.max(F.col("trend") == "worsening").alias("t"))

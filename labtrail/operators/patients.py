@@ -7,14 +7,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labtrail.functions.basic import na
+
+from labtrail.functions.basic import n_rows
+
 from labtrail.functions import text as tx
 from labtrail.functions import values as va
 from labtrail.operators.resolve import ORDER, SCOPE
 from labtrail.schema import PATIENT_FIELDS
 from labtrail.session import materialize
 
-N = F.count(F.lit(1))
-NA = F.lit("N/A")
 PAIR_LIMIT = 64
 
 
@@ -29,7 +31,7 @@ def value_counts(infos: DataFrame, fields: list[str]) -> DataFrame:
         [SCOPE, ORDER], fields, "field", "value"
     )
     return long.where("value IS NOT NULL").groupBy(SCOPE, "field", "value").agg(
-        N.alias("n"), F.min(ORDER).alias("first")
+        n_rows().alias("n"), F.min(ORDER).alias("first")
     )
 
 
@@ -48,7 +50,7 @@ def names_by_use(infos: DataFrame, keep_empty: bool) -> DataFrame:
     )
     if not keep_empty:
         named = named.where("n <> ''")
-    counts = named.groupBy(SCOPE, "n").agg(N.alias("c"), F.min(ORDER).alias("o"))
+    counts = named.groupBy(SCOPE, "n").agg(n_rows().alias("c"), F.min(ORDER).alias("o"))
     return counts.groupBy(SCOPE).agg(
         F.min_by("n", F.struct(-F.col("c"), -F.length("n"), F.col("o"))).alias("name")
     )
@@ -74,13 +76,13 @@ def consolidate(infos: DataFrame, smart: bool = False) -> DataFrame:
     joined = dated_facts(infos).join(names_by_use(infos, not smart), SCOPE, "left").join(
         modes.withColumnRenamed("age", "common_age"), SCOPE, "left"
     )
-    age = F.coalesce("dated_age", "common_age", NA)
+    age = F.coalesce("dated_age", "common_age", na())
     if smart:
-        age = F.when(F.col("has_date"), age).otherwise(NA)
+        age = F.when(F.col("has_date"), age).otherwise(na())
     return joined.select(
-        SCOPE, F.coalesce("name", NA).alias("name"), age.alias("age"), F.coalesce("gender", NA).alias("gender"),
-        F.coalesce("patient_id", NA).alias("patient_id"), va.format_day_first(F.col("day")).alias("date"),
-        F.coalesce("lab_name", NA).alias("lab_name"),
+        SCOPE, F.coalesce("name", na()).alias("name"), age.alias("age"), F.coalesce("gender", na()).alias("gender"),
+        F.coalesce("patient_id", na()).alias("patient_id"), va.format_day_first(F.col("day")).alias("date"),
+        F.coalesce("lab_name", na()).alias("lab_name"),
     )
 
 
@@ -99,12 +101,12 @@ def merge_with_existing(existing: DataFrame, infos: DataFrame) -> DataFrame:
     old_day = va.parse_date_day_first(given(F.col("old_date")))
     # without any new report the existing line stays as it is
     untouched = F.col("has_date").isNull()
-    pick = lambda f, new_value: F.coalesce(F.when(untouched, F.col(f"old_{f}")), new_value, F.col(f"old_{f}"), NA).alias(f)
+    pick = lambda f, new_value: F.coalesce(F.when(untouched, F.col(f"old_{f}")), new_value, F.col(f"old_{f}"), na()).alias(f)
     return j.select(
         SCOPE, pick("name", F.col("name")), pick("age", F.coalesce("dated_age", "first_age")),
         pick("gender", F.col("gender")), pick("patient_id", F.col("patient_id")),
         F.coalesce(F.when(untouched, F.col("old_date")), va.format_day_first(F.greatest("day", old_day))).alias("date"),
-        F.coalesce(F.when(untouched, F.col("old_lab_name")), "any_lab", NA).alias("lab_name"),
+        F.coalesce(F.when(untouched, F.col("old_lab_name")), "any_lab", na()).alias("lab_name"),
     )
 
 
@@ -112,7 +114,7 @@ def from_records(records: DataFrame) -> DataFrame:
     """Patient line read off a record table; the smallest value wins a tie."""
     cols = {"name": "Patient_Name", "age": "Age", "gender": "Gender", "patient_id": "Patient_ID", "lab_name": "Lab_Name"}
     reduced = records.groupBy(SCOPE, *cols.values()).agg(
-        N.alias("rows"), F.max(va.parse_date_day_first(F.col("Test_Date"))).alias("day")
+        n_rows().alias("rows"), F.max(va.parse_date_day_first(F.col("Test_Date"))).alias("day")
     )
     # one pass over the reduced lines, then one vote per field
     long = reduced.select(
@@ -127,7 +129,7 @@ def from_records(records: DataFrame) -> DataFrame:
     ])
     days = reduced.groupBy(SCOPE).agg(F.max("day").alias("day"))
     return days.join(votes, SCOPE, "left").select(
-        SCOPE, *[F.coalesce(f, NA).alias(f) for f in cols], va.format_day_first(F.col("day")).alias("date")
+        SCOPE, *[F.coalesce(f, na()).alias(f) for f in cols], va.format_day_first(F.col("day")).alias("date")
     )
 
 
@@ -150,7 +152,7 @@ def name_conflicts(infos: DataFrame) -> DataFrame:
     pass per round; most such scopes clash with the first anchor.
     """
     names = distinct_names(infos)
-    sizes = names.groupBy(SCOPE).agg(N.alias("_names"))
+    sizes = names.groupBy(SCOPE).agg(n_rows().alias("_names"))
     sized = names.join(sizes.where("_names > 1"), SCOPE)
     few = sized.where(F.col("_names") <= PAIR_LIMIT)
     a, b = few.alias("a"), few.alias("b")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labtrail.functions.basic import n_rows
+
 from labtrail.functions import status as st
 from labtrail.functions import text as tx
 
-N = F.count(F.lit(1))
 
 
 # --- extracted findings against the truth -----------------------------------
@@ -35,7 +36,7 @@ def greedy_matches(extracted: DataFrame, truth: DataFrame, tolerance: float = 0.
         "chain", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
     )
     shape = chained.groupBy("report_id", "name", "chain").agg(
-        N.alias("values"), F.sum("n_extracted").alias("e"), F.sum("n_truth").alias("t")
+        n_rows().alias("values"), F.sum("n_extracted").alias("e"), F.sum("n_truth").alias("t")
     )
     simple = shape.where("values = 1").select("report_id", F.least("e", "t").alias("matches"))
     tangled = (
@@ -120,7 +121,7 @@ def unsupported_values(findings: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def unsupported_counts(findings: DataFrame, texts: DataFrame) -> DataFrame:
-    return unsupported_values(findings, texts).groupBy("report_id").agg(N.alias("unsupported"))
+    return unsupported_values(findings, texts).groupBy("report_id").agg(n_rows().alias("unsupported"))
 
 
 # --- chat -------------------------------------------------------------------
@@ -129,14 +130,14 @@ def context_retention(turns: DataFrame) -> DataFrame:
     reply = F.lower("reply")
     passed = F.exists("keywords", lambda k: F.contains(reply, F.lower(k)))
     return turns.groupBy("conv_id").agg(
-        F.count_if(passed).alias("retained"), N.alias("turns"), (F.count_if(passed) / N * 100).alias("score")
+        F.count_if(passed).alias("retained"), n_rows().alias("turns"), (F.count_if(passed) / n_rows() * 100).alias("score")
     )
 
 
 # --- telemetry --------------------------------------------------------------
 def daily_metrics(metrics: DataFrame) -> DataFrame:
     day = F.to_date("created_at").alias("day")
-    out = metrics.groupBy("metric_name", day).agg(N.alias("events"), F.avg("value").alias("value"))
+    out = metrics.groupBy("metric_name", day).agg(n_rows().alias("events"), F.avg("value").alias("value"))
     return out.withColumn("grade", st.metric_status(F.col("metric_name"), F.col("value")))
 
 
@@ -150,7 +151,7 @@ def metric_cards(metrics: DataFrame, as_of: Column, days: int) -> DataFrame:
     """Card figures over the last days: counts, mean, latest value, latency."""
     recent = metrics.where(F.col("created_at") >= as_of - F.make_dt_interval(F.lit(days)))
     return recent.groupBy("metric_name").agg(
-        N.alias("events"), F.avg("value").alias("mean_value"), F.max_by("value", F.struct("created_at", "id")).alias("current_value"),
+        n_rows().alias("events"), F.avg("value").alias("mean_value"), F.max_by("value", F.struct("created_at", "id")).alias("current_value"),
         F.count_if(F.col("value") > 0).alias("valid"), F.percentile("value", 0.95).alias("p95"),
     )
 
@@ -159,12 +160,12 @@ def last_events(metrics: DataFrame, k: int = 100) -> DataFrame:
     """Sum over the last k events per metric; ranks are cut before the shuffle."""
     w = Window.partitionBy("metric_name").orderBy(F.desc("created_at"), F.desc("id"))
     last = metrics.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
-    return last.groupBy("metric_name").agg(N.alias("last_events"), F.sum("value").alias("last_sum"))
+    return last.groupBy("metric_name").agg(n_rows().alias("last_events"), F.sum("value").alias("last_sum"))
 
 
 def token_usage(metrics: DataFrame) -> DataFrame:
     day = F.to_date("created_at").alias("day")
-    return metrics.groupBy(day).agg(F.sum(F.get_json_object("metadata", "$.k").cast("long")).alias("input_tokens"), N.alias("calls"))
+    return metrics.groupBy(day).agg(F.sum(F.get_json_object("metadata", "$.k").cast("long")).alias("input_tokens"), n_rows().alias("calls"))
 
 
 def failed_files(metrics: DataFrame) -> DataFrame:
@@ -183,7 +184,7 @@ def ingest_outcome(files: DataFrame) -> DataFrame:
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", text.alias("t")))), lambda s: s["t"]), "; ").alias("details"))
     )
     out = files.groupBy("batch_id").agg(
-        N.alias("processed"), F.count_if(failed).alias("failed"), F.max("total").alias("total"), F.sum("seconds").alias("elapsed"),
+        n_rows().alias("processed"), F.count_if(failed).alias("failed"), F.max("total").alias("total"), F.sum("seconds").alias("elapsed"),
         F.bool_and(F.when(failed, tx.is_rate_limit_reason(text))).alias("all_rate_limited"),
     )
     eta = F.floor(F.col("elapsed") / F.col("processed") * F.greatest(F.col("total") - F.col("processed"), F.lit(0))).cast("bigint")

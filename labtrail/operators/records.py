@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labtrail.functions.basic import n_rows
+
 from labtrail.functions import status as st
 from labtrail.functions import text as tx
 from labtrail.functions import values as va
@@ -13,7 +15,6 @@ from labtrail.operators.insights import body_parts
 from labtrail.operators.resolve import ORDER, SCOPE
 from labtrail.schema import union_padded
 
-N = F.count(F.lit(1))
 
 
 def drop_empty(df: DataFrame) -> DataFrame:
@@ -144,7 +145,7 @@ def combine_duplicate_tests(df: DataFrame, scope: list[str] | None = None) -> Da
     """Best category per test (most dates, most rows, name), then one row per
     test and date."""
     keys = [*(scope or [SCOPE]), "Test_Name"]
-    counts = df.groupBy(*keys, "Test_Category").agg(F.countDistinct("Test_Date").alias("d"), N.alias("n"))
+    counts = df.groupBy(*keys, "Test_Category").agg(F.countDistinct("Test_Date").alias("d"), n_rows().alias("n"))
     best = counts.where(F.col("Test_Category").isNotNull()).groupBy(*keys).agg(
         F.min_by("Test_Category", F.struct(-F.col("d"), -F.col("n"), F.col("Test_Category"))).alias("_best")
     )
@@ -158,7 +159,7 @@ def combine_duplicate_tests(df: DataFrame, scope: list[str] | None = None) -> Da
 def category_counts(df: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Distinct dates and rows per test and category."""
     return df.groupBy(*(scope or [SCOPE]), "Test_Name", "Test_Category").agg(
-        F.countDistinct("Test_Date").alias("date_count"), N.alias("row_count")
+        F.countDistinct("Test_Date").alias("date_count"), n_rows().alias("row_count")
     )
 
 
@@ -167,7 +168,7 @@ def consistency_report(df: DataFrame, scope: list[str] | None = None) -> DataFra
     scope = scope or [SCOPE]
     missing = lambda c: F.count_if(F.col(c).isNull() | (F.col(c) == "N/A"))
     per_group = df.groupBy(*scope, "Test_Name", "Test_Date").agg(
-        N.alias("n"), missing("Result").alias("r"),
+        n_rows().alias("n"), missing("Result").alias("r"),
     )
     bad_date = va.parse_date_day_first(F.col("Test_Date")).isNull() & (F.col("Test_Date") != "N/A")
     group_n = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
@@ -185,7 +186,7 @@ def consistency_report(df: DataFrame, scope: list[str] | None = None) -> DataFra
 
 
 def records_per_source(df: DataFrame) -> DataFrame:
-    return df.groupBy("Source_Filename").agg(N.alias("records"))
+    return df.groupBy("Source_Filename").agg(n_rows().alias("records"))
 
 
 # --- chat history -----------------------------------------------------------

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labtrail.functions.basic import n_rows
+
 from labtrail.functions.basic import blank_to_null
 
-N = F.count(F.lit(1))
 
 
 def study_summary(studies: DataFrame, reports: DataFrame) -> DataFrame:
     """Report count and date range of every study."""
     per = reports.groupBy("study_id").agg(
-        N.alias("report_count"), F.min("report_date").alias("range_start"), F.max("report_date").alias("range_end")
+        n_rows().alias("report_count"), F.min("report_date").alias("range_start"), F.max("report_date").alias("range_end")
     )
     return studies.join(per, "study_id", "left").withColumn("report_count", F.coalesce("report_count", F.lit(0)))
 
@@ -22,7 +23,7 @@ def study_items(studies: DataFrame, reports: DataFrame) -> DataFrame:
     """Dashboard line per study: counts, range, its one laboratory, alerts."""
     lab = blank_to_null(F.col("lab_name"))
     per = reports.groupBy("study_id").agg(
-        N.alias("report_count"), F.min("report_date").alias("range_start"), F.max("report_date").alias("range_end"),
+        n_rows().alias("report_count"), F.min("report_date").alias("range_start"), F.max("report_date").alias("range_end"),
         F.min(lab).alias("_l"), F.max(lab).alias("_h"), F.sum("alerts").alias("alerts_count"),
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
@@ -37,11 +38,11 @@ def account_dashboard(profiles: DataFrame, studies: DataFrame, reports: DataFram
     """Totals per account: reports and studies are summed to profiles before
     they meet the account, so a large account is already small."""
     per_profile = study_items(studies, reports).groupBy("profile_id").agg(
-        F.sum("report_count").alias("r"), F.sum("alerts_count").alias("a"), N.alias("s")
+        F.sum("report_count").alias("r"), F.sum("alerts_count").alias("a"), n_rows().alias("s")
     )
     zero = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0)))
     return profiles.join(per_profile, "profile_id", "left").groupBy("owner_id").agg(
-        N.alias("profiles_tracked"), zero("s").alias("studies"), zero("r").alias("total_reports"), zero("a").alias("total_alerts")
+        n_rows().alias("profiles_tracked"), zero("s").alias("studies"), zero("r").alias("total_reports"), zero("a").alias("total_alerts")
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labtrail.functions.basic import n_rows
+
 from labtrail.functions import names as nm
 from labtrail.functions import status as st
 from labtrail.functions import text as tx
@@ -14,7 +16,6 @@ from labtrail.operators.insights import valid_for_display
 from labtrail.operators.panel import top_per_scope
 from labtrail.operators.resolve import ORDER, SCOPE
 
-N = F.count(F.lit(1))
 FAR = "9999-12-31"
 
 
@@ -52,7 +53,7 @@ def latest_in_timeline(timeline: DataFrame) -> DataFrame:
     row of two on one day."""
     row = F.struct("date", "value", "status", "unit", "category", "reference_range")
     out = timeline.groupBy(SCOPE, "test_name").agg(
-        N.alias("readings"), F.max_by(row, F.struct("day", ORDER)).alias("r")
+        n_rows().alias("readings"), F.max_by(row, F.struct("day", ORDER)).alias("r")
     )
     return out.select(SCOPE, "test_name", "readings", "r.*")
 
@@ -76,7 +77,7 @@ def report_timeline(records: DataFrame, keep: int = 12, preview: int = 10) -> Da
         _day(va.parse_date_day_first(F.col("Test_Date"))).alias("day"),
         "Test_Name", "Result", "Unit", "Status", ORDER,
     )
-    reports = rows.groupBy(*keys, "day").agg(N.alias("tests_performed"), F.min(F.struct("Test_Name", ORDER)).alias("_f"))
+    reports = rows.groupBy(*keys, "day").agg(n_rows().alias("tests_performed"), F.min(F.struct("Test_Name", ORDER)).alias("_f"))
     kept = top_per_scope(reports, [F.asc("day"), F.asc("lab"), F.asc("_f")], keep)
     w = Window.partitionBy(*keys).orderBy("Test_Name", ORDER)
     abnormal = (
@@ -107,7 +108,7 @@ def chat_findings(records: DataFrame) -> DataFrame:
 
 
 def chat_reports(findings: DataFrame) -> DataFrame:
-    return findings.groupBy(SCOPE, "date", "lab", "day").agg(N.alias("tests"), F.min(ORDER).alias("_first"))
+    return findings.groupBy(SCOPE, "date", "lab", "day").agg(n_rows().alias("tests"), F.min(ORDER).alias("_first"))
 
 
 def last_reports(findings: DataFrame, keep: int = 12) -> DataFrame:
@@ -119,7 +120,7 @@ def persistent_concerns(findings: DataFrame, keep: int = 12) -> DataFrame:
     recent = last_reports(findings, keep).select(SCOPE, "date", "lab")
     return (
         findings.where("severity <> 'NORMAL'").join(recent, [SCOPE, "date", "lab"])
-        .groupBy(SCOPE, "canonical").agg(N.alias("abnormal_reports")).where("abnormal_reports >= 2")
+        .groupBy(SCOPE, "canonical").agg(n_rows().alias("abnormal_reports")).where("abnormal_reports >= 2")
     )
 
 
@@ -131,7 +132,7 @@ def date_range(findings: DataFrame) -> DataFrame:
     early = F.min_by("date", F.when(dated, first))
     late = F.min_by("date", F.when(dated, F.struct((-F.unix_date("day")).alias("d"), F.col("_first"))))
     out = reports.groupBy(SCOPE).agg(
-        N.alias("reports"), early.alias("s"), late.alias("e"), F.min_by("date", "_first").alias("fs"),
+        n_rows().alias("reports"), early.alias("s"), late.alias("e"), F.min_by("date", "_first").alias("fs"),
         F.max_by("date", "_first").alias("fe"), F.array_join(F.array_sort(F.collect_set("lab")), ", ").alias("labs"),
     )
     return out.select(SCOPE, "reports", "labs", F.coalesce("s", "fs").alias("start"), F.coalesce("e", "fe").alias("end"))
@@ -167,7 +168,7 @@ def file_trend(files: DataFrame, records: DataFrame) -> DataFrame:
     """Counts per listed file, zero when no record names it."""
     key = tx.file_key(F.col("Source_Filename"))
     counts = records.groupBy(key.alias("_k")).agg(
-        N.alias("t"), F.count_if(st.abnormal_dash(F.col("Status"))).alias("c"), F.count_if(st.good(F.col("Status"))).alias("g")
+        n_rows().alias("t"), F.count_if(st.abnormal_dash(F.col("Status"))).alias("c"), F.count_if(st.good(F.col("Status"))).alias("g")
     )
     zero = lambda c, n: F.coalesce(F.col(c), F.lit(0)).alias(n)
     return files.withColumn("_k", tx.file_key(F.col("file_name"))).join(counts, "_k", "left").select(

@@ -6,13 +6,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labtrail.functions.basic import na
+
 from labtrail.functions import text as tx
 from labtrail.functions import values as va
 from labtrail.functions.basic import strip
 from labtrail.schema import RECORD_FIELDS, pad_columns
 
 KEYS = ["Test_Category", "Test_Name"]
-NA = F.lit("N/A")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -88,8 +89,8 @@ def unpivot_history(
         (F.coalesce(F.date_format(day, "dd-MM-yyyy"), date) if reformat_dates else date).alias("Test_Date"),
         F.coalesce(F.get(parts, F.lit(1)), F.lit(default_lab)).alias("Lab_Name"),
         strip(F.coalesce("Test_Category", F.lit("General"))).alias("Test_Category"),
-        name.alias("Original_Test_Name"), name.alias("Test_Name"), "Result", NA.alias("Unit"),
-        F.when(F.lower("_ref").isin("", "nan"), NA).otherwise(F.coalesce("_ref", NA)).alias("Reference_Range"), NA.alias("Status"),
+        name.alias("Original_Test_Name"), name.alias("Test_Name"), "Result", na().alias("Unit"),
+        F.when(F.lower("_ref").isin("", "nan"), na()).otherwise(F.coalesce("_ref", na())).alias("Reference_Range"), na().alias("Status"),
         va.strict_numeric(F.col("Result")).alias("Result_Numeric"), day.alias("Test_Date_dt"),
     )
 

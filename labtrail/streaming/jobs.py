@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from labtrail.functions.basic import n_rows
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,7 +15,6 @@ from labtrail.functions import status as st
 from labtrail.operators.quality import daily_metrics
 from labtrail.operators.resolve import resolve_records
 
-N = F.count(F.lit(1))
 
 
 # --- progress of ingest batches ---------------------------------------------
@@ -47,7 +48,7 @@ def metric_windows(metrics: DataFrame, width: str = "1 day", slide: str | None =
     are dropped so that closed windows leave the state."""
     win = F.window("created_at", width, slide) if slide else F.window("created_at", width)
     out = metrics.withWatermark("created_at", late).groupBy("metric_name", win.alias("w")).agg(
-        N.alias("events"), F.avg("value").alias("value")
+        n_rows().alias("events"), F.avg("value").alias("value")
     )
     return out.select(
         "metric_name", F.col("w.start").alias("start"), "events", "value",
