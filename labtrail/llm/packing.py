@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +40,8 @@ PIECES = (
     "cost double"
 )
 
-#: Letters, digits and others of the Latin-1 block, as the vocabulary's own splitting sees them once lower-cased.
-_PIECE = re.compile(r"[a-zªµºß-öø-ÿ]+|[0-9]|[^\sa-zªµºß-öø-ÿ0-9]+").findall
-_EASY = re.compile(r"[a-zªµºß-öø-ÿ0-9.,;:!?*&()+@/%#=_-]+").fullmatch
+#: The vocabulary's own splitting, for lower-cased texts of the Latin-1 block.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+").findall
 #: Such texts go to the tokenizer whole: separators that only Python counts as space, and what may be a special token.
 _WHOLE = re.compile("[\x1c-\x1f]|<[|]").search
 
@@ -52,14 +52,21 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _latin_1(text: str) -> bool:
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 class WordIds:
     """Token ids of whole texts by a vocabulary that drops white space and marks word ends.
 
-    Such a vocabulary never joins characters across white space, so a text's
-    ids are those of its words, one after another.  Each spelling is encoded by
-    the tokenizer once and remembered.  Texts beyond Latin-1 are split at
-    spaces and line breaks but not folded, since folding and composing
-    characters may interact there.
+    Such a vocabulary never joins characters across white space, nor across the
+    borders of its own splitting, so a text's ids are those of its pieces, one
+    after another.  Each spelling is encoded by the tokenizer once and
+    remembered.  Texts beyond Latin-1 are cut at spaces and line breaks only,
+    since folding and composing characters may interact there.
     """
 
     def __init__(self, path: str):
@@ -71,53 +78,41 @@ class WordIds:
         ends = [i for word, i in self.tokenizer.get_vocab().items() if word.endswith("</w>")]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[ends] = True
-        self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        easy = [w for w in words if _EASY(w)]
-        parts = [_PIECE(w) for w in easy]
-        new = list({p for ps in parts for p in ps if p not in self.pieces})
-        if new:
-            # one call for all: a piece ends where an id of a word end stands
-            ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(new):
-                raise ValueError("the vocabulary doesn't mark word ends")
-            raw, at = ids.tobytes(), 0
-            for piece, cut in zip(new, (4 * cuts).tolist()):
-                self.pieces[piece] = raw[at:cut]
-                at = cut
-        pieces = self.pieces
-        for word, ps in zip(easy, parts):
-            self.words[word] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
-        odd = [w for w in words if w not in self.words]
-        for word, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False)):
+    def _learn_pieces(self, new: list[str]) -> None:
+        # one call for all: a piece ends where an id of a word end stands
+        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(new):
+            raise ValueError("the vocabulary doesn't mark word ends")
+        raw, at = ids.tobytes(), 0
+        for piece, cut in zip(new, (4 * cuts).tolist()):
+            self.pieces[piece] = raw[at:cut]
+            at = cut
+
+    def _learn_words(self, new: list[str]) -> None:
+        for word, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
             self.words[word] = np.array(e.ids, "<u4").tobytes()
 
+    def _joined(self, split: list[list[str]], known: dict[str, bytes], learn) -> Iterator[bytes]:
+        met = set(chain.from_iterable(split))
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = sorted(met - known.keys())
+        if new:
+            learn(new)
+        return (b"".join(map(known.__getitem__, words)) for words in split)
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = []
-        for text in texts:
-            if _WHOLE(text):
-                split.append(None)
-            elif text.isascii() or max(text) < "Ā":
-                split.append(text.lower().split())
-            else:
-                split.append(text.replace("\n", " ").split(" "))
-        new = {w for words in split if words for w in words if w not in self.words}
-        if new:
-            kept = {w for words in split if words for w in words} if len(self.words) > REMEMBERED else new
-            self._learn(list(kept))
-        known = self.words
+        kinds = [2 if _WHOLE(t) else not _latin_1(t) for t in texts]
+        plain = self._joined([_PIECES(t.lower()) for t, k in zip(texts, kinds) if k == 0], self.pieces, self._learn_pieces)
+        other = self._joined([t.replace("\n", " ").split(" ") for t, k in zip(texts, kinds) if k == 1], self.words, self._learn_words)
         return [
-            b"".join([known[w] for w in words]) if words is not None
-            else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            for text, words in zip(texts, split)
+            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if k == 2 else next(other if k else plain)
+            for t, k in zip(texts, kinds)
         ]
 
 
