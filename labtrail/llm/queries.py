@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labtrail.llm import chat, language, line_dedup, packing, personal_data, token_counts
+from labtrail.llm import chat, language, line_dedup, mixing, packing, personal_data, token_counts
 from labtrail.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,35 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data.find(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")
+
+
+#: Target weights of the mixture; sources not named have 1.
+TARGET_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 0.5}
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), TARGET_WEIGHTS)
+
+
+ORACLES["op10_mixing"] = """
+WITH RECURSIVE counted AS (
+  SELECT source, count(*) AS n, CASE source WHEN 'src0' THEN 4.0::DOUBLE WHEN 'src1' THEN 2.0::DOUBLE WHEN 'src2' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS weight
+  FROM documents GROUP BY source
+), rates AS (
+  SELECT source, weight * (SELECT sum(n) FROM counted)::DOUBLE / ((SELECT sum(weight) FROM counted) * n) AS mean FROM counted
+), poisson AS (
+  SELECT source, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS c FROM rates
+  UNION ALL
+  SELECT source, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM poisson WHERE k < ceil(mean + 12 * sqrt(mean) + 40)
+), drawn AS (
+  SELECT *, ('0x' || substr(md5('1|' || coalesce(doc_id::VARCHAR, 'null') || '|1'), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS u FROM documents
+), counts AS (
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, (SELECT count(*) FROM poisson p WHERE p.source IS NOT DISTINCT FROM d.source AND p.c <= d.u) AS copies FROM drawn d
+), copied AS (
+  SELECT *, unnest(range(1, copies + 1)) AS copy FROM counts WHERE copies > 0
+)
+SELECT doc_id, text, lang, source, n_chars, copy, copies,
+  substr(md5('1 order|' || coalesce(doc_id::VARCHAR, 'null') || '|' || copy::VARCHAR), 1, 16) AS shuffle_key
+FROM copied
+"""
