@@ -1,14 +1,17 @@
 """Removal of repeated passages of lines, by content-defined chunks.  DataFrame functions only.
 
 A text is a list of lines, each with a 64-bit hash.  A rolling hash over the
-hashes of ``window`` lines ends a chunk wherever it is 0 modulo
-``average_lines``; since a border depends on the lines beside it alone, a
-passage is cut the same way wherever it stands.  A line of more than
-``long_line`` words is a chunk of its own.  Chunks of at least two lines that
-aren't blank, and long lines, are compared over all documents, byte by byte:
-they are grouped by their hashes *and* their text, and only a chunk whose text
-occurs more than once is removed, everywhere but at its first place (by
-doc_id, then place in the document).
+hashes of ``window`` lines marks lines that are 0 modulo ``average_lines``; a
+chunk ends with such a line if the one before it isn't marked as well.  A border
+so depends on the lines beside it alone, and a passage is cut the same way
+wherever it stands.  A line of more than ``long_line`` words is a chunk of its
+own.  Chunks of at least two lines that aren't blank, and long lines, are
+compared over all documents, byte by byte: they are grouped by their hashes
+*and* their text, and only what occurs more than once is removed, everywhere but
+at its first place (by doc_id, then place in the document).  A single line that
+is left between others is compared, and removed, together with the chunk before
+it (at the beginning of a text: after it), so that a copied document leaves no
+crumbs.
 
 Shuffles: the distinct chunk texts of each task once, for the comparison;
 hashes of chunks, to find the places of repeated ones; and the texts once, to
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 
 from labtrail.llm.common import free_name, materialize
 
+#: One line in so many is marked; chunks have about twice as many lines less one.
 AVERAGE_LINES = 3
 WINDOW = 2
 LONG_LINE = 50
@@ -36,14 +40,26 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def chunks_of(text: Column, average_lines: int = AVERAGE_LINES, window: int = WINDOW, long_line: int = LONG_LINE) -> Column:
-    """The chunks of a text in order, joined by line breaks the text again: array of (text, compared)."""
+    """The chunks of a text in order, joined by line breaks the text again: array of (text, unit).
+
+    ``unit`` is what is compared for the chunk, null if it is never removed.
+    """
 
     def cut(lines: Column, hashes: Column, long: Column) -> Column:
-        def ends(i: Column) -> Column:
+        def marked(i: Column) -> Column:
             rolled = F.xxhash64(F.slice(hashes, F.greatest(i - window + 2, F.lit(1)), F.least(i + 1, F.lit(window))))
-            return (F.pmod(rolled, F.lit(average_lines)) == 0) | F.get(long, i) | F.coalesce(F.get(long, i + 1), F.lit(True))
+            return F.pmod(rolled, F.lit(average_lines)) == 0
+
+        def ends(marks: Column) -> Callable[[Column], Column]:
+            # neither the first line nor the last is cut off alone
+            return lambda i: (
+                (F.get(marks, i) & ~F.coalesce(F.get(marks, i - 1), F.lit(True)) & (i < F.size(lines) - 2))
+                | F.get(long, i) | F.coalesce(F.get(long, i + 1), F.lit(True))
+            )
 
-        return let(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), ends), lambda last: F.transform(last, lambda e, k: chunk(lines, long, last, e, k)))
+        numbers = lambda: F.sequence(F.lit(0), F.size(lines) - 1)
+        last = let(F.transform(numbers(), marked), lambda marks: F.filter(numbers(), ends(marks)))
+        return let(last, lambda last: let(F.transform(last, lambda e, k: chunk(lines, long, last, e, k)), lambda own: F.transform(own, lambda c, k: with_unit(own, c, k))))
 
     def chunk(lines: Column, long: Column, last: Column, e: Column, k: Column) -> Column:
         begin = F.coalesce(F.get(last, k - 1), F.lit(-1)) + 1
@@ -51,10 +67,18 @@ def chunks_of(text: Column, average_lines: int = AVERAGE_LINES, window: int = WI
             F.slice(lines, begin + 1, e - begin + 1),
             lambda own: F.struct(
                 F.array_join(own, "\n").alias("text"),
-                (F.get(long, e) | ((e > begin) & (F.size(F.filter(own, lambda x: F.trim(x) != "")) > 1))).alias("compared"),
+                F.get(long, e).alias("long"),
+                F.size(F.filter(own, lambda x: F.trim(x) != "")).alias("written"),
             ),
         )
 
+    def with_unit(own: Column, c: Column, k: Column) -> Column:
+        before, after = F.get(own, k - 1), F.get(own, k + 1)
+        beside = F.when(k > 0, F.when(before.written > 0, F.concat(before.text, F.lit("\n"), c.text))).otherwise(
+            F.when(after.written > 0, F.concat(c.text, F.lit("\n"), after.text))
+        )
+        return F.struct(c.text.alias("text"), F.when(c.long | (c.written > 1), c.text).when(c.written == 1, beside).alias("unit"))
+
     # a word more than long_line needs as many spaces: most lines are told by their length
     words = lambda x: (F.length(x) > 2 * long_line) & (F.size(F.split(F.trim(x), r"\s+")) > long_line)
     return let(
@@ -82,9 +106,9 @@ def dedup_lines(
     key, content, cut, places = (free_name(docs, x) for x in ("doc_key", "text_hash", "chunks", "places"))
     pieces = chunks_of(F.col("text"), average_lines, window, long_line)
     seen = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias(key), F.xxhash64("text").alias(content), pieces.alias(cut))
-    each = seen.select(key, content, F.posexplode(cut).alias("place", "chunk")).where("chunk.compared")
+    each = seen.select(key, content, F.posexplode(cut).alias("place", "chunk")).where("chunk.unit IS NOT NULL")
     each = each.select(
-        key, content, "place", F.xxhash64("chunk.text").alias("h1"), F.xxhash64(F.lit("second"), "chunk.text").alias("h2"), F.col("chunk.text").alias("body")
+        key, content, "place", F.xxhash64("chunk.unit").alias("h1"), F.xxhash64(F.lit("second"), "chunk.unit").alias("h2"), F.col("chunk.unit").alias("body")
     )
     at = F.struct(key, content, "place")
     # byte comparison: texts are grouped as they are; hashes only name them afterwards

@@ -21,7 +21,7 @@ up, whose cost grows with the number of points alone.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -75,16 +75,22 @@ def shingle_hashes(text: str | None, size: int) -> Iterator[np.ndarray]:
         yield np.array([xxh64_intdigest(b" ".join(carried), SEED)], np.uint64)
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """The fingerprint as a signed 64-bit number; 0 without words."""
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half of all hashes, as a signed 64-bit number."""
     ones, n = np.zeros(64, np.int64), 0
-    for hashes in shingle_hashes(text, size):
-        for part in np.array_split(hashes, -(-len(hashes) // 8192)):
+    for some in hashes:
+        for at in range(0, len(some), 8192):
+            part = some[at : at + 8192]
             ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        n += len(hashes)
+        n += len(some)
     return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    """The fingerprint as a signed 64-bit number; 0 without words."""
+    return majority(shingle_hashes(text, size))
+
+
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint) of every row."""
     out = arrow_schema("doc_id long, fingerprint long")
