@@ -44,8 +44,10 @@ def test_stages_follow_each_other(spark):
     for name, stage in C.STAGES:
         docs = C.materialize(stage(spark, docs, ""), "test-stage")
         if name == "near dedup":
-            kept = {r.doc_id for r in docs.collect()}
-    assert not {300, 301, 302, 303} & kept and len(kept) == 240
+            texts = {r.doc_id: r.text for r in docs.collect()}
+    kept = set(texts)
+    # of the near copy only the passage with the changed word is left, as the rest stands elsewhere
+    assert not {300, 301, 302} & kept and len(kept) == 241 and len(texts[303]) < len(texts[7])
     pieces = docs.collect()
     assert {r.doc_id for r in pieces} <= kept and all(len(r.token_ids) == 4 * r.length for r in pieces)
 
