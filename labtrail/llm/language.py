@@ -35,6 +35,8 @@ SIZES = (2, 3, 4)
 SAMPLE_ROWS = 4000
 #: Right answers of the rows held back that the threshold may reject.
 MAY_REJECT = 0.001
+#: And the highest score that it may reject.
+HIGHEST_THRESHOLD = 0.4
 #: Characters looked at in one step of a long text.
 STEP = 1 << 20
 
@@ -156,7 +158,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 12, rate:
         model.temperature = float(min(np.geomspace(0.02, 20, 61), key=loss))
         p = softmax(z / model.temperature)
         right = p.max(1)[p.argmax(1) == y]
-        model.threshold = float(min(0.5, np.quantile(right, MAY_REJECT))) if len(right) else 0.5
+        model.threshold = float(min(HIGHEST_THRESHOLD, np.quantile(right, MAY_REJECT))) if len(right) else HIGHEST_THRESHOLD
     return model
 
 
@@ -194,7 +196,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     sample = drawn.select("y", "u", "t").mapInArrow(features, "y string, u double, b binary, c binary")
     first = F.row_number().over(Window.partitionBy("y").orderBy("u", "b"))
     sample = sample.withColumn("r", first).where(F.col("r") <= quota).orderBy("u", "y", "b").select("y", "b", "c")
-    return fit([(r.y, np.frombuffer(r.b, "<u2").astype(np.int64), np.frombuffer(r.c, "<u4").astype(np.float64)) for r in sample.collect()])
+    return fit([(r.y, np.frombuffer(r.b, "<u2"), np.frombuffer(r.c, "<u4")) for r in sample.collect()])
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
