@@ -140,6 +140,8 @@ def register() -> None:
 
     # organized tables
     query("e20_organized_cells", "SELECT * FROM cells", "cells")(lambda s, f: ins.organized_cells(lab_records(s, f)))
+    query("s03_column_order", "SELECT scope_id, date_lab, CAST(row_number() OVER (PARTITION BY scope_id ORDER BY o) AS INTEGER) AS place FROM (SELECT DISTINCT scope_id, date_lab, o FROM cells_dated)", "cells_dated")(
+        lambda s, f: ins.column_ranks(ins.organized_cells(lab_records(s, f))))
     query("e20_organized_pivot", wide_sql("ycells", '"Result"'), "ycells")(
         lambda s, f: ins.organized_table(ins.organized_cells(yearly(s, f)), YEAR_LABS))
     query("e21_range_pivot", wide_sql("ycells_ref", '"Reference_Range"'), "ycells_ref")(

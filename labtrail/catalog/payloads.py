@@ -15,6 +15,7 @@ from labtrail.functions import status as st
 from labtrail.sources import history as his
 from labtrail.sources import payloads as pay
 from labtrail.sources import sinks
+from labtrail.schema import RECORD_TEXT_FIELDS
 from labtrail.session import scratch_path
 
 
@@ -125,15 +126,19 @@ def register() -> None:
 
     def documents(s, f):
         r = lab_records(s, f)
-        rec = F.to_json(F.struct("Test_Name", "Test_Date", "Result", "Unit", "Status"))
+        rec = F.to_json(F.struct(
+            *RECORD_TEXT_FIELDS, F.array("Original_Test_Name", "Lab_Name").alias("Aliases"), F.lit("2024-05-06").alias("Processed_Date"),
+            F.col("report_id").cast("double").alias("Result_Numeric"), F.col("study_id").alias("Test_Date_dt")))
         doc = F.when(F.col("report_id") % 5 == 0, F.lit('{"records": []}')).otherwise(F.concat(F.lit('{"records": ['), rec, F.lit(","), rec, F.lit("]}")))
         return r.select("row_ord", doc.alias("analysis_data"))
 
-    query("a09_document_scan", """SELECT row_ord, CAST(NULL AS INTEGER) AS pos, NULL AS "Test_Name", NULL AS "Result" FROM lab_records WHERE report_id % 5 = 0 UNION ALL
-      SELECT row_ord, CAST(p AS INTEGER), "Test_Name", "Result" FROM lab_records, (VALUES (0), (1)) v(p) WHERE report_id % 5 > 0""", L)(
-        lambda s, f: pay.document_records(documents(s, f)).select("row_ord", "pos", "Test_Name", "Result"))
+    fields = ", ".join(f'"{c}"' for c in RECORD_TEXT_FIELDS)
+    query("a09_document_scan", f"""SELECT row_ord, CAST(NULL AS INTEGER) AS pos, {", ".join(f'NULL AS "{c}"' for c in RECORD_TEXT_FIELDS)}, NULL AS "Aliases", NULL AS "Processed_Date", CAST(NULL AS DOUBLE) AS "Result_Numeric", NULL AS "Test_Date_dt"
+      FROM lab_records WHERE report_id % 5 = 0 UNION ALL
+      SELECT row_ord, CAST(p AS INTEGER), {fields}, "Original_Test_Name" || '|' || "Lab_Name", '2024-05-06', CAST(report_id AS DOUBLE), study_id FROM lab_records, (VALUES (0), (1)) v(p) WHERE report_id % 5 > 0""", L)(
+        lambda s, f: pay.document_records(documents(s, f)).withColumn("Aliases", F.when(F.col("Aliases").isNotNull(), F.array_join("Aliases", "|"))))
     query("a10_history_scan", "SELECT row_ord FROM checked WHERE k <> 3", "checked")(lambda s, f: pay.history_snapshots(report_payloads(s, f), "payload").select("row_ord"))
-    SQL.add("texts", "SELECT doc_id, left(text, 2000) AS preview, md5(left(text, 120000)) AS content_key FROM documents")
+    SQL.add("texts", "SELECT doc_id, left(text, 2000) AS preview, md5(text) AS content_key FROM documents")
     query("a11_report_texts", "SELECT * FROM texts", "texts")(lambda s, f: pay.text_table(table(s, f, "documents")).select("doc_id", "preview", "content_key"))
     query("a11_first_by_content_key", "SELECT content_key, min(doc_id) AS doc_id, count(*) AS copies FROM texts GROUP BY 1", "texts")(
         lambda s, f: pay.first_by_key(pay.text_table(table(s, f, "documents")), "doc_id"))

@@ -57,9 +57,9 @@ def texts(s, f):
     return t.select(F.col("doc_id").alias("report_id"), F.concat("text", tail).alias("text"))
 
 
-SQL.add("unsupported", f"""SELECT f.report_id, f.row_ord, f.value FROM (SELECT report_id, row_ord, {d.leading_numeric('"Result"')} AS value FROM lab_records) f
-  JOIN (SELECT doc_id, text || ' value ' || (doc_id % 50) || '.' || (doc_id % 10) || ' end' AS t FROM documents) d ON d.doc_id = f.report_id WHERE value IS NOT NULL
-  AND NOT contains(t, regexp_replace(CAST(value AS VARCHAR), '\\.0$', '')) AND NOT contains(t, printf('%.1f', value)) AND NOT contains(t, printf('%.2f', value))""", "lab_records")
+SQL.add("unsupported", f"""SELECT f.report_id, f.row_ord, f.value, CASE WHEN t IS NULL THEN 'no text' ELSE 'not in text' END AS reason FROM (SELECT report_id, row_ord, {d.leading_numeric('"Result"')} AS value FROM lab_records) f
+  LEFT JOIN (SELECT doc_id, text || ' value ' || (doc_id % 50) || '.' || (doc_id % 10) || ' end' AS t FROM documents) d ON d.doc_id = f.report_id WHERE value IS NOT NULL
+  AND (t IS NULL OR NOT contains(t, regexp_replace(CAST(value AS VARCHAR), '\\.0$', '')) AND NOT contains(t, printf('%.1f', value)) AND NOT contains(t, printf('%.2f', value)))""", "lab_records")
 
 
 def questions(s, f):
@@ -103,8 +103,8 @@ def register() -> None:
     query("j12_extracted_truth_match", "SELECT report_id, true_positives FROM f1", "f1")(
         lambda s, f: qu.extraction_f1(extracted(s, f), truth(s, f)).select("report_id", "true_positives"))
     query("e32_extraction_f1", "SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM f1", "f1")(lambda s, f: qu.extraction_f1(extracted(s, f), truth(s, f)))
-    query("j14_value_in_text", "SELECT report_id, row_ord, value FROM unsupported", "unsupported")(lambda s, f: qu.unsupported_values(findings(s, f), texts(s, f)).select("report_id", "row_ord", "value"))
-    query("e33_unsupported_values", "SELECT report_id, count(*) AS unsupported FROM unsupported GROUP BY 1", "unsupported")(lambda s, f: qu.unsupported_counts(findings(s, f), texts(s, f)))
+    query("j14_value_in_text", "SELECT report_id, row_ord, value, reason FROM unsupported", "unsupported")(lambda s, f: qu.unsupported_values(findings(s, f), texts(s, f)).select("report_id", "row_ord", "value", "reason"))
+    query("e33_unsupported_values", "SELECT report_id, count(*) FILTER (WHERE reason = 'not in text') AS unsupported, count(*) FILTER (WHERE reason = 'no text') AS no_text FROM unsupported GROUP BY 1", "unsupported")(lambda s, f: qu.unsupported_counts(findings(s, f), texts(s, f)))
     query("e34_context_retention", "SELECT conv_id, count(*) FILTER (WHERE contains(lower(text), 'la') OR contains(lower(text), 'zzz')) AS retained, count(*) AS turns, count(*) FILTER (WHERE contains(lower(text), 'la') OR contains(lower(text), 'zzz')) / count(*) * 100 AS score FROM conversations WHERE role = 'assistant' GROUP BY 1")(
         lambda s, f: qu.context_retention(retained(s, f)))
     r6 = lambda df, *cs: df.select(*[F.round(c, 6).alias(c) if c in cs else F.col(c) for c in df.columns])

@@ -6,7 +6,7 @@ stay in long form (one row per finding) instead of arrays.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labtrail.functions.basic import n_rows
@@ -276,18 +276,13 @@ def organized_cells(records: DataFrame, scope: list[str] | None = None, value: s
     return kept.groupBy(*keys).agg(F.min_by(value, ORDER).alias(value))
 
 
-MAX_PIVOT_COLUMNS = 2000
-
-
-def pivot_columns(cells: DataFrame, column: str = "date_lab") -> list[str]:
-    """Column list in date order (unknown dates first), refused when too wide:
-    beyond the limit the long form is the result to use."""
-    found = cells.select(column).distinct().limit(MAX_PIVOT_COLUMNS + 1)
-    day = va.parse_date_day_first(F.element_at(F.split(F.col(column), "_"), 1))
-    ordered = [r[0] for r in found.orderBy(day.asc_nulls_first(), column).collect()]
-    if len(ordered) > MAX_PIVOT_COLUMNS:
-        raise ValueError(f"more than {MAX_PIVOT_COLUMNS} {column} values: use the long form")
-    return ordered
+def column_ranks(cells: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """Place of every date-lab among the columns of its scope: by date, unknown
+    dates first, then by name.  With it the long form has any width."""
+    scope = scope or [SCOPE]
+    day = va.parse_date_day_first(F.element_at(F.split("date_lab", "_"), 1))
+    w = Window.partitionBy(*scope).orderBy(day.asc_nulls_first(), "date_lab")
+    return cells.select(*scope, "date_lab").distinct().withColumn("place", F.row_number().over(w))
 
 
 def organized_table(cells: DataFrame, columns: list[str], scope: list[str] | None = None, value: str = "Result") -> DataFrame:

@@ -112,16 +112,19 @@ def numeric_runs(text: Column) -> Column:
 
 def unsupported_values(findings: DataFrame, texts: DataFrame) -> DataFrame:
     """Findings whose value (as printed, with one or two decimals) is absent
-    from the text of their report."""
+    from the text of their report; ``reason`` tells those of reports that have
+    no text at all."""
     runs = texts.select("report_id", numeric_runs(F.col("text")).alias("_runs"))
-    j = findings.where(F.col("value").isNotNull()).join(runs, "report_id")
+    j = findings.where(F.col("value").isNotNull()).join(runs, "report_id", "left")
     forms = [F.col("shown"), F.format_string("%.1f", "value"), F.format_string("%.2f", "value")]
     seen = F.contains(F.col("_runs"), forms[0]) | F.contains(F.col("_runs"), forms[1]) | F.contains(F.col("_runs"), forms[2])
-    return j.where(~seen).drop("_runs")
+    reason = F.when(F.col("_runs").isNull(), "no text").otherwise("not in text")
+    return j.where(F.col("_runs").isNull() | ~seen).withColumn("reason", reason).drop("_runs")
 
 
 def unsupported_counts(findings: DataFrame, texts: DataFrame) -> DataFrame:
-    return unsupported_values(findings, texts).groupBy("report_id").agg(n_rows().alias("unsupported"))
+    without = F.col("reason") == "no text"
+    return unsupported_values(findings, texts).groupBy("report_id").agg(F.count_if(~without).alias("unsupported"), F.count_if(without).alias("no_text"))
 
 
 # --- chat -------------------------------------------------------------------

@@ -29,6 +29,12 @@ RECORD = T.StructType(
     + [T.StructField("Aliases", T.ArrayType(T.StringType()))]
 )
 
+#: A record as stored reports hold it.
+STORED_RECORD = T.StructType(
+    RECORD.fields
+    + [T.StructField("Processed_Date", T.StringType()), T.StructField("Result_Numeric", T.DoubleType()), T.StructField("Test_Date_dt", T.StringType())]
+)
+
 
 def pad_columns(df: DataFrame, columns: list[str], default: str | None = None) -> DataFrame:
     """Add missing columns with a default and put the listed ones first."""

@@ -12,7 +12,7 @@ from labtrail.functions import status as st
 from labtrail.functions import values as va
 from labtrail.functions.basic import blank_to_null, let
 from labtrail.operators.dictionary import with_all_derived
-from labtrail.schema import EXTRACTED_TEST, PATIENT_FIELDS, PATIENT_INFO
+from labtrail.schema import EXTRACTED_TEST, PATIENT_FIELDS, PATIENT_INFO, STORED_RECORD
 
 _TEXTS = "array<string>"
 
@@ -126,8 +126,7 @@ def override_statuses(fallback: Column, classifications: Column) -> Column:
 # --- stored documents -------------------------------------------------------
 def document_records(reports: DataFrame, column: str = "analysis_data") -> DataFrame:
     """Records inside stored report documents with their position."""
-    rec = "records array<struct<Test_Name:string,Test_Date:string,Result:string,Unit:string,Status:string,Reference_Range:string,Test_Category:string>>"
-    parsed = reports.withColumn("_d", F.from_json(column, rec))
+    parsed = reports.withColumn("_d", F.from_json(column, f"records array<{STORED_RECORD.simpleString()}>"))
     return parsed.select(*[c for c in reports.columns if c != column], F.posexplode_outer("_d.records").alias("pos", "r")).select(
         *[c for c in reports.columns if c != column], "pos", "r.*"
     )
@@ -144,11 +143,15 @@ def alerts_in_document(c: Column) -> Column:
     return F.when(found.isNull(), 0).otherwise(F.size(found))
 
 
-def text_table(texts: DataFrame, column: str = "text") -> DataFrame:
-    """Preview and content key of report texts.  The key covers the first
-    120 000 characters, the bound at which two texts count as the same."""
-    body = F.substring(column, 1, 120_000)
-    return texts.withColumn("preview", F.substring(column, 1, 2000)).withColumn("content_key", F.md5(F.encode(body, "utf-8")))
+def content_key(text: Column, first: int | None = None) -> Column:
+    """Names a text: equal texts have equal keys.  Whole texts, unless the
+    caller asks for their ``first`` characters only."""
+    return F.md5(F.encode(text if first is None else F.substring(text, 1, first), "utf-8"))
+
+
+def text_table(texts: DataFrame, column: str = "text", key_chars: int | None = None) -> DataFrame:
+    """Preview and content key of report texts."""
+    return texts.withColumn("preview", F.substring(column, 1, 2000)).withColumn("content_key", content_key(F.col(column), key_chars))
 
 
 def first_by_key(texts: DataFrame, order: str) -> DataFrame:
