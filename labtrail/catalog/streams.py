@@ -15,16 +15,36 @@ from labtrail.streaming import jobs
 
 
 
-def streamed(s, sf, name):
-    """A table as a file stream."""
-    schema = table(s, sf, name).schema
-    return s.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+FILES = 4
+
+
+def streamed(s, rows, label):
+    """Rows as a stream of several micro-batches: dealt to files without order,
+    one file to a batch.  A second copy of every tenth row comes last."""
+    path = scratch_path(s, label)
+    deal = F.pmod(F.xxhash64(*rows.columns), F.lit(1000))
+    for k in range(FILES):
+        rows.where(deal % FILES == k).coalesce(1).write.mode("append").parquet(path)
+    return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def with_repeats(rows):
+    return rows.union(rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(10)) == 0))
 
 
 def progress_events(o):
+    """Each file is parsed and then done or failed; some that failed are tried
+    again, and some steps are told twice."""
     k = F.col("o_orderkey")
-    step = F.when(k % 11 == 0, "failed").when(k % 4 == 0, "parsing").otherwise("done")
-    return o.select((F.col("o_custkey") % 100).alias("batch_id"), k.cast("string").alias("file"), step.alias("step"), F.lit(2000).cast("long").alias("total"), (k % 997).cast("double").alias("at_seconds"))
+    at = (k % 997).cast("double")
+    steps = F.array(
+        F.struct(F.lit("parsing").alias("step"), at.alias("at")),
+        F.when(k % 4 > 0, F.struct(F.when(k % 11 == 0, "failed").otherwise("done").alias("step"), (at + 1).alias("at"))),
+        F.when((k % 4 > 0) & (k % 33 == 0), F.struct(F.lit("done").alias("step"), (at + 2).alias("at"))),
+    )
+    e = o.select("o_custkey", "o_orderkey", F.explode(F.array_compact(steps)).alias("e"))
+    return with_repeats(e.select(
+        (F.col("o_custkey") % 100).alias("batch_id"), F.concat_ws(" ", "o_orderkey", "o_custkey").alias("file"), "e.step", F.lit(2000).cast("long").alias("total"), F.col("e.at").alias("at_seconds")))
 
 
 def stamped(events):
@@ -33,27 +53,37 @@ def stamped(events):
 
 def register() -> None:
     def tracker(s, sf):
-        out = jobs.drain_updates(jobs.progress(progress_events(streamed(s, sf, "orders"))), scratch_path(s, "progress"), scratch_path(s, "cp"))
-        return out.groupBy("batch_id").agg(*[F.max_by(c, "_batch").alias(c) for c in ("processed", "failed", "total", "elapsed", "eta_seconds", "percent")])
+        events = streamed(s, progress_events(table(s, sf, "orders")), "progress-events")
+        out = jobs.drain_updates(jobs.latest_steps(events), scratch_path(s, "progress"), scratch_path(s, "cp"))
+        newest = out.groupBy("batch_id", "file").agg(F.max_by(F.struct("step", "total", "at_seconds"), "_batch").alias("r"))
+        return jobs.progress(newest.select("batch_id", "file", "r.*"))
 
+    SQL.add("file_steps", """SELECT DISTINCT o_custkey % 100 AS batch_id, o_orderkey || ' ' || o_custkey AS file, o_orderkey % 4 > 0 AS closed, o_orderkey % 4 > 0 AND o_orderkey % 11 = 0 AND o_orderkey % 33 > 0 AS failed,
+      CAST(o_orderkey % 997 AS DOUBLE) + CASE WHEN o_orderkey % 4 = 0 THEN 0 WHEN o_orderkey % 33 = 0 THEN 2 ELSE 1 END AS at_s FROM orders""")
     query("t01_progress_tracker", """SELECT batch_id, processed, failed, total, elapsed, CAST(CASE WHEN processed > 0 THEN floor(elapsed / processed * greatest(total - processed, 0)) ELSE 0 END AS BIGINT) AS eta_seconds,
-      CAST(floor(processed / total * 100 + 0.5) AS BIGINT) AS percent FROM (SELECT o_custkey % 100 AS batch_id, count(*) FILTER (WHERE o_orderkey % 11 = 0 OR o_orderkey % 4 <> 0) AS processed, count(*) FILTER (WHERE o_orderkey % 11 = 0) AS failed,
-      CAST(2000 AS BIGINT) AS total, CAST(max(o_orderkey % 997) AS DOUBLE) AS elapsed FROM orders GROUP BY 1)""")(tracker)
+      CAST(floor(processed / total * 100 + 0.5) AS BIGINT) AS percent FROM (SELECT batch_id, count(*) FILTER (WHERE closed) AS processed, count(*) FILTER (WHERE failed) AS failed,
+      CAST(2000 AS BIGINT) AS total, max(at_s) AS elapsed FROM file_steps GROUP BY 1)""", "file_steps")(tracker)
 
     # update mode emits every window, also those the watermark keeps open
     def rollup(s, sf):
-        m = jobs.metric_windows(stamped(streamed(s, sf, "events")))
+        # files without order are as late as the table is long
+        m = jobs.metric_windows(stamped(streamed(s, table(s, sf, "events"), "events")), late="60 days")
         out = jobs.drain_updates(m, scratch_path(s, "rollup"), scratch_path(s, "cp"))
         last = out.groupBy("metric_name", "start").agg(F.max_by(F.struct("events", "value", "grade"), "_batch").alias("r"))
         return last.select("metric_name", F.to_date("start").alias("day"), F.col("r.events").alias("events"), F.round("r.value", 6).alias("value"), F.col("r.grade").alias("grade"))
 
     daily = f"SELECT metric_name, day, events, round(value, 6) AS value, {grade_sql('metric_name', 'value')} AS grade FROM (SELECT metric_name, CAST(created_at AS DATE) AS day, count(*) AS events, avg(value) AS value FROM metrics GROUP BY 1, 2)"
     query("t02_metric_rollup", daily, "metrics")(rollup)
-    query("t02_sliding_week", "SELECT metric_name, count(*) AS windows, CAST(sum(n) AS BIGINT) AS events FROM (SELECT metric_name, CAST(created_at AS DATE) + CAST(o AS INTEGER) AS w, count(*) AS n FROM metrics, range(0, 7) r(o) GROUP BY 1, 2) GROUP BY 1", "metrics")(
-        lambda s, sf: jobs.metric_windows(stamped(table(s, sf, "events")), "7 days", "1 day").groupBy("metric_name").agg(n_rows().alias("windows"), F.sum("events").alias("events")))
+    def sliding(s, sf):
+        m = jobs.metric_windows(stamped(streamed(s, table(s, sf, "events"), "events")), "7 days", "1 day", "60 days")
+        out = jobs.drain_updates(m, scratch_path(s, "sliding"), scratch_path(s, "cp"))
+        last = out.groupBy("metric_name", "start").agg(F.max_by("events", "_batch").alias("events"))
+        return last.groupBy("metric_name").agg(n_rows().alias("windows"), F.sum("events").alias("events"))
+
+    query("t02_sliding_week", "SELECT metric_name, count(*) AS windows, CAST(sum(n) AS BIGINT) AS events FROM (SELECT metric_name, CAST(created_at AS DATE) + CAST(o AS INTEGER) AS w, count(*) AS n FROM metrics, range(0, 7) r(o) GROUP BY 1, 2) GROUP BY 1", "metrics")(sliding)
 
     def memory(s, sf):
-        out = jobs.drain_updates(jobs.session_memory(streamed(s, sf, "conversations"), 6, None), scratch_path(s, "memory"), scratch_path(s, "cp"))
+        out = jobs.drain_updates(jobs.session_memory(streamed(s, table(s, sf, "conversations"), "turns"), 6, None), scratch_path(s, "memory"), scratch_path(s, "cp"))
         newest = out.groupBy("conv_id").agg(F.max("_batch").alias("_batch"))
         return out.join(newest, ["conv_id", "_batch"]).select("conv_id", "turn", "role")
 
@@ -70,7 +100,10 @@ def register() -> None:
     query("t04_incremental_normalization", 'SELECT study_id, report_id, row_ord, "Test_Name", "Test_Category" FROM rep', "rep")(arrivals)
 
     def intake(s, sf):
-        t = streamed(s, sf, "documents").select("doc_id", "text", F.lit("2024-01-01").cast("timestamp").alias("arrived_at"))
-        return jobs.drain_to_files(jobs.first_arrivals(t).select("content_key"), scratch_path(s, "intake"), scratch_path(s, "cp"))
+        texts = with_repeats(table(s, sf, "documents").select("doc_id", "text"))
+        path = scratch_path(s, "intake")
+        q = jobs.take_in(streamed(s, texts, "arriving-texts"), path, scratch_path(s, "cp"))
+        q.awaitTermination()
+        return s.read.parquet(path).groupBy("content_key").agg(n_rows().alias("taken"))
 
-    query("t05_report_intake", "SELECT DISTINCT md5(left(text, 120000)) AS content_key FROM documents")(intake)
+    query("t05_report_intake", "SELECT DISTINCT md5(text) AS content_key, CAST(1 AS BIGINT) AS taken FROM documents")(intake)

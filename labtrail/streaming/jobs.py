@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labtrail.functions.basic import n_rows
@@ -14,19 +14,32 @@ from pyspark.sql.streaming import StreamingQuery
 from labtrail.functions import status as st
 from labtrail.operators.quality import daily_metrics
 from labtrail.operators.resolve import resolve_records
+from labtrail.sources.payloads import content_key
 
 
 
 # --- progress of ingest batches ---------------------------------------------
-def progress(events: DataFrame) -> DataFrame:
-    """Files done, failed and remaining time per batch.  The same aggregate
-    serves a table and a stream in update mode.
+STEPS = ["queued", "extracting", "parsing", "failed", "done"]
 
-    ``events``: (batch_id, file, step, total, at_seconds); ``done`` and
-    ``failed`` close a file.
+
+def latest_steps(events: DataFrame) -> DataFrame:
+    """Latest step of every file, as state keyed by file: a step that is told
+    again, or that arrives after a later one, changes nothing.
+
+    ``events``: (batch_id, file, step, total, at_seconds).  Of two steps at one
+    time the one further on counts.
     """
+    further = F.array_position(F.array(*[F.lit(x) for x in STEPS]), F.col("step"))
+    return events.groupBy("batch_id", "file").agg(
+        F.max_by("step", F.struct("at_seconds", further.alias("further"))).alias("step"), F.max("total").alias("total"), F.max("at_seconds").alias("at_seconds")
+    )
+
+
+def progress(files: DataFrame) -> DataFrame:
+    """Files done, failed and remaining time per batch, from the latest step of
+    every file; ``done`` and ``failed`` close a file."""
     closed = F.col("step").isin("done", "failed")
-    out = events.groupBy("batch_id").agg(
+    out = files.groupBy("batch_id").agg(
         F.count_if(closed).alias("processed"), F.count_if(F.col("step") == "failed").alias("failed"),
         F.max("total").alias("total"), F.max("at_seconds").alias("elapsed"),
     )
@@ -37,11 +50,6 @@ def progress(events: DataFrame) -> DataFrame:
     )
 
 
-def latest_steps(events: DataFrame) -> DataFrame:
-    """Latest step of every file."""
-    return events.groupBy("batch_id", "file").agg(F.max_by("step", "at_seconds").alias("step"))
-
-
 # --- telemetry roll-up ------------------------------------------------------
 def metric_windows(metrics: DataFrame, width: str = "1 day", slide: str | None = None, late: str = "1 day") -> DataFrame:
     """Tumbling (or sliding) windows per metric; rows later than the watermark
@@ -104,28 +112,21 @@ def normalize_arrivals(rows: DataFrame, path: str, checkpoint: str, scope: list[
 
 
 # --- exactly-once intake ----------------------------------------------------
-def first_arrivals(texts: DataFrame, late: str = "1 day", key: Column | None = None) -> DataFrame:
-    """Texts whose content key was not seen within the watermark."""
-    body = F.substring("text", 1, 120_000)
-    keyed = texts.withColumn("content_key", F.md5(F.encode(body, "utf-8")) if key is None else key)
-    return keyed.withWatermark("arrived_at", late).dropDuplicatesWithinWatermark(["content_key"])
-
-
-def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over everything available and read the result back."""
-    spark: SparkSession = stream.sparkSession
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    return spark.table(name)
+def take_in(texts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Store each text the first time its content arrives, however long ago
+    that was: a batch leaves out what is stored already.  A batch that is
+    replayed after a failure looks at the other batches only and overwrites its
+    own folder."""
+    spark = texts.sparkSession
+    keyed = texts.withColumn("content_key", content_key(F.col("text")))
+    spark.createDataFrame([], keyed.schema).write.mode("ignore").parquet(f"{path}/batch=-1")
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        stored = spark.read.schema(keyed.schema).parquet(path).where(F.col("batch") != batch_id).select("content_key")
+        new = batch.dropDuplicates(["content_key"]).join(stored, "content_key", "left_anti")
+        new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-def drain_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Append-mode run into a parquet folder, read back with its schema."""
-    q = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+    return keyed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def drain_updates(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
@@ -136,5 +137,7 @@ def drain_updates(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
 
     q = stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
     schema = T.StructType(stream.schema.fields + [T.StructField("_batch", T.IntegerType())])
     return stream.sparkSession.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
