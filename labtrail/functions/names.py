@@ -13,6 +13,7 @@ from labtrail.functions.basic import (
     capitalize,
     constant_rows,
     first_hit,
+    ladder,
     let,
     lookup,
     squeeze,
@@ -259,9 +260,9 @@ def standardize(c: Column, patterns, case: str = "title") -> Column:
     kept = {"title": title_case, "lower": F.lower}.get(case, lambda x: x)(text)
     if not patterns:
         return kept
-    rules = constant_rows("p string, v string", [(f"(?iu){p}", recase(v)) for p, v in patterns])
-    found = first_hit(rules, lambda r: F.rlike(text, r["p"]))["v"]
-    return F.coalesce(found, kept)
+    # literal patterns are compiled once; one read from an array would be for every row
+    known = let(text, lambda t: ladder([(F.rlike(t, F.lit(f"(?iu){p}")), recase(v)) for p, v in patterns], F.lit(None).cast("string")))
+    return F.coalesce(known, kept)
 
 
 def standard_test_name(c: Column) -> Column:

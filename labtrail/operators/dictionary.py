@@ -1,72 +1,35 @@
 """Compute expensive text functions once per distinct value.
 
 Millions of rows share a few thousand spellings.  The distinct spellings are
-collected with one partially aggregated pass over a single pruned column, the
-text functions run on those only, and the answers are joined back.
+collected with one partially aggregated pass over pruned columns, the text
+functions run on those only, and the answers are joined back.
 
-The join is a broadcast only when the measured size of the dictionary is below
-``BROADCAST_BYTES``; beyond it the dictionary stays partitioned and the join is
-an ordinary shuffle join, whose hot spellings AQE splits.
+The dictionary is written to the shared folder before it is joined.  Spark so
+knows its size when it plans the join: it broadcasts a dictionary below
+``spark.sql.autoBroadcastJoinThreshold``, and joins a larger one by a shuffle,
+whose hot spellings AQE splits.  Nothing stays cached.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_BYTES = 64 << 20
+from labtrail.session import materialize
 
 
-def small_enough(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Measure a (cached) table: summed text length plus a fixed cost per row."""
-    texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
-    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(0))
-    total = df.agg(F.sum(width + 16 * len(df.columns) + 64).alias("b")).first()["b"]
-    return (total or 0) <= limit
+def with_derived(df: DataFrame, source: str, answers: dict[str, Column]) -> DataFrame:
+    """Add columns computed once per distinct value of ``source``.
 
-
-def checked_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast hint behind a measurement; unhinted when too big."""
-    return F.broadcast(df) if small_enough(df, limit) else df
-
-
-def with_derived(
-    df: DataFrame,
-    source: str,
-    answers: dict[str, Column],
-    limit: int = BROADCAST_BYTES,
-) -> DataFrame:
-    """Add columns computed once per distinct value of ``source``."""
-    return with_all_derived(df, {source: answers}, limit)
-
-
-def with_all_derived(
-    df: DataFrame,
-    plan: dict[str, dict[str, Column]],
-    limit: int = BROADCAST_BYTES,
-) -> DataFrame:
-    """Add derived columns for several text columns.
-
-    ``plan`` maps a source column to its answers; each answer is an expression
-    over column ``_key`` (the source value) and over the answers before it.  A
-    column of the same name is replaced.  The distinct values of all sources
-    are collected in one pass over ``df``; a ``df`` that is expensive to
+    Each answer is an expression over column ``_key`` (the source value) and
+    over the answers before it; a column of the same name is replaced.  The
+    distinct values are one pass over ``df``: a ``df`` that is expensive to
     compute should be materialized first, since that pass computes it too.
     """
-    made = [n for answers in plan.values() for n in answers]
-    kept = [c for c in df.columns if c not in made]
-    sources = list(plan)
-    tagged = F.array(*[F.struct(F.lit(i).alias("f"), F.col(s).alias("v")) for i, s in enumerate(sources)])
-    distinct = df.select(F.explode(tagged).alias("e")).select("e.f", "e.v").distinct()
-    if len(sources) > 1:
-        distinct = distinct.persist(StorageLevel.MEMORY_AND_DISK)
-    keys = [f"_key{i}" for i in range(len(sources))]
-    out = df.select(*kept, *[F.col(s).alias(k) for s, k in zip(sources, keys)])
-    for i, (answers, key) in enumerate(zip(plan.values(), keys)):
-        part = distinct.where(F.col("f") == i).select(F.col("v").alias("_key"))
-        for name, answer in answers.items():
-            part = part.withColumn(name, answer)
-        part = part.withColumnRenamed("_key", f"_d{i}").persist(StorageLevel.MEMORY_AND_DISK)
-        out = out.join(checked_broadcast(part, limit), F.col(key).eqNullSafe(F.col(f"_d{i}")), "left")
-    return out.select(*[F.col(c) for c in kept], *[F.col(n) for n in made])
+    part = df.select(F.col(source).alias("_key")).distinct()
+    for name, answer in answers.items():
+        part = part.withColumn(name, answer)
+    found = materialize(part.withColumnRenamed("_key", "_spelling"), "dictionary")
+    kept = [c for c in df.columns if c not in answers]
+    out = df.select(*kept, F.col(source).alias("_key"))
+    return out.join(found, F.col("_key").eqNullSafe(F.col("_spelling")), "left").select(*kept, *answers)

@@ -10,7 +10,7 @@ from labtrail.functions.basic import n_rows
 from labtrail.functions import names as nm
 from labtrail.functions import status as st
 from labtrail.functions import values as va
-from labtrail.operators.dictionary import with_all_derived
+from labtrail.operators.dictionary import with_derived
 from labtrail.operators.resolve import ORDER, SCOPE
 
 KEYS = [SCOPE, "test_name"]
@@ -24,10 +24,8 @@ def finding_entries(records: DataFrame) -> DataFrame:
         SCOPE, ORDER, F.coalesce("Test_Name", "Original_Test_Name", F.lit(nm.UNKNOWN_TEST)).alias("_raw_name"),
         "Test_Category", "Result", "Unit", "Reference_Range", "Status", "Test_Date",
     )
-    named = with_all_derived(source, {
-        "_raw_name": {"test_name": nm.client_test_name(F.col("_key"))},
-        "Test_Category": {"category": nm.canonical_category(F.col("_key"))},
-    })
+    named = with_derived(source, "_raw_name", {"test_name": nm.client_test_name(F.col("_key"))})
+    named = named.withColumn("category", nm.canonical_category(F.col("Test_Category")))
     ref = va.client_range(F.col("Reference_Range"))
     status = F.col("Status")
     typed = named.select(

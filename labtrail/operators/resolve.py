@@ -15,7 +15,8 @@ from labtrail.functions import names as nm
 from labtrail.functions import values as va
 from labtrail.functions.basic import blank_to_null, strip
 from labtrail.functions.status import normalize_status
-from labtrail.operators.dictionary import with_all_derived
+from labtrail.operators.dictionary import with_derived
+from labtrail.session import materialize
 
 SCOPE = "scope_id"
 ORDER = "row_ord"
@@ -57,19 +58,16 @@ def normalize_records(df: DataFrame) -> DataFrame:
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("string"))
 
-    tidy = with_all_derived(
-        df.withColumn("_raw", raw_name(df)),
-        {"_raw": name_facts(), "Test_Category": {"_category": nm.canonical_category(F.col("_key"))}},
-    )
+    tidy = with_derived(df.withColumn("_raw", raw_name(df)), "_raw", name_facts())
     aliases = va.unique_strings(
         F.concat(_own_aliases(df), F.array(F.col("_raw"), F.col("Test_Name")))
     )
     return (
         tidy.withColumn("Aliases", aliases)
         .withColumn("Original_Test_Name", F.nullif(F.col("_raw"), F.lit("")))
-        .withColumn("Test_Category", F.col("_category"))
+        .withColumn("Test_Category", nm.canonical_category(F.col("Test_Category")))
         .withColumn("Status", normalize_status(F.col("Status")))
-        .drop("_category", "_raw")
+        .drop("_raw")
     )
 
 
@@ -184,8 +182,12 @@ def deduplicate(
 
 
 def resolve_records(df: DataFrame, scope: list[str] | None = None) -> DataFrame:
-    """Normalize, then deduplicate: the record table every report starts from."""
-    out = deduplicate(normalize_records(df), scope)
+    """Normalize, then deduplicate: the record table every report starts from.
+
+    The normalized rows are written once, since facts and readings both read
+    them; the input and its joins run once for both.
+    """
+    out = deduplicate(materialize(normalize_records(df), "normalized"), scope)
     return out.drop(*HELPERS)
 
 

@@ -11,8 +11,9 @@ from labtrail.functions import names as nm
 from labtrail.functions import status as st
 from labtrail.functions import values as va
 from labtrail.functions.basic import blank_to_null, let
-from labtrail.operators.dictionary import with_all_derived
+from labtrail.operators.dictionary import with_derived
 from labtrail.schema import EXTRACTED_TEST, PATIENT_FIELDS, PATIENT_INFO, STORED_RECORD
+from labtrail.session import materialize
 
 _TEXTS = "array<string>"
 
@@ -22,6 +23,13 @@ def json_fields(c: Column) -> Column:
     return F.from_json(c, "map<string,string>")
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once a row, however often later columns use
+    them: Spark merges no projection across the one-element explode."""
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select("*", made.alias("_once")).select(*df.columns, *[F.col(f"_once.{n}").alias(n) for n in columns])
+
+
 def _clean(c: Column, default: str) -> Column:
     return F.coalesce(blank_to_null(c), F.lit(default))
 
@@ -49,20 +57,22 @@ def clean_test(t: Column) -> Column:
 def validate_payloads(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Checked payload columns: ``is_valid``, ``patient_info``, ``test_results``,
     ``summary``, ``issues``.  Nothing leaves the row it came from."""
-    staged = df.withColumn("_top", json_fields(F.col(payload)))
-    top = F.col("_top")
-    info, tests = F.try_element_at(top, F.lit("patient_info")), F.try_element_at(top, F.lit("test_results"))
-    summary = F.try_element_at(top, F.lit("abnormal_findings_summary_from_report"))
-    staged = staged.withColumn("_info", F.when(F.startswith(info, F.lit("{")), F.from_json(info, PATIENT_INFO))).withColumn(
-        "_items", F.when(F.startswith(tests, F.lit("[")), F.from_json(tests, _TEXTS))
-    ).withColumn(
-        "_notes",
-        F.when(F.startswith(summary, F.lit("[")), F.from_json(summary, _TEXTS)).when(~F.startswith(summary, F.lit("{")), F.array(summary)),
+    def field(name: str) -> Column:
+        return F.try_element_at(F.col("_top"), F.lit(name))
+
+    top = once(df, _top=json_fields(F.col(payload)))
+    texts = once(top, _i=field("patient_info"), _t=field("test_results"), _s=field("abnormal_findings_summary_from_report"))
+    info, tests, summary = F.col("_i"), F.col("_t"), F.col("_s")
+    parts = once(
+        texts,
+        _info=F.when(F.startswith(info, F.lit("{")), F.from_json(info, PATIENT_INFO)),
+        _items=F.when(F.startswith(tests, F.lit("[")), F.from_json(tests, _TEXTS)),
+        _notes=F.when(F.startswith(summary, F.lit("[")), F.from_json(summary, _TEXTS)).when(~F.startswith(summary, F.lit("{")), F.array(summary)),
     )
     parsed = F.transform(
         "_items", lambda x: let(F.when(F.startswith(x, F.lit("{")), F.from_json(x, EXTRACTED_TEST)), clean_test)
     )
-    staged = staged.withColumn("test_results", F.coalesce(F.array_compact(parsed), F.array().cast(f"array<{EXTRACTED_TEST.simpleString()}>")))
+    staged = once(parts, test_results=F.coalesce(F.array_compact(parsed), F.array().cast(f"array<{EXTRACTED_TEST.simpleString()}>")))
     bad = F.coalesce(F.size("_items") - F.size("test_results"), F.lit(0))
     is_object = F.col("_top").isNotNull()
     has_info = F.col("_info").isNotNull()
@@ -73,13 +83,13 @@ def validate_payloads(df: DataFrame, payload: str = "payload") -> DataFrame:
         F.when(F.size("test_results") == 0, "no usable entry"),
     ))
     notes = F.filter(F.transform("_notes", lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
-    staged = staged.withColumn("issues", F.when(is_object, issues).otherwise(F.array(F.lit("not a JSON object"))))
-    staged = staged.withColumn("is_valid", is_object & has_info & has_tests & (F.size("test_results") > 0))
-    return (
-        staged.withColumn("patient_info", clean_patient(F.coalesce("_info", F.from_json(F.lit("{}"), PATIENT_INFO))))
-        .withColumn("summary", F.coalesce(notes, F.array().cast(_TEXTS)))
-        .drop("_top", "_info", "_items", "_notes")
-    )
+    nobody = F.struct(*[F.lit(None).cast("string").alias(f) for f in PATIENT_FIELDS])
+    return staged.withColumns({
+        "issues": F.when(is_object, issues).otherwise(F.array(F.lit("not a JSON object"))),
+        "is_valid": is_object & has_info & has_tests & (F.size("test_results") > 0),
+        "patient_info": let(F.coalesce("_info", nobody), clean_patient),
+        "summary": F.coalesce(notes, F.array().cast(_TEXTS)),
+    }).drop("_top", "_i", "_t", "_s", "_info", "_items", "_notes")
 
 
 def record_rows(valid: DataFrame, file_name: Column, carry: list[str]) -> DataFrame:
@@ -92,12 +102,11 @@ def record_rows(valid: DataFrame, file_name: Column, carry: list[str]) -> DataFr
         F.col("t.reference_range").alias("Reference_Range"), F.col("t.unit").alias("_unit"),
         F.col("t.status").alias("_status"), F.col("t.category").alias("_category"),
     )
-    key = F.col("_key")
-    out = with_all_derived(flat, {
-        "Original_Test_Name": {"_std": nm.standard_test_name(key), "Test_Name": nm.normalize_test_name(F.col("_std"))},
-        "_unit": {"Unit": nm.standard_unit(key)},
-        "_status": {"Status": st.canonical_status(key)},
-        "_category": {"Test_Category": nm.canonical_category(key)},
+    # read twice, for the spellings and for the rows; the payloads are parsed once
+    flat = materialize(flat, "extracted-rows")
+    names = {"_std": nm.standard_test_name(F.col("_key")), "Test_Name": nm.normalize_test_name(F.col("_std"))}
+    out = with_derived(flat, "Original_Test_Name", names).withColumns({
+        "Unit": nm.standard_unit(F.col("_unit")), "Status": st.canonical_status(F.col("_status")), "Test_Category": nm.canonical_category(F.col("_category")),
     }).drop("_std", "_unit", "_status", "_category")
     return out.withColumn("Result_Numeric", va.strict_numeric(F.col("Result"))).withColumn(
         "Test_Date_dt", va.parse_date_day_first(F.col("Test_Date"))
