@@ -12,24 +12,35 @@ whose hot spellings AQE splits.  Nothing stays cached.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labtrail.session import materialize
 
 
-def with_derived(df: DataFrame, source: str, answers: dict[str, Column]) -> DataFrame:
-    """Add columns computed once per distinct value of ``source``.
+def with_derived(df: DataFrame, plan: dict[str, dict[str, Column]]) -> DataFrame:
+    """Add columns computed once per distinct value of their source columns.
 
-    Each answer is an expression over column ``_key`` (the source value) and
-    over the answers before it; a column of the same name is replaced.  The
-    distinct values are one pass over ``df``: a ``df`` that is expensive to
-    compute should be materialized first, since that pass computes it too.
+    ``plan`` maps a source column to its answers, each an expression over
+    column ``_key`` (the source value) and over the answers before it; a column
+    of the same name is replaced.  The combinations of sources that occur are
+    collected in one pass over ``df`` and joined to it once: a ``df`` that is
+    expensive to compute should be materialized first, since both compute it.
     """
-    part = df.select(F.col(source).alias("_key")).distinct()
-    for name, answer in answers.items():
-        part = part.withColumn(name, answer)
-    found = materialize(part.withColumnRenamed("_key", "_spelling"), "dictionary")
-    kept = [c for c in df.columns if c not in answers]
-    out = df.select(*kept, F.col(source).alias("_key"))
-    return out.join(found, F.col("_key").eqNullSafe(F.col("_spelling")), "left").select(*kept, *answers)
+    keys = {source: f"_key{k}" for k, source in enumerate(plan)}
+    met = df.select(*[F.col(s).alias(k) for s, k in keys.items()]).distinct()
+    met = materialize(met, "spellings") if len(plan) > 1 else met
+    found = met
+    for source, answers in plan.items():
+        part = met.select(F.col(keys[source]).alias("_key")).distinct()
+        for name, answer in answers.items():
+            part = part.withColumn(name, answer)
+        found = found.join(part, F.col(keys[source]).eqNullSafe(F.col("_key")), "left").drop("_key") if len(plan) > 1 else part.withColumnRenamed("_key", keys[source])
+    found = materialize(found.withColumnsRenamed({k: f"_of{k}" for k in keys.values()}), "dictionary")
+    made = [n for answers in plan.values() for n in answers]
+    kept = [c for c in df.columns if c not in made]
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in keys.values()])
+    return df.select(*kept, *[F.col(s).alias(k) for s, k in keys.items()]).join(found, same, "left").select(*kept, *made)

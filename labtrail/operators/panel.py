@@ -24,15 +24,18 @@ def finding_entries(records: DataFrame) -> DataFrame:
         SCOPE, ORDER, F.coalesce("Test_Name", "Original_Test_Name", F.lit(nm.UNKNOWN_TEST)).alias("_raw_name"),
         "Test_Category", "Result", "Unit", "Reference_Range", "Status", "Test_Date",
     )
-    named = with_derived(source, "_raw_name", {"test_name": nm.client_test_name(F.col("_key"))})
-    named = named.withColumn("category", nm.canonical_category(F.col("Test_Category")))
+    key = F.col("_key")
+    named = with_derived(source, {
+        "_raw_name": {"test_name": nm.client_test_name(key)},
+        "Test_Category": {"category": nm.canonical_category(key)},
+        "Status": {"_status": st.client_status(key), "_severity": st.severity3(key)},
+    })
     ref = va.client_range(F.col("Reference_Range"))
-    status = F.col("Status")
     typed = named.select(
         SCOPE, ORDER, "test_name", "category", F.col("Result").alias("value_text"),
         va.leading_numeric(F.col("Result")).alias("value"), F.col("Unit").alias("unit"),
         F.col("Reference_Range").alias("reference_range"), ref["low"].alias("low"), ref["high"].alias("high"),
-        st.client_status(status).alias("status"), st.severity3(status).alias("severity"),
+        F.col("_status").alias("status"), F.col("_severity").alias("severity"),
         F.coalesce("Test_Date", F.lit("Unknown")).alias("report_date"),
         F.coalesce(va.parse_client_date(F.col("Test_Date")), F.lit(NO_DATE).cast("date")).alias("day"),
     )

@@ -16,7 +16,6 @@ from labtrail.functions import values as va
 from labtrail.functions.basic import blank_to_null, strip
 from labtrail.functions.status import normalize_status
 from labtrail.operators.dictionary import with_derived
-from labtrail.session import materialize
 
 SCOPE = "scope_id"
 ORDER = "row_ord"
@@ -58,16 +57,21 @@ def normalize_records(df: DataFrame) -> DataFrame:
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("string"))
 
-    tidy = with_derived(df.withColumn("_raw", raw_name(df)), "_raw", name_facts())
-    aliases = va.unique_strings(
-        F.concat(_own_aliases(df), F.array(F.col("_raw"), F.col("Test_Name")))
+    tidy = with_derived(
+        df.withColumn("_raw", raw_name(df)),
+        {
+            "_raw": {**name_facts(), "_names": va.unique_strings(F.array(F.col("_key"), F.col("Test_Name")))},
+            "Test_Category": {"_category": nm.canonical_category(F.col("_key"))},
+            "Status": {"_known_status": normalize_status(F.col("_key"))},
+        },
     )
+    aliases = va.unique_strings(F.concat(_own_aliases(df), "_names")) if "Aliases" in df.columns else F.col("_names")
     return (
         tidy.withColumn("Aliases", aliases)
         .withColumn("Original_Test_Name", F.nullif(F.col("_raw"), F.lit("")))
-        .withColumn("Test_Category", nm.canonical_category(F.col("Test_Category")))
-        .withColumn("Status", normalize_status(F.col("Status")))
-        .drop("_raw")
+        .withColumn("Test_Category", F.col("_category"))
+        .withColumn("Status", F.col("_known_status"))
+        .drop("_raw", "_category", "_known_status", "_names")
     )
 
 
@@ -184,10 +188,10 @@ def deduplicate(
 def resolve_records(df: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Normalize, then deduplicate: the record table every report starts from.
 
-    The normalized rows are written once, since facts and readings both read
-    them; the input and its joins run once for both.
+    All text work is in one dictionary, so that a second pass over the rows, for
+    the readings, costs less than writing them would.
     """
-    out = deduplicate(materialize(normalize_records(df), "normalized"), scope)
+    out = deduplicate(normalize_records(df), scope)
     return out.drop(*HELPERS)
 
 

@@ -105,7 +105,7 @@ def record_rows(valid: DataFrame, file_name: Column, carry: list[str]) -> DataFr
     # read twice, for the spellings and for the rows; the payloads are parsed once
     flat = materialize(flat, "extracted-rows")
     names = {"_std": nm.standard_test_name(F.col("_key")), "Test_Name": nm.normalize_test_name(F.col("_std"))}
-    out = with_derived(flat, "Original_Test_Name", names).withColumns({
+    out = with_derived(flat, {"Original_Test_Name": names}).withColumns({
         "Unit": nm.standard_unit(F.col("_unit")), "Status": st.canonical_status(F.col("_status")), "Test_Category": nm.canonical_category(F.col("_category")),
     }).drop("_std", "_unit", "_status", "_category")
     return out.withColumn("Result_Numeric", va.strict_numeric(F.col("Result"))).withColumn(

@@ -37,12 +37,12 @@ def test_dictionary_join_beyond_the_broadcast_limit(spark):
     df = spark.range(2000).select((F.col("id") % 50).cast("string").alias("t")).withColumn("t", F.when(F.col("t") != "7", F.col("t")))
     answers = {"u": F.concat(F.col("_key"), F.lit("!"))}
     plan = lambda d: d._jdf.queryExecution().sparkPlan().toString()
-    small = di.with_derived(df, "t", answers)
+    small = di.with_derived(df, {"t": answers})
     rows = sorted(map(str, small.collect()))
     assert "BroadcastHashJoin" in plan(small)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
     try:
-        large = di.with_derived(df, "t", answers)
+        large = di.with_derived(df, {"t": answers})
         assert "BroadcastHashJoin" not in plan(large) and sorted(map(str, large.collect())) == rows
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
