@@ -137,8 +137,10 @@ def register() -> None:
     def retrieved(s, f):
         return gl.retrieve(questions(s, f), F.lit(AS_OF).cast("date")).drop("ord")
 
-    for key in ("p13_guideline_retrieval", "j13_question_guideline_scores", "w07_category_diverse_top"):
+    for key in ("p13_guideline_retrieval", "w07_category_diverse_top"):
         query(key, hits, "asked", "kb_hits")(retrieved)
+    query("j13_question_guideline_scores", f"""SELECT a.question_id, h.id, h.category, h.source, h.url, h.score, h.ord FROM asked a JOIN kb_score h ON h.text = a.text AND h.f = list_transform(a.f, lambda y_: {d.query_text('y_')}) WHERE h.score >= 15""", "asked", "kb_score")(
+        lambda s, f: gl.all_scores(questions(s, f), F.lit(AS_OF).cast("date")))
 
     def context(s, f):
         found = tl.chat_findings(lab_records(s, f))

@@ -7,13 +7,14 @@ reach the minimum score leave the row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labtrail import fixed_values as fv
 from labtrail.functions import text as tx
 from labtrail.functions import values as va
 from labtrail.functions.basic import constant_rows, contains_any, let
+from labtrail.session import materialize
 
 
 def _norm(text: str) -> str:
@@ -78,28 +79,53 @@ def score(entry: Column, query: Column, tokens: Column, findings: Column, as_of:
     )
 
 
+def scored(kinds: DataFrame, as_of: Column) -> DataFrame:
+    """``kinds`` (query, findings) with ``_hits``: every entry with its score."""
+    prepared = kinds.withColumn("_q", tx.query_text(F.col("query"))).withColumn("_f", F.transform("findings", tx.query_text))
+    prepared = prepared.withColumn("_t", F.array_distinct(F.transform(tx.expanded_tokens(tx.query_tokens(F.col("_q"))), tx.query_text)))
+    hits = F.transform(
+        knowledge_base(),
+        lambda e: F.struct(
+            score(e, F.col("_q"), F.col("_t"), F.col("_f"), as_of).alias("score"), e["ord"].alias("ord"),
+            e["id"].alias("id"), e["category"].alias("category"), e["source"].alias("source"), e["url"].alias("url"),
+        ),
+    )
+    return prepared.withColumn("_hits", hits).drop("_q", "_f", "_t")
+
+
+def of_kinds(questions: DataFrame, answer) -> DataFrame:
+    """``answer`` for each distinct (query, findings), joined to its questions.
+
+    Everything but the join is per row: an answer has at most as many parts as
+    the knowledge base has entries."""
+    found = materialize(answer(questions.select("query", "findings").distinct()), "question-kinds")
+    asked = questions.select("question_id", F.col("query").alias("_query"), F.col("findings").alias("_findings"))
+    same = F.col("_query").eqNullSafe(F.col("query")) & F.col("_findings").eqNullSafe(F.col("findings"))
+    return asked.join(found, same).drop("_query", "_findings", "query", "findings")
+
+
+def all_scores(questions: DataFrame, as_of: Column, min_score: int = 15) -> DataFrame:
+    """Every guideline that reaches the minimum score, per question."""
+    rows = of_kinds(questions, lambda kinds: scored(kinds, as_of).withColumn("_hits", F.filter("_hits", lambda h: h["score"] >= min_score)))
+    return rows.select("question_id", F.explode("_hits").alias("h")).select("question_id", "h.*")
+
+
 def retrieve(questions: DataFrame, as_of: Column, k: int = 3, min_score: int = 15) -> DataFrame:
     """Best guidelines per question, at most one per category unless strong.
 
     ``questions``: (question_id, query, findings array<string>); the query is
     the message followed by recent history.
     """
-    prepared = questions.select(
-        "question_id", tx.query_text(F.col("query")).alias("_q"),
-        F.transform("findings", tx.query_text).alias("_f"),
-    ).withColumn("_t", F.array_distinct(F.transform(tx.expanded_tokens(tx.query_tokens(F.col("_q"))), tx.query_text)))
-    hits = F.filter(
-        F.transform(
-            knowledge_base(),
-            lambda e: F.struct(
-                score(e, F.col("_q"), F.col("_t"), F.col("_f"), as_of).alias("score"), e["ord"].alias("ord"),
-                e["id"].alias("id"), e["category"].alias("category"), e["source"].alias("source"), e["url"].alias("url"),
-            ),
-        ),
-        lambda h: h["score"] >= min_score,
-    )
-    rows = prepared.select("question_id", F.explode(hits).alias("h")).select("question_id", "h.*")
-    per_cat = Window.partitionBy("question_id", "category").orderBy(F.desc("score"), "ord")
-    best = rows.withColumn("_rn", F.row_number().over(per_cat)).where((F.col("_rn") == 1) | (F.col("score") >= 30))
-    top = Window.partitionBy("question_id").orderBy(F.desc("score"), "ord")
-    return best.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).drop("_rn")
+    def best(kinds: DataFrame) -> DataFrame:
+        reached = F.filter("_hits", lambda h: h["score"] >= min_score)
+        ordered = F.transform(F.array_sort(F.transform(reached, lambda h: F.struct((-h["score"]).alias("s"), h["ord"].alias("o"), h.alias("h")))), lambda x: x["h"])
+
+        def diverse(hits: Column) -> Column:
+            earlier = lambda h, i: F.exists(F.slice(hits, F.lit(1), i), lambda e: e["category"] == h["category"])
+            return F.filter(hits, lambda h, i: (h["score"] >= 30) | ~earlier(h, i))
+
+        return scored(kinds, as_of).withColumn("_hits", F.slice(let(ordered, diverse), 1, k))
+
+    rows = of_kinds(questions, best)
+    ranked = rows.select("question_id", F.posexplode("_hits").alias("place", "h"))
+    return ranked.select("question_id", "h.*", (F.col("place") + 1).alias("rank"))
