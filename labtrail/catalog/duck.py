@@ -222,12 +222,29 @@ def _d2(x: str, sep: str, pivot: bool) -> str:
 DMY = lambda s: f"\\d{{1,2}}{s}\\d{{1,2}}{s}\\d{{4}}"
 
 
+TIME = r"[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$"
+MONTH = "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+
+
+def untimed(t: str) -> str:
+    return f"regexp_replace({t}, '^(\\d[\\d/.\\-]*\\d){TIME}', '\\1')"
+
+
+def spelled_date(t: str) -> str:
+    def read(pattern, day, month):
+        part = lambda g: f"regexp_extract(lower({t}), '{pattern}', {g})"
+        return f"CASE WHEN regexp_full_match(lower({t}), '{pattern}') THEN CAST(try_strptime({part(day)} || ' ' || left({part(month)}, 3) || ' ' || {part(3)}, '%d %b %Y') AS DATE) END"
+
+    return f"coalesce({read(rf'(\d{{1,2}})(?:st|nd|rd|th)?[ \-]{MONTH}[ ,\-]+(\d{{4}})', 1, 2)}, {read(rf'{MONTH} (\d{{1,2}})(?:st|nd|rd|th)?,? (\d{{4}})', 2, 1)})"
+
+
 def date_day_first(x: str) -> str:
-    t = nz(x)
+    t = untimed(nz(x))
     parts = [
         _d(t, DMY("/"), "%d/%m/%Y"), _d(t, DMY("-"), "%d-%m-%Y"), _d(t, DMY("\\."), "%d.%m.%Y"),
         _d(t, "\\d{4}-\\d{1,2}-\\d{1,2}", "%Y-%d-%m"), _d(t, "\\d{4}-\\d{1,2}-\\d{1,2}", "%Y-%m-%d"),
-        _d2(t, "/", True), _d2(t, "-", True), _d(t, "\\d{1,2} [A-Za-z]{3} \\d{4}", "%d %b %Y"),
+        *[_d(t, f"\\d{{4}}{s}\\d{{1,2}}{s}\\d{{1,2}}", f"%Y{p}{a}{p}{b}") for s, p in (("/", "/"), ("\\.", ".")) for a, b in (("%d", "%m"), ("%m", "%d"))],
+        _d2(t, "/", True), _d2(t, "-", True), _d(t, "\\d{8}", "%Y%m%d"), spelled_date(t),
     ]
     return f"coalesce({', '.join(parts)})"
 
@@ -237,7 +254,7 @@ def sort_date(x: str) -> str:
     parts = [
         _d(t, DMY("-"), "%d-%m-%Y"), _d(t, DMY("/"), "%d/%m/%Y"),
         _d(t, "\\d{4}-\\d{1,2}-\\d{1,2}", "%Y-%m-%d"), _d(t, "\\d{4}/\\d{1,2}/\\d{1,2}", "%Y/%m/%d"),
-        _d2(t, "-", True), _d2(t, "/", True),
+        _d2(t, "-", True), _d2(t, "/", True), _d(untimed(t), "\\d{4}-\\d{2}-\\d{2}", "%Y-%m-%d"),
     ]
     return f"coalesce({', '.join(parts)})"
 
@@ -252,7 +269,9 @@ def report_date(x: str) -> str:
 
 
 def client_date(x: str) -> str:
-    return report_date(x)
+    t = untimed(nz(x))
+    more = [_d(t, "\\d{4}-\\d{2}-\\d{2}", "%Y-%m-%d"), _d(t, "\\d{4}/\\d{1,2}/\\d{1,2}", "%Y/%m/%d"), spelled_date(nz(x))]
+    return f"coalesce({report_date(x)}, {', '.join(more)})"
 
 
 def fmt_date(d: str) -> str:

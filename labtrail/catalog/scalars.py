@@ -42,6 +42,32 @@ for _c in ("Test_Category", "Status", "Result", "Test_Date", "Reference_Range",
     SQL.add(f"x_{_c.lower()}", f'SELECT "{_c}" AS x FROM lab_records', "lab_records")
 
 
+# dates in the shapes that reports print them, by Spark's and by DuckDB's pattern
+DATE_SHAPES = [
+    ("yyyy-MM-dd'T'10:00:00", "%Y-%m-%dT10:00:00"), ("yyyy-MM-dd 00:00:00", "%Y-%m-%d 00:00:00"), ("MMMM d, yyyy", "%B %-d, %Y"), ("d MMMM yyyy", "%-d %B %Y"),
+    ("d MMM yyyy", "%-d %b %Y"), ("dd-MMM-yyyy", "%d-%b-%Y"), ("yyyy/MM/dd", "%Y/%m/%d"), ("yyyyMMdd", "%Y%m%d"), ("dd.MM.yyyy", "%d.%m.%Y"), ("dd/MM/yyyy HH:mm", "%d/%m/%Y 00:00"), ("'soon'", "soon"),
+]
+
+
+def date_texts(spark, sf) -> DataFrame:
+    o = table(spark, sf, "orders")
+    day = F.col("o_orderdate")
+    shape = F.lit(None).cast("string")
+    for i, (pattern, _) in enumerate(DATE_SHAPES):
+        # a time of day that isn't the date's own is put behind it as text
+        if ":" in pattern and "HH" not in pattern:
+            head, tail = pattern[:10], pattern[10:].replace("'", "")
+            value = F.concat(F.date_format(day, head), F.lit(tail))
+        else:
+            value = F.date_format(day.cast("timestamp"), pattern)
+        shape = F.when(F.col("o_orderkey") % len(DATE_SHAPES) == i, value).otherwise(shape)
+    return column_of("Test_Date")(spark, sf).unionByName(o.select(shape.alias("x")))
+
+
+_shapes = " ".join(f"WHEN {i} THEN strftime(o_orderdate, {sql_text(p)})" for i, (_, p) in enumerate(DATE_SHAPES))
+SQL.add("date_texts", f"SELECT x FROM x_test_date UNION ALL SELECT CASE o_orderkey % {len(DATE_SHAPES)} {_shapes} END FROM orders", "x_test_date")
+
+
 def status_texts(spark, sf) -> DataFrame:
     return column_of("Status")(spark, sf).unionByName(
         table(spark, sf, "orders").select(F.col("o_orderpriority").alias("x"))
@@ -287,10 +313,10 @@ def register_values() -> None:
     scalar("m01_parse_numeric", column_of("Result"), lambda: {"y": va.parse_numeric(F.col("x"))}, "x_result", {"y": d.parse_numeric("x")})
     scalar("m02_strict_numeric", column_of("Result"), lambda: {"y": va.strict_numeric(F.col("x"))}, "x_result", {"y": d.strict_numeric("x")})
     scalar("m03_leading_numeric", column_of("Result"), lambda: {"y": va.leading_numeric(F.col("x"))}, "x_result", {"y": d.leading_numeric("x")})
-    scalar("m04_date_day_first", column_of("Test_Date"), lambda: {"y": va.parse_date_day_first(F.col("x"))}, "x_test_date", {"y": d.date_day_first("x")})
-    scalar("m05_sort_date", column_of("Test_Date"), lambda: {"y": va.parse_sort_date(F.col("x"))}, "x_test_date", {"y": d.sort_date("x")})
-    scalar("m06_report_date", column_of("Test_Date"), lambda: {"y": va.parse_report_date(F.col("x"))}, "x_test_date", {"y": d.report_date("x")})
-    scalar("m07_client_date", column_of("Test_Date"), lambda: {"y": va.parse_client_date(F.col("x"))}, "x_test_date", {"y": d.client_date("x")})
+    scalar("m04_date_day_first", date_texts, lambda: {"y": va.parse_date_day_first(F.col("x"))}, "date_texts", {"y": d.date_day_first("x")})
+    scalar("m05_sort_date", date_texts, lambda: {"y": va.parse_sort_date(F.col("x"))}, "date_texts", {"y": d.sort_date("x")})
+    scalar("m06_report_date", date_texts, lambda: {"y": va.parse_report_date(F.col("x"))}, "date_texts", {"y": d.report_date("x")})
+    scalar("m07_client_date", date_texts, lambda: {"y": va.parse_client_date(F.col("x"))}, "date_texts", {"y": d.client_date("x")})
     scalar("m08_format_date", column_of("Test_Date"), lambda: {"y": va.format_day_first(va.parse_date_day_first(F.col("x")))}, "x_test_date",
            {"y": d.fmt_date(d.date_day_first("x"))})
     query("m09_infer_report_date",

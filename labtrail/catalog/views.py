@@ -184,7 +184,8 @@ class SqlViews:
         ctes = ",\n".join(
             f"{n} AS {'MATERIALIZED ' if n in MATERIALIZE else ''}({self.views[n][0]})" for n in ordered
         )
-        return f"WITH {ctes}\n{body.strip()}"
+        recursive = "RECURSIVE " if "reach" in ordered else ""
+        return f"WITH {recursive}{ctes}\n{body.strip()}"
 
 
 MATERIALIZE = {"lab_records", "normalized", "resolved"}

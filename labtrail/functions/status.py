@@ -10,6 +10,7 @@ from labtrail import fixed_values as fv
 from labtrail.functions.basic import blank_to_null, first_upper, ladder, strip
 from labtrail.functions.names import standard_status, title_fallback
 
+# fixed values: words of a status, in order of precedence
 _LADDER = [
     ("critical", "Critical"),
     ("insufficient", "Insufficient"),

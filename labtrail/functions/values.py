@@ -56,15 +56,38 @@ def _date_with_pivot_year(c: Column, shape: str, fmt: str) -> Column:
 
 
 D, M = r"\d{1,2}", r"\d{1,2}"
+_TIME = r"[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$"
+_MONTH = (
+    r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?"
+    r"|nov(?:ember)?|dec(?:ember)?)"
+)
+_DAY_MONTH = rf"(?i)^(\d{{1,2}})(?:st|nd|rd|th)?[ \-]{_MONTH}[ ,\-]+(\d{{4}})$"
+_MONTH_DAY = rf"(?i)^{_MONTH} (\d{{1,2}})(?:st|nd|rd|th)?,? (\d{{4}})$"
+
+
+def _without_time(t: Column) -> Column:
+    return F.regexp_replace(t, r"^(\d[\d/.\-]*\d)" + _TIME, "$1")
+
+
+def _spelled_date(t: Column) -> Column:
+    """A date with its month as a word, in full or by three letters."""
+    def read(pattern: str, day: int, month: int) -> Column:
+        part = lambda g: F.regexp_extract(t, pattern, g)
+        text = F.concat_ws(" ", part(day), F.initcap(F.substring(part(month), 1, 3)), part(3))
+        return F.when(F.rlike(t, F.lit(pattern)), F.try_to_date(text, "d MMM yyyy"))
+
+    return F.coalesce(read(_DAY_MONTH, 1, 2), read(_MONTH_DAY, 2, 1))
 
 
 def parse_date_day_first(c: Column, iso_strict: bool = False) -> Column:
     """Day-first date.  Unless ``iso_strict``, ``2024-05-03`` reads as 5 March:
-    a year-first text is tried as year-day-month before year-month-day."""
-    t = blank_to_null(c)
-    year_first = [(rf"^\d{{4}}-{D}-{M}$", "yyyy-d-M"), (rf"^\d{{4}}-{M}-{D}$", "yyyy-M-d")]
-    if iso_strict:
-        year_first = year_first[1:]
+    a year-first text is tried as year-day-month before year-month-day.  A time
+    behind the date is left out."""
+    t = _without_time(blank_to_null(c))
+    year_first = [
+        (rf"^\d{{4}}{sep}\d{{1,2}}{sep}\d{{1,2}}$", fmt.replace("-", plain))
+        for sep, plain in (("-", "-"), ("/", "/"), (r"\.", ".")) for fmt in ("yyyy-d-M", "yyyy-M-d") if not iso_strict or fmt == "yyyy-M-d"
+    ]
     tries = [
         _date(t, rf"^{D}/{M}/\d{{4}}$", "d/M/yyyy"),
         _date(t, rf"^{D}-{M}-\d{{4}}$", "d-M-yyyy"),
@@ -72,7 +95,8 @@ def parse_date_day_first(c: Column, iso_strict: bool = False) -> Column:
         *[_date(t, shape, fmt) for shape, fmt in year_first],
         _date_with_pivot_year(t, rf"^{D}/{M}/\d{{2}}$", "d/M/yy"),
         _date_with_pivot_year(t, rf"^{D}-{M}-\d{{2}}$", "d-M-yy"),
-        _date(t, r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
+        _date(t, r"^\d{8}$", "yyyyMMdd"),
+        _spelled_date(t),
     ]
     return F.when(t != "N/A", F.coalesce(*tries))
 
@@ -89,6 +113,7 @@ def parse_sort_date(c: Column) -> Column:
             _date(t, rf"^\d{{4}}/{M}/{D}$", "yyyy/M/d"),
             _date_with_pivot_year(t, rf"^{D}-{M}-\d{{2}}$", "d-M-yy"),
             _date_with_pivot_year(t, rf"^{D}/{M}/\d{{2}}$", "d/M/yy"),
+            _date(_without_time(t), r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
         ),
     )
 
@@ -106,14 +131,17 @@ def parse_report_date(c: Column) -> Column:
 
 
 def parse_client_date(c: Column) -> Column:
-    """Client date: d-m-y (2-digit years are 20yy) or ISO; null when unknown."""
+    """Client date: d-m-y (2-digit years are 20yy), ISO with or without a time,
+    year first with slashes, or a month's name; null when unknown."""
     t = blank_to_null(c)
     return F.coalesce(
         _date(t, r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
         _date(t, r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
         _date(t, r"^\d{1,2}-\d{1,2}-\d{2}$", "d-M-yy"),
         _date(t, r"^\d{1,2}/\d{1,2}/\d{2}$", "d/M/yy"),
-        _date(t, r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
+        _date(_without_time(t), r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
+        _date(_without_time(t), r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
+        _spelled_date(t),
     )
 
 

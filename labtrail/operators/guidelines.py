@@ -24,15 +24,14 @@ def _norm(text: str) -> str:
 
 
 def entries() -> list[dict]:
-    out = []
-    for i, line in enumerate(fv.GUIDELINES_TEXT.strip().split("\n")):
-        f = [x.strip() for x in line.split(" | ")]
-        lists = [[_norm(x) for x in part.split(";")] for part in f[2:6]]
-        out.append({
-            "ord": i, "id": f[0], "category": f[1], "names": lists[0] + lists[1], "keywords": lists[2],
-            "related": lists[3], "source": f[6], "url": f[7], "level": f[8], "updated": f[9],
-        })
-    return out
+    normed = lambda texts: [_norm(x) for x in texts]
+    return [
+        {
+            "ord": i, "id": e["id"], "category": e["category"], "names": normed(e["names"] + e["aliases"]), "keywords": normed(e["keywords"]),
+            "related": normed(e["related"]), "source": e["source"], "url": e["url"], "level": e["level"], "updated": e["updated"],
+        }
+        for i, e in enumerate(fv.GUIDELINES)
+    ]
 
 
 DDL = (
