@@ -144,6 +144,11 @@ def register() -> None:
         lambda s, f: ins.column_ranks(ins.organized_cells(lab_records(s, f))))
     query("e20_organized_pivot", wide_sql("ycells", '"Result"'), "ycells")(
         lambda s, f: ins.organized_table(ins.organized_cells(yearly(s, f)), YEAR_LABS))
+    dates, labs = (", ".join(f"'{c.split('_')[k]}' AS \"{c}\"" for c in YEAR_LABS) for k in (0, 1))
+    query("s11_header_rows", f"""SELECT scope_id, CAST(2 AS INTEGER) AS place, * EXCLUDE (scope_id) FROM ({wide_sql("ycells", '"Result"')})
+      UNION ALL SELECT DISTINCT scope_id, 0, '📅 Date' AS "Test_Category", '' AS "Test_Name", {dates} FROM ycells
+      UNION ALL SELECT DISTINCT scope_id, 1, '🏥 Lab', '', {labs} FROM ycells""", "ycells")(
+        lambda s, f: ins.with_header_rows(ins.organized_table(ins.organized_cells(yearly(s, f)), YEAR_LABS), YEAR_LABS))
     query("e21_range_pivot", wide_sql("ycells_ref", '"Reference_Range"'), "ycells_ref")(
         lambda s, f: ins.organized_table(ins.organized_cells(yearly(s, f), value="Reference_Range"), YEAR_LABS, value="Reference_Range"))
     common = """SELECT scope_id, "Test_Category", "Test_Name", arg_min("Reference_Range", ROW(-n, o)) AS "Reference_Range" FROM (SELECT scope_id, "Test_Category", "Test_Name", "Reference_Range",

@@ -291,6 +291,21 @@ def organized_table(cells: DataFrame, columns: list[str], scope: list[str] | Non
     return cells.groupBy(*scope, "Test_Category", "Test_Name").pivot("date_lab", columns).agg(F.min(value))
 
 
+def with_header_rows(wide: DataFrame, columns: list[str], scope: list[str] | None = None) -> DataFrame:
+    """The wide form with two rows on top of each scope, naming the date and the
+    laboratory of every column; ``place`` keeps them there: 0, 1, then 2."""
+    scope = scope or [SCOPE]
+    parts = [(c, c.partition("_")) for c in columns]
+
+    def header(place: int, title: str, text) -> Column:
+        cells = [F.lit(text(p)).alias(c) for c, p in parts]
+        return F.struct(F.lit(place).alias("place"), F.lit(title).alias("Test_Category"), F.lit("").alias("Test_Name"), *cells)
+
+    heads = F.array(header(0, "📅 Date", lambda p: p[0]), header(1, "🏥 Lab", lambda p: p[2] or "N/A"))
+    top = wide.select(*scope).distinct().withColumn("_h", F.explode(heads)).select(*scope, "_h.*")
+    return top.unionByName(wide.select(*scope, F.lit(2).alias("place"), "Test_Category", "Test_Name", *[F.col(f"`{c}`") for c in columns]))
+
+
 def common_ranges(records: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Most frequent printed range per test over the organized cells."""
     scope = scope or [SCOPE]

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from labtrail.operators import dictionary as di
@@ -83,3 +84,18 @@ def test_totals_hold(spark):
     assert ins.body_systems(n).where("abnormal_ratio < 0 OR abnormal_ratio > 1").count() == 0
     date = F.coalesce(F.nullif(F.trim("Test_Date"), F.lit("")), F.lit("N/A"))
     assert resolve_records(raw).count() == n.select("scope_id", "_cluster", date).distinct().count()
+
+
+def test_exact_percentile(spark):
+    import numpy as np
+
+    from labtrail.operators.quality import exact_percentile
+
+    rng = np.random.default_rng(2)
+    sets = {"a": rng.normal(size=20_001), "b": rng.integers(0, 3, 5000).astype(float), "c": np.array([4.0]), "d": np.array([1.0, 2.0])}
+    rows = [(k, float(x)) for k, v in sets.items() for x in v] + [("e", None), ("a", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for share in (0.0, 0.5, 0.95, 1.0):
+        got = {r.k: r.p for r in exact_percentile(df, "k", "v", share).collect()}
+        assert set(got) == set(sets)
+        assert {k: got[k] for k in sets} == {k: pytest.approx(float(np.quantile(v, share)), abs=1e-12) for k, v in sets.items()}, share
