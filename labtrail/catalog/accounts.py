@@ -14,6 +14,7 @@ from labtrail.operators import insights as ins
 from labtrail.operators import studies as stu
 from labtrail.operators.resolve import resolve_records
 from labtrail.plans import jobs
+from labtrail.schema import RECORD_TEXT_FIELDS
 from labtrail.sources.payloads import alerts_in_document
 
 
@@ -34,6 +35,30 @@ def reports(s, f):
         F.date_add(F.to_date("o_orderdate"), 1).alias("uploaded_at"), alerts_in_document(doc).alias("alerts"))
 
 
+def stored_reports(s, f):
+    """Stored reports as JSON: even ones normalized by the current rules, of the
+    odd ones some by older rules and some never."""
+    r = lab_records(s, f)
+    texts = RECORD_TEXT_FIELDS
+    raw = r.select("study_id", "report_id", "row_ord", F.struct(*texts).alias("r"))
+    done = resolve_records(r.where("report_id % 2 = 0"), jobs.REPORT).select("study_id", "report_id", "row_ord", F.struct(*texts, "Aliases").alias("r"))
+
+    def packed(rows, name):
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("row_ord", "r"))), lambda x: x["r"])
+        return rows.groupBy("study_id", "report_id").agg(listed.alias(name))
+
+    k = F.col("report_id")
+    info = F.struct(
+        F.when(k % 5 > 0, F.format_string("Name %d", k)).alias("name"), F.when(k % 5 != 1, (k % 90).cast("string")).alias("age"),
+        F.when(k % 3 == 0, F.format_string("2024-01-0%d", k % 9 + 1)).alias("date"), F.lit("").alias("lab_name"))
+    days = table(s, f, "orders").groupBy(F.col("o_orderkey").alias("report_id")).agg(F.min("o_orderdate").alias("report_date"))
+    both = packed(raw, "raw").join(packed(done, "done"), ["study_id", "report_id"], "left").join(days, "report_id")
+    return both.select(
+        "study_id", "report_id", F.substring_index("study_id", "-", 1).alias("profile_id"), F.format_string("Report_%d.pdf", k).alias("file_name"), "report_date",
+        F.format_string("Lab %d", k % 7).alias("lab_name"), (k % 4 != 3).alias("is_normalized"), F.when(k % 2 == 0, 1).otherwise(0).alias("normalization_version"),
+        F.when(k % 2 == 0, F.to_json("done")).alias("normalized_records"), F.to_json(F.struct(info.alias("patient_info"), F.col("raw").alias("records"))).alias("analysis_data"))
+
+
 def studies(s, f):
     o = table(s, f, "orders")
     return o.groupBy(F.concat(F.col("o_custkey").cast("string"), F.lit("-"), F.year("o_orderdate").cast("string")).alias("study_id"), F.col("o_custkey").cast("string").alias("profile_id")).agg(
@@ -97,6 +122,19 @@ def register() -> None:
 
     query("p08_combined_report", """SELECT study_id, row_ord, "Test_Name", "Test_Category", "Test_Date", aliases FROM comb UNION ALL
       SELECT study_id, row_ord, "Test_Name", "Test_Category", "Test_Date", aliases FROM rep WHERE study_id NOT IN (SELECT study_id FROM rep WHERE report_id % 2 = 1)""", "comb", "rep")(combined)
+    def study_summary(s, f):
+        out = jobs.study_reports(stored_reports(s, f), profiles(s, f))
+        totals = out["totals"].join(out["overall"], "study_id").join(out["patients"], "study_id")
+        return totals.select("study_id", "reports", "reports_with_data", F.col("total_tests").alias("total_records"), "overall_score", "name", "age", "patient_id", "date", "lab_name")
+
+    weight = d.weight('"Status"', 0)
+    SQL.add("study_rows", """SELECT study_id, "Status" FROM comb UNION ALL SELECT study_id, "Status" FROM rep WHERE study_id NOT IN (SELECT study_id FROM rep WHERE report_id % 2 = 1)""", "comb", "rep")
+    SQL.add("study_last", """SELECT study_id, max(report_id) AS last, min(report_id) AS first, count(DISTINCT report_id) AS reports FROM lab_records GROUP BY 1""", "lab_records")
+    query("p08_study_report", f"""SELECT t.study_id, t.reports, t.reports AS reports_with_data, r.n AS total_records, r.overall_score,
+      CASE WHEN last % 5 = 0 THEN p.full_name ELSE 'Name ' || last END AS name, CASE WHEN last % 5 = 1 THEN 'N/A' ELSE CAST(last % 90 AS VARCHAR) END AS age, CAST(p.owner_id AS VARCHAR) AS patient_id,
+      CASE WHEN last % 3 = 0 THEN '2024-01-0' || (last % 9 + 1) ELSE coalesce(strftime(o.o_orderdate, '%Y-%m-%d'), 'N/A') END AS date, 'Lab ' || (first % 7) AS lab_name
+      FROM study_last t JOIN (SELECT study_id, count(*) AS n, CAST(floor(sum({weight}) / count(*)) AS BIGINT) AS overall_score FROM study_rows GROUP BY 1) r USING (study_id)
+      JOIN profiles p ON p.profile_id = string_split(t.study_id, '-')[1] JOIN (SELECT o_orderkey, min(o_orderdate) AS o_orderdate FROM orders GROUP BY 1) o ON o.o_orderkey = t.last""", "study_last", "study_rows", "profiles")(study_summary)
     SQL.add("first_dates", f"SELECT report_id, arg_min(dt, row_ord) FILTER (WHERE dt IS NOT NULL) AS report_date FROM (SELECT *, {d.report_date(chr(34) + 'Test_Date' + chr(34))} AS dt FROM lab_records) GROUP BY 1", "lab_records")
     query("p09_save_to_study", """SELECT r.study_id, r.report_id, f.report_date, r.row_ord, r."Test_Name", r."Test_Category", 1 AS normalization_version FROM rep r JOIN first_dates f USING (report_id)""", "rep", "first_dates")(
         lambda s, f: jobs.save_reports(lab_records(s, f), report_files(s, f)).select("study_id", "report_id", "report_date", "row_ord", "Test_Name", "Test_Category", "normalization_version"))

@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labtrail.functions import values as va
+from labtrail.functions.basic import blank_to_null, na
 from labtrail.operators import insights as ins
 from labtrail.operators import records as rec
 from labtrail.operators.resolve import ORDER, resolve_records
+from labtrail.schema import PATIENT_INFO, STORED_RECORD
 from labtrail.session import materialize
 
 REPORT = ["study_id", "report_id"]
+#: Rules by which stored records were normalized.
+CURRENT_VERSION = 1
+PATIENT_PAYLOAD = f"patient_info {PATIENT_INFO.simpleString()}"
 CONTENT = [
     "Test_Name", "Original_Test_Name", "Test_Category", "Test_Date", "Result", "Unit",
     "Reference_Range", "Status", "Source_Filename",
@@ -52,6 +57,62 @@ def combined_reports(stored: DataFrame, legacy: DataFrame, reports: DataFrame) -
     return rec.combine(clean, again.select(clean.columns))
 
 
+def stored_and_legacy(reports: DataFrame, version: int = CURRENT_VERSION) -> tuple[DataFrame, DataFrame]:
+    """Rows of stored reports: those normalized by the current rules, as they
+    are, and the raw rows of all others.
+
+    ``reports``: (study_id, report_id, file_name, is_normalized,
+    normalization_version, normalized_records, analysis_data), the last two as
+    JSON text.  Rows are in order of their reports, then of their places."""
+    current = F.col("is_normalized") & (F.col("normalization_version") == version) & F.startswith(F.trim("normalized_records"), F.lit("["))
+    current = F.coalesce(current, F.lit(False))
+
+    def rows(df: DataFrame, records) -> DataFrame:
+        flat = df.select(*REPORT, "file_name", F.posexplode(records).alias("_pos", "r")).where("r IS NOT NULL")
+        order = F.format_string("%020d.%08d", "report_id", "_pos")
+        named = flat.select(*REPORT, order.alias(ORDER), "file_name", "r.*").drop("Processed_Date", "Result_Numeric", "Test_Date_dt")
+        return named
+
+    kept = rows(reports.where(current), F.from_json("normalized_records", f"array<{STORED_RECORD.simpleString()}>"))
+    raw = rows(reports.where(~current), F.from_json("analysis_data", f"records array<{STORED_RECORD.simpleString()}>")["records"])
+    return rec.with_source_file(kept, F.col("file_name")).drop("file_name"), raw.drop("file_name")
+
+
+def report_patients(reports: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Patient line of each study: the latest payload's details, then the
+    profile's name, the last report's date and the first report's laboratory."""
+    info = F.from_json("analysis_data", PATIENT_PAYLOAD)["patient_info"]
+    filled = F.length(F.regexp_replace(F.coalesce("analysis_data", F.lit("")), r"[\s{}]", "")) > 0
+    at = F.col("report_id")
+    facts = reports.withColumn("_info", info).groupBy("study_id", "profile_id").agg(
+        F.max_by("_info", F.when(filled, at)).alias("p"), F.max_by("report_date", at).alias("last"), F.min_by("lab_name", at).alias("lab"),
+    ).join(profiles.select("profile_id", "full_name", "owner_id"), "profile_id", "left")
+    given = lambda f: blank_to_null(F.col(f"p.{f}"))
+    return facts.select(
+        "study_id", F.coalesce(given("name"), "full_name", na()).alias("name"), F.coalesce(given("age"), na()).alias("age"), F.coalesce(given("gender"), na()).alias("gender"),
+        F.coalesce(given("patient_id"), F.col("owner_id").cast("string"), na()).alias("patient_id"),
+        F.coalesce(given("date"), F.date_format("last", "yyyy-MM-dd"), na()).alias("date"), F.coalesce(given("lab_name"), "lab", na()).alias("lab_name"),
+    )
+
+
+def study_reports(reports: DataFrame, profiles: DataFrame, version: int = CURRENT_VERSION) -> dict[str, DataFrame]:
+    """Everything a combined study report shows, for all studies at once."""
+    stored, legacy = stored_and_legacy(reports, version)
+    records = materialize(combined_reports(stored, legacy, reports.select("report_id", "file_name")), "study-records")
+    with_data = stored.select(*REPORT).union(legacy.select(*REPORT)).distinct().groupBy("study_id").agg(F.count(F.lit(1)).alias("reports_with_data"))
+    scope = ["study_id"]
+    files = reports.groupBy("study_id").agg(F.count(F.lit(1)).alias("reports"))
+    return {
+        "records": records,
+        "overall": ins.overall_score(records, scope),
+        "categories": ins.category_scores(records, scope),
+        "concerns": ins.concerns(records, scope),
+        "body_systems": ins.body_systems(records, scope),
+        "patients": report_patients(reports, profiles),
+        "totals": files.join(with_data, "study_id", "left").withColumn("reports_with_data", F.coalesce("reports_with_data", F.lit(0))),
+    }
+
+
 def save_reports(rows: DataFrame, reports: DataFrame) -> DataFrame:
     """Records of each report, normalized, with the report's inferred date and
     the version stamp; ready for the append sink."""
@@ -59,7 +120,7 @@ def save_reports(rows: DataFrame, reports: DataFrame) -> DataFrame:
     saved = resolve_records(scoped, REPORT)
     day = va.parse_report_date(F.col("Test_Date"))
     dates = scoped.groupBy(*REPORT).agg(F.min_by(day, F.when(day.isNotNull(), F.col(ORDER))).alias("report_date"))
-    return saved.join(dates, REPORT).withColumn("normalization_version", F.lit(1))
+    return saved.join(dates, REPORT).withColumn("normalization_version", F.lit(CURRENT_VERSION))
 
 
 def content_digest(rows: DataFrame, keys: list[str]) -> DataFrame:
