@@ -18,17 +18,18 @@ from labtrail.streaming import jobs
 FILES = 4
 
 
-def streamed(s, rows, label):
-    """Rows as a stream of several micro-batches: dealt to files without order,
-    one file to a batch.  A second copy of every tenth row comes last."""
+def streamed(s, rows, label, by=None):
+    """Rows as a stream of several micro-batches: dealt to files without order
+    (rows alike in ``by`` together), one file to a batch."""
     path = scratch_path(s, label)
-    deal = F.pmod(F.xxhash64(*rows.columns), F.lit(1000))
+    deal = F.pmod(F.xxhash64(*(by or rows.columns)), F.lit(1000))
     for k in range(FILES):
         rows.where(deal % FILES == k).coalesce(1).write.mode("append").parquet(path)
     return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def with_repeats(rows):
+    """Every tenth row a second time."""
     return rows.union(rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(10)) == 0))
 
 
@@ -90,14 +91,14 @@ def register() -> None:
     query("t03_session_memory", "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6")(memory)
 
     def arrivals(s, sf):
-        source, out = scratch_path(s, "arrivals"), scratch_path(s, "normalized")
-        rows = lab_records(s, sf)
-        rows.write.parquet(source)
-        q = jobs.normalize_arrivals(s.readStream.schema(rows.schema).parquet(source), out, scratch_path(s, "cp"), ["study_id", "report_id"])
+        out = scratch_path(s, "normalized")
+        rows = lab_records(s, sf).withColumn("normalization_version", (F.col("report_id") % 3 == 0).cast("int"))
+        q = jobs.normalize_arrivals(streamed(s, rows, "arrivals", ["report_id"]), out, scratch_path(s, "cp"), ["study_id", "report_id"])
         q.awaitTermination()
         return s.read.parquet(out).select("study_id", "report_id", "row_ord", "Test_Name", "Test_Category")
 
-    query("t04_incremental_normalization", 'SELECT study_id, report_id, row_ord, "Test_Name", "Test_Category" FROM rep', "rep")(arrivals)
+    query("t04_incremental_normalization", '''SELECT study_id, report_id, row_ord, "Test_Name", "Test_Category" FROM rep WHERE report_id % 3 > 0
+      UNION ALL SELECT study_id, report_id, row_ord, "Test_Name", "Test_Category" FROM lab_records WHERE report_id % 3 = 0''', "rep", "lab_records")(arrivals)
 
     def intake(s, sf):
         texts = with_repeats(table(s, sf, "documents").select("doc_id", "text"))

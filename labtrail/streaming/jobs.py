@@ -101,12 +101,17 @@ def session_memory(turns: DataFrame, keep: int = 8, idle_ms: int | None = 3_600_
 
 
 # --- incremental normalization ----------------------------------------------
-def normalize_arrivals(rows: DataFrame, path: str, checkpoint: str, scope: list[str]) -> StreamingQuery:
-    """Resolve arriving reports and append them; a batch that is replayed after
-    a failure overwrites its own folder, so nothing is written twice."""
+def normalize_arrivals(rows: DataFrame, path: str, checkpoint: str, scope: list[str], version: int = 1) -> StreamingQuery:
+    """Resolve arriving reports and append them; rows that carry the current
+    ``normalization_version`` were resolved when they were saved and stay as
+    they are.  A batch that is replayed after a failure overwrites its own
+    folder, so nothing is written twice."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        resolve_records(batch, scope).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        current = F.coalesce(F.col("normalization_version") == version, F.lit(False))
+        fresh = resolve_records(batch.where(~current).drop("normalization_version"), scope)
+        kept = batch.where(current).drop("normalization_version")
+        fresh.unionByName(kept, allowMissingColumns=True).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
