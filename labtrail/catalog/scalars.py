@@ -240,7 +240,19 @@ def register_texts() -> None:
         c = table(spark, sf, "conversations")
         return c.select("conv_id", "turn", F.posexplode(tx.answer_chunks(F.col("text"))).alias("pos", "chunk"))
 
-    query("c28_answer_chunks")(chunks)
+    joined = "CASE WHEN open = '' THEN s ELSE open || ' ' || s END"
+    flushed = "CASE WHEN open = '' THEN done ELSE list_append(done, open) END"
+    query("c28_answer_chunks", f"""WITH RECURSIVE said AS (
+        SELECT conv_id, turn, list_filter(string_split(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.!?]) ', '\\1' || chr(10), 'g'), chr(10)), lambda s_: s_ <> '') AS parts FROM conversations
+      ), walk AS (
+        SELECT conv_id, turn, parts, 1 AS i, CAST([] AS VARCHAR[]) AS done, '' AS open FROM said
+        UNION ALL
+        SELECT conv_id, turn, parts, i + 1,
+          CASE WHEN length({joined}) <= 140 THEN done WHEN length(s) <= 140 THEN {flushed} ELSE list_concat({flushed}, list_transform(range(0, CAST(ceil(length(s) / 140.0) AS BIGINT)), lambda k_: substring(s, k_ * 140 + 1, 140))) END,
+          CASE WHEN length({joined}) <= 140 THEN {joined} WHEN length(s) <= 140 THEN s ELSE '' END
+        FROM (SELECT *, parts[i] AS s FROM walk WHERE i <= len(parts))
+      ), whole AS (SELECT conv_id, turn, {flushed} AS chunks FROM walk WHERE i = len(parts) + 1)
+      SELECT conv_id, turn, CAST(unnest(range(0, len(chunks))) AS INTEGER) AS pos, unnest(chunks) AS chunk FROM whole""")(chunks)
     body = "CASE turn % 3 WHEN 0 THEN text || chr(13) || chr(10) || '**Sources:** [A](u)' WHEN 1 THEN text || chr(10) || 'sources: none' ELSE text END"
 
     def with_sources(spark, sf):
@@ -374,7 +386,8 @@ def register_values() -> None:
                  .when(k == 1, F.concat(F.lit("```json\n"), F.to_json(F.struct("conv_id", "turn")), F.lit("\n``` {}"))).otherwise(F.concat(F.lit("none { "), F.lit('"a": "}"'))))
         return c.select("conv_id", "turn", tx.first_json_object(reply).alias("json"))
 
-    query("m19_first_json_object")(json_objects)
+    query("m19_first_json_object", """SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN CAST(to_json({'conv_id': conv_id, 'turn': turn, 'body': {'t': text}}) AS VARCHAR)
+      WHEN 1 THEN CAST(to_json({'conv_id': conv_id, 'turn': turn}) AS VARCHAR) END AS json FROM conversations""")(json_objects)
     query("m20_row_signature", 'SELECT count(*) AS rows, count(DISTINCT ("Test_Name", "Test_Date", "Result", "Unit", "Status", "Patient_ID")) AS signatures FROM lab_records', "lab_records")(
         lambda s, f: lab_records(s, f).select(va.signature("Test_Name", "Test_Date", "Result", "Unit", "Status", "Patient_ID").alias("k"))
         .groupBy("k").agg(F.count(F.lit(1)).alias("c")).agg(F.sum("c").alias("rows"), F.count(F.lit(1)).alias("signatures")))
