@@ -73,9 +73,18 @@ def register() -> None:
 
     def stacked(s, f):
         path = scratch_path(s, "stacked")
+        write_stacked(s, f, path, YEAR_LABS)
+        return his.unpivot_history(his.read_stacked_headers(s, path), "export.csv").select(*CELL[1:])
+
+    def stacked_files(s, f):
+        path = scratch_path(s, "stacked-files")
+        for k in range(3):  # each file has its own columns
+            write_stacked(s, f, path, YEAR_LABS[k::3])
+        return his.read_stacked_files(s, path).select(*CELL[1:])
+
+    def write_stacked(s, f, path, cols):
         wide = wide_history(s, f).drop("scope_id")
-        wide = wide.groupBy("Test_Category", "Test_Name").agg(*[F.min(f"`{c}`").alias(c) for c in YEAR_LABS], F.min("Reference_Ranges").alias("Reference_Ranges"))
-        cols = YEAR_LABS
+        wide = wide.groupBy("Test_Category", "Test_Name").agg(*[F.min(f"`{c}`").alias(c) for c in cols], F.min("Reference_Ranges").alias("Reference_Ranges"))
         line = lambda pre, vals: F.concat_ws(",", *[F.lit(v) for v in [*pre, *vals]])
         one = s.range(1)
         title = one.select(F.lit(0).alias("o"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), t.alias("value")) for i, t in enumerate([
@@ -84,12 +93,13 @@ def register() -> None:
         quote = lambda c: F.concat(F.lit('"'), F.coalesce(c, F.lit("")), F.lit('"'))
         body = wide.select(F.lit(1).alias("o"), F.lit(9).alias("i"), F.concat_ws(",", *[quote(F.col(f"`{c}`")) for c in ["Test_Category", "Test_Name", *cols, "Reference_Ranges"]]).alias("value"))
         # one file, as such an export is; its size is that of the test vocabulary
-        title.unionByName(body).coalesce(1).sortWithinPartitions("o", "i").select("value").write.text(path)
-        return his.unpivot_history(his.read_stacked_headers(s, path), "export.csv").select(*CELL[1:])
+        title.unionByName(body).coalesce(1).sortWithinPartitions("o", "i").select("value").write.mode("append").text(path)
 
     SQL.add("flat_cells", """SELECT "Test_Category", "Test_Name", date_lab, min("Result") AS "Result" FROM ycells GROUP BY ALL""", "ycells")
-    query("a02_stacked_headers", """SELECT trim(c."Test_Category") AS "Test_Category", trim(c."Test_Name") AS "Test_Name", string_split(date_lab, '_')[1] AS "Test_Date", string_split(date_lab, '_')[2] AS "Lab_Name", "Result",
-      coalesce(r.ref, 'N/A') AS "Reference_Range" FROM flat_cells c LEFT JOIN (SELECT "Test_Category", "Test_Name", min(ref) AS ref FROM yref GROUP BY ALL) r USING ("Test_Category", "Test_Name")""", "flat_cells", "yref")(stacked)
+    flat = """SELECT trim(c."Test_Category") AS "Test_Category", trim(c."Test_Name") AS "Test_Name", string_split(date_lab, '_')[1] AS "Test_Date", string_split(date_lab, '_')[2] AS "Lab_Name", "Result",
+      coalesce(r.ref, 'N/A') AS "Reference_Range" FROM flat_cells c LEFT JOIN (SELECT "Test_Category", "Test_Name", min(ref) AS ref FROM yref GROUP BY ALL) r USING ("Test_Category", "Test_Name")"""
+    query("a02_stacked_headers", flat, "flat_cells", "yref")(stacked)
+    query("a02_stacked_files", flat, "flat_cells", "yref")(stacked_files)
     query("a03_unpivot", f"SELECT {CELL_SQL} FROM wide_cells", "wide_cells")(lambda s, f: his.unpivot_history(wide_history(s, f), "x.csv", carry=["scope_id"]).select(*CELL))
 
     def variant(s, f):
