@@ -11,6 +11,7 @@ from labtrail.catalog.views import SQL, lab_records, sql_list, sql_text
 from labtrail.functions import names as nm
 from labtrail.functions.basic import n_rows
 from labtrail.operators import looser as lo
+from labtrail.operators import unify as un
 
 QUALIFIER_WORDS = ["Total", "Direct", "Serum Level", "%", "Absolute Count", "/ Ratio", "(Blood)"]
 
@@ -64,3 +65,4 @@ def register() -> None:
     query("p04_looser_dedup", """SELECT scope_id, label_names, readings FROM (SELECT scope_id, count(DISTINCT label) AS label_names, count(DISTINCT (label, date_key)) AS readings FROM
       (SELECT r.scope_id, l.label, coalesce(nullif(trim(r."Test_Date"), ''), 'N/A') AS date_key FROM normalized r JOIN record_keys k ON k.name = r."Test_Name" JOIN looser l ON l.scope_id = r.scope_id AND l.key = k.key) GROUP BY 1)""", "normalized", "record_keys", "looser")(
         lambda s, f: lo.resolve_loosely(lab_records(s, f)).groupBy("scope_id").agg(F.countDistinct(F.array_join("Aliases", "|")).alias("label_names"), n_rows().alias("readings")))
+    query("p06_unify_names")(lambda s, f: un.unify_names(lab_records(s, f)).select("row_ord", "Test_Name", "Test_Category", "Test_Date", "Result", "Patient_ID"))
