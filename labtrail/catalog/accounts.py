@@ -91,9 +91,16 @@ def register() -> None:
     own = "SELECT s.study_id, s.profile_id FROM studies s JOIN profiles p USING (profile_id) WHERE p.owner_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)"
     for key in ("b07_ownership_filter", "j07_access_semi_join"):
         query(key, own, "studies", "profiles")(lambda s, f: stu.accessible_studies(profiles(s, f), studies(s, f), table(s, f, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("owner_id"))).select("study_id", "profile_id"))
-    query("s04_profiles_self_first", "SELECT * FROM profiles", "profiles")(lambda s, f: stu.profiles_self_first(profiles(s, f)))
-    query("a19_reports_of_study", "SELECT study_id, report_id, report_date, uploaded_at FROM reports", "reports")(
-        lambda s, f: reports(s, f).select("study_id", "report_id", "report_date", "uploaded_at").orderBy("study_id", F.col("report_date").asc_nulls_last(), "uploaded_at"))
+    at = lambda key, order: f"CAST(row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS INTEGER) AS place"
+    query("s04_profiles_self_first", f"SELECT *, {at('owner_id', 'CASE WHEN lower(relationship) = \'self\' THEN 0 ELSE 1 END, full_name, profile_id')} FROM profiles", "profiles")(lambda s, f: stu.profiles_self_first(profiles(s, f)))
+    query("a19_reports_of_study", f"SELECT study_id, report_id, report_date, uploaded_at, {at('study_id', 'report_date NULLS LAST, uploaded_at, report_id')} FROM reports", "reports")(
+        lambda s, f: stu.reports_of_study(reports(s, f).select("study_id", "report_id", "report_date", "uploaded_at")))
+    query("a19_profiles_of_owner", f"SELECT c_nationkey AS owner_id, CAST(c_custkey AS VARCHAR) AS profile_id, c_custkey % 9 AS created_at, {at('c_nationkey', 'c_custkey % 9, CAST(c_custkey AS VARCHAR)')} FROM customer")(
+        lambda s, f: stu.profiles_of_owner(table(s, f, "customer").select(F.col("c_nationkey").alias("owner_id"), F.col("c_custkey").cast("string").alias("profile_id"), (F.col("c_custkey") % 9).alias("created_at"))))
+    query("a19_studies_of_profile", f"SELECT study_id, profile_id, {at('profile_id', 'updated_at DESC, created_at DESC, study_id')} FROM studies", "studies")(
+        lambda s, f: stu.studies_of_profile(studies(s, f)).select("study_id", "profile_id", "place"))
+    query("a19_analyses_of_user", f"SELECT user_id, event_id AS id, {at('user_id', 'ts DESC, event_id')} FROM events")(
+        lambda s, f: stu.analyses_of_user(table(s, f, "events").select("user_id", F.col("event_id").alias("id"), F.col("ts").alias("created_at"))).select("user_id", "id", "place"))
 
     def history(s, f):
         o = table(s, f, "orders")

@@ -102,7 +102,7 @@ def register() -> None:
       CASE WHEN abnormal_count / total_count >= 0.5 THEN 'flagged' ELSE 'normal' END AS concern_level, CASE WHEN abnormal_count / total_count >= 0.5 THEN 2 ELSE 1 END AS concern_score
       FROM (SELECT s.scope_id, coalesce(b.part, 'General') AS system, CAST(sum(s.abnormal_count) AS BIGINT) AS abnormal_count, CAST(sum(s.total_tests) AS BIGINT) AS total_count,
       string_agg(DISTINCT s."Test_Category", '|' ORDER BY s."Test_Category") AS categories FROM scores s LEFT JOIN body_t b ON b.category = s."Test_Category" GROUP BY 1, 2)""", "scores", "body_t")
-    query("e04_body_systems", "SELECT * FROM systems", "systems")(lambda s, f: ins.most_concerning_first(ins.body_systems(normalized(s, f))))
+    query("e04_body_systems", "SELECT *, CAST(row_number() OVER (PARTITION BY scope_id ORDER BY concern_score DESC, abnormal_count DESC, system) AS INTEGER) AS place FROM systems", "systems")(lambda s, f: ins.most_concerning_first(ins.body_systems(normalized(s, f))))
     SQL.add("migr", f"""SELECT scope_id, coalesce({d.nz('"Test_Category"')}, 'Other') AS "Test_Category", CAST(greatest(0, floor((count(*) - count(*) FILTER (WHERE {d.ABN_MIGR('"Status"')})) / count(*) * 100 + 0.5)) AS BIGINT) AS score,
       count(*) AS total_tests, count(*) FILTER (WHERE {d.ABN_MIGR('"Status"')}) AS abnormal_count FROM normalized GROUP BY 1, 2""", NZ)
     query("e05_migration_summary", """SELECT m.*, o.overall_score FROM migr m JOIN (SELECT scope_id, CAST(floor(sum(score) / count(*) + 0.5) AS BIGINT) AS overall_score FROM migr GROUP BY 1) o USING (scope_id)""", "migr")(
@@ -111,7 +111,7 @@ def register() -> None:
       SELECT scope_id, coalesce(nullif(trim(category), ''), 'Uncategorized') AS category, count(*) AS total_alerts, count(*) FILTER (WHERE lower(status) = 'critical') AS critical_count,
       count(*) FILTER (WHERE lower(status) IN ('high', 'positive', 'flagged')) AS high_count, count(*) FILTER (WHERE lower(status) = 'low') AS low_count,
       count(*) FILTER (WHERE lower(status) NOT IN ('critical', 'high', 'positive', 'flagged', 'low')) AS normal_count FROM concerns GROUP BY 1, 2)""", "concerns")
-    query("e06_alerts_by_category", "SELECT * FROM alerts", "alerts")(lambda s, f: ins.most_severe_first(ins.alerts_by_category(ins.concerns(normalized(s, f)))))
+    query("e06_alerts_by_category", "SELECT *, CAST(row_number() OVER (PARTITION BY scope_id ORDER BY list_position(['critical', 'high', 'low', 'normal'], severity), total_alerts DESC, category) AS INTEGER) AS place FROM alerts", "alerts")(lambda s, f: ins.most_severe_first(ins.alerts_by_category(ins.concerns(normalized(s, f)))))
     SQL.add("atrend", f"""SELECT scope_id, coalesce({d.nz('"Test_Date"')}, 'Unknown') AS date, count(*) FILTER (WHERE {d.ABN_PANEL('"Status"')}) AS alert_count, count(*) AS total_count FROM lab_records GROUP BY 1, 2""", L)
     query("e09_alert_trend", "SELECT * FROM atrend", "atrend")(lambda s, f: ins.alert_trend(lab_records(s, f)))
     query("e10_category_comparison", f"""SELECT scope_id, "Test_Category" AS category, count(*) AS alerts FROM normalized WHERE {d.ABN_PANEL('"Status"')} GROUP BY ALL""", NZ)(

@@ -146,17 +146,19 @@ def register() -> None:
         lambda s, f: res.cluster_facts(normalized(s, f), ["scope_id", "_cluster"]).select("scope_id", F.col("_cluster").alias("cluster"), F.col("_canonical").alias("name"), F.col("_resolved").alias("category")))
 
     # order and sets
-    query("s01_sort_by_date", f"""SELECT row_ord, {d.date_day_first('"Test_Date"')} AS "Test_Date_dt", "Test_Category", "Test_Name" FROM lab_records""", L)(
-        lambda s, f: rec.in_date_order(rec.with_typed_columns(lab_records(s, f))).select("row_ord", "Test_Date_dt", "Test_Category", "Test_Name"))
-    query("s02_sort_resolved", 'SELECT scope_id, "Test_Date", "Test_Name", row_ord FROM resolved', "resolved")(
-        lambda s, f: res.in_report_order(resolved(s, f)).select("scope_id", "Test_Date", "Test_Name", "row_ord"))
+    query("s01_sort_by_date", f"""SELECT *, CAST(row_number() OVER (PARTITION BY scope_id ORDER BY "Test_Date_dt" NULLS LAST, "Test_Category" NULLS LAST, "Test_Name" NULLS LAST, row_ord) AS INTEGER) AS place
+      FROM (SELECT scope_id, row_ord, {d.date_day_first('"Test_Date"')} AS "Test_Date_dt", "Test_Category", "Test_Name" FROM lab_records)""", L)(
+        lambda s, f: rec.in_date_order(rec.with_typed_columns(lab_records(s, f))).select("scope_id", "row_ord", "Test_Date_dt", "Test_Category", "Test_Name", "place"))
+    query("s02_sort_resolved", f'''SELECT scope_id, "Test_Date", "Test_Name", row_ord, CAST(row_number() OVER (PARTITION BY scope_id ORDER BY {d.sort_date('"Test_Date"')} NULLS LAST, "Test_Name", row_ord) AS INTEGER) AS place FROM resolved''', "resolved")(
+        lambda s, f: res.in_report_order(resolved(s, f)).select("scope_id", "Test_Date", "Test_Name", "row_ord", "place"))
     tree = f"""SELECT scope_id, category, "Test_Name", row_ord, CASE WHEN {d.ABN_TREE('"Status"')} THEN 0 ELSE 1 END AS abnormal_rank,
       CASE WHEN lower("Status") = 'critical' THEN 0 WHEN lower("Status") IN ('high','positive','flagged') THEN 1 WHEN lower("Status") IN ('low','insufficient') THEN 2
       WHEN lower("Status") IN ('normal','negative') THEN 3 ELSE 4 END AS severity_rank, {d.client_date('"Test_Date"')} AS day,
       CAST(sum(CASE WHEN {d.ABN_TREE('"Status"')} THEN 1 ELSE 0 END) OVER (PARTITION BY scope_id, category) AS BIGINT) AS alert_count
       FROM (SELECT *, coalesce({d.nz('"Test_Category"')}, 'Uncategorized') AS category FROM lab_records WHERE "Test_Name" <> 'N/A')"""
-    for key in ("e41_category_tree", "s05_tree_sort"):
-        query(key, tree, L)(lambda s, f: rec.in_tree_order(rec.organized_tree(lab_records(s, f))))
+    query("e41_category_tree", tree, L)(lambda s, f: rec.organized_tree(lab_records(s, f)))
+    query("s05_tree_sort", f"""SELECT *, CAST(row_number() OVER (PARTITION BY scope_id ORDER BY alert_count DESC, category, abnormal_rank, severity_rank, day NULLS LAST, "Test_Name", row_ord) AS INTEGER) AS place FROM ({tree})""", L)(
+        lambda s, f: rec.in_tree_order(rec.organized_tree(lab_records(s, f))))
 
     def halves(s, f):
         r = lab_records(s, f)

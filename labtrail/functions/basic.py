@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WHITESPACE = " \t\n\r\x0b\x0c"
@@ -40,6 +40,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def placed(df: DataFrame, keys: str | list[str], *order: Column | str) -> DataFrame:
+    """Rows with ``place``, their number in their group's order.  Written tables
+    have no order of their own; a place costs one shuffle by the group and no
+    sampling, and readers sort by it what they show."""
+    keys = [keys] if isinstance(keys, str) else keys
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
 def blank_to_null(c: Column) -> Column:
     """Trimmed text, null when nothing is left."""
     return F.nullif(strip(c), F.lit(""))

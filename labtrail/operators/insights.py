@@ -14,7 +14,7 @@ from labtrail.functions.basic import n_rows
 from labtrail import fixed_values as fv
 from labtrail.functions import status as st
 from labtrail.functions import values as va
-from labtrail.functions.basic import blank_to_null, constant_rows
+from labtrail.functions.basic import blank_to_null, constant_rows, placed
 from labtrail.functions.text import clean_lab
 from labtrail.operators.resolve import ORDER, SCOPE
 
@@ -112,7 +112,7 @@ def body_system_tests(records: DataFrame, scope: list[str] | None = None) -> Dat
 
 
 def most_concerning_first(systems: DataFrame) -> DataFrame:
-    return systems.orderBy(SCOPE, F.desc("concern_score"), F.desc("abnormal_count"), "system")
+    return placed(systems, SCOPE, F.desc("concern_score"), F.desc("abnormal_count"), "system")
 
 
 def migration_category_scores(records: DataFrame, scope: list[str] | None = None) -> DataFrame:
@@ -153,7 +153,7 @@ def alerts_by_category(concern_rows: DataFrame, scope: list[str] | None = None)
 
 def most_severe_first(alerts: DataFrame) -> DataFrame:
     rank = F.expr("array_position(array('critical', 'high', 'low', 'normal'), severity)")
-    return alerts.orderBy(SCOPE, rank, F.desc("total_alerts"), "category")
+    return placed(alerts, SCOPE, rank, F.desc("total_alerts"), "category")
 
 
 def critical_total(alerts: DataFrame, scope: list[str] | None = None) -> DataFrame:

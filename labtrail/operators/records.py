@@ -10,7 +10,7 @@ from labtrail.functions.basic import n_rows
 from labtrail.functions import status as st
 from labtrail.functions import text as tx
 from labtrail.functions import values as va
-from labtrail.functions.basic import blank_to_null
+from labtrail.functions.basic import blank_to_null, placed
 from labtrail.operators.insights import body_parts
 from labtrail.operators.resolve import ORDER, SCOPE
 from labtrail.schema import union_padded
@@ -29,8 +29,8 @@ def with_typed_columns(df: DataFrame) -> DataFrame:
 
 
 def in_date_order(df: DataFrame) -> DataFrame:
-    return df.orderBy(
-        F.col("Test_Date_dt").asc_nulls_last(), F.col("Test_Category").asc_nulls_last(),
+    return placed(
+        df, SCOPE, F.col("Test_Date_dt").asc_nulls_last(), F.col("Test_Category").asc_nulls_last(),
         F.col("Test_Name").asc_nulls_last(), ORDER,
     )
 
@@ -223,7 +223,7 @@ def organized_tree(df: DataFrame, scope: list[str] | None = None) -> DataFrame:
 
 
 def in_tree_order(tree: DataFrame) -> DataFrame:
-    return tree.orderBy(
-        SCOPE, F.desc("alert_count"), "category", "abnormal_rank", "severity_rank",
+    return placed(
+        tree, SCOPE, F.desc("alert_count"), "category", "abnormal_rank", "severity_rank",
         F.col("day").asc_nulls_last(), "Test_Name", ORDER,
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from labtrail import fixed_values as fv
 from labtrail.functions import names as nm
 from labtrail.functions import values as va
-from labtrail.functions.basic import blank_to_null, strip
+from labtrail.functions.basic import blank_to_null, placed, strip
 from labtrail.functions.status import normalize_status
 from labtrail.operators.dictionary import with_derived
 
@@ -197,6 +197,6 @@ def resolve_records(df: DataFrame, scope: list[str] | None = None) -> DataFrame:
 
 def in_report_order(df: DataFrame, scope: str = SCOPE) -> DataFrame:
     """Date order with unknown dates last, then test name."""
-    return df.orderBy(
-        scope, va.parse_sort_date(F.col("Test_Date")).asc_nulls_last(), "Test_Name", ORDER
+    return placed(
+        df, scope, va.parse_sort_date(F.col("Test_Date")).asc_nulls_last(), "Test_Name", ORDER
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labtrail.functions.basic import n_rows
 
-from labtrail.functions.basic import blank_to_null
+from labtrail.functions.basic import blank_to_null, placed
 
 
 
@@ -57,7 +57,26 @@ def accessible_studies(profiles: DataFrame, studies: DataFrame, access: DataFram
 
 
 def profiles_self_first(profiles: DataFrame) -> DataFrame:
-    return profiles.orderBy("owner_id", F.when(F.lower("relationship") == "self", 0).otherwise(1), "full_name")
+    return placed(profiles, "owner_id", F.when(F.lower("relationship") == "self", 0).otherwise(1), "full_name", "profile_id")
+
+
+def reports_of_study(reports: DataFrame) -> DataFrame:
+    """Dated reports first, oldest first."""
+    return placed(reports, "study_id", F.col("report_date").asc_nulls_last(), "uploaded_at", "report_id")
+
+
+def profiles_of_owner(profiles: DataFrame) -> DataFrame:
+    return placed(profiles, "owner_id", "created_at", "profile_id")
+
+
+def studies_of_profile(studies: DataFrame) -> DataFrame:
+    """Most recently changed first."""
+    return placed(studies, "profile_id", F.desc("updated_at"), F.desc("created_at"), "study_id")
+
+
+def analyses_of_user(history: DataFrame) -> DataFrame:
+    """Newest first."""
+    return placed(history, "user_id", F.desc("created_at"), "id")
 
 
 def history_rows(history: DataFrame) -> DataFrame:
