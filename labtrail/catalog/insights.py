@@ -134,6 +134,8 @@ def register() -> None:
       coalesce(fl, 0) AS flagged_systems, coalesce(no, 0) AS normal_systems FROM (SELECT scope_id, CAST(floor(sum({d.weight('"Status"', 0)}) / count(*)) AS BIGINT) AS overall_score FROM normalized GROUP BY 1) o
       LEFT JOIN (SELECT scope_id, count(*) FILTER (WHERE concern_level = 'flagged') AS fl, count(*) FILTER (WHERE concern_level = 'normal') AS no FROM systems GROUP BY 1) y USING (scope_id)""", NZ, "systems")(
         lambda s, f: (lambda r: ins.score_band(ins.overall_score(r), ins.body_systems(r)))(normalized(s, f)))
+    query("e46_first_concerns", "SELECT *, CAST(row_number() OVER (PARTITION BY scope_id ORDER BY row_ord) AS INTEGER) AS place FROM concerns QUALIFY place <= 8", "concerns")(
+        lambda s, f: ins.first_concerns(ins.concerns(normalized(s, f))))
     query("e46_critical_total", """SELECT a.scope_id, CAST(sum(critical_count) AS BIGINT) AS critical_total, any_value(r.n) AS report_count FROM alerts a
       JOIN (SELECT scope_id, greatest(1, count(DISTINCT "Source_Filename")) AS n FROM lab_records GROUP BY 1) r ON r.scope_id = a.scope_id GROUP BY 1""", "alerts", L)(
         lambda s, f: ins.critical_total(ins.alerts_by_category(ins.concerns(normalized(s, f)))).join(ins.distinct_reports(lab_records(s, f)), "scope_id"))

@@ -76,5 +76,7 @@ def register() -> None:
     query("j10_name_conflicts", "SELECT * FROM name_pairs", "name_pairs")(lambda s, f: pt.name_conflicts(infos(s, f)))
     query("m21_most_common_or_latest", "SELECT g.scope_id, l.v AS lab_name, coalesce(strftime(g.dy, '%d-%m-%Y'), 'N/A') AS date FROM i_dated g LEFT JOIN i_lab_name l USING (scope_id)", "i_dated", "i_lab_name")(
         lambda s, f: pt.consolidate(infos(s, f)).select("scope_id", F.nullif(F.col("lab_name"), F.lit("N/A")).alias("lab_name"), "date"))
-    for key in ("w09_age_on_latest_report", "w10_latest_dated_row"):
+    query("w10_latest_dated_row", f"""SELECT scope_id, row_ord, name, age, gender, patient_id, date, lab_name, report_id FROM (SELECT *, {d.date_day_first('date')} AS dy FROM infos)
+      WHERE dy IS NOT NULL QUALIFY row_number() OVER (PARTITION BY scope_id ORDER BY dy DESC, row_ord) = 1""", "infos")(lambda s, f: pt.latest_line(infos(s, f)))
+    for key in ("w09_age_on_latest_report",):
         query(key, "SELECT scope_id, dated_age, first_age, dy AS day FROM i_dated", "i_dated")(lambda s, f: pt.dated_facts(infos(s, f)).drop("has_date"))

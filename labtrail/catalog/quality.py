@@ -147,8 +147,6 @@ def register() -> None:
         top = tl.snapshot(found, 10).groupBy("scope_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "canonical"))), lambda x: x["canonical"]).alias("findings"))
         ask = top.select(F.col("scope_id").alias("question_id"), F.lit("what should i do next about my sugar history").alias("query"), "findings")
         hits = gl.retrieve(ask, F.lit(AS_OF).cast("date")).groupBy(F.col("question_id").alias("scope_id")).agg(F.array_join(F.array_sort(F.collect_list(F.format_string("%d %s", "rank", "id"))), "; ").alias("guidelines"))
-        span = tl.date_range(found)
-        persist = tl.persistent_concerns(found).groupBy("scope_id").agg(n_rows().alias("persistent_concerns"))
-        return span.join(persist, "scope_id", "left").join(hits, "scope_id", "left")
+        return tl.prompt_parts(found).join(hits, "scope_id", "left")
 
     query("p12_chat_context")(context)

@@ -64,6 +64,11 @@ def concerns(records: DataFrame, scope: list[str] | None = None) -> DataFrame:
     )
 
 
+def first_concerns(concern_rows: DataFrame, k: int = 8, scope: list[str] | None = None) -> DataFrame:
+    """The first concerns of each scope, numbered; ranks are cut before the shuffle."""
+    return placed(concern_rows, scope or [SCOPE], ORDER).where(F.col("place") <= k)
+
+
 def body_parts(category: Column) -> Column:
     """Body parts of a category; ``General`` for one the table lacks."""
     rows = constant_rows("c string, p array<string>", fv.BODY_PARTS)

@@ -69,6 +69,14 @@ def dated_facts(infos: DataFrame) -> DataFrame:
     )
 
 
+def latest_line(infos: DataFrame) -> DataFrame:
+    """The whole patient line of the most recent dated report; the first one on a tie."""
+    day = va.parse_date_day_first(given(F.col("date")))
+    line = F.struct(*[c for c in infos.columns if c != SCOPE])
+    at = F.when(day.isNotNull(), F.struct((-F.unix_date(day)).alias("d"), F.col(ORDER).alias("o")))
+    return infos.groupBy(SCOPE).agg(F.min_by(line, at).alias("r")).where("r IS NOT NULL").select(SCOPE, "r.*")
+
+
 def consolidate(infos: DataFrame, smart: bool = False) -> DataFrame:
     """One patient line per scope.  ``smart`` is the rule used after a name
     conflict: empty normalized names are ignored and an age needs a date."""

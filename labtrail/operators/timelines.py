@@ -124,6 +124,43 @@ def persistent_concerns(findings: DataFrame, keep: int = 12) -> DataFrame:
     )
 
 
+def finding_line(name: Column, value: Column, unit: Column) -> Column:
+    return F.concat(name, F.lit(": "), value, F.when(unit != "", F.concat(F.lit(" "), unit)).otherwise(""))
+
+
+def recent_timeline(findings: DataFrame, keep: int = 12, preview: int = 8) -> DataFrame:
+    """The last reports of a scope, oldest first (``place``), with the first
+    findings of each that aren't normal."""
+    keys = [SCOPE, "date", "lab"]
+    kept = last_reports(findings, keep).withColumn("place", F.row_number().over(Window.partitionBy(SCOPE).orderBy("day", "_first")))
+    w = Window.partitionBy(*keys).orderBy(ORDER)
+    shown = findings.where("severity <> 'NORMAL'").withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= preview)
+    line = F.concat(finding_line(F.col("name"), F.col("value"), F.col("unit")), F.lit(" ("), F.col("severity"), F.lit(")"))
+    lines = shown.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", line.alias("t")))), lambda s: s["t"]), ", ").alias("abnormal"))
+    return kept.join(lines, keys, "left").select(*keys, "place", "tests", F.coalesce("abnormal", F.lit("None")).alias("abnormal"))
+
+
+def prompt_parts(findings: DataFrame, keep: int = 12, preview: int = 8, values: int = 40) -> DataFrame:
+    """What a chat about a scope is told: its reports, lasting concerns and latest values, as lines."""
+    def joined(rows: DataFrame, order: list[Column], line: Column, name: str, sep: str) -> DataFrame:
+        key = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], line.alias("t"))
+        return rows.groupBy(SCOPE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x["t"]), sep).alias(name))
+
+    recent = recent_timeline(findings, keep, preview)
+    told = F.concat(
+        F.lit("Date: "), F.col("date"), F.lit(" | Lab: "), F.col("lab"), F.lit("\nTests performed: "), F.col("tests").cast("string"),
+        F.lit("\nAbnormal findings: "), F.col("abnormal"),
+    )
+    reports = joined(recent, [F.col("place")], told, "timeline", "\n---\n")
+    lasting = persistent_concerns(findings, keep)
+    concern = F.concat(F.col("canonical"), F.lit(" (abnormal in "), F.col("abnormal_reports").cast("string"), F.lit(" reports)"))
+    concerns = joined(lasting, [-F.col("abnormal_reports"), F.col("canonical")], concern, "persistent", "\n")
+    latest = snapshot(findings, values)
+    value = F.concat(finding_line(F.col("canonical"), F.col("latest_value"), F.col("unit")), F.lit(" ["), F.col("latest_status"), F.lit("] as of "), F.col("latest_date"))
+    newest = joined(latest, [F.col("rank")], value, "latest_values", "\n")
+    return date_range(findings).join(reports, SCOPE, "left").join(concerns, SCOPE, "left").join(newest, SCOPE, "left").withColumn("persistent", F.coalesce("persistent", F.lit("None")))
+
+
 def date_range(findings: DataFrame) -> DataFrame:
     """Report count, laboratories and first / last dated report."""
     reports = chat_reports(findings)
