@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from labtrail.session import materialize
 
-__all__ = ["materialize", "table", "free_name", "row_batches", "arrow_schema", "null_safe", "parts_for"]
+__all__ = ["materialize", "table", "free_name", "row_batches", "arrow_schema", "parts_for"]
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -28,10 +27,6 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def null_safe(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
-
-
 def parts_for(rows: int, each: int) -> int:
     """How many groups of about ``each`` rows hold ``rows`` rows; at least one."""
     return max(1, -(-rows // each))
