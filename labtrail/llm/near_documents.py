@@ -108,11 +108,14 @@ def groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY)
                 alike.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(alike))
 
-    printed = materialize(docs.select("class", "text").mapInArrow(prints, "class binary, fingerprint long, bags array<long>"), "bag-prints")
+    printed = docs.select("class", "text").mapInArrow(prints, "class binary, fingerprint long, bags array<long>")
+    # equal texts have equal prints: one row a class
+    printed = printed.groupBy("class").agg(F.first("fingerprint").alias("fingerprint"), F.first("bags").alias("bags"))
+    printed = materialize(printed, "bag-prints")
     points = materialize(printed.select("fingerprint").distinct(), "points")
     linked = printed.select("class", "fingerprint").join(simhash.link(points), "fingerprint", "left")
-    whole = linked.select("class", F.coalesce("label", "fingerprint").alias("print")).distinct()
-    bags = printed.select("class", F.explode("bags").alias("print")).distinct()
+    whole = linked.select("class", F.coalesce("label", "fingerprint").alias("print"))
+    bags = printed.select("class", F.explode("bags").alias("print"))
     pairs = materialize(_pairs(bags, "print").union(_pairs(whole, "print")).distinct(), "candidate-pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     compared = docs.select("class", "text").join(asked, "class", "left_semi").mapInArrow(sets, "class binary, shingles binary")
@@ -131,13 +134,16 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARIT
     after all others, ties go to the smaller hash of the text, and of rows with
     that doc_id and that text one stays.  An empty table stays empty.
     """
-    class_, key = free_name(docs, "class"), free_name(docs, "first")
+    class_, key, without = free_name(docs, "class"), free_name(docs, "first"), free_name(docs, "without_id")
     named = docs.withColumn(class_, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     plain = named.select(F.col("doc_id"), F.col(class_).alias("class"), "text")
     firsts = materialize(plain.groupBy("class").agg(F.min("doc_id").alias("first")), "classes")
     labels = groups(plain, size, similarity)
     ranked = firsts.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     best = ranked.groupBy("label").agg(F.min(F.struct(F.col("first").isNull(), "first", "class")).alias("best"))
-    stay = best.select(F.col("best.class").alias("stay_class"), F.col("best.first").alias(key))
-    met = named.join(stay, (F.col(class_) == F.col("stay_class")) & F.col("doc_id").eqNullSafe(F.col(key)))
-    return met.dropDuplicates([class_, "doc_id"]).select(*docs.columns)
+    # plain keys, so that the join's shuffle serves the last step too
+    keys = [class_, key, without]
+    plain_key = lambda c: [F.coalesce(c, F.lit(0)).alias(key), c.isNull().alias(without)]
+    stay = best.select(F.col("best.class").alias(class_), *plain_key(F.col("best.first")))
+    met = named.select("*", *plain_key(F.col("doc_id"))).join(stay, keys, "left_semi")
+    return met.dropDuplicates(keys).select(*docs.columns)
