@@ -33,7 +33,7 @@ GROUP_ROWS = 2000
 #: Full windows in one shuffled row at most, if ids are shuffled.
 WINDOWS_PER_ROW = 32
 #: Spellings remembered by one Python worker.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
