@@ -10,11 +10,15 @@ have over a third of their bags in common, and so one of sixteen nearly always.
 Texts whose sizes lie on both sides of a step of k have bags of both.
 
 Candidates are texts with a bag fingerprint in common, and those that the
-vantage-point search links by their whole fingerprints.  Each candidate is
+vantage-point search links by their whole fingerprints.  First each candidate is
 compared with one text of what they have in common, the first of that bag, and
-with one more, chosen by a hash: pairs grow with the number of texts, however
-large a group is.  The links that the exact comparison confirms are joined to
-groups.
+with one more, chosen by a hash, which joins most groups at little cost.  Then
+all that share a bag and are still in different groups are compared: the texts
+of such a bag are dealt to blocks, every two blocks meet in one task, and the
+task searches from group to group over an index of its shingles.  The largest
+group of a bag meets the other texts of it, not itself.  So no pair of a bag is
+left out, and neither is a bag held in one task.  The links that the exact
+comparison confirms are joined to groups.
 
 Texts that are equal are one class throughout, named by a 128-bit hash.
 """
@@ -36,6 +40,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BAG = 4
 BAGS = 16
+#: Texts, and shingles of texts, of about one block of a bag.
+BLOCK = 1_000
+BLOCK_SHINGLES = 1 << 20
 
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> tuple[np.ndarray, int]:
@@ -84,15 +91,78 @@ def _pairs(held: DataFrame, name: str) -> DataFrame:
     return met.where("a != b")
 
 
-def groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def _blocks(held: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+    """(print, i, j, own, class, label) of the bags whose texts are in several groups and weren't all compared.
+
+    Block i of the texts outside of the bag's largest group meets the other
+    such blocks (``own``), and every block j of that group.
+    """
+    named = held.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    each = named.groupBy("print", "label").agg(
+        F.count("*").alias("n"), F.sum("size").alias("w"), F.min("class").alias("b1"), F.min(F.struct(F.xxhash64("class", "print"), "class")).alias("b2")
+    )
+    bags = each.groupBy("print").agg(
+        F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("groups"), F.max(F.struct("n", "w", "label")).alias("top"),
+        F.min("b1").alias("b1"), F.min("b2").alias("b2"),
+    )
+    # two texts, and three with two different partners, have met all others
+    bags = bags.where("groups > 1 and (n > 3 or (n = 3 and b1 = b2.class))")
+    parts = lambda n, w: F.greatest(F.ceil(n / block), F.ceil(w / BLOCK_SHINGLES), F.lit(1))
+    bags = bags.select(
+        "print", F.col("top.label").alias("top"), parts(F.col("top.n"), F.col("top.w")).alias("tops"), parts(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("others")
+    )
+    met = named.join(bags, "print")
+    number = lambda parts: F.pmod(F.xxhash64("class", F.lit("block")), F.col(parts))
+    each_of = lambda parts, at: F.transform(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1), at)
+    place = lambda i, j, own: F.struct(i.alias("i"), j.alias("j"), F.lit(own).alias("own"))
+    mine = number("others")
+    # a block meets itself wherever it meets one of the largest group
+    others = F.filter(each_of("others", lambda k: place(F.least(k, mine), F.greatest(k, mine), True)), lambda x: x.i < x.j)
+    others = F.concat(others, each_of("tops", lambda k: place(mine, k, False)))
+    tops = each_of("others", lambda k: place(k, number("tops"), False))
+    return met.select("print", "class", "label", F.explode(F.when(F.col("label") == F.col("top"), tops).otherwise(others)).alias("at")).select("print", "at.*", "class", "label")
+
+
+def joining_pairs(sets: list[np.ndarray], groups: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of similar sets that join all groups with a pair of similar sets between them.
+
+    A search from set to set; the sets it has reached aren't looked at again.
+    """
+    sizes = np.array([len(x) for x in sets])
+    _, ids, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owners = np.repeat(np.arange(len(sets)), sizes)[np.argsort(ids, kind="stable")]
+    starts, ends = np.cumsum(often) - often, np.cumsum(sizes)
+    members = {g: np.flatnonzero(groups == g) for g in np.unique(groups)}
+    left, found = np.ones(len(sets), bool), []
+    for root in range(len(sets)):
+        if not left[root]:
+            continue
+        asked = list(members[groups[root]])
+        left[asked] = False
+        while asked and left.any():
+            k = asked.pop()
+            own = ids[ends[k] - sizes[k] : ends[k]]
+            n = often[own]
+            at = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            both = np.bincount(owners[at], minlength=len(sets))
+            for j in np.flatnonzero(left & (both >= similarity * (sizes + sizes[k] - both) - 1e-9)):
+                if left[j]:
+                    found.append((k, j))
+                    more = members[groups[j]]
+                    left[more] = False
+                    asked += list(more)
+    return found
+
+
+def groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(class, label) of the classes that are near duplicates of another; ``docs`` has ``class`` and ``text``."""
-    printed_schema, set_schema = arrow_schema("class binary, fingerprint long, bags array<long>"), arrow_schema("class binary, shingles binary")
+    printed_schema, set_schema = arrow_schema("class binary, fingerprint long, bags array<long>, size long"), arrow_schema("class binary, shingles binary")
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_batches(batches):
             found = [shingle_set(t, size) for t in batch.column(1).to_pylist()]
             bags = [bag_fingerprints(own, similarity) for own, _ in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p for _, p in found], pa.int64()), pa.array(bags, pa.list_(pa.int64()))], schema=printed_schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p for _, p in found], pa.int64()), pa.array(bags, pa.list_(pa.int64())), pa.array([len(own) for own, _ in found], pa.int64())], schema=printed_schema)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_batches(batches):
@@ -108,21 +178,37 @@ def groups(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY)
                 alike.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(alike))
 
-    printed = docs.select("class", "text").mapInArrow(prints, "class binary, fingerprint long, bags array<long>")
+    def join_blocks(table: pa.Table) -> pa.Table:
+        names, labels = table.column("class").to_pylist(), table.column("label").to_pylist()
+        at = {g: k for k, g in enumerate(dict.fromkeys(labels))}
+        held = [np.frombuffer(x, "<u8") for x in table.column("shingles").to_pylist()]
+        found = joining_pairs(held, np.array([at[g] for g in labels]), similarity)
+        return pa.Table.from_arrays([pa.array([names[k] for k, _ in found], pa.binary()), pa.array([names[j] for _, j in found], pa.binary())], names=["a", "b"])
+
+    printed = docs.select("class", "text").mapInArrow(prints, "class binary, fingerprint long, bags array<long>, size long")
     # equal texts have equal prints: one row a class
-    printed = printed.groupBy("class").agg(F.first("fingerprint").alias("fingerprint"), F.first("bags").alias("bags"))
+    printed = printed.groupBy("class").agg(F.first("fingerprint").alias("fingerprint"), F.first("bags").alias("bags"), F.first("size").alias("size"))
     printed = materialize(printed, "bag-prints")
     points = materialize(printed.select("fingerprint").distinct(), "points")
-    linked = printed.select("class", "fingerprint").join(simhash.link(points), "fingerprint", "left")
-    whole = linked.select("class", F.coalesce("label", "fingerprint").alias("print"))
-    bags = printed.select("class", F.explode("bags").alias("print"))
-    pairs = materialize(_pairs(bags, "print").union(_pairs(whole, "print")).distinct(), "candidate-pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    compared = docs.select("class", "text").join(asked, "class", "left_semi").mapInArrow(sets, "class binary, shingles binary")
-    compared = materialize(compared.groupBy("class").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+    linked = printed.select("class", "size", "fingerprint").join(simhash.link(points), "fingerprint", "left")
+    whole = linked.select("class", "size", F.coalesce("label", "fingerprint").alias("print"))
+    bags = printed.select("class", "size", F.explode("bags").alias("print"))
+    held = materialize(bags.union(whole).distinct(), "bag-members")
+    pairs = materialize(_pairs(held, "print").distinct(), "candidate-pairs")
+
+    def sets_of(asked: DataFrame, name: str) -> DataFrame:
+        found = docs.select("class", "text").join(asked.distinct(), "class", "left_semi").mapInArrow(sets, "class binary, shingles binary")
+        return materialize(found.groupBy("class").agg(F.first("shingles").alias("shingles")), name)
+
+    compared = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("class")), "shingle-sets")
     left = pairs.join(compared.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a")
     met = left.join(compared.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-    return connected(met.mapInArrow(compare, "a binary, b binary")).withColumnRenamed("node", "class")
+    labels = materialize(connected(met.mapInArrow(compare, "a binary, b binary")), "first-groups")
+    rest = materialize(_blocks(held, labels, block), "blocks")
+    dealt = rest.join(sets_of(rest.select("class"), "block-sets"), "class")
+    joined = dealt.groupBy("print", "i", "j", "own").applyInArrow(join_blocks, "a binary, b binary")
+    links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(joined)
+    return connected(links).withColumnRenamed("node", "class")
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

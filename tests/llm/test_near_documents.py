@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from labtrail.llm import near_documents as N
 
@@ -82,3 +83,44 @@ def test_bags_of_similar_sets_meet():
             met.append(bool(set(N.bag_fingerprints(a)) & set(N.bag_fingerprints(b))))
     assert np.mean(met) > 0.98
     assert not set(N.bag_fingerprints(np.unique(rng.integers(0, 2**63, 400, np.uint64)))) & set(N.bag_fingerprints(np.unique(rng.integers(0, 2**63, 400, np.uint64))))
+
+
+def star(variants, seed=4):
+    """A text and copies of it that are nearer to it than to each other: about 0.85, and 0.73."""
+    rng = random.Random(seed)
+    base = [f"own{k}" for k in range(604)]
+    rows = [(0, " ".join(base))]
+    for n in range(1, variants + 1):
+        copy = list(base)
+        for k in rng.sample(range(30), 10):
+            copy[20 * k + rng.randrange(8)] = f"new{n}x{k}"
+        rows.append((n, " ".join(copy)))
+    return rows
+
+
+def test_every_two_of_a_bag_are_compared(spark):
+    rows = star(300)
+    assert min(jaccard(rows[0][1], t) for _, t in rows) >= 0.8 and sum(jaccard(rows[n][1], rows[n + 1][1]) >= 0.8 for n in range(1, 300)) == 0
+    df = spark.createDataFrame([(*r, "c", "f") for r in rows], SCHEMA)
+    assert [r.doc_id for r in N.keep_one(df).collect()] == [0]
+    # blocks smaller than the bags
+    classes = df.select(F.unhex(F.md5("text")).alias("class"), "text")
+    labels = N.groups(classes, block=40).collect()
+    assert len(labels) == 301 and len({bytes(r.label) for r in labels}) == 1
+
+
+def test_joining_pairs_reach_all_that_are_similar():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 14, 9, np.uint64)) for _ in range(120)] + [np.zeros(0, np.uint64)] * 2
+    given = np.array([k if k > 20 else k % 3 for k in range(len(sets))])
+
+    def components(pairs):
+        low = given.copy()
+        for i, j in pairs:
+            low[low == low[j]] = low[i]
+        return [frozenset(np.flatnonzero(low == g)) for g in low]
+
+    alike = [(i, j) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    found = N.joining_pairs(sets, given, 0.8)
+    assert components(found) == components(alike) and len(set(components(alike))) > 2
+    assert set(found) <= {p for i, j in alike for p in ((i, j), (j, i))}
