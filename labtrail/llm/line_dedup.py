@@ -1,4 +1,4 @@
-"""Removal of repeated passages of lines, by content-defined chunks.  DataFrame functions only.
+"""Removal of repeated passages of lines, by content-defined chunks and runs of lines.  DataFrame functions only.
 
 A text is a list of lines, each with a 64-bit hash.  A rolling hash over the
 hashes of ``window`` lines marks lines that are 0 modulo ``average_lines``; a
@@ -13,9 +13,18 @@ is left between others is compared, and removed, together with the chunk before
 it (at the beginning of a text: after it), so that a copied document leaves no
 crumbs.
 
+The borders of a chunk may lie outside of a passage.  So for each line that is
+neither blank nor long, the shortest runs of lines that begin and that end with
+it and have more than ``long_line`` words are compared as well: any repeated
+passage of so many words in lines that aren't long is a union of such runs,
+wherever it is cut.  A long line ends a run, blank lines don't count.  A run is
+named by two 64-bit hashes of its text, and its lines are removed everywhere but
+at the first place of the run.  Where a run overlaps its own first place, only
+the lines behind that go.
+
 Shuffles: the distinct chunk texts of each task once, for the comparison;
 hashes of chunks, to find the places of repeated ones; and the texts once, to
-meet the places to remove.  Counts are summed within tasks before they are
+meet the places to remove.  Of runs only the hashes are shuffled.  Counts are summed within tasks before they are
 shuffled, so a passage that a third of all documents share costs one row a task.
 """
 
@@ -40,9 +49,9 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def chunks_of(text: Column, average_lines: int = AVERAGE_LINES, window: int = WINDOW, long_line: int = LONG_LINE) -> Column:
-    """The chunks of a text in order, joined by line breaks the text again: array of (text, unit).
+    """The chunks of a text in order, joined by line breaks the text again: array of (text, unit, begin, end).
 
-    ``unit`` is what is compared for the chunk, null if it is never removed.
+    ``unit`` is what is compared for the chunk, null if it is never removed; ``begin`` and ``end`` are its first and last line.
     """
 
     def cut(lines: Column, hashes: Column, long: Column) -> Column:
@@ -69,6 +78,8 @@ def chunks_of(text: Column, average_lines: int = AVERAGE_LINES, window: int = WI
                 F.array_join(own, "\n").alias("text"),
                 F.get(long, e).alias("long"),
                 F.size(F.filter(own, lambda x: F.trim(x) != "")).alias("written"),
+                begin.alias("begin"),
+                e.alias("end"),
             ),
         )
 
@@ -77,7 +88,7 @@ def chunks_of(text: Column, average_lines: int = AVERAGE_LINES, window: int = WI
         beside = F.when(k > 0, F.when(before.written > 0, F.concat(before.text, F.lit("\n"), c.text))).otherwise(
             F.when(after.written > 0, F.concat(c.text, F.lit("\n"), after.text))
         )
-        return F.struct(c.text.alias("text"), F.when(c.long | (c.written > 1), c.text).when(c.written == 1, beside).alias("unit"))
+        return F.struct(c.text.alias("text"), F.when(c.long | (c.written > 1), c.text).when(c.written == 1, beside).alias("unit"), c.begin.alias("begin"), c.end.alias("end"))
 
     # a word more than long_line needs as many spaces: most lines are told by their length
     words = lambda x: (F.length(x) > 2 * long_line) & (F.size(F.split(F.trim(x), r"\s+")) > long_line)
@@ -87,13 +98,55 @@ def chunks_of(text: Column, average_lines: int = AVERAGE_LINES, window: int = WI
     )
 
 
+def runs_of(text: Column, long_line: int = LONG_LINE) -> Column:
+    """The shortest runs of more than ``long_line`` words from and up to each line: array of (h1, h2, begin, end)."""
+    most = long_line + 1
+    # a line's words, its number, or more words than a run can have if it is long
+    stop = 4 * most
+    words = lambda x: F.size(F.split(F.trim(x), r"\s+"))
+    count = lambda x: let(words(x), lambda n: F.when((F.length(x) > 2 * long_line) & (n > long_line), F.lit(stop)).otherwise(F.least(n, F.lit(most))))
+    line = lambda x, i: F.struct(x.alias("text"), i.alias("at"))
+
+    def needed(counts: Column) -> Column:
+        # lines * 2**20 + words, until the words are enough
+        step = lambda acc, n: F.when(acc % (1 << 20) > long_line, acc).otherwise(acc + (1 << 20) + n)
+        return F.aggregate(counts, F.lit(0).cast("long"), step, lambda acc: F.when((acc % (1 << 20) > long_line) & (acc % (1 << 20) < stop), F.shiftright(acc, 20)))
+
+    def spans(counts: Column) -> Column:
+        # first line * 2**20 + lines after it: there are at most long_line
+        numbers = F.sequence(F.lit(0).cast("long"), F.size(counts).cast("long") - 1)
+        code = lambda k, n: k * (1 << 20) + n - 1
+        before = lambda k: F.greatest(k - long_line, F.lit(0).cast("long"))
+        down = F.transform(numbers, lambda k: code(k, needed(F.slice(counts, (k + 1).cast("int"), F.lit(most)))))
+        up = F.transform(numbers, lambda k: let(needed(F.reverse(F.slice(counts, (before(k) + 1).cast("int"), (k - before(k) + 1).cast("int")))), lambda n: code(k - n + 1, n)))
+        return F.filter(F.array_union(down, up), lambda c: c.isNotNull())
+
+    def named(lines: Column, code: Column) -> Column:
+        first, more = F.shiftright(code, 20).cast("int"), (code % (1 << 20)).cast("int")
+        body = F.array_join(F.transform(F.slice(lines, first + 1, more + 1), lambda x: x.text), "\n")
+        return let(body, lambda b: F.struct(
+            F.xxhash64(F.lit("run"), b).alias("h1"), F.xxhash64(F.lit("second run"), b).alias("h2"), F.get(lines, first).at.alias("begin"), F.get(lines, first + more).at.alias("end")
+        ))
+
+    none = F.array().cast("array<struct<h1:bigint,h2:bigint,begin:int,end:int>>")
+    written = F.filter(F.transform(F.split(text, "\n", -1), line), lambda x: F.trim(x.text) != "")
+    return let(
+        written,
+        lambda lines: F.when(F.size(lines) == 0, none).otherwise(
+            let(F.transform(lines, lambda x: count(x.text)), lambda counts: F.transform(spans(counts), lambda c: named(lines, c)))
+        ),
+    )
+
+
 def dedup_lines(
     docs: DataFrame,
     average_lines: int = AVERAGE_LINES,
     window: int = WINDOW,
     long_line: int = LONG_LINE,
 ) -> DataFrame:
-    """``docs`` with repeated chunks taken out of ``text``, and ``removed_chunks`` and ``removed_chars``.
+    """``docs`` with repeated chunks and runs taken out of ``text``, and ``removed_chunks`` and ``removed_chars``.
+
+    ``removed_chunks`` counts the chunks of which lines are taken out.
 
     ``docs`` needs ``doc_id`` and ``text``; all other columns stay (one named
     like a new column is replaced).  A null text stays null, an empty one
@@ -103,21 +156,25 @@ def dedup_lines(
     An empty table stays empty.  Places in ``docs`` order don't matter.
     """
     docs = docs.drop("removed_chunks", "removed_chars")
-    key, content, cut, places = (free_name(docs, x) for x in ("doc_key", "text_hash", "chunks", "places"))
+    key, content, cut, places = (free_name(docs, x) for x in ("doc_key", "text_hash", "units", "lines"))
     pieces = chunks_of(F.col("text"), average_lines, window, long_line)
-    seen = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias(key), F.xxhash64("text").alias(content), pieces.alias(cut))
-    each = seen.select(key, content, F.posexplode(cut).alias("place", "chunk")).where("chunk.unit IS NOT NULL")
-    each = each.select(
-        key, content, "place", F.xxhash64("chunk.unit").alias("h1"), F.xxhash64(F.lit("second"), "chunk.unit").alias("h2"), F.col("chunk.unit").alias("body")
+    chunks = F.transform(
+        F.filter(pieces, lambda c: c.unit.isNotNull()),
+        lambda c: F.struct(F.xxhash64(c.unit).alias("h1"), F.xxhash64(F.lit("second"), c.unit).alias("h2"), c.begin.alias("begin"), c.end.alias("end"), c.unit.alias("body")),
     )
-    at = F.struct(key, content, "place")
+    runs = F.transform(runs_of(F.col("text"), long_line), lambda r: F.struct(r.h1.alias("h1"), r.h2.alias("h2"), r.begin.alias("begin"), r.end.alias("end"), F.lit(None).cast("string").alias("body")))
+    seen = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias(key), F.xxhash64("text").alias(content), F.concat(chunks, runs).alias(cut))
+    each = seen.select(key, content, F.inline(cut))
+    at = F.struct(key, content, "begin", "end")
     # byte comparison: texts are grouped as they are; hashes only name them afterwards
     texts = each.groupBy("h1", "h2", "body").agg(F.min(at).alias("first"), F.max(at).alias("last"))
     named = texts.groupBy("h1", "h2").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.max("last").alias("last"))
     # names that several texts share are no proof, so nothing is removed by them
     repeated = materialize(named.where("texts = 1 and first != last").select("h1", "h2", "first"), "repeated-chunks")
-    gone = each.select("h1", "h2", key, content, "place").join(repeated, ["h1", "h2"]).where(~at.eqNullSafe(F.col("first")))
-    gone = gone.groupBy(key, content).agg(F.collect_set("place").alias(places))
+    gone = each.select("h1", "h2", key, content, "begin", "end").join(repeated, ["h1", "h2"]).where(~at.eqNullSafe(F.col("first")))
+    inside = F.col(f"first.{key}").eqNullSafe(F.col(key)) & (F.col(f"first.{content}") == F.col(content))
+    gone = gone.withColumn("begin", F.when(inside, F.greatest("begin", F.col("first.end") + 1)).otherwise(F.col("begin"))).where("begin <= end")
+    gone = gone.groupBy(key, content).agg(F.collect_set(F.struct("begin", "end")).alias(places))
     gone = gone.select(F.col(key).alias("gone_key"), F.col(content).alias("gone_content"), places)
 
     met = docs.withColumn(content, F.xxhash64("text")).join(
@@ -128,21 +185,15 @@ def dedup_lines(
         begin = F.coalesce(F.get(gone, j - 1), F.lit(-1)) + 1
         return F.slice(all_, begin + 1, F.coalesce(F.get(gone, j), F.size(all_)) - begin)
 
-    # the runs of chunks between the removed ones
-    kept = let(
-        pieces,
-        lambda all_: let(
-            F.array_sort(F.col(places)),
-            lambda gone: let(
-                F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda j: between(all_, gone, j))),
-                lambda some: F.array_join(F.transform(some, lambda c: c.text), "\n"),
-            ),
-        ),
-    )
-    new = F.when(F.col(places).isNull(), F.col("text")).otherwise(kept)
-    out = met.withColumn("_new", new)
+    # the lines between the removed ones
+    kept = lambda lines, gone: F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda j: between(lines, gone, j))), "\n")
+    chunk_of = F.flatten(F.transform(pieces, lambda c, k: F.array_repeat(k, c.end - c.begin + 1)))
+    touched = lambda gone: let(chunk_of, lambda of: F.size(F.array_distinct(F.transform(gone, lambda i: F.get(of, i)))))
+    lost = F.array_sort(F.array_distinct(F.flatten(F.transform(F.col(places), lambda x: F.sequence(x.begin, x.end)))))
+    new = let(lost, lambda gone: F.struct(let(F.split("text", "\n", -1), lambda lines: kept(lines, gone)).alias("text"), touched(gone).alias("chunks")))
+    out = met.withColumn("_new", F.when(F.col(places).isNotNull(), new))
     return out.select(
-        *[(F.col("_new").alias("text") if c == "text" else F.col(c)) for c in docs.columns],
-        F.when(F.col(places).isNull(), F.lit(0)).otherwise(F.size(places)).cast("long").alias("removed_chunks"),
-        F.coalesce(F.length("text") - F.length("_new"), F.lit(0)).cast("long").alias("removed_chars"),
+        *[(F.when(F.col(places).isNull(), F.col("text")).otherwise(F.col("_new.text")).alias("text") if c == "text" else F.col(c)) for c in docs.columns],
+        F.coalesce("_new.chunks", F.lit(0)).cast("long").alias("removed_chunks"),
+        F.coalesce(F.length("text") - F.length("_new.text"), F.lit(0)).cast("long").alias("removed_chars"),
     )

@@ -98,3 +98,33 @@ def test_empty_table_and_long_text(spark):
     assert D.dedup_lines(docs.limit(0)).count() == 0
     r = D.dedup_lines(docs).first()
     assert r.removed_chunks > 5_000 and r.removed_chars == len("x\ny\n" * 50_000) - len(r.text)
+
+
+def test_passages_go_wherever_they_are_cut(spark):
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    docs, want = [], {}
+    for k in range(60):
+        each = [[30, 10, 30], [26, 26], [9] * 6, [45, 3, 3], [3, 3, 45], [7] * 8][k % 6]
+        passage = [words(n) for n in each]
+        for place in range(2):
+            before, after = ([words(rng.randint(3, 40)) for _ in range(rng.randint(1, 6))] for _ in range(2))
+            docs.append((2 * k + place, "\n".join(before + passage + after)))
+            want[2 * k + place] = "\n".join(before + (passage if place == 0 else []) + after)
+    out = D.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in out} == want
+    assert all((r.removed_chunks > 0) == (r.doc_id % 2 == 1) and r.removed_chars == len(docs[r.doc_id][1]) - len(r.text) for r in out)
+
+
+def test_runs_end_at_long_lines_and_pass_blank_ones(spark):
+    long = " ".join(["long"] * 51)
+    a, b = (" ".join(f"{x}{k}" for k in range(30)) for x in "ab")
+    docs = [(1, f"{a}\n{b}\nz1"), (2, f"x2\n{a}\n\n{b}\ny2"), (3, f"{a}\n{long}\n{b}"), (4, None), (5, ""), (6, "\n" + a)]
+    out = {r.doc_id: r.text for r in D.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == {1: docs[0][1], 2: "x2\ny2", 3: docs[2][1], 4: None, 5: "", 6: docs[5][1]}
+
+
+def test_a_run_keeps_its_first_place_in_its_own_text(spark):
+    line = " ".join(f"p{k}" for k in range(30))
+    r = D.dedup_lines(spark.createDataFrame([(1, "\n".join([line] * 5))], "doc_id long, text string")).first()
+    assert r.text.startswith(line + "\n" + line) or r.text == line
