@@ -7,8 +7,9 @@ they write, the source characters it stands for:
 * *characters*: full-width forms and look-alike letters of other scripts become
   ASCII, digits of any script become 0-9, invisible characters vanish;
 * *digits*: runs of spelled digits ("four two oh") become figures;
-* *separators*: "(at)", "[dot]" and the like, and bare "at" and "dot" in a
-  chain such as "name at host dot org", become ``@`` and ``.``.
+* *separators*: "(at)", "[dot]" and the like become ``@`` and ``.`` first, then
+  bare "at" and "dot" do in a chain such as "name at host dot org", whichever
+  of its marks are bare, were rewritten or stood there as ``@`` and ``.``.
 
 The same rules run on the rewritten text and their spans are mapped back.  A
 span is added only if it holds a rewritten character and doesn't overlap a base
@@ -118,13 +119,16 @@ _WORD = "|".join(SPELLED)
 _CHAIN = re.compile(rf"(?<![A-Za-z])(?:{_WORD})(?:[\x20-](?:{_WORD}))++(?![A-Za-z])", re.I)
 _SPELLED_WORD = re.compile(r"[A-Za-z]+")
 _HUSHED = re.compile(r"\x20?(?:[\[({<]\x20?(at|dot)\x20?[\])}>])\x20?", re.I)
-_BARE_AT, _BARE_DOT = re.compile(r"\x20at\x20", re.I), re.compile(r"\x20dot\x20", re.I)
-_BARE_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\x20dot\x20[0-9]{1,3}){3}(?![0-9])", re.I)
+_ANY_AT, _BARE_DOT = re.compile(r"@|\x20at\x20", re.I), re.compile(r"\x20dot\x20", re.I)
+_ANY_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?:\.|\x20dot\x20)[0-9]{1,3}){3}(?![0-9])", re.I)
 #: Lower-case strings of which a text must hold one before a chain of spelled digits, or a disguised separator, can be in it.
 _DIGIT_SIGNS = [w for w in SPELLED if w not in ("one", "oh")] + [f"{a}{s}{b}" for a in ("one", "oh") for s in " -" for b in ("one", "oh")]
-_SEPARATOR_SIGNS = [" dot "] + [f"{w}{s}{c}" for w in ("at", "dot") for s in ("", " ") for c in "])}>"]
+_BARE_SIGNS = [" at ", " dot "]
+_SEPARATOR_SIGNS = [f"{w}{s}{c}" for w in ("at", "dot") for s in ("", " ") for c in "])}>"]
 _NAME_BEFORE = re.compile(r"[A-Za-z0-9._%+-]")
-_DOTTED_HOST = re.compile(r"[A-Za-z0-9-]+(?:\x20dot\x20[A-Za-z0-9-]+)+", re.I)
+_ANY_HOST = re.compile(r"[A-Za-z0-9-]++(?:(?:\.|\x20dot\x20)[A-Za-z0-9-]++)+", re.I)
+#: The last part of a host name.  After a bare "at", a figure such as 10.30 is no host.
+_TOP = re.compile(r"\.[A-Za-z]{2,}\Z")
 
 
 class _Mapped:
@@ -168,12 +172,19 @@ def _spelled_changes(text: str) -> list[tuple[int, int, str]]:
     ]
 
 
-def _separator_changes(text: str) -> list[tuple[int, int, str]]:
-    changes = [(m.start(), m.end(), "@" if m.group(1).lower() == "at" else ".") for m in _HUSHED.finditer(text)]
-    free = 0
-    for m in _BARE_AT.finditer(text):
-        host = _DOTTED_HOST.match(text, m.end())
-        if not host or m.start() < free or not m.start() or not _NAME_BEFORE.match(text[m.start() - 1]):
+def _hushed_changes(text: str) -> list[tuple[int, int, str]]:
+    return [(m.start(), m.end(), "@" if m.group(1).lower() == "at" else ".") for m in _HUSHED.finditer(text)]
+
+
+def _bare_changes(text: str) -> list[tuple[int, int, str]]:
+    changes, free = [], 0
+    for m in _ANY_AT.finditer(text):
+        if m.start() < free or not m.start() or not _NAME_BEFORE.match(text[m.start() - 1]):
+            continue
+        host = _ANY_HOST.match(text, m.end())
+        if not host:
+            continue
+        if m.group() != "@" and not _BARE_DOT.search(host.group()) and not _TOP.search(host.group()):
             continue
         # "first dot last at ...": dots on the left, one short word before another
         left, name = m.start(), []
@@ -185,10 +196,10 @@ def _separator_changes(text: str) -> list[tuple[int, int, str]]:
                 break
             name.append((word - 5, word, "."))
             left = word - 5
-        changes += [*name, (m.start(), m.end(), "@")]
+        changes += name if m.group() == "@" else [*name, (m.start(), m.end(), "@")]
         changes += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(text, m.end(), host.end())]
         free = host.end()
-    for m in _BARE_IP.finditer(text):
+    for m in _ANY_IP.finditer(text):
         changes += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(text, m.start(), m.end())]
     out, free = [], 0
     for start, stop, new in sorted(set(changes)):
@@ -212,7 +223,10 @@ def deobfuscated(text: str) -> _Mapped:
     if any(sign in lower for sign in _DIGIT_SIGNS):
         out.rewrite(_spelled_changes(out.text))
     if any(sign in lower for sign in _SEPARATOR_SIGNS):
-        out.rewrite(_separator_changes(out.text))
+        out.rewrite(_hushed_changes(out.text))
+        lower = out.text.lower()
+    if any(sign in lower for sign in _BARE_SIGNS):
+        out.rewrite(_bare_changes(out.text))
     return out
 
 

@@ -78,3 +78,23 @@ def test_rows(spark):
     assert by[4].base_sha256 == hashlib.sha256(b"email:2:8,ip:9:17").hexdigest()
     assert [e.value for e in by[4].entities] == ["a@b.co", "10.0.0.1"]
     assert P.find(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("disguise", [
+    "jane [at] example dot com", "jane@example dot com", "jane at example.com", "jane at example [dot] com", "jane(at)example.com",
+    "jane dot doe [at] mail.example dot com", "jane [dot] doe at mail dot example.com", "10 [dot] 0 dot 0.1",
+])
+def test_mixed_disguises(disguise):
+    text = f"write to: {disguise}, now"
+    assert [text[s:e] for s, _, e in P.added_spans(text, P.plain_spans(text))] == [disguise]
+
+
+@pytest.mark.parametrize("text", ["it began at 10.30 or at v1.2", "at example.com", "jane@example.com dot com", "we sat at home. Then left"])
+def test_no_disguise(text):
+    assert P.added_spans(text, P.plain_spans(text)) == []
+
+
+def test_mixed_marks_take_linear_time():
+    for unit in (" at a.b", "@a dot b", " at at dot", "a.", " dot at", "[at]a dot b", " at a dot "):
+        text = unit * (200_000 // len(unit))
+        P.added_spans(text, P.plain_spans(text))
