@@ -1,8 +1,10 @@
 """Unification of test names by string similarity.
 
 Names are compared once for the whole vocabulary: pairs of distinct names that
-share three letters in a row (which all names as similar as asked for do) get a
-token-set similarity; names are then grouped by complete linkage inside the
+share a word, or three characters in a row of their sorted words, get a
+token-set similarity.  All names of a similarity over 90 do: without a word in
+common it is that of their sorted words, which then differ in so few places
+that three characters between two of these are the same.  Names are then grouped by complete linkage inside the
 components of similar pairs, names whose typical result is far from their
 group's leave it, and every name becomes the most frequent one of its group.
 """
@@ -72,9 +74,10 @@ def _kept_apart(a: Column, b: Column) -> Column:
 
 def similar_pairs(names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, similarity), a before b, of the names more similar than ``threshold``; ``names`` has name and key."""
-    key = F.col("key")
+    words = F.array_sort(F.array_distinct(F.filter(F.split("key", r"\s+"), lambda w: w != "")))
+    key = F.array_join(words, " ")
     threes = F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - 2, F.lit(1))), lambda i: key.substr(i, F.lit(3)))
-    held = names.withColumn("part", F.explode(F.array_distinct(threes)))
+    held = names.withColumn("part", F.explode(F.array_union(words, threes)))
     left = held.select("part", F.col("name").alias("a"), F.col("key").alias("x"))
     right = held.select("part", F.col("name").alias("b"), F.col("key").alias("y"))
     pairs = left.join(right, "part").where("a < b").select("a", "b", "x", "y").distinct().where(~_kept_apart(F.col("a"), F.col("b")))

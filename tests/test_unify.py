@@ -25,6 +25,14 @@ def test_blocks_lose_no_similar_pair(spark):
     assert {(r.a, r.b) for r in un.similar_pairs(df).collect()} == want and ("haemoglobin", "hemoglobin") in want
 
 
+def test_short_words_and_word_order_meet(spark):
+    words = ["T3", "Free T3", "pH", "Urine pH", "Na", "Serum Na", "K", "a b", "b a", "x", "T4 free", ""]
+    df = spark.createDataFrame([(w, w.lower()) for w in words], "name string, key string")
+    want = {(a, b) for a, b in itertools.combinations(sorted(words), 2) if un.token_set_similarity(a.lower(), b.lower()) > 90}
+    assert {(r.a, r.b) for r in un.similar_pairs(df).collect()} == want
+    assert {("Free T3", "T3"), ("Urine pH", "pH"), ("Na", "Serum Na"), ("a b", "b a")} <= want
+
+
 def test_complete_linkage_keeps_groups_tight():
     d = np.array([[0, 0.05, 0.2], [0.05, 0, 0.06], [0.2, 0.06, 0]])
     g = un.complete_linkage(["a", "b", "c"], d, 0.1)
