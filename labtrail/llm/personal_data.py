@@ -76,8 +76,13 @@ def emails(text: str) -> list[tuple[int, int]]:
 def plain_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, number of the kind, end) by the base rules, in order."""
     out = [(s, 0, e) for s, e in emails(text)] if "@" in text else []
+    # a phone number's digits may be any number of separators apart
+    if "+" in text:
+        for m in _PHONE.finditer(text):
+            if 10 <= len(_NO_DIGIT.sub("", m.group())) <= 15:
+                out.append((m.start(), 3, m.end()))
     if not _TWO_DIGITS(text) and "." not in text:
-        return out
+        return sorted(out)
     for m in _IP.finditer(text):
         if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.group().split(".")):
             out.append((m.start(), 1, m.end()))
@@ -86,10 +91,6 @@ def plain_spans(text: str) -> list[tuple[int, int, int]]:
             digits = _NO_DIGIT.sub("", m.group())
             if 14 <= len(digits) <= 19 and _luhn(digits):
                 out.append((m.start(), 2, m.end()))
-    if "+" in text:
-        for m in _PHONE.finditer(text):
-            if 10 <= len(_NO_DIGIT.sub("", m.group())) <= 15:
-                out.append((m.start(), 3, m.end()))
     return sorted(out)
 
 

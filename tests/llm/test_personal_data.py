@@ -38,6 +38,11 @@ def test_base_spans_equal_plain_search():
         assert P.plain_spans(text) == brute(text), text
 
 
+@pytest.mark.parametrize("text", ["+1  2  3  4  5  6  7  8  9  0", "+1)(2)(3)(4)(5)(6)(7)(8)(9)(0", "a@b-c +1--2--3--4--5--6--7--8--9--0"])
+def test_phone_digits_far_apart(text):
+    assert P.plain_spans(text) == brute(text) and len(brute(text)) == 1
+
+
 @pytest.mark.parametrize("text, want", [
     ("write to jane.doe [at] mail [dot] org now", ["jane.doe [at] mail [dot] org"]),
     ("write to jane dot doe at mail dot example dot org now", ["jane dot doe at mail dot example dot org"]),
