@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labtrail.llm import ann, chat, language, line_dedup, mixing, packing, personal_data, simhash, token_counts, topk
+from labtrail.llm import alignment, ann, blob_ledger, chat, language, line_dedup, mixing, packing, personal_data, simhash, token_counts, topk, variants
 from labtrail.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,51 @@ SELECT doc_id, text, lang, source, n_chars, copy, copies,
   substr(md5('1 order|' || coalesce(doc_id::VARCHAR, 'null') || '|' || copy::VARCHAR), 1, 16) AS shuffle_key
 FROM copied
 """
+
+
+@query
+def op11_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blob_ledger.digest(blob_ledger.scan(table(spark, sf_dir, "documents")))
+
+
+ORACLES["op11_blob_ledger"] = r"""
+WITH rules AS (
+  SELECT * FROM (VALUES
+    (0, 'assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6),
+    (1, 'access', 'AKIA[A-Z0-9]+', 0, 20),
+    (2, 'hex', '[0-9a-f]+', 0, 24),
+    (3, 'pem', '-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----', 0, 1),
+    (4, 'jwt', 'eyJ[A-Za-z0-9_-]{8,512}\.eyJ[A-Za-z0-9_-]{8,512}\.[A-Za-z0-9_-]{8,512}', 0, 1),
+    (5, 'url', '[a-z]{2,12}://[^\s:/@]{1,64}:[^\s:/@]{1,64}@', 0, 1)
+  ) AS r(o, kind, pattern, grp, least)
+), docs AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents
+), cut AS (
+  SELECT id, o, kind, grp, least, pattern, regexp_extract_all(text, pattern) AS m, string_split_regex(text, pattern) AS g
+  FROM docs, rules WHERE regexp_matches(text, pattern)
+), pieces AS (
+  SELECT id, o, kind, grp, least, pattern, unnest(m) AS m, unnest([length(x) for x in g[1:len(m)]]) AS gap, unnest(range(1, len(m) + 1)) AS k FROM cut
+), ended AS (
+  SELECT *, sum(gap + length(m)) OVER (PARTITION BY id, o ORDER BY k)::BIGINT AS e FROM pieces
+), kept AS (
+  SELECT id, o, kind, e - length(m) AS s, e FROM ended WHERE length(CASE WHEN grp = 2 THEN regexp_extract(m, pattern, 2) ELSE m END) >= least
+), told AS (
+  SELECT id, count(*) FILTER (o = 0) AS a, count(*) FILTER (o = 1) AS c, count(*) FILTER (o = 2) AS h, count(*) FILTER (o > 2) AS added,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) FILTER (o <= 2) AS base,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) AS spans
+  FROM kept GROUP BY id
+)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(added, 0) AS n_added, sha256(text) AS blob
+FROM docs LEFT JOIN told USING (id)
+"""
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(table(spark, sf_dir, "documents"))
