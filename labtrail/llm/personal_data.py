@@ -84,7 +84,7 @@ def plain_spans(text: str) -> list[tuple[int, int, int]]:
     if not _TWO_DIGITS(text) and "." not in text:
         return sorted(out)
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.group().split(".")):
+        if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or "0") <= 255 for p in m.group().split(".")):
             out.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14:

@@ -103,3 +103,10 @@ def test_mixed_marks_take_linear_time():
     for unit in (" at a.b", "@a dot b", " at at dot", "a.", " dot at", "[at]a dot b", " at a dot "):
         text = unit * (200_000 // len(unit))
         P.added_spans(text, P.plain_spans(text))
+
+
+def test_long_runs_of_digits(spark):
+    texts = ["0" * 5000 + ".1.1.1", "1" * 5000 + ".1.1.1", "+" + "1 " * 5000 + "2", "7" * 20_000, "one " * 6000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in P.find(docs).collect()}
+    assert rows[0].spans == "ip:0:5006" and not any(rows[k].spans for k in (1, 2, 3))
