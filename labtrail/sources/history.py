@@ -12,6 +12,7 @@ from labtrail.functions import text as tx
 from labtrail.functions import values as va
 from labtrail.functions.basic import strip
 from labtrail.schema import RECORD_FIELDS, pad_columns
+from labtrail.sources import stacked
 
 KEYS = ["Test_Category", "Test_Name"]
 
@@ -21,64 +22,10 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", False).option("multiLine", False).csv(path)
 
 
-def read_stacked_headers(spark: SparkSession, path: str) -> DataFrame:
-    """Wide table of one file, whose second line holds dates and third line
-    laboratories (several files: :func:`read_stacked_files`).
-
-    Only those two lines reach the driver, to name the columns; data starts at
-    the fifth line.  Columns without date and laboratory are left out.
-    """
-    raw = spark.read.option("header", False).csv(path).withColumn("_at", F.monotonically_increasing_id())
-    head = {r["_at"]: r for r in raw.where("_at IN (1, 2)").collect()}
-    dates, labs = head[1], head[2]
-    picked = [F.col("_c0").alias(KEYS[0]), F.col("_c1").alias(KEYS[1])]
-    for i, c in enumerate(raw.columns[2:-1], start=2):
-        date, lab = (str(x or "").strip() for x in (dates[i], labs[i]))
-        if date.lower() in ("", "nan", "col", "reference", "ranges") and lab.lower() in ("", "nan", "7", "reference", "ranges"):
-            continue
-        if "reference" in date.lower() or "reference" in lab.lower():
-            picked.append(F.col(c).alias("Reference_Ranges"))
-        elif date and date != "nan":
-            picked.append(F.col(c).alias(f"{date}_{lab}" if lab and lab != "nan" else date))
-    return raw.where("_at >= 4").select(*picked).na.drop(how="all")
-
-
-def csv_cells(line: Column) -> Column:
-    """The cells of one CSV line: quotes are taken off, doubled ones are one."""
-    found = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
-    plain = lambda x: F.when(F.startswith(x, F.lit('"')), F.regexp_replace(x.substr(F.lit(2), F.length(x) - 2), '""', '"')).otherwise(x)
-    return F.transform(found, lambda x: strip(plain(x)))
-
-
 def read_stacked_files(spark: SparkSession, path: str) -> DataFrame:
-    """Long cells of any number of exports with stacked headers, each with
-    columns of its own: the second line of a file names its dates, the third
-    its laboratories, and data starts at the fifth.
-
-    Lines are told by file and place: the first block of a file begins with its
-    headers, all lines of later blocks are data.  Nothing reaches the driver.
-    """
-    lines = spark.read.text(path).select(
-        csv_cells(F.col("value")).alias("cells"), F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
-    )
-    begins = lines.where("block = 0").groupBy("file").agg(F.min("at").alias("first"))
-    placed = lines.join(begins, "file").withColumn("line", F.when(F.col("block") == 0, F.col("at") - F.col("first")).otherwise(F.lit(9)))
-    head = lambda n: F.max(F.when(F.col("line") == n, F.col("cells")))
-    heads = placed.where("line IN (1, 2)").groupBy("file").agg(head(1).alias("dates"), head(2).alias("labs"))
-    named = heads.withColumn("columns", F.filter(F.transform(F.sequence(F.lit(2), F.size("dates") - 1), lambda i: F.struct(
-        i.alias("i"), F.get("dates", i).alias("date"), F.coalesce(F.get("labs", i), F.lit("")).alias("lab"))), lambda c: c["date"].isNotNull()))
-    is_range = lambda c: F.contains(F.lower(c["date"]), F.lit("reference")) | F.contains(F.lower(c["lab"]), F.lit("reference"))
-    dated = F.filter("columns", lambda c: ~is_range(c) & ~F.lower(c["date"]).isin("", "nan", "col", "ranges"))
-    named = named.select("file", dated.alias("dated"), F.get(F.filter("columns", is_range), F.lit(0))["i"].alias("ref"))
-    rows = placed.where("line >= 4").join(named, "file")
-    name, ref = F.get("cells", F.lit(1)), F.get("cells", F.col("ref"))
-    rows = rows.where(~F.lower(name).isin("", "nan", "test_name")).select("file", "cells", name.alias("Test_Name"), ref.alias("ref"), F.explode("dated").alias("c"))
-    result = F.get("cells", F.col("c.i"))
-    return rows.where(~result.isin("", "None", "nan")).select(
-        F.element_at(F.split("file", "/"), -1).alias("Source_Filename"), F.coalesce(F.nullif(F.get("cells", F.lit(0)), F.lit("")), F.lit("General")).alias("Test_Category"), "Test_Name",
-        F.col("c.date").alias("Test_Date"), F.when(F.lower("c.lab").isin("", "nan"), "Lab").otherwise(F.col("c.lab")).alias("Lab_Name"), result.alias("Result"),
-        F.when(F.lower("ref").isin("", "nan"), na()).otherwise(F.coalesce("ref", na())).alias("Reference_Range"),
-    )
+    """Long cells of any number of exports with stacked headers, each with columns of its own."""
+    stacked.register(spark)
+    return spark.read.format("stacked_headers").load(path)
 
 
 def _is_data_column(name: str) -> bool:

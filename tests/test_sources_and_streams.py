@@ -68,6 +68,30 @@ def test_stacked_files_with_columns_of_their_own(spark):
     ]
 
 
+def test_stacked_files_are_read_by_partitions_of_files(spark, tmp_path):
+    from labtrail.sources import stacked
+
+    def export(name, dates, labs, rows):
+        text = "\n".join([",title", ",Date," + ",".join(dates), ",Lab," + ",".join(labs), "", *rows])
+        path = tmp_path / "in" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text, "utf-8-sig")
+
+    export("a.csv", ["01-02-2024"], ["L1"], [f"Blood,T{k},{k}" for k in range(25_000)])
+    export("deep/b.csv", ["col", "2024", "Reference"], ["7", "nan", ""], ['Lipid,"LDL\nserum",9,100,< 90', ",x,1,None,", "short", "", "Lipid,test_name,1,2,3"])
+    export("only_title.csv", [], [], [])
+    export("_hidden.csv", ["d"], ["l"], ["a,b,c"])
+    (tmp_path / "in" / "empty.csv").write_text("")
+    df = his.read_stacked_files(spark, str(tmp_path / "in"))
+    rows = df.where("Source_Filename <> 'a.csv'").collect()
+    assert [tuple(r) for r in rows] == [("b.csv", "Lipid", "LDL\nserum", "2024", "Lab", "100", "< 90")]
+    assert df.where("Source_Filename = 'a.csv'").agg(F.sum("Result").cast("long")).first()[0] == sum(range(25_000))
+    one_each = spark.read.format("stacked_headers").option("partition_bytes", 1).load(str(tmp_path / "in"))
+    assert one_each.rdd.getNumPartitions() == 4 and df.rdd.getNumPartitions() == 1 and one_each.count() == 25_001
+    assert his.read_stacked_files(spark, f"file://{tmp_path}/in/deep/b.csv").count() == 1
+    assert [f for f, _ in stacked.list_files(str(tmp_path / "in" / "a.csv"))] == [str(tmp_path / "in" / "a.csv")]
+
+
 def test_stored_records_keep_all_fields(spark):
     doc = '{"records": [{"Test_Name": "Hb", "Lab_Name": "L", "Patient_ID": "7", "Aliases": ["a", "b"], "Result_Numeric": 1.5}]}'
     r = pay.document_records(spark.createDataFrame([(1, doc)], "id long, analysis_data string")).first()
