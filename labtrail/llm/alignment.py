@@ -2,28 +2,23 @@
 
 Both token lists of a text spell the same bytes.  The cumulative ends of each
 list's tokens go into a dictionary from end to index; the ends that both
-dictionaries hold, sorted, cut both lists into groups, and within each slice
-the tokens whose byte ranges overlap are linked.
-
-Neither vocabulary joins across a space or line break behind a written
-character, so a text falls into *units* there (white space and what follows it)
-whose tokens don't depend on what stands around them, and whose ends are ends of
-both lists.  A unit is encoded and aligned once and remembered; texts of which
-that isn't certain are one unit.
-
-One pass encodes and writes, for each document, its counts, digest and link
-counts.  Then counts of id pairs are summed over the corpus, and each document's
-pairs meet them: the commonest pairs (at most ``FREQUENT``, 24 bytes each) as a
-broadcast table, all others by a shuffle join in which no pair has more than
-one row in ``FREQUENT``.
+dictionaries hold, sorted, cut both lists into groups.  Within the slices, every
+stretch between two neighbouring ends of either list is one link, between the
+two tokens it lies in; all slices are expanded at once.
+
+One pass encodes whole texts and writes, for each document, its counts, digest
+and link counts.  Then counts of id pairs are summed over the corpus, and each
+document's pairs meet them: the commonest pairs (at most ``FREQUENT``, 24 bytes
+each) as a broadcast table, all others by a shuffle join in which no pair has
+more than one row in ``FREQUENT``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -39,33 +34,26 @@ ALIGNED = (
     "doc_id long, content long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
     "links array<struct<pair:long,times:int>>"
 )
-#: Units that one worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 150_000, 64
 #: Pairs in the broadcast table at most; a pair is in it that has more than one row of all in so many.
 FREQUENT = 1 << 16
 
-# white space of the first vocabulary's splitting
-_WS = "\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_UNITS = re.compile(f"[{_WS}]*[^{_WS}]+(?:[\t\x0b-\r\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000][{_WS}]*[^{_WS}]*)*|[{_WS}]+").findall
-#: What only some libraries count as white space: a text that holds one is a single unit.
-_UNSURE = re.compile("[\x00\x1c-\x1f\x85\u180e\u200b\ufeff]").search
-
-
-def align(a_ends: list[int], b_ends: list[int]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
-    """Groups as slices (first a, end a, first b, end b), and the links (a, b) by index, of two lists of cumulative ends."""
-    of_a = {end: i + 1 for i, end in enumerate(a_ends)}
-    of_b = {end: j + 1 for j, end in enumerate(b_ends)}
-    groups, links, i, j = [], [], 0, 0
-    for end in sorted(of_a.keys() & of_b.keys()):
-        to_i, to_j = of_a[end], of_b[end]
-        groups.append((i, to_i, j, to_j))
-        while i < to_i and j < to_j:
-            links.append((i, j))
-            # the token that ends first is done; both do at the end of the group
-            a, b = a_ends[i], b_ends[j]
-            i += a <= b
-            j += b <= a
-    return groups, links
+#: Characters that all libraries class alike; texts with others go to the vocabulary's own library.
+_OTHER = re.compile("[^\t\n\r\x20-\x7e\u00a0-\u024f]").search
+
+
+def align(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Groups and links of two lists of cumulative ends, which share the last.
+
+    The groups as the ends of their slices in either list, and the links as
+    indexes into either list, in order.
+    """
+    of_a = dict(zip(a_ends.tolist(), range(1, len(a_ends) + 1)))
+    of_b = dict(zip(b_ends.tolist(), range(1, len(b_ends) + 1)))
+    common = sorted(of_a.keys() & of_b.keys())
+    to_a, to_b = (np.fromiter(map(of.__getitem__, common), np.int64, len(common)) for of in (of_a, of_b))
+    # a stretch that ends within a slice, or with it, lies in the tokens that end there or next
+    stretches = np.union1d(a_ends, b_ends)
+    return to_a, to_b, np.searchsorted(a_ends, stretches), np.searchsorted(b_ends, stretches)
 
 
 def byte_letters() -> dict[str, int]:
@@ -76,79 +64,70 @@ def byte_letters() -> dict[str, int]:
 
 
 class Pair:
-    """Both tokenizers, and what is known of units: ids, bytes and alignment.  One per worker process."""
+    """Both tokenizers, and the bytes of their tokens.  One per worker process."""
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
+        with open(a_path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
         letters = byte_letters()
-        self.a_bytes = {i: bytes(letters[c] for c in entry) for entry, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in letters for c in entry)}
+        entries = {i: bytes(letters[c] for c in entry) for entry, i in model["vocab"].items() if all(c in letters for c in entry)}
+        # a second library reads the same entries as ranks, if their ids are in the order of the merges
+        merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        ranks = {entries[i]: i for i in range(256 + len(merged))} if [model["vocab"][m] for m in merged] == list(range(256, 256 + len(merged))) else None
+        self.fast = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+        self.a_bytes = [entries.get(i, b"") for i in range(max(entries) + 1)]
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.b_bytes = []
         for i in range(self.b.vocab_size()):
             piece = self.b.id_to_piece(i)
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("\u2581", " ").encode())
-        self.mark = self.b.encode("\n")
-        self.known: dict[str, tuple | None] = {}
-
-    def _a_ids(self, units: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
-
-    def _b_ids(self, units: list[str]) -> list[list[int]]:
-        # the model puts a space before each text; behind a line break it is not the unit's
-        n = len(self.mark)
-        return [ids[n:] for ids in self.b.encode(["\n" + u for u in units], num_threads=1)]
-
-    def _aligned(self, unit: str, a: list[int], b: list[int]) -> tuple | None:
-        """(tokens a, tokens b, groups, links, groups as text, pair of each link); none if the bytes differ."""
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        raw = unit.encode()
-        if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
-            return None
-        groups, links = align(np.cumsum([*map(len, a_bytes)]).tolist(), np.cumsum([*map(len, b_bytes)]).tolist())
-        told = ";".join(f"{','.join(map(str, a[i:m]))}|{','.join(map(str, b[j:n]))}" for i, m, j, n in groups)
-        return len(a), len(b), len(groups), len(links), told, [b[j] << 32 | a[i] for i, j in links]
-
-    def learn(self, units: list[str]) -> dict[str, tuple | None]:
-        return {u: self._aligned(u, a, b) for u, a, b in zip(units, self._a_ids(units), self._b_ids(units))}
-
-    def units(self, text: str) -> list[str]:
-        """The units of a space and the text; none for an empty text."""
-        if not text:
-            return []
-        return [" " + text] if _UNSURE(text) else _UNITS(" " + text)
+        self.a_sizes, self.b_sizes = (np.array([*map(len, table)], np.int64) for table in (self.a_bytes, self.b_bytes))
+        # ids as they are written: within a group, at the end of a's and at the end of b's part
+        n = max(len(self.a_bytes), len(self.b_bytes))
+        self.block, self.told = n, [f"{i}{mark}" for mark in ",|;" for i in range(n)]
+
+    def a_ids(self, text: str) -> list[int]:
+        if self.fast is None or _OTHER(text):
+            return self.a.encode(" " + text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(" " + text)
+
+    def digest(self, a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) -> str:
+        """Hex digest of ``a1,a2|b1;a3|b2,b3``."""
+        marks = []
+        for ids, to, mark in ((a, to_a, 1), (b, to_b, 2)):
+            shown = ids.copy()
+            shown[to - 1] += mark * self.block
+            marks.append(shown)
+        # a's part of each group, then b's: the place of a token is its index and the other list's before it
+        place_a = np.arange(len(a)) + np.repeat(np.concatenate([[0], to_b[:-1]]), np.diff(to_a, prepend=0))
+        place_b = np.arange(len(b)) + np.repeat(to_a, np.diff(to_b, prepend=0))
+        order = np.empty(len(a) + len(b), np.int64)
+        order[place_a], order[place_b] = marks
+        text = "".join(map(self.told.__getitem__, order.tolist()))
+        return hashlib.sha256(text[:-1].encode()).hexdigest()
 
     def __call__(self, texts: list[str]) -> list[tuple]:
-        """For each text: tokens a, tokens b, groups, links, digest, and (pair, times)."""
-        split = [self.units(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = sorted(set().union(*split) - self.known.keys()) if split else []
-        self.known.update(self.learn([u for u in new if len(u) <= LONGEST]))
-        return [self._summed(units) for units in split]
-
-    def _summed(self, units: list[str]) -> tuple:
-        # long units are not remembered beyond their text
-        own = self.learn(sorted({u for u in units if len(u) > LONGEST}))
-        found = {u: own[u] if u in own else self.known[u] for u in set(units)}
-        if not units or None in found.values():
-            return 0, 0, 0, 0, "", []
-        counts = Counter(units)
-        n_a = n_b = n_groups = n_links = 0
-        pairs: Counter = Counter()
-        for u, n in counts.items():
-            a, b, g, l, _, links = found[u]
-            n_a, n_b, n_groups, n_links = n_a + n * a, n_b + n * b, n_groups + n * g, n_links + n * l
-            for p in links:
-                pairs[p] += n
-        digest = hashlib.sha256()
-        for at in range(0, len(units), 10_000):
-            digest.update(((";" if at else "") + ";".join([found[u][4] for u in units[at : at + 10_000]])).encode())
-        return n_a, n_b, n_groups, n_links, digest.hexdigest(), list(pairs.items())
+        """For each text: tokens a, tokens b, groups, links, digest, linked id pairs and how often each is linked."""
+        return [self._one(t, b) for t, b in zip(texts, self.b.encode(texts, num_threads=1))]
+
+    def _one(self, text: str, b: list[int]) -> tuple:
+        none = np.empty(0, np.int64)
+        a, raw = self.a_ids(text) if text else [], (" " + text).encode()
+        spelled = lambda ids, table: b"".join(map(table.__getitem__, ids)) == raw
+        if not text or not spelled(a, self.a_bytes) or not spelled(b, self.b_bytes):
+            return 0, 0, 0, 0, "", none, none
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        to_a, to_b, in_a, in_b = align(np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b]))
+        pairs, times = np.unique(b[in_b] << 32 | a[in_a], return_counts=True)
+        return len(a), len(b), len(to_a), len(in_a), self.digest(a, b, to_a, to_b), pairs, times
 
 
 @cache
@@ -167,8 +146,8 @@ def encode_both(docs: DataFrame, a_vocab: str, b_vocab: str) -> DataFrame:
             found = both([t or "" for t in batch.column(2).to_pylist()])
             columns = [pa.array(c, f.type) for c, f in zip(list(zip(*found))[:5], list(out)[2:7])]
             offsets = np.cumsum([0, *(len(r[5]) for r in found)], dtype=np.int32)
-            flat = np.array([x for r in found for x in r[5]], np.int64).reshape(-1, 2)
-            links = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1].astype(np.int32))], fields=list(pairs_type))
+            pairs, times = (np.concatenate([r[k] for r in found]) for k in (5, 6))
+            links = pa.StructArray.from_arrays([pa.array(pairs), pa.array(times.astype(np.int32))], fields=list(pairs_type))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.ListArray.from_arrays(pa.array(offsets), links)], names=out.names)
 
     return docs.select("doc_id", F.xxhash64("text").alias("content"), "text").mapInArrow(work, ALIGNED)
