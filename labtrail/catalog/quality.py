@@ -12,6 +12,7 @@ from labtrail.catalog.metrics_view import grade_sql, metrics
 from labtrail.catalog.registry import query
 from labtrail.catalog.views import SQL, lab_records, sql_list, sql_text, table
 from labtrail.functions import values as va
+from labtrail.operators import chat as ch
 from labtrail.operators import guidelines as gl
 from labtrail.operators import quality as qu
 from labtrail.operators import timelines as tl
@@ -67,30 +68,58 @@ def questions(s, f):
     base = e.select("event_id", "user_id", "event_type")
     text = F.concat(F.element_at(F.array(*[F.lit(w) for w in QUESTIONS]), (F.col("event_id") % 5 + 1).cast("int")), F.lit(" "), F.col("event_type"))
     found = F.element_at(F.array(*[F.array(*[F.lit(x) for x in fs]) for fs in FINDINGS]), (F.col("user_id") % 4 + 1).cast("int"))
-    return base.select(F.col("event_id").alias("question_id"), text.alias("query"), found.alias("findings"))
+    return base.select(F.col("event_id").cast("string").alias("question_id"), text.alias("query"), found.alias("findings"))
 
 
 QUESTIONS = ["my sugar is high", "is the cholesterol worse", "What should I do about the Thyroid?", "explain (CRP) + 5%", "kidney-risk history"]
 FINDINGS = [["hba1c", "fasting blood glucose"], ["ldl cholesterol", "hdl", "triglycerides"], ["serum creatinine", "egfr (estimated)", "urea"], ["", "vitamin b12 cobalamin", "haemoglobin hb"]]
 
-_kb = gl.entries()
-SQL.add("kb", "SELECT * FROM (VALUES " + ", ".join(f"({e['ord']}, {sql_text(e['id'])}, {sql_text(e['category'])}, {sql_list(e['names'])}, {sql_list(e['keywords'])}, {sql_list(e['related'])}, {sql_text(e['source'])}, {sql_text(e['url'])}, {sql_text(e['level'])}, DATE '{e['updated']}-01')" for e in _kb) + ") AS t(ord, id, category, names, keywords, related, source, url, level, updated)")
+SQL.add("kb", "SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, {', '.join(sql_text(e[c]) for c in ('id', 'category', 'title', 'source', 'url', 'level'))}, {sql_list(e['names'] + e['aliases'])}, {sql_list(e['keywords'])}, {sql_list(e['related'])}, DATE '{e['updated']}-01')"
+    for i, e in enumerate(fv.GUIDELINES)) + ") AS t(ord, id, category, title, source, url, level, names_, keywords_, related_, updated)")
+_normed = lambda c: f"list_transform({c}, lambda k_: {d.query_text('k_')})"
+SQL.add("kb_terms", f"SELECT *, {_normed('names_')} AS names, {_normed('keywords_')} AS keywords, {_normed('related_')} AS related FROM kb", "kb")
 _tok = d.query_tokens("q")
-_cases = " ".join(f"WHEN {sql_text(k)} THEN {sql_list([gl._norm(x) for x in v])}" for k, v in fv.CONCEPT_EXPANSIONS.items())
-SQL.add("asked", f"""SELECT event_id AS question_id, ({sql_list(QUESTIONS)})[event_id % 5 + 1] || ' ' || event_type AS text, [{', '.join(sql_list(x) for x in FINDINGS)}][user_id % 4 + 1] AS f FROM events""")
-SQL.add("asked_kinds", f"""SELECT text, f, {d.query_text('text')} AS q FROM (SELECT DISTINCT text, f FROM asked)""", "asked")
-SQL.add("asked_tok", f"SELECT *, list_distinct(list_concat({_tok}, flatten(list_transform({_tok}, lambda c_: CASE c_ {_cases} ELSE [] END)))) AS toks FROM asked_kinds", "asked_kinds")
+_cases = " ".join(f"WHEN {sql_text(k)} THEN {sql_list(v)}" for k, v in fv.CONCEPT_EXPANSIONS.items())
+SQL.add("asked", f"""SELECT CAST(event_id AS VARCHAR) AS question_id, ({sql_list(QUESTIONS)})[event_id % 5 + 1] || ' ' || event_type AS text, [{', '.join(sql_list(x) for x in FINDINGS)}][user_id % 4 + 1] AS f FROM events""")
 _any = lambda terms: "(" + " OR ".join(f"contains(q, {sql_text(t)})" for t in terms) + ")"
 _age = f"date_diff('day', updated, DATE '{AS_OF}') / 30.0"
-SQL.add("kb_score", f"""SELECT a.text, a.f, k.ord, k.id, k.category, k.source, k.url, CAST(
-  coalesce(list_sum(list_transform(f, lambda x_: CASE WHEN x_ = '' THEN 0 ELSE 28 * len(list_filter(names, lambda n1_: n1_ = x_)) + 18 * len(list_filter(names, lambda n2_: n2_ <> x_ AND (contains(x_, n2_) OR contains(n2_, x_))))
-    + 9 * len(list_filter(related, lambda n3_: contains(x_, n3_) OR contains(n3_, x_))) END)), 0)
-  + 20 * len(list_filter(names, lambda n4_: contains(q, n4_))) + 8 * len(list_filter(keywords, lambda n5_: contains(q, n5_)))
-  + 3 * len(list_filter(toks, lambda t_: length(t_) >= 2 AND (len(list_filter(names, lambda n6_: contains(n6_, t_))) > 0 OR len(list_filter(keywords, lambda n7_: contains(n7_, t_))) > 0)))
-  + CASE WHEN {_any(fv.INTENT_TERMS['trend'])} THEN 5 ELSE 0 END + CASE WHEN {_any(fv.INTENT_TERMS['urgency'])} THEN 5 ELSE 0 END + CASE WHEN {_any(fv.INTENT_TERMS['action'])} THEN 4 ELSE 0 END
-  + CASE level WHEN 'A' THEN 2 WHEN 'B' THEN 1 ELSE 0 END + CASE WHEN {_age} <= 12 THEN 3 WHEN {_age} <= 24 THEN 2 WHEN {_age} <= 36 THEN 1 ELSE 0 END AS INTEGER) AS score
-  FROM (SELECT text, q, toks, list_transform(f, lambda y_: {d.query_text('y_')}) AS f, f AS f0 FROM asked_tok) a, kb k""", "asked_tok", "kb")
-SQL.add("kb_hits", "SELECT *, row_number() OVER (PARTITION BY text, f ORDER BY score DESC, ord) AS rank FROM (SELECT * FROM kb_score WHERE score >= 15 QUALIFY row_number() OVER (PARTITION BY text, f, category ORDER BY score DESC, ord) = 1 OR score >= 30) QUALIFY rank <= 3", "kb_score")
+_why = gl.REASONS
+_told = f"""list_concat(flatten(list_transform(list_filter(f, lambda x_: x_ <> ''), lambda x_: list_concat(
+    list_transform(list_filter(names, lambda n1_: contains(x_, n1_) OR contains(n1_, x_)), lambda n2_: {{'term': n2_, 'why': CASE WHEN n2_ = x_ THEN '{_why["exact"]}' ELSE '{_why["partial"]}' END, 'p': CASE WHEN n2_ = x_ THEN 28 ELSE 18 END}}),
+    list_transform(list_filter(related, lambda n3_: contains(x_, n3_) OR contains(n3_, x_)), lambda n4_: {{'term': n4_, 'why': '{_why["related"]}', 'p': 9}})))),
+  list_transform(list_filter(names, lambda n5_: contains(q, n5_)), lambda n6_: {{'term': n6_, 'why': '{_why["alias"]}', 'p': 20}}),
+  list_transform(list_filter(keywords, lambda n7_: contains(q, n7_)), lambda n8_: {{'term': n8_, 'why': '{_why["keyword"]}', 'p': 8}}),
+  list_transform(list_filter(toks, lambda t_: length(t_) >= 2 AND (len(list_filter(names, lambda n9_: contains(n9_, t_))) > 0 OR len(list_filter(keywords, lambda m1_: contains(m1_, t_))) > 0)), lambda m2_: {{'term': m2_, 'why': NULL, 'p': 3}}))"""
+_aligned = "list_filter([" + ", ".join(f"CASE WHEN {_any(fv.INTENT_TERMS[i])} THEN '{why}' END" for i, (_, _, why) in gl.INTENTS.items()) + "], lambda z_: z_ IS NOT NULL)"
+_first = lambda c: f"list_filter({c}, lambda y_, i_: list_position({c}, y_) = i_)"
+
+
+def score_views(name: str, asked: str) -> None:
+    """Views of the scores of every guideline for the questions of view ``asked`` (question_id, text, f)."""
+    SQL.add(f"{name}_kinds", f"SELECT text, f AS f0, {d.query_text('text')} AS q, list_transform(f, lambda y_: {d.query_text('y_')}) AS f FROM (SELECT DISTINCT text, f FROM {asked})", asked)
+    SQL.add(f"{name}_tok", f"SELECT *, {_first(f'list_transform(list_concat({_tok}, flatten(list_transform({_tok}, lambda c_: CASE c_ {_cases} ELSE [] END))), lambda w_: ' + d.query_text('w_') + ')')} AS toks FROM {name}_kinds", f"{name}_kinds")
+    SQL.add(f"{name}_told", f"SELECT a.text, a.f0, a.q, k.*, {_told} AS told FROM {name}_tok a, kb_terms k", f"{name}_tok", "kb_terms")
+    SQL.add(f"{name}_score", f"""SELECT text, f0, ord, id, category, title, source, url, level, {_first("list_transform(told, lambda t1_: t1_.term)")} AS terms,
+      list_concat(list_filter(list_transform(told, lambda t2_: t2_.why), lambda t3_: t3_ IS NOT NULL), {_aligned}) AS why,
+      CAST(coalesce(list_sum(list_transform(told, lambda t4_: t4_.p)), 0)
+      + CASE WHEN {_any(fv.INTENT_TERMS['trend'])} THEN 5 ELSE 0 END + CASE WHEN {_any(fv.INTENT_TERMS['urgency'])} THEN 5 ELSE 0 END + CASE WHEN {_any(fv.INTENT_TERMS['action'])} THEN 4 ELSE 0 END
+      + CASE level WHEN 'A' THEN 2 WHEN 'B' THEN 1 ELSE 0 END + CASE WHEN {_age} <= 12 THEN 3 WHEN {_age} <= 24 THEN 2 WHEN {_age} <= 36 THEN 1 ELSE 0 END AS INTEGER) AS score FROM {name}_told""", f"{name}_told")
+    SQL.add(f"{name}_hits", f"SELECT *, CAST(row_number() OVER (PARTITION BY text, f0 ORDER BY score DESC, ord) AS INTEGER) AS rank FROM (SELECT * FROM {name}_score WHERE score >= 15 QUALIFY row_number() OVER (PARTITION BY text, f0, category ORDER BY score DESC, ord) = 1 OR score >= 30) QUALIFY rank <= 3", f"{name}_score")
+
+
+score_views("kb", "asked")
+# what patients ask: each turn of a user, behind it the six turns before; patients by the number of the conversation
+SQL.add("turns_asked", """SELECT conv_id || '-' || turn AS question_id, CAST(conv_id AS VARCHAR) AS scope_id, turn, text AS message, coalesce(history, []) AS history FROM
+  (SELECT conv_id, turn, role, text, list(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS history FROM
+    (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations)) WHERE role = 'user'""")
+SQL.add("top_names", "SELECT scope_id, list(canonical ORDER BY rk) AS f FROM (SELECT *, row_number() OVER (PARTITION BY scope_id ORDER BY day DESC, first_ord) AS rk FROM latestc) WHERE rk <= 10 GROUP BY 1", "latestc")
+SQL.add("chat_asked", "SELECT q.*, q.message || ' ' || array_to_string(q.history, ' ') AS text, n.f FROM turns_asked q JOIN top_names n USING (scope_id)", "turns_asked", "top_names")
+score_views("chat", "chat_asked")
+SQL.add("chat_sections", """SELECT a.question_id, count(*) AS n_guidelines, string_agg('[' || h.source || ']  [retrieval score: ' || h.score || ']' || chr(10) || h.title || chr(10) || 'Category: ' || h.category || chr(10)
+  || 'Matched retrieval terms: ' || CASE WHEN len(h.terms) > 0 THEN array_to_string(h.terms, ', ') ELSE 'none' END || chr(10) || 'Retrieval rationale: ' || CASE WHEN len(h.why) > 0 THEN array_to_string(h.why, ', ') ELSE 'semantic overlap' END
+  || chr(10) || 'Evidence level: ' || h.level || chr(10) || 'Cite as: "' || h.source || '" - ' || h.url, chr(10) || chr(10) ORDER BY h.rank) AS guidelines
+  FROM chat_asked a JOIN chat_hits h ON h.text = a.text AND h.f0 = a.f GROUP BY 1""", "chat_asked", "chat_hits")
 
 
 def retained(s, f):
@@ -131,22 +160,21 @@ def register() -> None:
       (SELECT o_custkey AS batch_id, count(*) AS processed, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS failed, 20 AS total, CAST(sum(o_orderkey % 10) AS DOUBLE) AS elapsed FROM orders GROUP BY 1)
       LEFT JOIN (SELECT o_custkey AS batch_id, string_agg('f' || o_orderkey || ': ' || CASE WHEN o_orderkey % 2 = 0 THEN 'Rate limit hit' ELSE 'quota' END, '; ' ORDER BY o_orderkey) AS details FROM
         (SELECT * FROM orders WHERE o_orderkey % 3 = 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 5) GROUP BY 1) USING (batch_id)""")(outcomes)
-    cols = "question_id, id, category, source, url, score, CAST(rank AS INTEGER) AS rank"
-    hits = f"""SELECT {cols} FROM (SELECT a.question_id, h.* FROM asked a JOIN kb_hits h ON h.text = a.text AND h.f = list_transform(a.f, lambda y_: {d.query_text('y_')}))"""
-
-    def retrieved(s, f):
-        return gl.retrieve(questions(s, f), F.lit(AS_OF).cast("date")).drop("ord")
-
-    for key in ("p13_guideline_retrieval", "w07_category_diverse_top"):
-        query(key, hits, "asked", "kb_hits")(retrieved)
-    query("j13_question_guideline_scores", f"""SELECT a.question_id, h.id, h.category, h.source, h.url, h.score, h.ord FROM asked a JOIN kb_score h ON h.text = a.text AND h.f = list_transform(a.f, lambda y_: {d.query_text('y_')}) WHERE h.score >= 15""", "asked", "kb_score")(
-        lambda s, f: gl.all_scores(questions(s, f), F.lit(AS_OF).cast("date")))
+    asked_as_of = F.lit(AS_OF).cast("date")
+    joined = lambda df: df.withColumn("matched_terms", F.array_join("matched_terms", "|")).withColumn("rationale", F.array_join("rationale", "|"))
+    query("p13_guideline_retrieval", """SELECT a.question_id, h.id, h.category, h.title, h.source, h.url, h.level, h.score, h.rank, array_to_string(h.terms, '|') AS matched_terms, array_to_string(h.why, '|') AS rationale
+      FROM asked a JOIN kb_hits h ON h.text = a.text AND h.f0 = a.f""", "asked", "kb_hits")(lambda s, f: joined(gl.retrieve(questions(s, f), gl.knowledge(s), asked_as_of)).drop("ord", "content"))
+    counted = ", ".join(f"CAST(len(list_filter(h.why, lambda v_: v_ = '{why}')) AS INTEGER) AS n_{key}" for key, why in gl.REASONS.items())
+    query("j13_question_guideline_scores", f"""SELECT a.question_id, h.id, h.category, h.source, h.url, h.score, h.ord, {counted}, CAST(len(h.terms) AS INTEGER) AS n_terms FROM asked a JOIN kb_score h ON h.text = a.text AND h.f0 = a.f WHERE h.score >= 15""", "asked", "kb_score")(
+        lambda s, f: gl.all_scores(questions(s, f), gl.knowledge(s), asked_as_of))
+    query("w07_category_diverse_top", """SELECT a.question_id, h.category, h.id, h.score, h.rank FROM asked a JOIN
+      (SELECT *, CAST(row_number() OVER (PARTITION BY text, f0 ORDER BY score DESC, ord) AS INTEGER) AS rank FROM (SELECT * FROM kb_score WHERE score >= 8 QUALIFY row_number() OVER (PARTITION BY text, f0, category ORDER BY score DESC, ord) = 1 OR score >= 40) QUALIFY rank <= 5) h
+      ON h.text = a.text AND h.f0 = a.f""", "asked", "kb_score")(
+        lambda s, f: gl.diverse_top(gl.all_scores(questions(s, f), gl.knowledge(s), asked_as_of, 8), ["question_id"], 5, 40).select("question_id", "category", "id", "score", "rank"))
 
     def context(s, f):
-        found = tl.chat_findings(lab_records(s, f))
-        top = tl.snapshot(found, 10).groupBy("scope_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "canonical"))), lambda x: x["canonical"]).alias("findings"))
-        ask = top.select(F.col("scope_id").alias("question_id"), F.lit("what should i do next about my sugar history").alias("query"), "findings")
-        hits = gl.retrieve(ask, F.lit(AS_OF).cast("date")).groupBy(F.col("question_id").alias("scope_id")).agg(F.array_join(F.array_sort(F.collect_list(F.format_string("%d %s", "rank", "id"))), "; ").alias("guidelines"))
-        return tl.prompt_parts(found).join(hits, "scope_id", "left")
+        turns = table(s, f, "conversations").withColumn("scope_id", F.col("conv_id").cast("string"))
+        return ch.chat_context(tl.chat_findings(lab_records(s, f)), turns, gl.knowledge(s), asked_as_of).withColumn("history", F.size("history").cast("long"))
 
-    query("p12_chat_context")(context)
+    query("p12_chat_context", """SELECT q.question_id, q.scope_id, q.turn, q.message, len(q.history) AS history, p.* EXCLUDE (scope_id), coalesce(g.n_guidelines, 0) AS n_guidelines, coalesce(g.guidelines, '') AS guidelines
+      FROM chat_asked q JOIN parts p ON p.scope_id = q.scope_id LEFT JOIN chat_sections g ON g.question_id = q.question_id""", "chat_asked", "parts", "chat_sections")(context)

@@ -64,11 +64,12 @@ def register() -> None:
         (SELECT *, row_number() OVER (PARTITION BY scope_id, date, lab ORDER BY row_ord) AS rn FROM chatf WHERE severity <> 'NORMAL') WHERE rn <= 8 GROUP BY ALL) p
       ON p.scope_id = k.scope_id AND p.date = k.date AND p.lab = k.lab""", "lastr", "chatf")
     query("e24_recent_timeline", "SELECT * FROM recent", "recent")(lambda s, f: tl.recent_timeline(chatf(s, f)))
-    query("p12_prompt_parts", """SELECT r.*, t.timeline, coalesce(c.persistent, 'None') AS persistent, v.latest_values FROM drange r
+    SQL.add("parts", """SELECT r.*, t.timeline, coalesce(c.persistent, 'None') AS persistent, v.latest_values FROM drange r
       LEFT JOIN (SELECT scope_id, string_agg('Date: ' || date || ' | Lab: ' || lab || chr(10) || 'Tests performed: ' || tests || chr(10) || 'Abnormal findings: ' || abnormal, chr(10) || '---' || chr(10) ORDER BY place) AS timeline FROM recent GROUP BY 1) t USING (scope_id)
       LEFT JOIN (SELECT scope_id, string_agg(canonical || ' (abnormal in ' || abnormal_reports || ' reports)', chr(10) ORDER BY abnormal_reports DESC, canonical) AS persistent FROM persist GROUP BY 1) c USING (scope_id)
       LEFT JOIN (SELECT scope_id, string_agg(canonical || ': ' || latest_value || CASE WHEN unit <> '' THEN ' ' || unit ELSE '' END || ' [' || latest_status || '] as of ' || latest_date, chr(10) ORDER BY rk) AS latest_values FROM
-        (SELECT *, row_number() OVER (PARTITION BY scope_id ORDER BY day DESC, first_ord) AS rk FROM latestc) WHERE rk <= 40 GROUP BY 1) v USING (scope_id)""", "drange", "recent", "persist", "latestc")(lambda s, f: tl.prompt_parts(chatf(s, f)))
+        (SELECT *, row_number() OVER (PARTITION BY scope_id ORDER BY day DESC, first_ord) AS rk FROM latestc) WHERE rk <= 40 GROUP BY 1) v USING (scope_id)""", "drange", "recent", "persist", "latestc")
+    query("p12_prompt_parts", "SELECT * FROM parts", "parts")(lambda s, f: tl.prompt_parts(chatf(s, f)))
     query("e25_persistent_concerns", "SELECT * FROM persist", "persist")(lambda s, f: tl.persistent_concerns(chatf(s, f)))
     query("e26_date_range", "SELECT * FROM drange", "drange")(lambda s, f: tl.date_range(chatf(s, f)))
     query("w02_latest_per_test", f"""SELECT scope_id, "Test_Name", "Test_Date", "Lab_Name", "Result", "Unit", "Status", row_ord FROM lab_records

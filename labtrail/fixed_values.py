@@ -545,10 +545,11 @@ NAME_TITLE_PATTERNS = [
 ]
 
 # --- fixed values: retrieval vocabulary ------------------------------------
-STOP_WORDS = (
-    "the a an to of and or in on for with my me about is are was were be been "
-    "it this that how what why when should could would do does did please explain"
-).split()
+STOP_WORDS = [
+    "the", "a", "an", "to", "of", "and", "or", "in", "on", "for", "with", "my", "me", "about",
+    "is", "are", "was", "were", "be", "been", "it", "this", "that", "how", "what", "why", "when",
+    "should", "could", "would", "do", "does", "did", "please", "explain",
+]
 INTENT_TERMS = {
     "trend": ["trend", "change", "changed", "improved", "worse", "increased",
               "decreased", "over time", "history"],
@@ -588,6 +589,7 @@ GUIDELINES = [
         "related": ["fasting glucose", "postprandial glucose", "insulin", "urine albumin"],
         "source": "American Diabetes Association Standards of Care 2024",
         "url": "https://diabetesjournals.org/care/issue/47/Supplement_1",
+        "title": "HbA1C Targets and Diabetes Classification",
         "level": "A",
         "updated": "2024-01",
     },
@@ -600,6 +602,7 @@ GUIDELINES = [
         "related": ["hba1c", "postprandial glucose", "insulin"],
         "source": "American Diabetes Association Standards of Care 2024",
         "url": "https://diabetesjournals.org/care/issue/47/Supplement_1",
+        "title": "Fasting Plasma Glucose Diagnostic and Monitoring Ranges",
         "level": "A",
         "updated": "2024-01",
     },
@@ -612,6 +615,7 @@ GUIDELINES = [
         "related": ["calcium", "phosphorus", "alkaline phosphatase", "pth"],
         "source": "Endocrine Society Clinical Practice Guideline 2024",
         "url": "https://www.endocrine.org/clinical-practice-guidelines",
+        "title": "Vitamin D Deficiency and Supplementation",
         "level": "B",
         "updated": "2024-06",
     },
@@ -624,6 +628,7 @@ GUIDELINES = [
         "related": ["hdl", "triglycerides", "non-hdl", "total cholesterol"],
         "source": "ACC/AHA Guideline on Management of Blood Cholesterol 2023",
         "url": "https://www.ahajournals.org/doi/10.1161/CIR.0000000000000625",
+        "title": "LDL Cholesterol Targets and Risk Stratification",
         "level": "A",
         "updated": "2023-11",
     },
@@ -636,6 +641,7 @@ GUIDELINES = [
         "related": ["ldl", "triglycerides", "non-hdl"],
         "source": "ACC/AHA Guideline on Management of Blood Cholesterol 2023",
         "url": "https://www.ahajournals.org/doi/10.1161/CIR.0000000000000625",
+        "title": "HDL Cholesterol in Risk Context",
         "level": "B",
         "updated": "2023-11",
     },
@@ -648,6 +654,7 @@ GUIDELINES = [
         "related": ["hdl", "ldl", "non-hdl", "fasting glucose"],
         "source": "ACC Expert Consensus Decision Pathway 2023",
         "url": "https://www.jacc.org",
+        "title": "Triglyceride Risk Tiers and Management",
         "level": "A",
         "updated": "2023-10",
     },
@@ -660,6 +667,7 @@ GUIDELINES = [
         "related": ["alt", "alp", "bilirubin", "ggt"],
         "source": "AASLD Practice Guidance on Liver Enzymes 2023",
         "url": "https://www.aasld.org/publications/practice-guidelines",
+        "title": "AST Elevation Patterns",
         "level": "B",
         "updated": "2023-08",
     },
@@ -672,6 +680,7 @@ GUIDELINES = [
         "related": ["ast", "alp", "bilirubin", "ggt"],
         "source": "AASLD Practice Guidance on Liver Enzymes 2023",
         "url": "https://www.aasld.org/publications/practice-guidelines",
+        "title": "ALT Interpretation and Follow-up",
         "level": "B",
         "updated": "2023-08",
     },
@@ -684,6 +693,7 @@ GUIDELINES = [
         "related": ["egfr", "urea", "urine albumin", "potassium"],
         "source": "KDIGO CKD Guideline Update 2024",
         "url": "https://kdigo.org/guidelines/",
+        "title": "Creatinine as a Kidney Function Marker",
         "level": "A",
         "updated": "2024-02",
     },
@@ -696,6 +706,7 @@ GUIDELINES = [
         "related": ["creatinine", "urine acr", "urea", "potassium"],
         "source": "KDIGO CKD Guideline Update 2024",
         "url": "https://kdigo.org/guidelines/",
+        "title": "eGFR Staging and Risk Context",
         "level": "A",
         "updated": "2024-02",
     },
@@ -708,6 +719,7 @@ GUIDELINES = [
         "related": ["free t4", "free t3", "anti-tpo"],
         "source": "American Thyroid Association Guidelines 2023",
         "url": "https://www.thyroid.org/professionals/ata-professional-guidelines",
+        "title": "TSH Reference Framework",
         "level": "A",
         "updated": "2023-05",
     },
@@ -720,6 +732,7 @@ GUIDELINES = [
         "related": ["tsh", "free t3"],
         "source": "American Thyroid Association Guidelines 2023",
         "url": "https://www.thyroid.org/professionals/ata-professional-guidelines",
+        "title": "Free T4 Confirmation Layer for Thyroid Status",
         "level": "B",
         "updated": "2023-05",
     },
@@ -732,6 +745,7 @@ GUIDELINES = [
         "related": ["ferritin", "mcv", "rdw", "vitamin b12"],
         "source": "WHO Haemoglobin Concentrations for Anaemia Diagnosis 2024 update",
         "url": "https://www.who.int/publications",
+        "title": "Hemoglobin Thresholds and Anemia Severity",
         "level": "A",
         "updated": "2024-03",
     },
@@ -744,6 +758,7 @@ GUIDELINES = [
         "related": ["wbc", "hemoglobin", "peripheral smear"],
         "source": "American Society of Hematology Guidance 2023",
         "url": "https://www.hematology.org/education/clinicians/guidelines-quality",
+        "title": "Platelet Count Clinical Context",
         "level": "B",
         "updated": "2023-07",
     },
@@ -756,6 +771,7 @@ GUIDELINES = [
         "related": ["hemoglobin", "transferrin saturation", "crp", "mcv"],
         "source": "British Society for Haematology Iron Deficiency Guidance 2023",
         "url": "https://b-s-h.org.uk/guidelines",
+        "title": "Ferritin in Iron Deficiency Workup",
         "level": "B",
         "updated": "2023-09",
     },
@@ -768,6 +784,7 @@ GUIDELINES = [
         "related": ["hemoglobin", "mcv", "folate", "homocysteine"],
         "source": "EFNS Clinical Guidance on B12 Deficiency 2024",
         "url": "https://www.ean.org/guideline-reference-center",
+        "title": "Vitamin B12 Deficiency Interpretation",
         "level": "B",
         "updated": "2024-02",
     },
@@ -780,6 +797,7 @@ GUIDELINES = [
         "related": ["ldl", "triglycerides", "ferritin"],
         "source": "AHA/CDC Scientific Statement on CRP 2023",
         "url": "https://www.ahajournals.org",
+        "title": "hs-CRP Risk Interpretation",
         "level": "A",
         "updated": "2023-03",
     },
@@ -792,6 +810,7 @@ GUIDELINES = [
         "related": ["creatinine", "egfr", "crp"],
         "source": "American College of Rheumatology Gout Guideline 2023",
         "url": "https://rheumatology.org",
+        "title": "Serum Uric Acid and Gout Risk Context",
         "level": "B",
         "updated": "2023-11",
     },
