@@ -1,9 +1,9 @@
 """Looser grouping of test names: by shape and words, not by the alias table alone.
 
 The rule for two names is an expression over their cleaned keys.  Pairs are
-formed only between distinct keys that share a block (compact form or initials,
-a word, the first eight characters), once for the whole vocabulary; within a
-scope those pairs are edges, and their components are the groups.
+formed only between distinct keys, by equality of forms, beginnings and rare
+pairs of words, once for the whole vocabulary; within a scope those pairs are
+edges, and their components are the groups.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from labtrail.functions import names as nm
 from labtrail.functions.basic import ladder
 from labtrail.operators.dictionary import with_derived
 from labtrail.operators.graph import connected
+from labtrail.operators.set_join import overlap_candidates
 from labtrail.operators.resolve import HELPERS, SCOPE, deduplicate, normalize_records
 from labtrail.session import materialize
 
@@ -75,20 +76,24 @@ def long_words(key: Column) -> Column:
     return F.filter(nm.tokens(key), lambda t: F.length(t) > 2)
 
 
-def blocks(key: Column) -> Column:
-    """Names of the blocks of a key: two keys that may be the same test share one."""
-    named = lambda kind, value: F.concat(F.lit(kind), value)
-    return F.array_distinct(F.concat(
-        F.array(named("c:", nm.compact(key)), named("c:", nm.initials(key)), named("p:", F.substring(key, 1, PREFIX))),
-        F.transform(long_words(key), lambda t: named("t:", t)),
-    ))
-
-
 def same_pairs(keys: DataFrame) -> DataFrame:
-    """(a, b), a before b, of the distinct ``key`` values that are the same test."""
-    held = keys.select("key").distinct().withColumn("block", F.explode(blocks(F.col("key"))))
-    left, right = held.select("block", F.col("key").alias("a")), held.select("block", F.col("key").alias("b"))
-    pairs = left.join(right, "block").where("a < b").select("a", "b").distinct()
+    """(a, b), a before b, of the distinct ``key`` values that are the same test.
+
+    Each way of being alike has a join of its own, all by equality: the compact
+    form of one key with the compact form or initials of the other, one key with
+    the beginnings of the other, and their words by rare pairs of them.
+    """
+    held = materialize(keys.select("key").distinct(), "looser-keys")
+    key = F.col("key")
+    forms = held.select(F.col("key").alias("a"), nm.compact(key).alias("form"))
+    short = held.select(F.col("key").alias("b"), F.explode(F.array_distinct(F.array(nm.compact(key), nm.initials(key)))).alias("form"))
+    by_form = forms.join(short, "form").select("a", "b")
+    begins = held.where(F.length(key) > PREFIX).select(key.alias("b"), F.explode(F.transform(F.sequence(F.lit(PREFIX), F.length(key) - 1), lambda n: F.substring(key, F.lit(1), n))).alias("a"))
+    by_start = begins.join(held.select(F.col("key").alias("a")), "a").select("a", "b")
+    worded = held.select(F.col("key").alias("id"), long_words(key).alias("words")).where(F.size("words") >= 2)
+    by_words = overlap_candidates(worded, OVERLAP).select(F.col("small").alias("a"), F.col("large").alias("b"))
+    pairs = by_form.unionByName(by_start).unionByName(by_words)
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return pairs.where(same_test(F.col("a"), F.col("b")))
 
 
