@@ -1,10 +1,11 @@
 """Alignment of two tokenizers on the same texts, and links of their tokens.
 
 Both token lists of a text spell the same bytes.  The cumulative ends of each
-list's tokens go into a dictionary from end to index; the ends that both
-dictionaries hold, sorted, cut both lists into groups.  Within the slices, every
-stretch between two neighbouring ends of either list is one link, between the
-two tokens it lies in; all slices are expanded at once.
+list's tokens go into a dictionary from end to index, which is an array with a
+slot for every byte; the ends that both dictionaries hold, in order, cut both
+lists into groups.  Within the slices, every stretch between two neighbouring
+ends of either list is one link, between the two tokens it lies in; all slices
+are expanded at once.
 
 One pass encodes whole texts and writes, for each document, its counts, digest
 and link counts.  Then counts of id pairs are summed over the corpus, and each
@@ -47,13 +48,15 @@ def align(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     The groups as the ends of their slices in either list, and the links as
     indexes into either list, in order.
     """
-    of_a = dict(zip(a_ends.tolist(), range(1, len(a_ends) + 1)))
-    of_b = dict(zip(b_ends.tolist(), range(1, len(b_ends) + 1)))
-    common = sorted(of_a.keys() & of_b.keys())
-    to_a, to_b = (np.fromiter(map(of.__getitem__, common), np.int64, len(common)) for of in (of_a, of_b))
+    size = int(a_ends[-1]) + 1
+    of_a, of_b = np.zeros(size, np.int32), np.zeros(size, np.int32)
+    of_a[a_ends] = np.arange(1, len(a_ends) + 1)
+    of_b[b_ends] = np.arange(1, len(b_ends) + 1)
+    common = np.flatnonzero((of_a > 0) & (of_b > 0))
     # a stretch that ends within a slice, or with it, lies in the tokens that end there or next
-    stretches = np.union1d(a_ends, b_ends)
-    return to_a, to_b, np.searchsorted(a_ends, stretches), np.searchsorted(b_ends, stretches)
+    stretches = np.flatnonzero((of_a > 0) | (of_b > 0))
+    in_a, in_b = (np.cumsum(of > 0)[stretches - 1] for of in (of_a, of_b))
+    return of_a[common], of_b[common], in_a, in_b
 
 
 def byte_letters() -> dict[str, int]:
@@ -90,14 +93,16 @@ class Pair:
             piece = self.b.id_to_piece(i)
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("\u2581", " ").encode())
         self.a_sizes, self.b_sizes = (np.array([*map(len, table)], np.int64) for table in (self.a_bytes, self.b_bytes))
-        # ids as they are written: within a group, at the end of a's and at the end of b's part
-        n = max(len(self.a_bytes), len(self.b_bytes))
-        self.block, self.told = n, [f"{i}{mark}" for mark in ",|;" for i in range(n)]
+        # ids as they are written: within a group, at the end of a's and at the end of b's part; digits by place
+        self.block = max(len(self.a_bytes), len(self.b_bytes))
+        told = [f"{i}{mark}".encode() for mark in ",|;" for i in range(self.block)]
+        self.width = np.array([*map(len, told)], np.int8)
+        self.told = np.array(told).view(np.uint8).reshape(len(told), -1)
 
-    def a_ids(self, text: str) -> list[int]:
+    def a_ids(self, text: str) -> np.ndarray:
         if self.fast is None or _OTHER(text):
-            return self.a.encode(" " + text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(" " + text)
+            return np.array(self.a.encode(" " + text, add_special_tokens=False).ids, np.int64)
+        return self.fast.encode_to_numpy(" " + text).astype(np.int64)
 
     def digest(self, a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray) -> str:
         """Hex digest of ``a1,a2|b1;a3|b2,b3``."""
@@ -111,21 +116,25 @@ class Pair:
         place_b = np.arange(len(b)) + np.repeat(to_a, np.diff(to_b, prepend=0))
         order = np.empty(len(a) + len(b), np.int64)
         order[place_a], order[place_b] = marks
-        text = "".join(map(self.told.__getitem__, order.tolist()))
-        return hashlib.sha256(text[:-1].encode()).hexdigest()
+        digits = self.told[order]
+        written = digits[np.arange(digits.shape[1]) < self.width[order][:, None]]
+        return hashlib.sha256(written[:-1].tobytes()).hexdigest()
 
     def __call__(self, texts: list[str]) -> list[tuple]:
         """For each text: tokens a, tokens b, groups, links, digest, linked id pairs and how often each is linked."""
         return [self._one(t, b) for t, b in zip(texts, self.b.encode(texts, num_threads=1))]
 
     def _one(self, text: str, b: list[int]) -> tuple:
-        none = np.empty(0, np.int64)
-        a, raw = self.a_ids(text) if text else [], (" " + text).encode()
-        spelled = lambda ids, table: b"".join(map(table.__getitem__, ids)) == raw
-        if not text or not spelled(a, self.a_bytes) or not spelled(b, self.b_bytes):
-            return 0, 0, 0, 0, "", none, none
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        to_a, to_b, in_a, in_b = align(np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b]))
+        nothing = 0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64)
+        raw = (" " + text).encode()
+        # byte-level entries spell what they are given, except where the library changes odd characters
+        if not text or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
+            return nothing
+        a, b = self.a_ids(text), np.array(b, np.int64)
+        a_ends = np.cumsum(self.a_sizes[a])
+        if a_ends[-1] != len(raw) or _OTHER(text) and b"".join(map(self.a_bytes.__getitem__, a.tolist())) != raw:
+            return nothing
+        to_a, to_b, in_a, in_b = align(a_ends, np.cumsum(self.b_sizes[b]))
         pairs, times = np.unique(b[in_b] << 32 | a[in_a], return_counts=True)
         return len(a), len(b), len(to_a), len(in_a), self.digest(a, b, to_a, to_b), pairs, times
 
