@@ -66,3 +66,8 @@ def register() -> None:
       (SELECT r.scope_id, l.label, coalesce(nullif(trim(r."Test_Date"), ''), 'N/A') AS date_key FROM normalized r JOIN record_keys k ON k.name = r."Test_Name" JOIN looser l ON l.scope_id = r.scope_id AND l.key = k.key) GROUP BY 1)""", "normalized", "record_keys", "looser")(
         lambda s, f: lo.resolve_loosely(lab_records(s, f)).groupBy("scope_id").agg(F.countDistinct(F.array_join("Aliases", "|")).alias("label_names"), n_rows().alias("readings")))
     query("p06_unify_names")(lambda s, f: un.unify_names(lab_records(s, f)).select("row_ord", "Test_Name", "Test_Category", "Test_Date", "Result", "Patient_ID"))
+    SQL.add("plain_names", f"""SELECT * REPLACE (CASE WHEN "Test_Name" IN ({', '.join(sql_text(x) for x in fv.B12_VARIANTS)}) THEN {sql_text(fv.B12_TARGET)} ELSE coalesce("Test_Name", 'N/A') END AS "Test_Name") FROM lab_records""", "lab_records")
+    query("p06_name_facts", f"""SELECT "Test_Name" AS name, count(*) AS n, min(row_ord) AS first, round(quantile_cont({d.strict_numeric('"Result"')}, 0.5), 6) AS median FROM plain_names GROUP BY 1""", "plain_names")(
+        lambda s, f: un.name_facts(un.with_plain_names(lab_records(s, f))).select("name", "n", "first", F.round("median", 6).alias("median")))
+    query("p06_frequent_categories", """SELECT "Test_Name", arg_min("Test_Category", ROW(-n, "Test_Category")) AS category FROM (SELECT "Test_Name", "Test_Category", count(*) AS n FROM plain_names
+      WHERE "Test_Category" IS NOT NULL AND "Test_Category" <> 'N/A' GROUP BY ALL) GROUP BY 1""", "plain_names")(lambda s, f: un.frequent_categories(un.with_plain_names(lab_records(s, f))).withColumnRenamed("_mode", "category"))
