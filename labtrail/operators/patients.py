@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +15,8 @@ from labtrail.operators.resolve import ORDER, SCOPE
 from labtrail.schema import PATIENT_FIELDS
 from labtrail.session import materialize
 
-PAIR_LIMIT = 64
+#: Share of the words of two names that one person's names have in common (``persons_match``).
+PERSON_OVERLAP = 0.6
 
 
 def given(c: Column) -> Column:
@@ -152,33 +151,41 @@ def distinct_names(infos: DataFrame) -> DataFrame:
     )
 
 
+def clash_bounds(names: DataFrame) -> DataFrame:
+    """``names`` (scope, norm) with ``names_``, the names of its scope, and ``like``, at least as many as may match it, itself included.
+
+    A name that matches either shares six tenths of this one's words, so it
+    holds one of this one's rarest words; or all its words are among this one's,
+    so its own rarest word is.  Names that share no word never match.
+    """
+    words = F.array_distinct(F.filter(F.split("norm", " "), lambda w: w != ""))
+    each = names.select(SCOPE, "norm", F.explode(words).alias("word"))
+    held = each.groupBy(SCOPE, "word").agg(n_rows().alias("df"))
+    ranked = each.join(held, [SCOPE, "word"]).groupBy(SCOPE, "norm").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("w"))
+    owned = ranked.groupBy(SCOPE, F.col("w")[0]["word"].alias("word")).agg(n_rows().alias("own"))
+    subsets = each.join(owned, [SCOPE, "word"]).groupBy(SCOPE, "norm").agg(F.sum("own").alias("subsets"))
+    k = F.size("w")
+    rarest = F.slice("w", F.lit(1), k - F.ceil(k * PERSON_OVERLAP - 1e-9).cast("int") + 1)
+    sharing = F.aggregate(rarest, F.lit(0).cast("long"), lambda acc, x: acc + x["df"])
+    sizes = names.groupBy(SCOPE).agg(n_rows().alias("names_"))
+    return names.join(ranked, [SCOPE, "norm"]).join(subsets, [SCOPE, "norm"], "left").join(sizes, SCOPE).withColumn(
+        "like", sharing + F.coalesce("subsets", F.lit(0))
+    ).drop("w", "subsets")
+
+
 def name_conflicts(infos: DataFrame) -> DataFrame:
     """First pair of names per scope that cannot be one person.
 
-    Scopes with few distinct names compare them pairwise.  A scope with many is
-    worked through one anchor name at a time (its earliest), which is a linear
-    pass per round; most such scopes clash with the first anchor.
+    Counts of words tell, without comparing names, which surely clash with
+    another (``clash_bounds``).  The first such name is the last that the pair
+    can begin with, so only names up to it are compared with those after them.
     """
-    names = distinct_names(infos)
-    sizes = names.groupBy(SCOPE).agg(n_rows().alias("_names"))
-    sized = names.join(sizes.where("_names > 1"), SCOPE)
-    few = sized.where(F.col("_names") <= PAIR_LIMIT)
-    a, b = few.alias("a"), few.alias("b")
+    names = materialize(distinct_names(infos), "patient-names")
+    bounds = clash_bounds(names).where("names_ > 1")
+    sure = bounds.groupBy(SCOPE).agg(F.min(F.when(F.col("like") < F.col("names_"), F.col("first"))).alias("last"))
+    a = names.join(sure, SCOPE).where("last IS NULL OR first <= last").alias("a")
+    b = names.alias("b")
     clash = (F.col("a.first") < F.col("b.first")) & ~tx.persons_match(F.col("a.norm"), F.col("b.norm"))
-    found = [
-        a.join(b, (F.col(f"a.{SCOPE}") == F.col(f"b.{SCOPE}")) & clash).groupBy(F.col(f"a.{SCOPE}").alias(SCOPE)).agg(
-            F.min(F.struct(F.col("a.first").alias("i"), F.col("b.first").alias("j"), F.col("a.shown").alias("x"), F.col("b.shown").alias("y"))).alias("p")
-        ).select(SCOPE, F.col("p.x").alias("first_name"), F.col("p.y").alias("conflicting_name"))
-    ]
-    many = sized.where(F.col("_names") > PAIR_LIMIT).drop("_names")
-    while not many.isEmpty():
-        many = materialize(many, "names")
-        anchor = many.groupBy(SCOPE).agg(F.min(F.struct("first", "norm", "shown")).alias("_a"))
-        rest = many.join(anchor, SCOPE).where(F.col("first") > F.col("_a.first"))
-        hit = rest.where(~tx.persons_match(F.col("_a.norm"), F.col("norm"))).groupBy(SCOPE).agg(
-            F.min(F.struct("first", "shown")).alias("_h"), F.first("_a").alias("_a")
-        ).select(SCOPE, F.col("_a.shown").alias("first_name"), F.col("_h.shown").alias("conflicting_name"))
-        hit = materialize(hit, "conflicts")
-        found.append(hit)
-        many = rest.drop("_a").join(hit.select(SCOPE), SCOPE, "left_anti")
-    return reduce(DataFrame.unionByName, found)
+    pair = F.struct(F.col("a.first").alias("i"), F.col("b.first").alias("j"), F.col("a.shown").alias("x"), F.col("b.shown").alias("y"))
+    found = a.join(b, (F.col(f"a.{SCOPE}") == F.col(f"b.{SCOPE}")) & clash).groupBy(F.col(f"a.{SCOPE}").alias(SCOPE)).agg(F.min(pair).alias("p"))
+    return found.select(SCOPE, F.col("p.x").alias("first_name"), F.col("p.y").alias("conflicting_name"))

@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labtrail.functions.basic import n_rows
 
 from labtrail.functions import status as st
 from labtrail.functions import text as tx
+from labtrail.session import materialize
 
 
 
 # --- extracted findings against the truth -----------------------------------
+#: Findings of a chain that one task matches, about; a stretch of values, in tolerances, that is never cut.
+SEGMENT, UNCUT = 100_000, 8
+
+
 def greedy_matches(extracted: DataFrame, truth: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """One-to-one matches per report: same name, values closer than tolerance,
     extracted findings in input order, each taking its first unused truth.
@@ -21,7 +27,7 @@ def greedy_matches(extracted: DataFrame, truth: DataFrame, tolerance: float = 0.
     (report, name, value) behave alike, so whole runs of equal values are
     matched by counting.  Only chains of *different* values within tolerance
     need the sequential rule; a chain is cut wherever two neighbouring values
-    differ by the tolerance or more, and each chain is its own small group.
+    differ by the tolerance or more.
     """
     sides = extracted.select("report_id", "name", "value", "pos", F.lit(0).alias("side")).unionByName(
         truth.select("report_id", "name", "value", "pos", F.lit(1).alias("side"))
@@ -44,46 +50,127 @@ def greedy_matches(extracted: DataFrame, truth: DataFrame, tolerance: float = 0.
         .select("report_id", "name", "chain", "value")
         .join(sides, ["report_id", "name", "value"])
     )
-
-    keys = ["report_id", "name", "chain"]
-    sorted_chains = (
-        tangled.select(*keys, "side", "pos", "value").repartition(*keys)
-        .sortWithinPartitions(*keys, F.desc("side"), "pos")
-    )
-    by_rule = sorted_chains.mapInPandas(_first_unused(tolerance), "report_id long, matches long")
+    by_rule = chain_matches(tangled, tolerance).select("report_id", F.lit(1).cast("long").alias("matches"))
     return simple.unionByName(by_rule).groupBy("report_id").agg(F.sum("matches").alias("true_positives"))
 
 
-def _first_unused(tolerance: float):
-    """Each extracted value takes the first unused truth within tolerance.
-    Rows arrive sorted by chain, truths first; one chain is held at a time."""
+def segments(tangled: DataFrame, tolerance: float) -> DataFrame:
+    """Rows of chains with ``seg``, their segment of the chain's value axis, and ``low`` / ``high``, the segment's borders."""
+    chain, width = ["report_id", "name", "chain"], UNCUT * tolerance
+    rows = tangled.withColumn("bucket", F.floor(F.col("value") / width))
+    sums = Window.partitionBy(*chain).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    cut = rows.groupBy(*chain, "bucket").agg(n_rows().alias("n")).withColumn("_filled", F.floor((F.sum("n").over(sums) - 1) / SEGMENT))
+    # neighbours have neighbouring numbers
+    cut = cut.withColumn("seg", F.dense_rank().over(Window.partitionBy(*chain).orderBy("_filled")).cast("long")).drop("_filled")
+    one = Window.partitionBy(*chain, "seg")
+    cut = cut.withColumn("low", F.min("bucket").over(one) * width).withColumn("high", (F.max("bucket").over(one) + 1) * width)
+    return rows.join(cut.drop("n"), [*chain, "bucket"]).drop("bucket")
+
+
+def chain_matches(tangled: DataFrame, tolerance: float) -> DataFrame:
+    """The matched extracted findings of chains: (report_id, name, chain, value, pos).
+
+    The rule looks at values less than two tolerances apart only.  So a long
+    chain is cut into segments along its values, and each is swept by itself, in
+    input order, with the findings beside its borders in view.  A finding near a
+    border waits while an earlier one across it is undecided; what waits goes on
+    in the next round, with what the others decided.  The earliest undecided
+    finding never waits, and chains of one segment are done in one round.
+    """
+    chain = ["report_id", "name", "chain"]
+    spark = tangled.sparkSession
+    # equal rows of a side are told apart by a number
+    number = F.row_number().over(Window.partitionBy(*chain, "side", "value").orderBy("pos"))
+    left = materialize(segments(tangled, tolerance).withColumn("copy", number), "chain-rows")
+    near = F.lit(2 * tolerance * (1 + 1e-6) + 1e-12)
+    view = lambda seg, beside: F.struct(seg.alias("view"), F.lit(beside).alias("beside"))
+    views = F.array_compact(F.array(
+        view(F.col("seg"), False),
+        F.when(F.col("value") < F.col("low") + near, view(F.col("seg") - 1, True)),
+        F.when(F.col("value") >= F.col("high") - near, view(F.col("seg") + 1, True)),
+    ))
+    named = [*chain, "side", "value", "pos", "copy"]
+    schema = T.StructType([left.schema[c] for c in named] + [T.StructField("matched", T.BooleanType())])
+    done = spark.createDataFrame([], schema)
+    while not left.where("side = 0").isEmpty():
+        seen = left.withColumn("v", F.explode(views)).select(*named, "v.view", "v.beside")
+        decided = materialize(seen.groupBy(*chain, "view").applyInPandas(_sweep(tolerance), schema), "chain-decided")
+        done = done.unionByName(decided.where("matched and side = 0"))
+        left = materialize(left.join(decided.select(*named), named, "left_anti"), "chain-rows")
+    return done.select(*chain, "value", "pos")
+
+
+def _sweep(tolerance: float):
+    """Decides a segment's extracted findings in input order, as far as its borders allow."""
+
+    def run(key, pdf):
+        import bisect
 
-    def run(batches):
         import pandas as pd
 
-        chain, free, hits = None, [], 0
-        for pdf in batches:
-            reports, matches = [], []
-            for rid, name, no, side, value in zip(pdf["report_id"], pdf["name"], pdf["chain"], pdf["side"], pdf["value"]):
-                if (rid, name, no) != chain:
-                    if hits:
-                        reports.append(chain[0])
-                        matches.append(hits)
-                    chain, free, hits = (rid, name, no), [], 0
-                if side == 1:
-                    free.append(value)
-                    continue
-                at = next((i for i, t in enumerate(free) if abs(value - t) < tolerance), None)
-                if at is not None:
-                    free.pop(at)
-                    hits += 1
-            yield pd.DataFrame({"report_id": pd.Series(reports, dtype="int64"), "matches": pd.Series(matches, dtype="int64")})
-        if hits:
-            yield pd.DataFrame({"report_id": [chain[0]], "matches": [hits]})
+        truths = pdf[pdf.side == 1].sort_values(["value", "pos", "copy"])
+        values = truths.value.tolist()
+        order = truths.reset_index(drop=True).sort_values(["pos", "copy"]).index.tolist()
+        free = _FirstFree(order)
+        blocked: list[float] = []
+        decided, used = [], []
+        for row in pdf[pdf.side == 0].sort_values(["pos", "copy"]).itertuples():
+            v = row.value
+            at = bisect.bisect_left(blocked, v - 2 * tolerance)
+            if row.beside or (at < len(blocked) and blocked[at] <= v + 2 * tolerance):
+                bisect.insort(blocked, v)
+                continue
+            lo, hi = bisect.bisect_left(values, v - 2 * tolerance), bisect.bisect_right(values, v + 2 * tolerance)
+            while lo < hi and not abs(v - values[lo]) < tolerance:
+                lo += 1
+            while lo < hi and not abs(v - values[hi - 1]) < tolerance:
+                hi -= 1
+            taken = free.take(lo, hi)
+            decided.append((row.Index, taken is not None))
+            if taken is not None:
+                used.append(truths.index[taken])
+        rows = [i for i, _ in decided] + used
+        out = pdf.loc[rows, ["report_id", "name", "chain", "side", "value", "pos", "copy"]]
+        return out.assign(matched=[m for _, m in decided] + [True] * len(used))
 
     return run
 
 
+class _FirstFree:
+    """The places of a list that are free, and the earliest of a slice of them: a tree of minima."""
+
+    def __init__(self, order: list[int]):
+        """``order``: the places from the earliest on."""
+        n = len(order)
+        self.size, self.none, self.order = max(1, n), n, order
+        rank = [n] * n
+        for r, place in enumerate(order):
+            rank[place] = r
+        self.tree = [n] * self.size + rank + [n] * (self.size - n)
+        for k in range(self.size - 1, 0, -1):
+            self.tree[k] = min(self.tree[2 * k], self.tree[2 * k + 1])
+
+    def take(self, lo: int, hi: int) -> int | None:
+        best, lo, hi = self.none, lo + self.size, hi + self.size
+        while lo < hi:
+            if lo & 1:
+                best = min(best, self.tree[lo])
+                lo += 1
+            if hi & 1:
+                hi -= 1
+                best = min(best, self.tree[hi])
+            lo, hi = lo // 2, hi // 2
+        if best == self.none:
+            return None
+        place = self.order[best]
+        k = place + self.size
+        self.tree[k] = self.none
+        while k > 1:
+            k //= 2
+            self.tree[k] = min(self.tree[2 * k], self.tree[2 * k + 1])
+        return place
+
+
 def extraction_f1(extracted: DataFrame, truth: DataFrame) -> DataFrame:
     sizes = extracted.select("report_id", F.lit(1).alias("e"), F.lit(0).alias("t")).unionByName(
         truth.select("report_id", F.lit(0).alias("e"), F.lit(1).alias("t"))

@@ -31,7 +31,28 @@ def test_name_conflicts_with_many_names(spark):
     infos = spark.createDataFrame(rows, "scope_id string, row_ord string, name string")
     got = {r[0]: (r[1], r[2]) for r in pt.name_conflicts(infos).collect()}
     assert got == want
-    assert pt.PAIR_LIMIT < len(many)
+
+
+def test_name_conflicts_of_random_scopes(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for s in range(40):
+        words = [f"w{s}{k}".replace("0", "a") for k in range(rng.choice([3, 5, 9]))]
+        core = words[: rng.choice([0, 1, 3])]
+        names = list(dict.fromkeys(" ".join(sorted(set(core + rng.sample(words, rng.randint(1, 3))))) for _ in range(rng.randint(1, 12))))
+        rows += [(str(s), f"{i:03d}", n) for i, n in enumerate(names)]
+        pairs = [(i, j) for i, j in itertools.combinations(range(len(names)), 2) if not match(names[i], names[j])]
+        if pairs:
+            want[str(s)] = (names[pairs[0][0]], names[pairs[0][1]])
+    infos = spark.createDataFrame(rows, "scope_id string, row_ord string, name string")
+    assert {r[0]: (r[1], r[2]) for r in pt.name_conflicts(infos).collect()} == want and 5 < len(want) < 40
+
+
+def test_few_names_are_compared(spark):
+    names = spark.createDataFrame([("s", "asha " + "".join(p)) for p in itertools.product("bcdefgh", repeat=3)] + [("s", "asha")], "scope_id string, norm string")
+    rows = {r.norm: r for r in pt.clash_bounds(names).collect()}
+    # the name that is part of all others may match them; each other one matches few
+    assert rows["asha"].like >= 344 and all(r.like < 10 for n, r in rows.items() if n != "asha")
 
 
 def test_dictionary_join_beyond_the_broadcast_limit(spark):
