@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labtrail.llm.common import arrow_schema, materialize, row_batches
+from labtrail.llm.common import arrow_schema, materialize, parts_for, row_batches
 
 RUN = re.compile("[A-Za-z\u00c0-\u00ff]+")
 DROP_ONE_IN = 199
@@ -47,6 +47,8 @@ SAME_LENGTH, ONE_LONGER = (2, 1, 6), (1, 1, 4)
 GROUP = 64
 #: Distinct words that one task counts before it hands them on.
 COUNTED = 200_000
+#: Words that one task signs.
+SIGNED = 20_000
 #: Letters up to which a word is cut at every place.
 CUT_LETTERS = 200
 #: Rows, and characters, of one batch handed to Spark.
@@ -200,7 +202,8 @@ def _spread(rows: DataFrame, made: Callable[[tuple], Iterable[tuple[int, int, st
 
 def near_pairs(words: DataFrame, group: int = GROUP) -> DataFrame:
     """(a, a_n, b, b_n) of the pairs of ``words`` (word, n; distinct) one insertion, deletion or replacement apart, once each."""
-    signed = materialize(_spread(words.select("word", "n"), lambda row: ((s, side, *row) for s, side in signatures(row[0]))), "word-signatures")
+    words = words.select("word", "n").repartition(parts_for(words.count(), SIGNED), "word")
+    signed = materialize(_spread(words, lambda row: ((s, side, *row) for s, side in signatures(row[0]))), "word-signatures")
     large = materialize(signed.groupBy("sig").agg(F.count("*").alias("words")).where(F.col("words") > group).select("sig"), "large-signatures")
     cut = lambda row: ((_signed(_mix(row[0] & _MASK) ^ h), *row[1:]) for h in without_a_letter(row[2], row[1]))
     split = _spread(signed.join(large, "sig", "left_semi").select("sig", "side", "word", "n"), cut)
