@@ -20,12 +20,12 @@ FILES = 4
 
 def streamed(s, rows, label, by=None):
     """Rows as a stream of several micro-batches: dealt to files without order
-    (rows alike in ``by`` together), one file to a batch."""
-    path = scratch_path(s, label)
-    deal = F.pmod(F.xxhash64(*(by or rows.columns)), F.lit(1000))
-    for k in range(FILES):
-        rows.where(deal % FILES == k).coalesce(1).write.mode("append").parquet(path)
-    return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    (rows alike in ``by`` together) by one shuffle, and a share of the files to
+    a batch.  There are as many files as the session has shuffle partitions."""
+    path, width = scratch_path(s, label), max(FILES, int(s.conf.get("spark.sql.shuffle.partitions")))
+    deal = F.pmod(F.xxhash64(*(by or rows.columns)), F.lit(width))
+    rows.repartition(width, deal).write.parquet(path)
+    return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-width // FILES)).parquet(path)
 
 
 def with_repeats(rows):
@@ -55,9 +55,10 @@ def stamped(events):
 def register() -> None:
     def tracker(s, sf):
         events = streamed(s, progress_events(table(s, sf, "orders")), "progress-events")
-        out = jobs.drain_updates(jobs.latest_steps(events), scratch_path(s, "progress"), scratch_path(s, "cp"))
-        newest = out.groupBy("batch_id", "file").agg(F.max_by(F.struct("step", "total", "at_seconds"), "_batch").alias("r"))
-        return jobs.progress(newest.select("batch_id", "file", "r.*"))
+        out = jobs.drain_updates(jobs.batch_progress(events), scratch_path(s, "progress"), scratch_path(s, "cp"))
+        # the totals come out of the stream; of each batch the last ones are shown
+        newest = out.groupBy("batch_id").agg(F.max_by(F.struct(*[c for c in out.columns if c not in ("batch_id", "_batch")]), "_batch").alias("r"))
+        return newest.select("batch_id", "r.*").drop("stalled")
 
     SQL.add("file_steps", """SELECT DISTINCT o_custkey % 100 AS batch_id, o_orderkey || ' ' || o_custkey AS file, o_orderkey % 4 > 0 AS closed, o_orderkey % 4 > 0 AND o_orderkey % 11 = 0 AND o_orderkey % 33 > 0 AS failed,
       CAST(o_orderkey % 997 AS DOUBLE) + CASE WHEN o_orderkey % 4 = 0 THEN 0 WHEN o_orderkey % 33 = 0 THEN 2 ELSE 1 END AS at_s FROM orders""")

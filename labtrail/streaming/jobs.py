@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labtrail.functions.basic import n_rows
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from labtrail.functions import status as st
-from labtrail.operators.quality import daily_metrics
 from labtrail.operators.resolve import resolve_records
 from labtrail.sources.payloads import content_key
 
@@ -20,6 +17,7 @@ from labtrail.sources.payloads import content_key
 
 # --- progress of ingest batches ---------------------------------------------
 STEPS = ["queued", "extracting", "parsing", "failed", "done"]
+CLOSED = ("done", "failed")
 
 
 def latest_steps(events: DataFrame) -> DataFrame:
@@ -38,7 +36,7 @@ def latest_steps(events: DataFrame) -> DataFrame:
 def progress(files: DataFrame) -> DataFrame:
     """Files done, failed and remaining time per batch, from the latest step of
     every file; ``done`` and ``failed`` close a file."""
-    closed = F.col("step").isin("done", "failed")
+    closed = F.col("step").isin(*CLOSED)
     out = files.groupBy("batch_id").agg(
         F.count_if(closed).alias("processed"), F.count_if(F.col("step") == "failed").alias("failed"),
         F.max("total").alias("total"), F.max("at_seconds").alias("elapsed"),
@@ -64,40 +62,120 @@ def metric_windows(metrics: DataFrame, width: str = "1 day", slide: str | None =
     )
 
 
-metric_windows_batch = daily_metrics
+# --- progress and memory as keyed state --------------------------------------
+PROGRESS = "batch_id long, processed long, failed long, total long, elapsed double, eta_seconds long, percent long, stalled boolean"
+TURN = "conv_id long, turn long, role string, text string"
 
 
-# --- session memory ---------------------------------------------------------
-TURN = "conv_id long, turn long, role string, text string"
-_MEMORY = T.StructType([T.StructField(n, T.ArrayType(t)) for n, t in (("turns", T.LongType()), ("roles", T.StringType()), ("texts", T.StringType()))])
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """State of keyed processors lives in RocksDB, not in the heap of an executor."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def session_memory(turns: DataFrame, keep: int = 8, idle_ms: int | None = 3_600_000) -> DataFrame:
-    """Last turns of every session as state keyed by session.
+class BatchProgress(StatefulProcessor):
+    """Totals of a batch from the steps of its files.
+
+    State: the latest step of each file (a map), and the totals (one value), so
+    an event costs one look-up however many files a batch has.  Steps told
+    again, or after a later one, change nothing.  A batch that is silent for
+    ``idle_ms`` is told once more as stalled if files are open, and forgotten.
+    """
+
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.files = handle.getMapState("files", "file string", "at double, further int")
+        self.totals = handle.getValueState("totals", "processed long, failed long, total long, elapsed double")
+
+    def _row(self, batch_id, stalled: bool):
+        import pandas as pd
 
-    Idle sessions time out, which takes the place of evicting the oldest of a
-    fixed number of sessions.  State per session never exceeds ``keep`` turns.
-    Without ``idle_ms`` nothing times out; a run over what is available must be
-    started that way, since a pending timeout keeps a query alive.
+        processed, failed, total, elapsed = self.totals.get()
+        left = max((total or 0) - processed, 0)
+        eta = int(elapsed / processed * left) if processed else 0
+        percent = int(processed / total * 100 + 0.5) if total else None
+        return pd.DataFrame([(batch_id, processed, failed, total, elapsed, eta, percent, stalled)], columns=[f.split()[0] for f in PROGRESS.split(", ")])
+
+    def handleInputRows(self, key, rows, timerValues):
+        processed, failed, total, elapsed = self.totals.get() if self.totals.exists() else (0, 0, None, None)
+        latest: dict[str, tuple[float, int]] = {}
+        for pdf in rows:
+            for file, step, of, at in zip(pdf["file"], pdf["step"], pdf["total"], pdf["at_seconds"]):
+                known = (at, STEPS.index(step) + 1 if step in STEPS else 0)
+                latest[file] = max(known, latest.get(file, known))
+                total = of if total is None else max(total, of)
+                elapsed = at if elapsed is None else max(elapsed, at)
+        for file, step in latest.items():
+            before = self.files.getValue((file,)) if self.files.containsKey((file,)) else None
+            if before is not None and tuple(before) >= step:
+                continue
+            self.files.updateValue((file,), step)
+            was, now = (STEPS[x - 1] if x else "" for x in (before[1] if before else 0, step[1]))
+            processed += (now in CLOSED) - (was in CLOSED)
+            failed += (now == "failed") - (was == "failed")
+        self.totals.update((int(processed), int(failed), None if total is None else int(total), elapsed))
+        if self.idle_ms:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield self._row(key[0], False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        processed, _, total, _ = self.totals.get()
+        row = self._row(key[0], True)
+        self.files.clear()
+        self.totals.clear()
+        if total is None or processed < total:
+            yield row
+
+    def close(self) -> None:
+        pass
+
+
+def batch_progress(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """``PROGRESS`` of every batch that an update touches, out of one keyed state; ``events`` as for ``latest_steps``.
+
+    Without ``idle_ms`` no batch stalls; a run over what is available must be
+    started that way, since a pending timer keeps a query alive.
     """
+    keep_state_on_disk(events.sparkSession)
+    return events.groupBy("batch_id").transformWithStateInPandas(BatchProgress(idle_ms), PROGRESS, "Update", "ProcessingTime" if idle_ms else "None")
 
-    def update(key, batches: Iterator, state):
+
+class SessionMemory(StatefulProcessor):
+    """The last turns of a session, as list state; turns told again are one, late ones find their place.
+
+    With ``idle_ms`` every turn leaves the state so long after the session was
+    last touched, which takes the place of evicting the oldest of a fixed number
+    of sessions.
+    """
+
+    def __init__(self, keep: int, idle_ms: int | None):
+        self.keep, self.idle_ms = keep, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.turns = handle.getListState("turns", "turn long, role string, text string", self.idle_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = list(zip(*state.get)) if state.exists else []
-        for pdf in batches:
+        kept = [tuple(t) for t in self.turns.get()] if self.turns.exists() else []
+        for pdf in rows:
             kept += list(zip(pdf["turn"].tolist(), pdf["role"].tolist(), pdf["text"].tolist()))
-            kept = sorted(kept, key=lambda t: t[0])[-keep:]
-        cols = [list(c) for c in zip(*kept)]
-        state.update(tuple(cols))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame({"conv_id": key[0], "turn": cols[0], "role": cols[1], "text": cols[2]})
-
-    return turns.groupBy("conv_id").applyInPandasWithState(update, TURN, _MEMORY, "update", "ProcessingTimeTimeout" if idle_ms else "NoTimeout")
+            kept = sorted(dict.fromkeys(kept), key=lambda t: t[0])[-self.keep:]
+        self.turns.put(kept)
+        yield pd.DataFrame({"conv_id": key[0], "turn": [t for t, _, _ in kept], "role": [r for _, r, _ in kept], "text": [x for _, _, x in kept]})
+
+    def close(self) -> None:
+        pass
+
+
+def session_memory(turns: DataFrame, keep: int = 8, idle_ms: int | None = 3_600_000) -> DataFrame:
+    """Last ``keep`` turns of every session that an update touches."""
+    keep_state_on_disk(turns.sparkSession)
+    return turns.groupBy("conv_id").transformWithStateInPandas(SessionMemory(keep, idle_ms), TURN, "Update", "ProcessingTime" if idle_ms else "None")
 
 
 # --- incremental normalization ----------------------------------------------

@@ -1,5 +1,7 @@
 """Readers and streaming jobs on small inputs that older code got wrong."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from labtrail.operators import quality as qu
@@ -103,3 +105,51 @@ def test_findings_of_reports_without_text_are_told_apart(spark):
     texts = spark.createDataFrame([(1, "value 5 here")], "report_id long, text string")
     got = sorted((r.report_id, r.value, r.reason) for r in qu.unsupported_values(findings, texts).collect())
     assert got == [(1, 7.0, "not in text"), (2, 5.0, "no text")]
+
+
+PROGRESS_EVENTS = "batch_id long, file string, step string, total long, at_seconds double"
+
+
+def test_batch_totals_come_out_of_the_stream(spark):
+    path = scratch_path(spark, "progress-in")
+    # late, repeated and repaired steps, in several micro-batches
+    rows = [(k % 2, f"f{k % 7}", ["parsing", "done", "failed", "done"][k % 4], 9, float(k * 5 % 23)) for k in range(60)] + [(0, "f1", "done", 9, 99.0)] * 2
+    for part in range(3):
+        spark.createDataFrame(rows[part::3], PROGRESS_EVENTS).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(PROGRESS_EVENTS).option("maxFilesPerTrigger", 1).parquet(path)
+    out = jobs.drain_updates(jobs.batch_progress(stream), scratch_path(spark, "out"), scratch_path(spark, "cp"))
+    last = out.groupBy("batch_id").agg(F.max_by(F.struct("processed", "failed", "total", "elapsed", "eta_seconds", "percent"), "_batch").alias("r")).select("batch_id", "r.*")
+    want = jobs.progress(jobs.latest_steps(spark.createDataFrame(rows, PROGRESS_EVENTS))).select(last.columns)
+    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, want.collect())) and out.where("stalled").count() == 0
+
+
+def test_a_silent_batch_is_told_as_stalled(spark):
+    path, out = scratch_path(spark, "silent"), scratch_path(spark, "silent-out")
+    rows = [(1, "a", "done", 2, 1.0), (1, "b", "parsing", 2, 2.0), (2, "a", "done", 1, 1.0)]
+    spark.createDataFrame(rows, PROGRESS_EVENTS).coalesce(1).write.parquet(path)
+    stream = jobs.batch_progress(spark.readStream.schema(PROGRESS_EVENTS).parquet(path), idle_ms=1000)
+    query = stream.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/b{n}")).outputMode("update")
+    query = query.option("checkpointLocation", scratch_path(spark, "cp")).trigger(processingTime="500 milliseconds").start()
+    deadline = time.time() + 60
+    stalled = []
+    while time.time() < deadline and not stalled:
+        time.sleep(1)
+        if query.lastProgress and query.lastProgress["batchId"] >= 1:
+            found = spark.read.schema(jobs.PROGRESS).option("recursiveFileLookup", True).parquet(out)
+            stalled = [(r.batch_id, r.processed) for r in found.where("stalled").collect()]
+    query.stop()
+    # the second batch was complete, so it is only forgotten
+    assert stalled == [(1, 1)]
+
+
+def test_session_memory_of_late_and_repeated_turns(spark):
+    path = scratch_path(spark, "turns")
+    turns = [(1, k, "user", f"t{k}") for k in range(10)]
+    arrive = [turns[:4] + turns[6:8], turns[2:5], [(2, 0, "user", None)], turns[8:] + turns[5:6] + turns[:1]]
+    for rows in arrive:
+        spark.createDataFrame(rows, jobs.TURN).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(jobs.TURN).option("maxFilesPerTrigger", 1).parquet(path)
+    out = jobs.drain_updates(jobs.session_memory(stream, 6, None), scratch_path(spark, "out"), scratch_path(spark, "cp"))
+    newest = out.groupBy("conv_id").agg(F.max("_batch").alias("_batch"))
+    got = sorted((r.conv_id, r.turn, r.text) for r in out.join(newest, ["conv_id", "_batch"]).collect())
+    assert got == [(1, k, f"t{k}") for k in range(4, 10)] + [(2, 0, None)]
