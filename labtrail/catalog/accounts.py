@@ -14,6 +14,8 @@ from labtrail.operators import insights as ins
 from labtrail.operators import studies as stu
 from labtrail.operators.resolve import resolve_records
 from labtrail.plans import jobs
+from labtrail.plans import migration as mig
+from labtrail.session import scratch_path
 from labtrail.schema import RECORD_TEXT_FIELDS
 from labtrail.sources.payloads import alerts_in_document
 
@@ -151,3 +153,41 @@ def register() -> None:
       JOIN (SELECT study_id, report_id, {packed} AS l FROM rep GROUP BY 1, 2) b USING (study_id, report_id)""", "lab_records", "rep")(lambda s, f: jobs.renormalize(lab_records(s, f))[1])
     query("p11_normalize_payload", f"SELECT study_id, report_id, CAST(floor(sum({w}) / count(*)) AS BIGINT) AS overall_score, count(*) AS total_tests FROM rep GROUP BY 1, 2", "rep")(
         lambda s, f: ins.overall_score(resolve_records(lab_records(s, f), jobs.REPORT), jobs.REPORT))
+
+    def documents(s, f, broken: int):
+        """One document a report: its rows and, for even reports, their number; some are no JSON."""
+        r = lab_records(s, f)
+        first = F.min(F.struct("row_ord", F.struct(F.col("Patient_Name").alias("name"), F.col("Age").alias("age"), F.lit(None).cast("string").alias("gender"), F.col("Patient_ID").alias("patient_id"), F.lit("2024").alias("date"), F.lit("L").alias("lab_name")).alias("p")))
+        rows = F.transform(F.array_sort(F.collect_list(F.struct("row_ord", F.struct(*cols).alias("r")))), lambda x: x["r"])
+        doc = r.groupBy("study_id", "report_id").agg(rows.alias("records"), F.count("*").alias("n"), first["p"].alias("patient_info"))
+        text = F.to_json(F.struct("records", F.when(F.col("report_id") % 2 == 0, F.col("n")).alias("total_records"), F.when(F.col("report_id") % 3 > 0, F.col("patient_info")).alias("patient_info")))
+        return doc.select("study_id", "report_id", F.when(F.col("report_id") % broken == 0, F.lit('{"records": [')).otherwise(text).alias("text"))
+
+    def old_reports(s, f):
+        return documents(s, f, 11).withColumnRenamed("text", "analysis_data").withColumn("normalization_version", F.when(F.col("report_id") % 5 > 0, (F.col("report_id") % 2).cast("int")))
+
+    def old_history(s, f):
+        d_ = documents(s, f, 13)
+        own = [F.lit(x).alias(c) for x, c in (("old", "patient_name"), ("1", "patient_age"), ("g", "patient_gender"), ("pid", "patient_id"), ("then", "report_date"), ("lab", "lab_name"))]
+        # a study's reports are different documents
+        return d_.select(F.concat_ws("/", "study_id", "report_id").alias("id"), *own, F.lit(-1).cast("long").alias("total_records"), F.col("text").alias("analysis_json"))
+
+    SQL.add("doc_changes", f"""SELECT a.study_id, a.report_id, a.l <> b.l OR a.report_id % 2 = 1 OR a.n <> b.n AS updated, b.n FROM (SELECT study_id, report_id, count(*) AS n, {packed} AS l FROM lab_records GROUP BY 1, 2) a
+      JOIN (SELECT study_id, report_id, count(*) AS n, {packed} AS l FROM rep GROUP BY 1, 2) b USING (study_id, report_id)""", "lab_records", "rep")
+    SQL.add("doc_patient", """SELECT study_id, report_id, arg_min("Patient_Name", row_ord) AS name, arg_min("Age", row_ord) AS age, arg_min("Patient_ID", row_ord) AS pid FROM lab_records GROUP BY 1, 2""", "lab_records")
+    SQL.add("moved", """SELECT study_id, report_id, CASE WHEN report_id % 11 = 0 THEN 0 ELSE n END AS total_records, updated OR report_id % 11 = 0 AS updated, CASE WHEN report_id % 5 > 0 THEN CAST(report_id % 2 AS INTEGER) ELSE 0 END AS source_version
+      FROM doc_changes WHERE NOT (report_id % 5 > 0 AND report_id % 2 = 1)""", "doc_changes")
+    SQL.add("moved_history", """SELECT c.study_id || '/' || c.report_id AS id, report_id % 13 > 0 AND updated AS updated, report_id % 13 = 0 AS skipped, c.n, c.report_id, p.name, p.age, p.pid FROM doc_changes c JOIN doc_patient p USING (study_id, report_id)""", "doc_changes", "doc_patient")
+    query("p10_migrated_reports", "SELECT study_id, report_id, total_records, updated, source_version FROM moved", "moved")(
+        lambda s, f: mig.migrate_reports(old_reports(s, f)).select("study_id", "report_id", "total_records", "updated", "source_version"))
+    told = {"patient_name": ("name", "old"), "patient_age": ("age", "1"), "patient_gender": ("NULL", "g"), "patient_id": ("pid", "pid"), "report_date": ("'2024'", "then"), "lab_name": ("'L'", "lab")}
+    query("p10_migrated_history", "SELECT id, updated, skipped, CASE WHEN updated THEN n ELSE -1 END AS total_records, " + ", ".join(
+        f"CASE WHEN updated AND report_id % 3 > 0 THEN {new} ELSE '{old}' END AS {c}" for c, (new, old) in told.items()) + " FROM moved_history", "moved_history")(
+        lambda s, f: mig.migrate_history(old_history(s, f)).drop("normalized_records"))
+
+    def totals(s, f):
+        found = mig.migrate(old_reports(s, f), old_history(s, f), scratch_path(s, "migration"))
+        return s.createDataFrame([(k, v["updated"], v["unchanged"], v.get("skipped", 0)) for k, v in found.items()], "kind string, updated long, unchanged long, skipped long")
+
+    query("p10_migration_totals", """SELECT 'reports' AS kind, count(*) FILTER (WHERE updated) AS updated, count(*) FILTER (WHERE NOT updated) AS unchanged, 0 AS skipped FROM moved
+      UNION ALL SELECT 'history', count(*) FILTER (WHERE updated), count(*) FILTER (WHERE NOT updated AND NOT skipped), count(*) FILTER (WHERE skipped) FROM moved_history""", "moved", "moved_history")(totals)

@@ -214,7 +214,7 @@ def _d2(x: str, sep: str, pivot: bool) -> str:
     century = f"CASE WHEN {y} >= 69 THEN '19' ELSE '20' END" if pivot else "'20'"
     full = f"left({x}, length({x}) - 2) || {century} || right({x}, 2)"
     return (
-        f"CASE WHEN regexp_full_match({x}, '\\d{{1,2}}{sep}\\d{{1,2}}{sep}\\d{{2}}') "
+        f"CASE WHEN regexp_full_match({x}, '\\d{{1,2}}[{sep}]\\d{{1,2}}[{sep}]\\d{{2}}') "
         f"THEN CAST(try_strptime({full}, '%d{sep}%m{sep}%Y') AS DATE) END"
     )
 
@@ -238,13 +238,40 @@ def spelled_date(t: str) -> str:
     return f"coalesce({read(rf'(\d{{1,2}})(?:st|nd|rd|th)?[ \-]{MONTH}[ ,\-]+(\d{{4}})', 1, 2)}, {read(rf'{MONTH} (\d{{1,2}})(?:st|nd|rd|th)?,? (\d{{4}})', 2, 1)})"
 
 
+WEEKDAY = "^(mon|tues?|wed(nes)?|thu(rs)?|fri|sat(ur)?|sun)(day)?[.,]?\\s+"
+ANY_MONTH = MONTH.replace("sep(?:tember)?", "sept?(?:ember)?")
+
+
+def worded_date(t: str) -> str:
+    def read(pattern, day, month, year):
+        part = lambda g: f"regexp_extract(lower({t}), '{pattern}', {g})"
+        whole = f"CASE WHEN length({part(year)}) = 2 THEN CASE WHEN {part(year)} >= '69' THEN '19' ELSE '20' END || {part(year)} ELSE {part(year)} END"
+        told = part(day) if day else "'1'"
+        return f"CASE WHEN regexp_full_match(lower({t}), '{pattern}') THEN CAST(try_strptime({told} || ' ' || left({part(month)}, 3) || ' ' || {whole}, '%d %b %Y') AS DATE) END"
+
+    b, m, day, year = "[ ,./\\-]+", ANY_MONTH, "(\\d{1,2})(?:st|nd|rd|th)?", "(\\d{4}|\\d{2})"
+    return f"coalesce({read(day + b + m + b + year, 1, 2, 3)}, {read(m + b + day + b + year, 2, 1, 3)}, {read('(\\d{4})' + b + m + b + day, 3, 2, 1)}, {read(m + b + '(\\d{4})', None, 1, 2)})"
+
+
+def _month_first(t: str, sep: str, digits: int) -> str:
+    """Month, day and a year of so many digits, the short ones from 1969 on."""
+    y = f"right({t}, {digits})"
+    full = y if digits == 4 else f"CASE WHEN {y} >= '69' THEN '19' ELSE '20' END || {y}"
+    return f"CASE WHEN regexp_full_match({t}, '\\d{{1,2}}[{sep}]\\d{{1,2}}[{sep}]\\d{{{digits}}}') THEN CAST(try_strptime(left({t}, length({t}) - {digits}) || {full}, '%m{sep}%d{sep}%Y') AS DATE) END"
+
+
+def _month_alone(t: str, shape: str, year: int, month: int) -> str:
+    return f"CASE WHEN regexp_full_match({t}, '{shape}') THEN CAST(try_strptime(regexp_extract({t}, '{shape}', {year}) || '-' || regexp_extract({t}, '{shape}', {month}) || '-1', '%Y-%m-%d') AS DATE) END"
+
+
 def date_day_first(x: str) -> str:
-    t = untimed(nz(x))
+    t = untimed(f"regexp_replace({nz(x)}, '{WEEKDAY}', '', 'i')")
     parts = [
         _d(t, DMY("/"), "%d/%m/%Y"), _d(t, DMY("-"), "%d-%m-%Y"), _d(t, DMY("\\."), "%d.%m.%Y"),
         _d(t, "\\d{4}-\\d{1,2}-\\d{1,2}", "%Y-%d-%m"), _d(t, "\\d{4}-\\d{1,2}-\\d{1,2}", "%Y-%m-%d"),
         *[_d(t, f"\\d{{4}}{s}\\d{{1,2}}{s}\\d{{1,2}}", f"%Y{p}{a}{p}{b}") for s, p in (("/", "/"), ("\\.", ".")) for a, b in (("%d", "%m"), ("%m", "%d"))],
-        _d2(t, "/", True), _d2(t, "-", True), _d(t, "\\d{8}", "%Y%m%d"), spelled_date(t),
+        _d2(t, "/", True), _d2(t, "-", True), _d2(t, ".", True), _d(t, "\\d{8}", "%Y%m%d"), *[_month_first(t, sep, n) for n in (4, 2) for sep in "/-."],
+        _month_alone(t, "(\\d{4})[/-](\\d{1,2})", 1, 2), _month_alone(t, "(\\d{1,2})[/-](\\d{4})", 2, 1), worded_date(t),
     ]
     return f"coalesce({', '.join(parts)})"
 

@@ -49,6 +49,20 @@ DATE_SHAPES = [
 ]
 
 
+# shapes that only the day-first reader knows
+LOOSE_SHAPES = [
+    ("dd-MMM-yy", "%d-%b-%y"), ("dd/MMM/yyyy", "%d/%b/%Y"), ("d MMM yy", "%-d %b %y"), ("MMM yyyy", "%b %Y"), ("yyyy-MM", "%Y-%m"), ("M/d/yyyy", "%-m/%-d/%Y"), ("EEEE, d MMM yyyy", "%A, %-d %b %Y"),
+    ("d.M.yy", "%-d.%-m.%y"), ("MM-dd-yy", "%m-%d-%y"), ("MMMM d, yy", "%B %-d, %y"), ("yyyy MMM d", "%Y %b %-d"), ("MM/yyyy", "%m/%Y"), ("EEE dd/MM/yyyy", "%a %d/%m/%Y"), ("M.d.yyyy", "%-m.%-d.%Y"),
+]
+
+
+def loose_texts(spark, sf) -> DataFrame:
+    o = table(spark, sf, "orders")
+    n = len(LOOSE_SHAPES)
+    shape = F.coalesce(*[F.when(F.col("o_orderkey") % n == i, F.date_format("o_orderdate", pattern)) for i, (pattern, _) in enumerate(LOOSE_SHAPES)])
+    return date_texts(spark, sf).unionByName(o.select(shape.alias("x")))
+
+
 def date_texts(spark, sf) -> DataFrame:
     o = table(spark, sf, "orders")
     day = F.col("o_orderdate")
@@ -66,6 +80,8 @@ def date_texts(spark, sf) -> DataFrame:
 
 _shapes = " ".join(f"WHEN {i} THEN strftime(o_orderdate, {sql_text(p)})" for i, (_, p) in enumerate(DATE_SHAPES))
 SQL.add("date_texts", f"SELECT x FROM x_test_date UNION ALL SELECT CASE o_orderkey % {len(DATE_SHAPES)} {_shapes} END FROM orders", "x_test_date")
+_loose = " ".join(f"WHEN {i} THEN strftime(o_orderdate, {sql_text(p)})" for i, (_, p) in enumerate(LOOSE_SHAPES))
+SQL.add("loose_texts", f"SELECT x FROM date_texts UNION ALL SELECT CASE o_orderkey % {len(LOOSE_SHAPES)} {_loose} END FROM orders", "date_texts")
 
 
 def status_texts(spark, sf) -> DataFrame:
@@ -325,7 +341,7 @@ def register_values() -> None:
     scalar("m01_parse_numeric", column_of("Result"), lambda: {"y": va.parse_numeric(F.col("x"))}, "x_result", {"y": d.parse_numeric("x")})
     scalar("m02_strict_numeric", column_of("Result"), lambda: {"y": va.strict_numeric(F.col("x"))}, "x_result", {"y": d.strict_numeric("x")})
     scalar("m03_leading_numeric", column_of("Result"), lambda: {"y": va.leading_numeric(F.col("x"))}, "x_result", {"y": d.leading_numeric("x")})
-    scalar("m04_date_day_first", date_texts, lambda: {"y": va.parse_date_day_first(F.col("x"))}, "date_texts", {"y": d.date_day_first("x")})
+    scalar("m04_date_day_first", loose_texts, lambda: {"y": va.parse_date_day_first(F.col("x"))}, "loose_texts", {"y": d.date_day_first("x")})
     scalar("m05_sort_date", date_texts, lambda: {"y": va.parse_sort_date(F.col("x"))}, "date_texts", {"y": d.sort_date("x")})
     scalar("m06_report_date", date_texts, lambda: {"y": va.parse_report_date(F.col("x"))}, "date_texts", {"y": d.report_date("x")})
     scalar("m07_client_date", date_texts, lambda: {"y": va.parse_client_date(F.col("x"))}, "date_texts", {"y": d.client_date("x")})

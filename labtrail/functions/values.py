@@ -79,11 +79,34 @@ def _spelled_date(t: Column) -> Column:
     return F.coalesce(read(_DAY_MONTH, 1, 2), read(_MONTH_DAY, 2, 1))
 
 
+_WEEKDAY = r"(?i)^(mon|tues?|wed(nes)?|thu(rs)?|fri|sat(ur)?|sun)(day)?[.,]?\s+"
+_BETWEEN = r"[ ,./\-]+"
+_ANY_MONTH = _MONTH.replace("sep(?:tember)?", "sept?(?:ember)?")
+_ANY_DAY, _ANY_YEAR = r"(\d{1,2})(?:st|nd|rd|th)?", r"(\d{4}|\d{2})"
+
+
+def _worded_date(t: Column) -> Column:
+    """A date with its month as a word, in any order and with any separators; without a day it is the first."""
+    def read(pattern: str, day: int | None, month: int, year: int) -> Column:
+        part = lambda g: F.regexp_extract(t, pattern, g)
+        short = F.length(part(year)) == 2
+        whole = F.when(short, F.concat(F.when(part(year) >= "69", F.lit("19")).otherwise(F.lit("20")), part(year))).otherwise(part(year))
+        text = F.concat_ws(" ", part(day) if day else F.lit("1"), F.initcap(F.substring(part(month), 1, 3)), whole)
+        return F.when(F.rlike(t, F.lit(pattern)), F.try_to_date(text, "d MMM yyyy"))
+
+    b = _BETWEEN
+    return F.coalesce(
+        read(rf"(?i)^{_ANY_DAY}{b}{_ANY_MONTH}{b}{_ANY_YEAR}$", 1, 2, 3), read(rf"(?i)^{_ANY_MONTH}{b}{_ANY_DAY}{b}{_ANY_YEAR}$", 2, 1, 3),
+        read(rf"(?i)^(\d{{4}}){b}{_ANY_MONTH}{b}{_ANY_DAY}$", 3, 2, 1), read(rf"(?i)^{_ANY_MONTH}{b}(\d{{4}})$", None, 1, 2),
+    )
+
+
 def parse_date_day_first(c: Column, iso_strict: bool = False) -> Column:
     """Day-first date.  Unless ``iso_strict``, ``2024-05-03`` reads as 5 March:
-    a year-first text is tried as year-day-month before year-month-day.  A time
-    behind the date is left out."""
-    t = _without_time(blank_to_null(c))
+    a year-first text is tried as year-day-month before year-month-day.  A text
+    that can't be day-first is read month-first, a month alone is its first day.
+    A weekday before the date and a time behind it are left out."""
+    t = _without_time(F.regexp_replace(blank_to_null(c), _WEEKDAY, ""))
     year_first = [
         (rf"^\d{{4}}{sep}\d{{1,2}}{sep}\d{{1,2}}$", fmt.replace("-", plain))
         for sep, plain in (("-", "-"), ("/", "/"), (r"\.", ".")) for fmt in ("yyyy-d-M", "yyyy-M-d") if not iso_strict or fmt == "yyyy-M-d"
@@ -95,8 +118,12 @@ def parse_date_day_first(c: Column, iso_strict: bool = False) -> Column:
         *[_date(t, shape, fmt) for shape, fmt in year_first],
         _date_with_pivot_year(t, rf"^{D}/{M}/\d{{2}}$", "d/M/yy"),
         _date_with_pivot_year(t, rf"^{D}-{M}-\d{{2}}$", "d-M-yy"),
+        _date_with_pivot_year(t, rf"^{D}\.{M}\.\d{{2}}$", "d.M.yy"),
         _date(t, r"^\d{8}$", "yyyyMMdd"),
-        _spelled_date(t),
+        *[_date(t, rf"^{D}{sep}{M}{sep}\d{{4}}$", f"M{plain}d{plain}yyyy") for sep, plain in (("/", "/"), ("-", "-"), (r"\.", "."))],
+        *[_date_with_pivot_year(t, rf"^{D}{sep}{M}{sep}\d{{2}}$", f"M{plain}d{plain}yy") for sep, plain in (("/", "/"), ("-", "-"), (r"\.", "."))],
+        *[_date(t, shape, fmt) for shape, fmt in ((r"^\d{4}-\d{1,2}$", "yyyy-M"), (r"^\d{4}/\d{1,2}$", "yyyy/M"), (r"^\d{1,2}-\d{4}$", "M-yyyy"), (r"^\d{1,2}/\d{4}$", "M/yyyy"))],
+        _worded_date(t),
     ]
     return F.when(t != "N/A", F.coalesce(*tries))
 

@@ -141,3 +141,17 @@ def test_greedy_matching_against_brute_force(spark):
 def test_context_retention(spark):
     df = spark.createDataFrame([(1, ["Hba1c"], "your HBA1C is 6"), (1, ["x"], "no"), (2, ["a", "b"], "B")], "conv_id long, keywords array<string>, reply string")
     assert {r["conv_id"]: r["score"] for r in qu.context_retention(df).collect()} == {1: 50.0, 2: 100.0}
+
+
+def test_loose_dates(spark):
+    """Shapes beyond the plain ones, each as a day-first reader takes it."""
+    golden = {
+        "03-May-24": "2024-05-03", "03/May/2024": "2024-05-03", "3 May 24": "2024-05-03", "Mar 2024": "2024-03-01", "March 2024": "2024-03-01", "Mar-2024": "2024-03-01", "2024-05": "2024-05-01",
+        "2024/05": "2024-05-01", "05/2024": "2024-05-01", "05-2024": "2024-05-01", "12/25/2023": "2023-12-25", "12-25-2023": "2023-12-25", "12.25.2023": "2023-12-25", "12/25/23": "2023-12-25",
+        "12-25-23": "2023-12-25", "Friday, 3 May 2024": "2024-05-03", "Fri 3 May 2024": "2024-05-03", "3.5.24": "2024-05-03", "May 3, 24": "2024-05-03", "3 Sept 2024": "2024-09-03", "Friday 03/05/2024": "2024-05-03",
+        "13/13/2024": None, "0/5/2024": None, "25.12.23": "2023-12-25", "5/2024": "2024-05-01", "2024 May 3": "2024-05-03", "3rd May 2024": "2024-05-03", "May 3rd, 2024": "2024-05-03", "soon": None,
+        "03/05/2024": "2024-05-03", "2024-05-03": "2024-03-05", "N/A": None, "": None,
+    }
+    df = spark.createDataFrame(list(golden.items()), "x string, want string")
+    got = df.withColumn("got", va.parse_date_day_first(F.col("x")).cast("string")).collect()
+    assert [(r.x, r.got, r.want) for r in got if r.got != r.want] == []
