@@ -20,10 +20,10 @@ wherever it is cut.  A long line ends a run, blank lines don't count, and the
 lines of a run are removed everywhere but at its first place.  Where a run
 overlaps its own first place, only the lines behind that go.
 
-Each line is hashed twice, in one pass; chunks and runs are named by the hashes
-of their lines.  Names and places are written (48 bytes each), and counted; only
-texts that hold a name seen twice are cut into bodies, and a name counts only if
-all its bodies are equal.
+Each line is hashed once; chunks and runs are named by the hashes of their lines.
+Names and places are written, and counted; only texts that hold a name seen twice
+are cut into bodies, which are named by a second hash of their text as well, and
+a name counts only if all its bodies are equal.
 
 Shuffles: names, to count them and to find the places of repeated ones; the
 texts once, to meet those places; bodies of repeated names, and the texts that
@@ -52,12 +52,12 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def lines_of(text: Column, long_line: int = LONG_LINE) -> Column:
-    """The lines of a text: array of (a, b, words, long); a and b are two hashes, a blank line has no words."""
+    """The lines of a text: array of (hash, words, long); a blank line has no words."""
 
     def line(x: Column) -> Column:
         words = F.when(F.trim(x) == "", 0).otherwise(F.size(F.split(F.trim(x), r"\s+")))
         return let(words, lambda n: F.struct(
-            F.xxhash64(x).alias("a"), F.xxhash64(F.lit("second"), x).alias("b"), n.alias("words"), ((F.length(x) > 2 * long_line) & (n > long_line)).alias("long")
+            F.xxhash64(x).alias("hash"), n.alias("words"), ((F.length(x) > 2 * long_line) & (n > long_line)).alias("long")
         ))
 
     return F.transform(F.split(text, "\n", -1), line)
@@ -103,7 +103,7 @@ def chunk_spans(lines: Column, average_lines: int = AVERAGE_LINES, window: int =
         to = F.when(whole | joined_before, c.end).when(joined_after, after.end)
         return F.struct(c.begin.alias("begin"), c.end.alias("end"), first.alias("from"), to.alias("to"))
 
-    hashes, long = F.transform(lines, lambda x: x.a), F.transform(lines, lambda x: x.long)
+    hashes, long = F.transform(lines, lambda x: x.hash), F.transform(lines, lambda x: x.long)
     return let(hashes, lambda hashes: let(long, lambda long: spans(hashes, long)))
 
 
@@ -148,7 +148,7 @@ def run_spans(lines: Column, long_line: int = LONG_LINE) -> Column:
 
 
 #: A passage by name and place: its lines ``begin`` to ``end`` go if it is repeated; ``from`` to ``to`` are compared, in a run without blank lines.
-PASSAGES = "array<struct<h1:bigint,h2:bigint,begin:int,end:int,from:int,to:int,run:boolean>>"
+PASSAGES = "array<struct<h:bigint,begin:int,end:int,from:int,to:int,run:boolean>>"
 
 
 def passages_of(text: Column, average_lines: int = AVERAGE_LINES, window: int = WINDOW, long_line: int = LONG_LINE) -> Column:
@@ -158,7 +158,7 @@ def passages_of(text: Column, average_lines: int = AVERAGE_LINES, window: int =
         own = _between(lines, first, last)
         kind = F.lit("run" if run else "chunk")
         return F.struct(
-            F.xxhash64(kind, F.transform(own, lambda x: x.a)).alias("h1"), F.xxhash64(kind, F.transform(own, lambda x: x.b)).alias("h2"),
+            F.xxhash64(kind, F.transform(own, lambda x: x.hash)).alias("h"),
             *[p.alias(n) for p, n in zip(place, ("begin", "end", "from", "to"))], F.lit(run).alias("run"),
         )
 
@@ -167,7 +167,7 @@ def passages_of(text: Column, average_lines: int = AVERAGE_LINES, window: int =
         return F.transform(kept, lambda c: named(lines, c["from"], c.to, False, c.begin, c.end, c["from"], c.to))
 
     def runs(lines: Column) -> Column:
-        placed = F.transform(lines, lambda x, i: F.struct(x.a.alias("a"), x.b.alias("b"), x.words.alias("words"), x.long.alias("long"), i.alias("at")))
+        placed = F.transform(lines, lambda x, i: F.struct(x.hash.alias("hash"), x.words.alias("words"), x.long.alias("long"), i.alias("at")))
 
         def run(written: Column, c: Column) -> Column:
             begin, end = F.get(written, c.first).at, F.get(written, c.last).at
@@ -179,13 +179,16 @@ def passages_of(text: Column, average_lines: int = AVERAGE_LINES, window: int =
 
 
 def bodies_of(text: Column, spans: Column) -> Column:
-    """The bodies of passages of a text: array of (h1, h2, begin, end, body)."""
+    """The bodies of passages of a text: array of (h, g, begin, end, body); ``g`` is a hash of the body's text."""
 
     def body(lines: Column, s: Column) -> Column:
         own = _between(lines, s["from"], s.to)
         return F.array_join(F.when(s.run, F.filter(own, lambda x: F.trim(x) != "")).otherwise(own), "\n")
 
-    cut = lambda lines: F.transform(spans, lambda s: F.struct(s.h1.alias("h1"), s.h2.alias("h2"), s.begin.alias("begin"), s.end.alias("end"), body(lines, s).alias("body")))
+    def named(s: Column, body: Column) -> Column:
+        return F.struct(s.h.alias("h"), F.xxhash64(F.lit("body"), body).alias("g"), s.begin.alias("begin"), s.end.alias("end"), body.alias("body"))
+
+    cut = lambda lines: F.transform(spans, lambda s: let(body(lines, s), lambda b: named(s, b)))
     return let(F.split(text, "\n", -1), cut)
 
 
@@ -211,8 +214,8 @@ def dedup_lines(
     own = passages_of(F.col("text"), average_lines, window, long_line)
     seen = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias(key), F.xxhash64("text").alias(content), own.alias(cut))
     passages = materialize(seen.select(key, content, F.inline(cut)), "passages")
-    twice = materialize(passages.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "names-seen-twice")
-    hits = passages.join(twice, ["h1", "h2"]).groupBy(key, content).agg(F.collect_set(F.struct("h1", "h2", "begin", "end", "from", "to", "run")).alias(cut))
+    twice = materialize(passages.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "names-seen-twice")
+    hits = passages.join(twice, "h").groupBy(key, content).agg(F.collect_set(F.struct("h", "begin", "end", "from", "to", "run")).alias(cut))
     hits = hits.select(F.col(key).alias("hit_key"), F.col(content).alias("hit_content"), cut)
     same = lambda k, c: F.col("doc_id").eqNullSafe(F.col(k)) & (F.col(content) == F.col(c))
     met = docs.withColumn(content, F.xxhash64("text")).join(hits, same("hit_key", "hit_content"), "left").drop("hit_key", "hit_content")
@@ -221,11 +224,11 @@ def dedup_lines(
 
     at = F.struct(key, content, "begin", "end")
     bodies = held.select(F.col("doc_id").alias(key), content, F.inline(bodies_of(F.col("text"), F.col(cut))))
-    texts = bodies.groupBy("h1", "h2", "body").agg(F.min(at).alias("first"), F.max(at).alias("last"))
-    named = texts.groupBy("h1", "h2").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.max("last").alias("last"))
+    texts = bodies.groupBy("h", "g", "body").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    named = texts.groupBy("h", "g").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.max("last").alias("last"))
     # names that several texts share are no proof, so nothing is removed by them
-    repeated = materialize(named.where("texts = 1 and first != last").select("h1", "h2", "first"), "repeated-passages")
-    gone = held.select(F.col("doc_id").alias(key), content, F.inline(cut)).join(repeated, ["h1", "h2"]).where(~at.eqNullSafe(F.col("first")))
+    repeated = materialize(named.where("texts = 1 and first != last").select("h", "g", "first"), "repeated-passages")
+    gone = bodies.drop("body").join(repeated, ["h", "g"]).where(~at.eqNullSafe(F.col("first")))
     inside = F.col(f"first.{key}").eqNullSafe(F.col(key)) & (F.col(f"first.{content}") == F.col(content))
     gone = gone.withColumn("begin", F.when(inside, F.greatest("begin", F.col("first.end") + 1)).otherwise(F.col("begin"))).where("begin <= end")
     gone = gone.groupBy(key, content).agg(F.collect_set(F.struct("begin", "end")).alias(places))
