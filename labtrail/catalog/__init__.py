@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["scalars", "records", "insights", "timelines", "patients", "accounts", "payloads", "quality", "looser", "streams"]
+AREAS = ["scalars", "records", "insights", "timelines", "patients", "accounts", "payloads", "quality", "looser", "streams", "dashboard", "folders"]
 _loaded = False
 
 
