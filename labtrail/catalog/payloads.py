@@ -63,7 +63,7 @@ def register() -> None:
 
     def csv_round_trip(s, f):
         path = scratch_path(s, "wide-csv")
-        wide_history(s, f).write.option("header", True).csv(path)
+        sinks.write_organized_csv(wide_history(s, f), path)
         return his.unpivot_history(his.read_csv(s, path), "medical_report_1_asha_rao.csv", carry=["scope_id"]).select(*CELL)
 
     def trimmed(df):

@@ -101,6 +101,19 @@ def _worded_date(t: Column) -> Column:
     )
 
 
+def _loose_dates(t: Column) -> list[Column]:
+    """Day first with dots and a short year, month first, a month alone, and months as words."""
+    seps = (("/", "/"), ("-", "-"), (r"\.", "."))
+    months = ((r"^\d{4}-\d{1,2}$", "yyyy-M"), (r"^\d{4}/\d{1,2}$", "yyyy/M"), (r"^\d{1,2}-\d{4}$", "M-yyyy"), (r"^\d{1,2}/\d{4}$", "M/yyyy"))
+    return [
+        _date_with_pivot_year(t, rf"^{D}\.{M}\.\d{{2}}$", "d.M.yy"),
+        *[_date(t, rf"^{D}{sep}{M}{sep}\d{{4}}$", f"M{plain}d{plain}yyyy") for sep, plain in seps],
+        *[_date_with_pivot_year(t, rf"^{D}{sep}{M}{sep}\d{{2}}$", f"M{plain}d{plain}yy") for sep, plain in seps],
+        *[_date(t, shape, fmt) for shape, fmt in months],
+        _worded_date(t),
+    ]
+
+
 def parse_date_day_first(c: Column, iso_strict: bool = False) -> Column:
     """Day-first date.  Unless ``iso_strict``, ``2024-05-03`` reads as 5 March:
     a year-first text is tried as year-day-month before year-month-day.  A text
@@ -118,12 +131,9 @@ def parse_date_day_first(c: Column, iso_strict: bool = False) -> Column:
         *[_date(t, shape, fmt) for shape, fmt in year_first],
         _date_with_pivot_year(t, rf"^{D}/{M}/\d{{2}}$", "d/M/yy"),
         _date_with_pivot_year(t, rf"^{D}-{M}-\d{{2}}$", "d-M-yy"),
-        _date_with_pivot_year(t, rf"^{D}\.{M}\.\d{{2}}$", "d.M.yy"),
         _date(t, r"^\d{8}$", "yyyyMMdd"),
-        *[_date(t, rf"^{D}{sep}{M}{sep}\d{{4}}$", f"M{plain}d{plain}yyyy") for sep, plain in (("/", "/"), ("-", "-"), (r"\.", "."))],
-        *[_date_with_pivot_year(t, rf"^{D}{sep}{M}{sep}\d{{2}}$", f"M{plain}d{plain}yy") for sep, plain in (("/", "/"), ("-", "-"), (r"\.", "."))],
-        *[_date(t, shape, fmt) for shape, fmt in ((r"^\d{4}-\d{1,2}$", "yyyy-M"), (r"^\d{4}/\d{1,2}$", "yyyy/M"), (r"^\d{1,2}-\d{4}$", "M-yyyy"), (r"^\d{1,2}/\d{4}$", "M/yyyy"))],
-        _worded_date(t),
+        # seldom needed: kept out of the code generated for every row
+        let(t, lambda x: F.coalesce(*_loose_dates(x))),
     ]
     return F.when(t != "N/A", F.coalesce(*tries))
 

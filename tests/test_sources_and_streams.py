@@ -1,5 +1,6 @@
 """Readers and streaming jobs on small inputs that older code got wrong."""
 
+import csv
 import time
 
 from pyspark.sql import functions as F
@@ -153,3 +154,48 @@ def test_session_memory_of_late_and_repeated_turns(spark):
     newest = out.groupBy("conv_id").agg(F.max("_batch").alias("_batch"))
     got = sorted((r.conv_id, r.turn, r.text) for r in out.join(newest, ["conv_id", "_batch"]).collect())
     assert got == [(1, k, f"t{k}") for k in range(4, 10)] + [(2, 0, None)]
+
+
+def test_a_folder_of_reports_becomes_one_sorted_table(spark, tmp_path):
+    from labtrail.sources import sinks
+
+    folder = tmp_path / "reports"
+    (folder / "deep").mkdir(parents=True)
+    for name in ("a.pdf", "deep/B.PDF", "c.txt", "unread.pdf"):
+        (folder / name).write_bytes(b"x")
+    manifest = sinks.folder_manifest(spark, str(folder))
+    assert sorted(r.file_name for r in manifest.collect()) == ["B.PDF", "a.pdf", "unread.pdf"]
+    test = lambda n, r: f'{{"test_name": "{n}", "result": "{r}", "category": "Lipid Profile"}}'
+    doc = lambda pid, *tests: f'{{"patient_info": {{"patient_id": "{pid}", "date": "01-02-2024"}}, "test_results": [{", ".join(tests)}]}}'
+    rows = [("a.pdf", doc("p2", *[test(f"T{k % 37}", k) for k in range(300)])), ("B.PDF", doc("p1", test("T5", "x"), test("HDL", "50"))), ("c.txt", doc("p", test("T1", "1"))), ("unread.pdf", "{broken")]
+    found, files = sinks.folder_batch(manifest, spark.createDataFrame(rows, "file_name string, payload string"))
+    assert {r.file_name: (r.rows, r.skipped) for r in files.collect()} == {"a.pdf": (300, False), "B.PDF": (2, False), "unread.pdf": (0, True)}
+    out = tmp_path / "csv"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_sorted_csv(found, str(out))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted(out.glob("part-*.csv"))
+    lines = [line for p in parts for line in csv.DictReader(p.open())]
+    keys = [(x["Test_Name"], x["Test_Date"], x["Test_Category"], x["Patient_ID"]) for x in lines]
+    assert len(parts) > 1 and len(keys) == 302 and keys == sorted(keys)
+
+
+def test_a_migration_run_again_replaces_its_own_partitions(spark, tmp_path):
+    from labtrail.plans import migration as mig
+
+    doc = '{"records": [{"Test_Name": "haemoglobin a1c", "Original_Test_Name": "haemoglobin a1c", "Result": "5", "Test_Date": "01-02-2024"}], "total_records": 1}'
+    rows = [("s", 1, 0, doc), ("s", 2, None, "[1]"), ("s", 3, 1, doc)]
+    reports = spark.createDataFrame(rows, "study_id string, report_id long, normalization_version int, analysis_data string")
+    line = ("x", "n", "1", "g", "p", "d", "l", 9)
+    schema = "id string, patient_name string, patient_age string, patient_gender string, patient_id string, report_date string, lab_name string, total_records long, analysis_json string"
+    history = spark.createDataFrame([(*line, doc), ("y", *line[1:], "{no")], schema)
+    path = str(tmp_path / "migrated")
+    for _ in range(2):
+        counts = mig.migrate(reports, history, path)
+        assert counts == {"reports": {"updated": 2, "unchanged": 0}, "history": {"updated": 1, "unchanged": 0, "skipped": 1}}
+        mig.write_counted(mig.migrate_reports(reports.where("report_id = 3"), 2), f"{path}/reports", {"updated": F.col("updated")}, ["normalization_version", "source_version"])
+    got = sorted((r.normalization_version, r.source_version, r.report_id, r.total_records) for r in spark.read.parquet(f"{path}/reports").collect())
+    assert got == [(1, 0, 1, 1), (1, 0, 2, 0), (2, 1, 3, 1)]
+    assert {r.id: (r.total_records, r.patient_name) for r in spark.read.parquet(f"{path}/history").collect()} == {"x": (1, "n"), "y": (9, "n")}
