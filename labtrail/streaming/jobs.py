@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from labtrail.functions import status as st
 from labtrail.operators.resolve import resolve_records
 from labtrail.sources.payloads import content_key
+from labtrail.streaming.keys import KeyStore
 
 
 
@@ -197,17 +198,19 @@ def normalize_arrivals(rows: DataFrame, path: str, checkpoint: str, scope: list[
 # --- exactly-once intake ----------------------------------------------------
 def take_in(texts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Store each text the first time its content arrives, however long ago
-    that was: a batch leaves out what is stored already.  A batch that is
-    replayed after a failure looks at the other batches only and overwrites its
-    own folder."""
+    that was: a batch leaves out what is stored already.  Stored keys have an
+    index beside the texts (:class:`KeyStore`), of which a batch reads what it
+    may hit.  A batch that is replayed after a failure looks at the other
+    batches only and overwrites its own folder."""
     spark = texts.sparkSession
     keyed = texts.withColumn("content_key", content_key(F.col("text")))
     spark.createDataFrame([], keyed.schema).write.mode("ignore").parquet(f"{path}/batch=-1")
+    store = KeyStore(spark, f"{path.rstrip('/')}-index")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        stored = spark.read.schema(keyed.schema).parquet(path).where(F.col("batch") != batch_id).select("content_key")
-        new = batch.dropDuplicates(["content_key"]).join(stored, "content_key", "left_anti")
-        new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        folder = f"{path}/batch={batch_id}"
+        store.unseen(batch, batch_id).write.mode("overwrite").parquet(folder)
+        store.add(spark.read.schema(keyed.schema).parquet(folder), batch_id)
 
     return keyed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
