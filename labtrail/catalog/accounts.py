@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labtrail.functions.basic import n_rows
-
 from labtrail.catalog import duck as d
-from labtrail.catalog.records import normalized, payload_rows, report_files, resolved
+from labtrail.catalog.records import normalized, report_files, resolved
 from labtrail.catalog.registry import query
 from labtrail.catalog.views import LABS, SQL, lab_records, pick, sql_list, table
 from labtrail.operators import insights as ins

@@ -47,7 +47,7 @@ SQL.add("telemetry_typed", f"SELECT id, metric_name, value, created_at, {_read}
 
 
 def register() -> None:
-    as_of = F.lit(AS_OF).cast("timestamp_ntz")
+    as_of = lambda: F.lit(AS_OF).cast("timestamp_ntz")
     r6 = lambda df: df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
     targets = " ".join(f"WHEN '{n}' THEN '{'>=' if kind == 'min' else '<='} {ok:g}'" for n, (ok, _, kind) in fv.METRIC_THRESHOLDS.items())
     only = lambda kind, c, name, places="": f"CASE WHEN metric_name = '{kind}' THEN {f'round({c}, 6)' if places else c} END AS {name}"
@@ -58,10 +58,10 @@ def register() -> None:
       FROM (SELECT metric_name, count(*) AS events, arg_max(value, ROW(created_at, id)) AS current_value, count(*) FILTER (WHERE value > 0) AS ok, avg(findings) AS f, avg(latency_ms) AS l, quantile_cont(latency_ms, 0.95) AS p95,
         avg(value) FILTER (WHERE created_at >= TIMESTAMP '{AS_OF}' - INTERVAL {da.MEAN_DAYS} DAY) AS m, avg(precision) AS p, avg(recall) AS r FROM telemetry_typed GROUP BY 1)
       JOIN (SELECT metric_name, count(*) AS last_n, sum(value) AS last_sum FROM (SELECT * FROM telemetry_typed QUALIFY row_number() OVER (PARTITION BY metric_name ORDER BY created_at DESC, id DESC) <= {da.LAST}) GROUP BY 1) USING (metric_name)""", "telemetry_typed")(
-        lambda s, f: r6(da.cards(telemetry(s, f), as_of, DAYS)))
-    query("e35_dashboard_series", "SELECT metric_name, CAST(created_at AS DATE) AS day, round(avg(value), 6) AS value FROM telemetry_typed GROUP BY 1, 2", "telemetry_typed")(lambda s, f: r6(da.card_series(telemetry(s, f), as_of, DAYS)))
+        lambda s, f: r6(da.cards(telemetry(s, f), as_of(), DAYS)))
+    query("e35_dashboard_series", "SELECT metric_name, CAST(created_at AS DATE) AS day, round(avg(value), 6) AS value FROM telemetry_typed GROUP BY 1, 2", "telemetry_typed")(lambda s, f: r6(da.card_series(telemetry(s, f), as_of(), DAYS)))
     query("e36_failed_uploads", """SELECT id, coalesce(filename, 'unknown') AS filename, round(coalesce(file_size, 0) / 1024, 1) AS size_kb, greatest(coalesce(findings, 0), 0) AS findings, coalesce(reason, 'unknown') AS reason,
       coalesce(processing_ms, 0) AS processing_ms, CAST(created_at AS DATE) AS day, CAST(row_number() OVER (PARTITION BY CAST(created_at AS DATE) ORDER BY created_at DESC, id DESC) AS INTEGER) AS place
-      FROM telemetry_typed WHERE metric_name = 'pdf_processing_success' AND (reason IS NOT NULL OR NOT value > 0)""", "telemetry_typed")(lambda s, f: da.failed_files(telemetry(s, f), as_of, DAYS))
+      FROM telemetry_typed WHERE metric_name = 'pdf_processing_success' AND (reason IS NOT NULL OR NOT value > 0)""", "telemetry_typed")(lambda s, f: da.failed_files(telemetry(s, f), as_of(), DAYS))
     query("e36_token_use", """SELECT CAST(created_at AS DATE) AS day, CAST(sum(coalesce(input_tokens, 0)) AS BIGINT) AS input_tokens, CAST(sum(coalesce(output_tokens, 0)) AS BIGINT) AS output_tokens, count(*) AS calls
-      FROM telemetry_typed WHERE input_tokens IS NOT NULL OR output_tokens IS NOT NULL GROUP BY 1""", "telemetry_typed")(lambda s, f: da.token_use(telemetry(s, f), as_of, DAYS))
+      FROM telemetry_typed WHERE input_tokens IS NOT NULL OR output_tokens IS NOT NULL GROUP BY 1""", "telemetry_typed")(lambda s, f: da.token_use(telemetry(s, f), as_of(), DAYS))

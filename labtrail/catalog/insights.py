@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labtrail.functions.basic import n_rows
-
 from labtrail.catalog import duck as d
 from labtrail.catalog.records import normalized, resolved
 from labtrail.catalog.registry import query

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labtrail.functions.basic import n_rows
-
 from labtrail import fixed_values as fv
 from labtrail.catalog import duck as d
 from labtrail.catalog.metrics_view import grade_sql, metrics
@@ -160,21 +158,21 @@ def register() -> None:
       (SELECT o_custkey AS batch_id, count(*) AS processed, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS failed, 20 AS total, CAST(sum(o_orderkey % 10) AS DOUBLE) AS elapsed FROM orders GROUP BY 1)
       LEFT JOIN (SELECT o_custkey AS batch_id, string_agg('f' || o_orderkey || ': ' || CASE WHEN o_orderkey % 2 = 0 THEN 'Rate limit hit' ELSE 'quota' END, '; ' ORDER BY o_orderkey) AS details FROM
         (SELECT * FROM orders WHERE o_orderkey % 3 = 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 5) GROUP BY 1) USING (batch_id)""")(outcomes)
-    asked_as_of = F.lit(AS_OF).cast("date")
+    asked_as_of = lambda: F.lit(AS_OF).cast("date")
     joined = lambda df: df.withColumn("matched_terms", F.array_join("matched_terms", "|")).withColumn("rationale", F.array_join("rationale", "|"))
     query("p13_guideline_retrieval", """SELECT a.question_id, h.id, h.category, h.title, h.source, h.url, h.level, h.score, h.rank, array_to_string(h.terms, '|') AS matched_terms, array_to_string(h.why, '|') AS rationale
-      FROM asked a JOIN kb_hits h ON h.text = a.text AND h.f0 = a.f""", "asked", "kb_hits")(lambda s, f: joined(gl.retrieve(questions(s, f), gl.knowledge(s), asked_as_of)).drop("ord", "content"))
+      FROM asked a JOIN kb_hits h ON h.text = a.text AND h.f0 = a.f""", "asked", "kb_hits")(lambda s, f: joined(gl.retrieve(questions(s, f), gl.knowledge(s), asked_as_of())).drop("ord", "content"))
     counted = ", ".join(f"CAST(len(list_filter(h.why, lambda v_: v_ = '{why}')) AS INTEGER) AS n_{key}" for key, why in gl.REASONS.items())
     query("j13_question_guideline_scores", f"""SELECT a.question_id, h.id, h.category, h.source, h.url, h.score, h.ord, {counted}, CAST(len(h.terms) AS INTEGER) AS n_terms FROM asked a JOIN kb_score h ON h.text = a.text AND h.f0 = a.f WHERE h.score >= 15""", "asked", "kb_score")(
-        lambda s, f: gl.all_scores(questions(s, f), gl.knowledge(s), asked_as_of))
+        lambda s, f: gl.all_scores(questions(s, f), gl.knowledge(s), asked_as_of()))
     query("w07_category_diverse_top", """SELECT a.question_id, h.category, h.id, h.score, h.rank FROM asked a JOIN
       (SELECT *, CAST(row_number() OVER (PARTITION BY text, f0 ORDER BY score DESC, ord) AS INTEGER) AS rank FROM (SELECT * FROM kb_score WHERE score >= 8 QUALIFY row_number() OVER (PARTITION BY text, f0, category ORDER BY score DESC, ord) = 1 OR score >= 40) QUALIFY rank <= 5) h
       ON h.text = a.text AND h.f0 = a.f""", "asked", "kb_score")(
-        lambda s, f: gl.diverse_top(gl.all_scores(questions(s, f), gl.knowledge(s), asked_as_of, 8), ["question_id"], 5, 40).select("question_id", "category", "id", "score", "rank"))
+        lambda s, f: gl.diverse_top(gl.all_scores(questions(s, f), gl.knowledge(s), asked_as_of(), 8), ["question_id"], 5, 40).select("question_id", "category", "id", "score", "rank"))
 
     def context(s, f):
         turns = table(s, f, "conversations").withColumn("scope_id", F.col("conv_id").cast("string"))
-        return ch.chat_context(tl.chat_findings(lab_records(s, f)), turns, gl.knowledge(s), asked_as_of).withColumn("history", F.size("history").cast("long"))
+        return ch.chat_context(tl.chat_findings(lab_records(s, f)), turns, gl.knowledge(s), asked_as_of()).withColumn("history", F.size("history").cast("long"))
 
     query("p12_chat_context", """SELECT q.question_id, q.scope_id, q.turn, q.message, len(q.history) AS history, p.* EXCLUDE (scope_id), coalesce(g.n_guidelines, 0) AS n_guidelines, coalesce(g.guidelines, '') AS guidelines
       FROM chat_asked q JOIN parts p ON p.scope_id = q.scope_id LEFT JOIN chat_sections g ON g.question_id = q.question_id""", "chat_asked", "parts", "chat_sections")(context)

@@ -9,10 +9,7 @@ from labtrail.functions.basic import n_rows
 from labtrail.catalog import duck as d
 from labtrail.catalog.registry import query
 from labtrail.catalog.views import SQL, lab_records, table
-from labtrail.functions import names as nm
 from labtrail.functions import status as st
-from labtrail.functions import text as tx
-from labtrail.functions import values as va
 from labtrail.operators import insights as ins
 from labtrail.operators import records as rec
 from labtrail.operators import resolve as res

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from labtrail.functions.basic import n_rows
 
-from labtrail.catalog import duck as d
 from labtrail.catalog.metrics_view import from_events, grade_sql
 from labtrail.catalog.registry import query
 from labtrail.catalog.views import SQL, lab_records, table

@@ -106,8 +106,6 @@ def _sweep(tolerance: float):
     def run(key, pdf):
         import bisect
 
-        import pandas as pd
-
         truths = pdf[pdf.side == 1].sort_values(["value", "pos", "copy"])
         values = truths.value.tolist()
         order = truths.reset_index(drop=True).sort_values(["pos", "copy"]).index.tolist()

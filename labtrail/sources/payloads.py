@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labtrail.functions.basic import na
-
 from labtrail.functions import names as nm
 from labtrail.functions import status as st
 from labtrail.functions import values as va
