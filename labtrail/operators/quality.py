@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,8 @@ from labtrail.session import materialize
 # --- extracted findings against the truth -----------------------------------
 #: Findings of a chain that one task matches, about; a stretch of values, in tolerances, that is never cut.
 SEGMENT, UNCUT = 100_000, 8
+#: What a value may have instead of a truth: none is left, or an earlier value is undecided.
+NONE, WAITS = -1, -2
 
 
 def greedy_matches(extracted: DataFrame, truth: DataFrame, tolerance: float = 0.01) -> DataFrame:
@@ -50,8 +54,66 @@ def greedy_matches(extracted: DataFrame, truth: DataFrame, tolerance: float = 0.
         .select("report_id", "name", "chain", "value")
         .join(sides, ["report_id", "name", "value"])
     )
-    by_rule = chain_matches(tangled, tolerance).select("report_id", F.lit(1).cast("long").alias("matches"))
-    return simple.unionByName(by_rule).groupBy("report_id").agg(F.sum("matches").alias("true_positives"))
+    keys = ["report_id", "name", "chain"]
+    tangled = materialize(tangled, "tangled-findings")
+    long = materialize(tangled.groupBy(*keys).agg(n_rows().alias("n")).where(F.col("n") > SEGMENT).select(*keys), "long-chains")
+    # chains of a segment or less: one pass over sorted rows, one chain in memory at a time
+    short = tangled.join(long, keys, "left_anti").repartition(*keys).sortWithinPartitions(*keys, F.desc("side"), "pos")
+    by_chain = short.select(*keys, "side", "value").mapInArrow(_sweep_chains(tolerance), "report_id long, matches long")
+    by_segment = chain_matches(tangled.join(long, keys, "left_semi"), tolerance).select("report_id", F.lit(1).cast("long").alias("matches"))
+    return simple.unionByName(by_chain).unionByName(by_segment).groupBy("report_id").agg(F.sum("matches").alias("true_positives"))
+
+
+def match_in_order(values: list[float], beside: list[bool], truths: list[float], order: list[int], tolerance: float) -> list[int]:
+    """For each extracted value the truth it takes (its place among the sorted ``truths``), ``NONE`` or ``WAITS``.
+
+    ``order`` lists the truths' places from the earliest on.  Values ``beside``
+    the segment are undecided, and so is any value that one of them, or another
+    undecided one, before it could matter to."""
+    free, blocked, out = _FirstFree(order), [], []
+    for v, outside in zip(values, beside):
+        at = bisect_left(blocked, v - 2 * tolerance) if blocked else 0
+        if outside or (at < len(blocked) and blocked[at] <= v + 2 * tolerance):
+            insort(blocked, v)
+            out.append(WAITS)
+            continue
+        lo, hi = bisect_left(truths, v - 2 * tolerance), bisect_right(truths, v + 2 * tolerance)
+        while lo < hi and not abs(v - truths[lo]) < tolerance:
+            lo += 1
+        while lo < hi and not abs(v - truths[hi - 1]) < tolerance:
+            hi -= 1
+        taken = free.take(lo, hi)
+        out.append(NONE if taken is None else taken)
+    return out
+
+
+def _sweep_chains(tolerance: float):
+    """Matches of whole chains; rows come sorted by chain, truths first, each side in input order."""
+
+    def matches(truths: list[float], values: list[float]) -> int:
+        places = sorted(range(len(truths)), key=truths.__getitem__)
+        order = [0] * len(truths)
+        for place, k in enumerate(places):
+            order[k] = place
+        return sum(x >= 0 for x in match_in_order(values, [False] * len(values), [truths[k] for k in places], order, tolerance))
+
+    def run(batches):
+        import pyarrow as pa
+
+        chain, truths, values = None, [], []
+        for batch in batches:
+            found = []
+            for *key, side, value in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != chain:
+                    if values and truths:
+                        found.append((chain[0], matches(truths, values)))
+                    chain, truths, values = key, [], []
+                (truths if side else values).append(value)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], names=["report_id", "matches"])
+        if values and truths:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (chain[0], matches(truths, values))], names=["report_id", "matches"])
+
+    return run
 
 
 def segments(tangled: DataFrame, tolerance: float) -> DataFrame:
@@ -104,31 +166,13 @@ def _sweep(tolerance: float):
     """Decides a segment's extracted findings in input order, as far as its borders allow."""
 
     def run(key, pdf):
-        import bisect
-
         truths = pdf[pdf.side == 1].sort_values(["value", "pos", "copy"])
-        values = truths.value.tolist()
         order = truths.reset_index(drop=True).sort_values(["pos", "copy"]).index.tolist()
-        free = _FirstFree(order)
-        blocked: list[float] = []
-        decided, used = [], []
-        for row in pdf[pdf.side == 0].sort_values(["pos", "copy"]).itertuples():
-            v = row.value
-            at = bisect.bisect_left(blocked, v - 2 * tolerance)
-            if row.beside or (at < len(blocked) and blocked[at] <= v + 2 * tolerance):
-                bisect.insort(blocked, v)
-                continue
-            lo, hi = bisect.bisect_left(values, v - 2 * tolerance), bisect.bisect_right(values, v + 2 * tolerance)
-            while lo < hi and not abs(v - values[lo]) < tolerance:
-                lo += 1
-            while lo < hi and not abs(v - values[hi - 1]) < tolerance:
-                hi -= 1
-            taken = free.take(lo, hi)
-            decided.append((row.Index, taken is not None))
-            if taken is not None:
-                used.append(truths.index[taken])
-        rows = [i for i, _ in decided] + used
-        out = pdf.loc[rows, ["report_id", "name", "chain", "side", "value", "pos", "copy"]]
+        asked = pdf[pdf.side == 0].sort_values(["pos", "copy"])
+        found = match_in_order(asked.value.tolist(), asked.beside.tolist(), truths.value.tolist(), order, tolerance)
+        decided = [(i, x >= 0) for i, x in zip(asked.index, found) if x != WAITS]
+        used = [truths.index[x] for x in found if x >= 0]
+        out = pdf.loc[[i for i, _ in decided] + used, ["report_id", "name", "chain", "side", "value", "pos", "copy"]]
         return out.assign(matched=[m for _, m in decided] + [True] * len(used))
 
     return run
