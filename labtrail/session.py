@@ -53,5 +53,5 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage with a table in the shared folder (survives lost executors)."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
