@@ -1,13 +1,13 @@
 """Record normalization and duplicate resolution.
 
-All grouping is done with partially aggregated ``groupBy`` (``min_by`` /
-``max_by``), never with a window over a group of unknown size, so one patient
-or one test holding a third of the rows is merged map-side first.
+Rows are shuffled once, by scope and cluster, and everything else is done in
+sorted groups that spill when they are large: a row is written once however many
+facts of its group it waits for.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labtrail import fixed_values as fv
@@ -78,54 +78,46 @@ def normalize_records(df: DataFrame) -> DataFrame:
 HELPERS = ["_cluster", "_hint", "_name_score"]
 
 
+def with_reading_place(df: DataFrame, keys: list[str], order: str = ORDER) -> DataFrame:
+    """Adds ``_place`` to every row, its place among those of its (keys,
+    Test_Date text): numeric rows first, then the most complete, the longest
+    range, the longest unit, the earliest row."""
+    date_key = F.coalesce(blank_to_null(F.col("Test_Date")), F.lit("N/A"))
+    complete = va.completeness(F.col("Result"), F.col("Reference_Range"), F.col("Unit"), F.col("Status"))
+    rank = {
+        "_numeric": va.parse_numeric(F.col("Result")).isNotNull(), "_complete": complete,
+        "_range": F.coalesce(F.length("Reference_Range"), F.lit(0)), "_unit": F.coalesce(F.length("Unit"), F.lit(0)),
+    }
+    best = Window.partitionBy(*keys, "_date_key").orderBy(*[F.desc(c) for c in rank], order)
+    return df.withColumns({"_date_key": date_key, **rank}).withColumn("_place", F.row_number().over(best)).drop("_date_key", *rank)
+
+
 def merge_readings(
     df: DataFrame, keys: list[str], carry: list[str] | None = None, order: str = ORDER
 ) -> DataFrame:
-    """One row per (keys, Test_Date text): numeric rows first, then the most
-    complete, the longest range, the longest unit, the earliest row."""
+    """One row per (keys, Test_Date text), the first by :func:`with_reading_place`.
+
+    A rank, not an aggregate of whole rows: columns that nobody reads are not
+    shuffled, and map tasks send one row of a group each."""
     carry = carry or [c for c in df.columns if c not in keys]
-    date_key = F.coalesce(blank_to_null(F.col("Test_Date")), F.lit("N/A"))
-    numeric = va.parse_numeric(F.col("Result")).isNotNull()
-    rank = F.struct(
-        F.when(numeric, 0).otherwise(1).alias("a"),
-        (
-            -va.completeness(
-                F.col("Result"), F.col("Reference_Range"), F.col("Unit"), F.col("Status")
-            )
-        ).alias("b"),
-        (-F.coalesce(F.length("Reference_Range"), F.lit(0))).alias("c"),
-        (-F.coalesce(F.length("Unit"), F.lit(0))).alias("d"),
-        F.col(order).alias("e"),
-    )
-    best = (
-        df.withColumn("_date_key", date_key)
-        .groupBy(*keys, "_date_key")
-        .agg(F.min_by(F.struct(*carry), rank).alias("_row"))
-    )
-    return best.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in carry])
+    return with_reading_place(df, keys, order).where("_place = 1").select(*keys, *carry)
 
 
-def best_category(weight: Column, order: Column) -> Column:
-    """Aggregate: most trusted, then most frequent, then first-seen category.
+def with_vote(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Adds a group's most trusted, then most frequent, then first-seen category; null where all are "Other".
 
     There are fourteen canonical categories, so the vote is a fixed number of
-    conditional sums rather than a second grouping level.
+    conditional counts, then a minimum, over the same sorted groups.
     """
-    ballots = []
-    for cat, prio in fv.CATEGORY_PRIORITY.items():
-        if cat == "Other":
-            continue
-        mine = F.col("Test_Category") == cat
-        ballots.append(
-            F.struct(
-                F.lit(-prio).alias("p"),
-                (-F.sum(F.when(mine, weight))).alias("n"),
-                F.min(F.when(mine, order)).alias("o"),
-                F.lit(cat).alias("cat"),
-            )
-        )
-    voted = F.array_min(F.filter(F.array(*ballots), lambda b: b["n"].isNotNull()))
-    return F.coalesce(voted["cat"], F.lit("Other"))
+    group, cat = Window.partitionBy(*keys), F.col("Test_Category")
+    known = {c: p for c, p in fv.CATEGORY_PRIORITY.items() if c != "Other"}
+    counted = df.withColumns({f"_n{i}": F.count_if(cat == c).over(group) for i, c in enumerate(known)})
+    ballot = F.lit(None).cast("struct<p:int,n:bigint>")
+    for i, (c, p) in enumerate(known.items()):
+        ballot = F.when(cat == c, F.struct(F.lit(-p).alias("p"), (-F.col(f"_n{i}")).alias("n"))).otherwise(ballot)
+    voted = counted.withColumn("_ballot", ballot).drop(*[f"_n{i}" for i in range(len(known))])
+    vote = F.min(F.when(F.col("_ballot").isNotNull(), F.struct("_ballot.p", "_ballot.n", F.col(ORDER).alias("o"), cat.alias("cat"))))
+    return voted.withColumn(name, vote.over(group)["cat"]).drop("_ballot")
 
 
 def best_spelling(value: Column, score: Column, order: Column) -> Column:
@@ -133,46 +125,51 @@ def best_spelling(value: Column, score: Column, order: Column) -> Column:
     return F.min_by(value, F.struct((-score).alias("s"), order.alias("o")))
 
 
-def first_seen_aliases(order: Column) -> Column:
-    """Aggregate: all aliases in first-seen order."""
-    rows = F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("Aliases").alias("a"))))
-    return va.unique_strings(F.flatten(F.transform(rows, lambda r: r["a"])))
+def with_cluster_facts(normalized: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds name, category and aliases of its cluster to every row: ``_canonical``,
+    ``_resolved`` and ``_seen``, of which :func:`all_aliases` makes the aliases.
 
+    One sort of each group serves all three.  Groups are sorted, not held, and
+    of equal lists of aliases the first is collected only.
+    """
+    group = Window.partitionBy(*keys)
+    first = F.row_number().over(Window.partitionBy(*keys, "Aliases").orderBy(ORDER)) == 1
+    rows = with_vote(normalized.withColumn("_new", first), keys, "_voted")
+    spelling = F.struct(F.col("Test_Name").alias("name"), F.col("_hint").alias("hint"))
+    seen = F.struct(F.col(ORDER).alias("o"), F.col("Aliases").alias("a"))
+    facts = rows.withColumns({
+        "_pick": best_spelling(spelling, F.col("_name_score"), F.col(ORDER)).over(group),
+        "_seen": F.collect_list(F.when(F.col("_new"), seen)).over(group),
+    })
+    return facts.withColumns({
+        "_canonical": F.col("_pick.name"), "_resolved": F.coalesce("_pick.hint", "_voted", F.lit("Other")),
+    }).drop("_voted", "_new", "_pick")
+
+
+def all_aliases() -> Column:
+    """All aliases of a cluster in first-seen order, and its name."""
+    seen = F.flatten(F.transform(F.array_sort("_seen"), lambda r: r["a"]))
+    return va.unique_strings(F.concat(seen, F.array("_canonical")))
 
-def cluster_facts(normalized: DataFrame, keys: list[str]) -> DataFrame:
-    """Name, category and aliases of every cluster.
 
-    Rows are first reduced map-side to one line per (cluster, spelling,
-    category, aliases); the facts come from that far smaller table.
-    """
-    reduced = normalized.groupBy(
-        *keys, "Test_Name", "_name_score", "_hint", "Test_Category", "Aliases"
-    ).agg(F.min(ORDER).alias("_o"), F.count(F.lit(1)).alias("_rows"))
-    facts = reduced.groupBy(*keys).agg(
-        best_spelling(
-            F.struct(F.col("Test_Name").alias("name"), F.col("_hint").alias("hint")),
-            F.col("_name_score"),
-            F.col("_o"),
-        ).alias("_pick"),
-        best_category(F.col("_rows"), F.col("_o")).alias("_voted"),
-        first_seen_aliases(F.col("_o")).alias("_aliases"),
-    )
-    return facts.select(
-        *keys,
-        F.col("_pick.name").alias("_canonical"),
-        F.coalesce("_pick.hint", "_voted").alias("_resolved"),
-        va.unique_strings(F.concat("_aliases", F.array("_pick.name"))).alias("_all_aliases"),
-    )
+def cluster_facts(normalized: DataFrame, keys: list[str]) -> DataFrame:
+    """Name, category and aliases of every cluster."""
+    one = F.row_number().over(Window.partitionBy(*keys).orderBy(ORDER))
+    rows = with_cluster_facts(normalized.withColumn("_place", one), keys).where("_place = 1")
+    return rows.select(*keys, "_canonical", "_resolved", all_aliases().alias("_all_aliases"))
 
 
 def deduplicate(
     normalized: DataFrame, scope: list[str] | None = None, cluster: str = "_cluster"
 ) -> DataFrame:
-    """Collapse normalized records to one per (scope, test, date text)."""
+    """Collapse normalized records to one per (scope, test, date text).
+
+    The rows meet once, by cluster, and stay there for their places and facts.
+    """
     scope = scope or [SCOPE]
     keys = [*scope, cluster]
-    facts = cluster_facts(normalized, keys)
-    joined = merge_readings(normalized, keys).join(facts, keys)
+    placed_rows = with_reading_place(normalized.repartition(*keys), keys)
+    joined = with_cluster_facts(placed_rows, keys).where("_place = 1").drop("_place")
     return (
         joined.withColumn(
             "Original_Test_Name",
@@ -180,8 +177,8 @@ def deduplicate(
         )
         .withColumn("Test_Name", F.col("_canonical"))
         .withColumn("Test_Category", F.col("_resolved"))
-        .withColumn("Aliases", F.col("_all_aliases"))
-        .drop("_canonical", "_resolved", "_all_aliases")
+        .withColumn("Aliases", all_aliases())
+        .drop("_canonical", "_resolved", "_seen")
     )
 
 
