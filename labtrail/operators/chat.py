@@ -31,7 +31,11 @@ def active_findings(findings: DataFrame, k: int = ACTIVE) -> DataFrame:
 
 
 def chat_context(findings: DataFrame, turns: DataFrame, kb: DataFrame, as_of: Column) -> DataFrame:
-    """One row per question of a patient with findings: the message, its history, the prompt's parts and the guidelines' section."""
+    """One row per question of a patient with findings: the message, its history, the prompt's parts and the guidelines' section.
+
+    Findings of patients without a question are left out before they are grouped."""
+    asking = turns.where("role = 'user'").select(SCOPE).distinct()
+    findings = findings.join(asking, SCOPE, "left_semi")
     asked = chat_questions(turns).join(active_findings(findings), SCOPE)
     queries = asked.select("question_id", F.concat_ws(" ", "message", F.array_join("history", " ")).alias("query"), "findings")
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n\n")

@@ -12,6 +12,7 @@ from labtrail.functions import status as st
 from labtrail.functions import text as tx
 from labtrail.functions import values as va
 from labtrail.functions.basic import blank_to_null
+from labtrail.operators.dictionary import with_derived
 from labtrail.operators.insights import valid_for_display
 from labtrail.operators.panel import top_per_scope
 from labtrail.operators.resolve import ORDER, SCOPE
@@ -96,14 +97,18 @@ def report_timeline(records: DataFrame, keep: int = 12, preview: int = 10) -> Da
 
 
 def chat_findings(records: DataFrame) -> DataFrame:
+    """Findings as a chat names them; the text work is done once per spelling of a name, a status or a date."""
     name = F.coalesce(blank_to_null(F.coalesce("Test_Name", "Original_Test_Name")), F.lit("Unknown test"))
-    return records.select(
+    source = records.select(SCOPE, ORDER, name.alias("name"), "Test_Date", "Lab_Name", "Result", "Unit", "Status")
+    key = F.col("_key")
+    canonical = F.coalesce(F.nullif(nm.chat_key(key), F.lit("")), F.lower(key))
+    named = with_derived(source, {"name": {"canonical": canonical}, "Status": {"severity": st.chat_severity(key)}})
+    dated = with_derived(named, {"Test_Date": {"day": _day(va.parse_client_date(key))}})
+    return dated.select(
         SCOPE, F.coalesce(blank_to_null(F.col("Test_Date")), F.lit("Unknown date")).alias("date"),
-        F.coalesce(blank_to_null(F.col("Lab_Name")), F.lit("Unknown Lab")).alias("lab"), name.alias("name"),
-        F.coalesce(F.nullif(nm.chat_key(name), F.lit("")), F.lower(name)).alias("canonical"),
+        F.coalesce(blank_to_null(F.col("Lab_Name")), F.lit("Unknown Lab")).alias("lab"), "name", "canonical",
         F.coalesce(blank_to_null(F.col("Result")), F.lit("N/A")).alias("value"),
-        F.coalesce(blank_to_null(F.col("Unit")), F.lit("")).alias("unit"),
-        st.chat_severity(F.col("Status")).alias("severity"), client_day().alias("day"), ORDER,
+        F.coalesce(blank_to_null(F.col("Unit")), F.lit("")).alias("unit"), "severity", "day", ORDER,
     )
 
 
