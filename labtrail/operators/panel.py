@@ -30,14 +30,16 @@ def finding_entries(records: DataFrame) -> DataFrame:
         "Test_Category": {"category": nm.canonical_category(key)},
         "Status": {"_status": st.client_status(key), "_severity": st.severity3(key)},
     })
-    ref = va.client_range(F.col("Reference_Range"))
+    ref = va.client_range(key)
+    named = with_derived(named, {"Reference_Range": {"low": ref["low"], "high": ref["high"]}})
+    day = F.coalesce(va.parse_client_date(key), F.lit(NO_DATE).cast("date"))
+    named = with_derived(named, {"Test_Date": {"day": day}})
     typed = named.select(
         SCOPE, ORDER, "test_name", "category", F.col("Result").alias("value_text"),
         va.leading_numeric(F.col("Result")).alias("value"), F.col("Unit").alias("unit"),
-        F.col("Reference_Range").alias("reference_range"), ref["low"].alias("low"), ref["high"].alias("high"),
+        F.col("Reference_Range").alias("reference_range"), "low", "high",
         F.col("_status").alias("status"), F.col("_severity").alias("severity"),
-        F.coalesce("Test_Date", F.lit("Unknown")).alias("report_date"),
-        F.coalesce(va.parse_client_date(F.col("Test_Date")), F.lit(NO_DATE).cast("date")).alias("day"),
+        F.coalesce("Test_Date", F.lit("Unknown")).alias("report_date"), "day",
     )
     dev = va.deviation_percent(F.col("value"), F.col("low"), F.col("high"), F.col("severity"))
     return typed.where(F.col("test_name") != nm.UNKNOWN_TEST).withColumn("deviation", dev)
