@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labtrail.functions.basic import n_rows
@@ -78,11 +81,10 @@ def with_source_file(df: DataFrame, file_name: Column) -> DataFrame:
 
 
 def _keep_best(rows: DataFrame, level: Column, report: str) -> DataFrame:
-    """Rows at the best match level of their report (two partial aggregates,
-    no window over a report of unknown size)."""
-    graded = rows.withColumn("_level", level)
-    best = graded.groupBy(report).agg(F.min("_level").alias("_best"))
-    return graded.join(best, report).where(F.col("_level") == F.col("_best")).drop("_level", "_best")
+    """Rows at the best match level of their report: rows that were joined to
+    their report stay where they are, and the join is done once."""
+    best = F.min("_level").over(Window.partitionBy(report))
+    return rows.withColumn("_level", level).withColumn("_best", best).where("_level = _best").drop("_level", "_best")
 
 
 def slice_by_file(rows: DataFrame, reports: DataFrame, fallback_to_all: bool, report: str = "report_id") -> DataFrame:
@@ -143,17 +145,21 @@ def distinct_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def combine_duplicate_tests(df: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Best category per test (most dates, most rows, name), then one row per
-    test and date."""
+    test and date.
+
+    The rows meet once, by test; columns that nobody reads are not shuffled."""
     keys = [*(scope or [SCOPE]), "Test_Name"]
-    counts = df.groupBy(*keys, "Test_Category").agg(F.countDistinct("Test_Date").alias("d"), n_rows().alias("n"))
-    best = counts.where(F.col("Test_Category").isNotNull()).groupBy(*keys).agg(
-        F.min_by("Test_Category", F.struct(-F.col("d"), -F.col("n"), F.col("Test_Category"))).alias("_best")
-    )
-    rest = [c for c in df.columns if c not in (*keys, "Test_Date", "Test_Category")]
-    one = df.groupBy(*keys, "Test_Date").agg(F.min_by(F.struct(*rest), F.col(ORDER)).alias("_r"))
-    return one.join(best, keys, "left").select(
-        *keys, "Test_Date", F.col("_best").alias("Test_Category"), *[F.col(f"_r.{c}").alias(c) for c in rest]
-    )
+    order = [*keys, "Test_Date", "Test_Category"]
+    rest = [c for c in df.columns if c not in order]
+    # where a date comes first in its group the row stands for it
+    first = lambda *cols: F.row_number().over(Window.partitionBy(*keys, *cols).orderBy(ORDER)) == 1
+    alike, test = Window.partitionBy(*keys, "Test_Category"), Window.partitionBy(*keys)
+    rows = df.repartition(*keys).withColumn("_one", first("Test_Date")).withColumn("_date", first("Test_Category", "Test_Date") & F.col("Test_Date").isNotNull())
+    rows = rows.withColumns({"_d": F.count_if("_date").over(alike), "_n": n_rows().over(alike)})
+    ballot = F.struct((-F.col("_d")).alias("d"), (-F.col("_n")).alias("n"), F.col("Test_Category").alias("c"))
+    named = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    best = F.min(F.when(named & F.col("Test_Category").isNotNull(), ballot)).over(test)
+    return rows.withColumn("_best", best).where("_one").select(*keys, "Test_Date", F.col("_best.c").alias("Test_Category"), *rest)
 
 
 def category_counts(df: DataFrame, scope: list[str] | None = None) -> DataFrame:
@@ -200,8 +206,6 @@ def clean_turns(turns: DataFrame) -> DataFrame:
 def last_turns(turns: DataFrame, keep: int = 8) -> DataFrame:
     """Last N turns per session.  The rank filter is pushed below the shuffle
     (group-limited window), so a huge session sends N rows per map task."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     return turns.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep).drop("_rn")
 

@@ -165,10 +165,11 @@ def deduplicate(
     """Collapse normalized records to one per (scope, test, date text).
 
     The rows meet once, by cluster, and stay there for their places and facts.
+    Rows without a scope or cluster belong to none.
     """
     scope = scope or [SCOPE]
     keys = [*scope, cluster]
-    placed_rows = with_reading_place(normalized.repartition(*keys), keys)
+    placed_rows = with_reading_place(normalized.na.drop(subset=keys).repartition(*keys), keys)
     joined = with_cluster_facts(placed_rows, keys).where("_place = 1").drop("_place")
     return (
         joined.withColumn(

@@ -47,3 +47,24 @@ def test_facts_of_a_large_group(spark):
         aliases = list(dict.fromkeys([a for r in members for a in r.Aliases] + [best.Test_Name]))
         assert (got[key].Test_Name, list(got[key].Aliases)) == (best.Test_Name, aliases)
     assert deduplicate(normalized).groupBy("scope_id", "_cluster", "Test_Date").count().where(F.col("count") > 1).isEmpty()
+
+
+def test_rows_without_a_scope_belong_to_none(spark):
+    odd = [(None, *rows(1)[0][1:]), *rows(2)]
+    assert {r[0] for r in deduplicate(normalize_records(spark.createDataFrame(odd, COLS))).select("scope_id").collect()} == {r[0] for r in rows(2)}
+
+
+def test_best_category_and_first_row_in_one_shuffle(spark):
+    from labtrail.operators.records import combine_duplicate_tests, slice_by_file
+
+    # A has two dates, B more rows; a missing date counts as none, a missing name has no category
+    cells = [("s", "T", "d1", "A", "1"), ("s", "T", "d2", "A", "2"), ("s", "T", "d1", "B", "3"), ("s", "T", "d1", "B", "4"), ("s", "T", None, "B", "5"), ("s", "T", "d2", None, "6"), ("s", None, "d1", "A", "7")]
+    df = spark.createDataFrame(cells, "scope_id string, Test_Name string, Test_Date string, Test_Category string, row_ord string")
+    out = combine_duplicate_tests(df)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([("s", "T", "d1", "A", "1"), ("s", "T", "d2", "A", "2"), ("s", "T", None, "A", "5"), ("s", None, "d1", None, "7")], key=str)
+    assert plan(combine_duplicate_tests(df)).count("Exchange hashpartitioning") == 1
+    # the rows of a report are joined to it once
+    files = spark.createDataFrame([(1, "a.pdf"), (2, "b.pdf")], "report_id long, file_name string")
+    rows_of = spark.createDataFrame([(1, "a.pdf", "1"), (1, "x.pdf", "2"), (2, "x.pdf", "3")], "report_id long, Source_Filename string, row_ord string")
+    kept = slice_by_file(rows_of, files, True)
+    assert sorted(r.row_ord for r in kept.collect()) == ["1", "3"] and plan(slice_by_file(rows_of, files, True)).count("Join") == 1
