@@ -61,9 +61,12 @@ def unpivot_history(
             rows = rows.where(~F.contains(F.coalesce(low, F.lit("")), F.lit(mark)))
     long = rows.unpivot([*carry, *KEYS, "_ref"], cols, "_date_lab", "Result")
     long = long.where(~strip(F.col("Result")).isin("", "None", "nan"))
+    # what a column's name says is read once a column, not once a cell
     parts = F.split("_date_lab", "_", 2)
-    date = F.get(parts, F.lit(0))
-    day = va.parse_date_day_first(date)
+    headers = df.sparkSession.createDataFrame([(c,) for c in cols], "_date_lab string").withColumns(
+        {"_date": F.get(parts, F.lit(0)), "_lab": F.get(parts, F.lit(1)), "_day": va.parse_date_day_first(F.get(parts, F.lit(0)))}
+    ).withColumn("_shown", F.coalesce(F.date_format("_day", "dd-MM-yyyy"), "_date"))
+    long = long.join(F.broadcast(headers), "_date_lab")
     if patient is None:
         patient = {}
         person = tx.patient_from_export_name(F.lit(file_name))
@@ -72,12 +75,12 @@ def unpivot_history(
     return long.select(
         *carry, F.lit(file_name).alias("Source_Filename"), F.lit(patient.get("patient_id", "N/A")).alias("Patient_ID"),
         person.alias("Patient_Name"), F.lit(patient.get("age", "N/A")).alias("Age"), F.lit(patient.get("gender", "N/A")).alias("Gender"),
-        (F.coalesce(F.date_format(day, "dd-MM-yyyy"), date) if reformat_dates else date).alias("Test_Date"),
-        F.coalesce(F.get(parts, F.lit(1)), F.lit(default_lab)).alias("Lab_Name"),
+        F.col("_shown" if reformat_dates else "_date").alias("Test_Date"),
+        F.coalesce("_lab", F.lit(default_lab)).alias("Lab_Name"),
         strip(F.coalesce("Test_Category", F.lit("General"))).alias("Test_Category"),
         name.alias("Original_Test_Name"), name.alias("Test_Name"), "Result", na().alias("Unit"),
         F.when(F.lower("_ref").isin("", "nan"), na()).otherwise(F.coalesce("_ref", na())).alias("Reference_Range"), na().alias("Status"),
-        va.strict_numeric(F.col("Result")).alias("Result_Numeric"), day.alias("Test_Date_dt"),
+        va.strict_numeric(F.col("Result")).alias("Result_Numeric"), F.col("_day").alias("Test_Date_dt"),
     )
 
 
