@@ -21,17 +21,18 @@ from pyspark.sql import functions as F
 from labtrail.session import materialize
 
 
-def with_derived(df: DataFrame, plan: dict[str, dict[str, Column]]) -> DataFrame:
+def with_derived(df: DataFrame, plan: dict[str, dict[str, Column]], spelled_in: DataFrame | None = None) -> DataFrame:
     """Add columns computed once per distinct value of their source columns.
 
     ``plan`` maps a source column to its answers, each an expression over
     column ``_key`` (the source value) and over the answers before it; a column
     of the same name is replaced.  The combinations of sources that occur are
     collected in one pass over ``df`` and joined to it once: a ``df`` that is
-    expensive to compute should be materialized first, since both compute it.
+    expensive to compute should be materialized first, since both compute it, or
+    ``spelled_in`` be given, a table that has its combinations and costs less.
     """
     keys = {source: f"_key{k}" for k, source in enumerate(plan)}
-    met = df.select(*[F.col(s).alias(k) for s, k in keys.items()]).distinct()
+    met = (spelled_in or df).select(*[F.col(s).alias(k) for s, k in keys.items()]).distinct()
     met = materialize(met, "spellings") if len(plan) > 1 else met
     found = met
     for source, answers in plan.items():

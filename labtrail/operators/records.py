@@ -97,9 +97,11 @@ def slice_by_file(rows: DataFrame, reports: DataFrame, fallback_to_all: bool, re
     return _keep_best(j, F.when(exact, 1).otherwise(2), report).drop("_file")
 
 
-def slice_deterministic(rows: DataFrame, reports: DataFrame, report: str = "report_id") -> DataFrame:
-    """Exact file, else stems equal or one inside the other, else all rows."""
-    j = rows.join(reports.select(report, F.col("file_name").alias("_file")), report)
+def slice_deterministic(rows: DataFrame, reports: DataFrame | None = None, report: str = "report_id") -> DataFrame:
+    """Exact file, else stems equal or one inside the other, else all rows.
+
+    Without ``reports`` the rows have their report's file in ``_file``."""
+    j = rows if reports is None else rows.join(reports.select(report, F.col("file_name").alias("_file")), report)
     target, own = tx.file_key(F.col("_file")), tx.file_key(source_file(j))
     t, o = tx.file_stem(target), tx.file_stem(own)
     near = (o != "") & (t != "") & (F.contains(t, o) | F.contains(o, t))

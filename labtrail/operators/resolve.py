@@ -47,8 +47,9 @@ def name_facts() -> dict[str, Column]:
     }
 
 
-def normalize_records(df: DataFrame) -> DataFrame:
+def normalize_records(df: DataFrame, spelled_in: DataFrame | None = None) -> DataFrame:
     """Canonical name, category, status and aliases on every record.
+    ``spelled_in``: rows with the same names, categories and statuses, read for them in place of ``df``.
 
     Adds the helper columns ``_cluster``, ``_hint`` and ``_name_score`` that
     :func:`deduplicate` needs; :func:`resolve_records` drops them again.
@@ -57,6 +58,8 @@ def normalize_records(df: DataFrame) -> DataFrame:
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("string"))
 
+    if spelled_in is not None:
+        spelled_in = spelled_in.select("Test_Category", "Status", raw_name(spelled_in).alias("_raw"))
     tidy = with_derived(
         df.withColumn("_raw", raw_name(df)),
         {
@@ -64,6 +67,7 @@ def normalize_records(df: DataFrame) -> DataFrame:
             "Test_Category": {"_category": nm.canonical_category(F.col("_key"))},
             "Status": {"_known_status": normalize_status(F.col("_key"))},
         },
+        spelled_in,
     )
     aliases = va.unique_strings(F.concat(_own_aliases(df), "_names")) if "Aliases" in df.columns else F.col("_names")
     return (
@@ -160,16 +164,19 @@ def cluster_facts(normalized: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def deduplicate(
-    normalized: DataFrame, scope: list[str] | None = None, cluster: str = "_cluster"
+    normalized: DataFrame, scope: list[str] | None = None, cluster: str = "_cluster", met: bool = False
 ) -> DataFrame:
     """Collapse normalized records to one per (scope, test, date text).
 
     The rows meet once, by cluster, and stay there for their places and facts.
+    With ``met`` the caller has partitioned them by (some of) the scope, as fits
+    documents, which are one value each; they stay where they are then.
     Rows without a scope or cluster belong to none.
     """
     scope = scope or [SCOPE]
     keys = [*scope, cluster]
-    placed_rows = with_reading_place(normalized.na.drop(subset=keys).repartition(*keys), keys)
+    named = normalized.na.drop(subset=keys)
+    placed_rows = with_reading_place(named if met else named.repartition(*keys), keys)
     joined = with_cluster_facts(placed_rows, keys).where("_place = 1").drop("_place")
     return (
         joined.withColumn(
@@ -183,13 +190,14 @@ def deduplicate(
     )
 
 
-def resolve_records(df: DataFrame, scope: list[str] | None = None) -> DataFrame:
+def resolve_records(df: DataFrame, scope: list[str] | None = None, met: bool = False, spelled_in: DataFrame | None = None) -> DataFrame:
     """Normalize, then deduplicate: the record table every report starts from.
+    ``met``: as for :func:`deduplicate`; ``spelled_in``: as for :func:`normalize_records`.
 
     All text work is in one dictionary, so that a second pass over the rows, for
     the readings, costs less than writing them would.
     """
-    out = deduplicate(normalize_records(df), scope)
+    out = deduplicate(normalize_records(df, spelled_in), scope, met=met)
     return out.drop(*HELPERS)
 
 

@@ -49,6 +49,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def shuffle_width(df: DataFrame) -> int:
+    """Partitions of a shuffle that isn't to be narrowed: rows that are small
+    when they are shuffled and much work afterwards."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage with a table in the shared folder (survives lost executors)."""
     spark = df.sparkSession
