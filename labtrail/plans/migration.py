@@ -13,36 +13,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from labtrail.functions.basic import n_rows
 from labtrail.operators.resolve import ORDER, resolve_records
-from labtrail.plans.jobs import CURRENT_VERSION, REPORT, content_digest
+from labtrail.plans.jobs import CURRENT_VERSION, REPORT, content_digest_of, digest_sums
 from labtrail.schema import PATIENT_FIELDS, PATIENT_INFO, RECORD_TEXT_FIELDS, STORED_RECORD
-from labtrail.session import materialize
+from labtrail.session import materialize, shuffle_width
 
 DOCUMENT = f"records array<{STORED_RECORD.simpleString()}>, total_records long, patient_info {PATIENT_INFO.simpleString()}"
 KEPT = [*RECORD_TEXT_FIELDS, "Aliases"]
 
 
 def normalized_documents(documents: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """Per document (distinct ``keys``): ``readable``, ``patient_info``, ``normalized_records`` as JSON, ``total_records``, and ``updated``.
+    """Per document (distinct ``keys``): ``readable``, ``patient_info``, ``normalized_records`` as JSON, ``total_records``, and ``updated``; other columns of ``documents`` stay.
 
-    A document that is no JSON object has no records.
+    A document that is no JSON object has no records.  Documents are shuffled
+    whole and their rows stay together: what is asked of a document needs no
+    other shuffle, and the rest of it follows without its records.
     """
+    carry = [c for c in documents.columns if c not in (*keys, column)]
     tree = F.try_parse_json(column)
     readable = F.coalesce(F.schema_of_variant(tree).startswith("OBJECT"), F.lit(False))
-    parsed = materialize(documents.select(*keys, readable.alias("readable"), F.from_json(column, DOCUMENT).alias("d")), "documents")
-    rows = parsed.where("readable").select(*keys, F.posexplode("d.records").alias("_pos", "r")).where("r IS NOT NULL")
-    place = F.concat_ws(".", *[F.lpad(F.col(k).cast("string"), 20, "0") for k in keys], F.lpad(F.col("_pos").cast("string"), 8, "0"))
-    rows = rows.select(*keys, place.alias(ORDER), *[F.col(f"r.{c}").alias(c) for c in KEPT])
-    after = materialize(resolve_records(rows, keys), "migrated-records")
+    read = materialize(documents.select(*keys, *carry, readable.alias("readable"), F.from_json(column, DOCUMENT).alias("d")), "documents")
+    parsed = read.select(*keys, *carry, "readable", F.when(F.col("readable"), F.col("d.records")).alias("_records"), F.col("d.patient_info").alias("patient_info"), F.col("d.total_records").alias("_stated"))
+    old = content_digest_of("_records")
+    docs = parsed.select(*keys, "_records").where(F.size("_records") > 0)
+    rows = lambda df: df.select(*keys, F.posexplode("_records").alias(ORDER, "r")).where("r IS NOT NULL").select(*keys, ORDER, *[F.col(f"r.{c}").alias(c) for c in KEPT])
+    after = resolve_records(rows(docs.repartition(shuffle_width(read), *keys)), keys, met=True, spelled_in=rows(docs))
     record = F.struct(*[F.col(c) for c in KEPT])
-    packed = after.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(ORDER, record.alias("r")))), lambda x: x["r"]).alias("records"), n_rows().alias("n"))
-    old, new = (content_digest(df, keys).select(*keys, F.struct("n", "a", "b").alias(name)) for df, name in ((rows, "_old"), (after, "_new")))
-    out = parsed.join(packed, keys, "left").join(old, keys, "left").join(new, keys, "left")
-    n = F.coalesce("n", F.lit(0))
-    return out.select(
-        *keys, "readable", "d.patient_info", F.to_json(F.coalesce("records", F.array().cast(packed.schema["records"].dataType))).alias("normalized_records"), n.alias("total_records"),
-        (~F.col("_old").eqNullSafe(F.col("_new")) | ~F.col("d.total_records").eqNullSafe(n)).alias("updated"),
+    packed = after.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(ORDER, record.alias("r")))), lambda x: x["r"]).alias("records"), *digest_sums())
+    rest = parsed.select(*keys, *carry, "readable", "patient_info", "_stated", old.alias("_old"))
+    n, none = F.coalesce("n", F.lit(0)), F.array().cast(packed.schema["records"].dataType)
+    new = F.when(F.col("n").isNotNull(), F.struct("n", "a", "b"))
+    return rest.join(packed, keys, "left").select(
+        *keys, *carry, "readable", "patient_info", F.to_json(F.coalesce("records", none)).alias("normalized_records"), n.alias("total_records"),
+        (~F.col("_old").eqNullSafe(new) | ~F.col("_stated").eqNullSafe(n)).alias("updated"),
     )
 
 
@@ -51,8 +54,8 @@ def migrate_reports(reports: DataFrame, version: int = CURRENT_VERSION) -> DataF
 
     An unreadable document becomes an empty one."""
     stale = reports.where(~F.col("normalization_version").eqNullSafe(F.lit(version)))
-    found = normalized_documents(stale.select(*REPORT, "analysis_data"), REPORT, "analysis_data")
-    return stale.select(*REPORT, F.coalesce("normalization_version", F.lit(0)).alias("source_version")).join(found, REPORT).select(
+    source = F.coalesce("normalization_version", F.lit(0)).alias("source_version")
+    return normalized_documents(stale.select(*REPORT, "analysis_data", source), REPORT, "analysis_data").select(
         *REPORT, "normalized_records", "total_records", (F.col("updated") | ~F.col("readable")).alias("updated"),
         F.lit(True).alias("is_normalized"), F.lit(version).alias("normalization_version"), "source_version",
     )
@@ -62,15 +65,14 @@ def migrate_history(history: DataFrame) -> DataFrame:
     """History lines (id, patient fields, total_records, analysis_json): updated ones take records, number and patient from their document.
 
     Lines whose document is unreadable are ``skipped`` and stay."""
-    found = normalized_documents(history.select("id", "analysis_json"), ["id"], "analysis_json").select(
-        "id", "readable", F.col("updated").alias("_updated"), F.col("patient_info").alias("_p"), "normalized_records", F.col("total_records").alias("_n")
-    )
-    joined = history.join(found, "id").withColumn("updated", F.col("readable") & F.col("_updated"))
+    own = ["patient_name", "patient_age", "patient_gender", "patient_id", "report_date", "lab_name"]
+    line = history.select("id", "analysis_json", *own, F.col("total_records").alias("_line_total"))
+    joined = normalized_documents(line, ["id"], "analysis_json").withColumn("updated", F.col("readable") & F.col("updated"))
     column = {"name": "patient_name", "age": "patient_age", "gender": "patient_gender", "patient_id": "patient_id", "date": "report_date", "lab_name": "lab_name"}
     # a document without a patient leaves the line's own
-    patient = {c: F.when(F.col("updated") & F.col("_p").isNotNull(), F.col(f"_p.{f}")).otherwise(F.col(c)) for f, c in column.items()}
+    patient = {c: F.when(F.col("updated") & F.col("patient_info").isNotNull(), F.col(f"patient_info.{f}")).otherwise(F.col(c)) for f, c in column.items()}
     return joined.select(
-        "id", *[patient[column[f]].alias(column[f]) for f in PATIENT_FIELDS], F.when(F.col("updated"), F.col("_n")).otherwise(F.col("total_records")).alias("total_records"),
+        "id", *[patient[column[f]].alias(column[f]) for f in PATIENT_FIELDS], F.when(F.col("updated"), F.col("total_records")).otherwise(F.col("_line_total")).alias("total_records"),
         F.when(F.col("updated"), F.col("normalized_records")).alias("normalized_records"), "updated", (~F.col("readable")).alias("skipped"),
     )
 
