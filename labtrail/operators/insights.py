@@ -16,7 +16,9 @@ from labtrail.functions import status as st
 from labtrail.functions import values as va
 from labtrail.functions.basic import blank_to_null, constant_rows, placed
 from labtrail.functions.text import clean_lab
+from labtrail.operators.dictionary import with_derived
 from labtrail.operators.resolve import ORDER, SCOPE
+from labtrail.session import materialize
 
 
 
@@ -329,10 +331,12 @@ def common_ranges(records: DataFrame, scope: list[str] | None = None) -> DataFra
 
 
 def workbook_summary(records: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """Categories, tests, charts, dates and laboratories of each scope's workbook.
+
+    The date-labs of a scope are the same whatever value a cell takes: they are
+    collected without values, and a name's date and laboratory are read once a name."""
     scope = scope or [SCOPE]
     cells = organized_cells(records, scope)
-    day = va.parse_date_day_first(F.element_at(F.split("date_lab", "_"), 1))
-    order = F.struct(F.coalesce(day, F.lit("0001-01-01").cast("date")), F.col("date_lab"))
     per_test = cells.groupBy(*scope, "Test_Category", "Test_Name").agg(
         F.count(va.strict_numeric(F.col("Result"))).alias("points")
     )
@@ -340,11 +344,15 @@ def workbook_summary(records: DataFrame, scope: list[str] | None = None) -> Data
         F.countDistinct("Test_Category").alias("categories"), n_rows().alias("tests"),
         count_if(F.col("points") > 1).alias("charts"),
     )
-    dates = cells.groupBy(*scope).agg(
-        F.countDistinct("date_lab").alias("date_labs"),
-        F.element_at(F.split(F.min_by("date_lab", order), "_"), 1).alias("first_date"),
-        F.element_at(F.split(F.max_by("date_lab", order), "_"), 1).alias("last_date"),
-        F.array_join(F.array_sort(F.collect_set(F.regexp_replace("date_lab", "^[^_]*_", ""))), "|").alias("labs"),
+    shown = valid_for_display(records).where(F.col("Test_Category").isNotNull())
+    seen = shown.select(*scope, "Test_Date", "Lab_Name").distinct().select(*scope, date_lab().alias("date_lab"))
+    date, key = F.element_at(F.split("_key", "_"), 1), F.col("_key")
+    named = with_derived(materialize(seen.distinct(), "date-labs"), {"date_lab": {
+        "_day": F.coalesce(va.parse_date_day_first(date), F.lit("0001-01-01").cast("date")), "_date": date, "_lab": F.regexp_replace(key, "^[^_]*_", "")}})
+    order = F.struct("_day", "date_lab")
+    dates = named.groupBy(*scope).agg(
+        n_rows().alias("date_labs"), F.min_by("_date", order).alias("first_date"), F.max_by("_date", order).alias("last_date"),
+        F.array_join(F.array_sort(F.collect_set("_lab")), "|").alias("labs"),
     )
     return charts.join(dates, scope)
 
