@@ -8,7 +8,7 @@ from labtrail.functions.basic import n_rows
 
 from labtrail.catalog.metrics_view import from_events, grade_sql
 from labtrail.catalog.registry import query
-from labtrail.catalog.views import SQL, lab_records, table
+from labtrail.catalog.views import SQL, records_by_report, table
 from labtrail.session import scratch_path
 from labtrail.streaming import jobs
 
@@ -17,13 +17,13 @@ from labtrail.streaming import jobs
 FILES = 4
 
 
-def streamed(s, rows, label, by=None):
+def streamed(s, rows, label, dealt=False):
     """Rows as a stream of several micro-batches: dealt to files without order
-    (rows alike in ``by`` together) by one shuffle, and a share of the files to
-    a batch.  There are as many files as the session has shuffle partitions."""
+    by one shuffle, or as they are ``dealt`` already, and a share of the files
+    to a batch.  There are as many files as the session has shuffle partitions."""
     path, width = scratch_path(s, label), max(FILES, int(s.conf.get("spark.sql.shuffle.partitions")))
-    deal = F.pmod(F.xxhash64(*(by or rows.columns)), F.lit(width))
-    rows.repartition(width, deal).write.parquet(path)
+    deal = F.pmod(F.xxhash64(*rows.columns), F.lit(width))
+    (rows if dealt else rows.repartition(width, deal)).write.option("compression", "zstd").parquet(path)
     return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-width // FILES)).parquet(path)
 
 
@@ -92,8 +92,9 @@ def register() -> None:
 
     def arrivals(s, sf):
         out = scratch_path(s, "normalized")
-        rows = lab_records(s, sf).withColumn("normalization_version", (F.col("report_id") % 3 == 0).cast("int"))
-        q = jobs.normalize_arrivals(streamed(s, rows, "arrivals", ["report_id"]), out, scratch_path(s, "cp"), ["study_id", "report_id"])
+        # dealt by report while the rows are narrow
+        rows = records_by_report(s, sf).drop("first_day").withColumn("normalization_version", (F.col("report_id") % 3 == 0).cast("int"))
+        q = jobs.normalize_arrivals(streamed(s, rows, "arrivals", dealt=True), out, scratch_path(s, "cp"), ["study_id", "report_id"])
         q.awaitTermination()
         return s.read.parquet(out).select("study_id", "report_id", "row_ord", "Test_Name", "Test_Category")
 

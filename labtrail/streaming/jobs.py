@@ -190,7 +190,7 @@ def normalize_arrivals(rows: DataFrame, path: str, checkpoint: str, scope: list[
         current = F.coalesce(F.col("normalization_version") == version, F.lit(False))
         fresh = resolve_records(batch.where(~current).drop("normalization_version"), scope)
         kept = batch.where(current).drop("normalization_version")
-        fresh.unionByName(kept, allowMissingColumns=True).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        fresh.unionByName(kept, allowMissingColumns=True).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/batch={batch_id}")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
