@@ -16,7 +16,7 @@ from labtrail.sources import history as his
 from labtrail.sources import payloads as pay
 from labtrail.sources import sinks
 from labtrail.schema import RECORD_TEXT_FIELDS
-from labtrail.session import scratch_path
+from labtrail.session import materialize, scratch_path
 
 
 
@@ -73,18 +73,24 @@ def register() -> None:
 
     def stacked(s, f):
         path = scratch_path(s, "stacked")
-        write_stacked(s, f, path, YEAR_LABS)
+        write_stacked(s, flat_history(s, f), path, YEAR_LABS)
         return his.read_stacked_files(s, path).select(*CELL[1:])
 
     def stacked_files(s, f):
         path = scratch_path(s, "stacked-files")
+        wide = flat_history(s, f)
         for k in range(3):  # each file has its own columns
-            write_stacked(s, f, path, YEAR_LABS[k::3])
+            write_stacked(s, wide, path, YEAR_LABS[k::3])
         return his.read_stacked_files(s, path).select(*CELL[1:])
 
-    def write_stacked(s, f, path, cols):
-        wide = wide_history(s, f).drop("scope_id")
-        wide = wide.groupBy("Test_Category", "Test_Name").agg(*[F.min(f"`{c}`").alias(c) for c in cols], F.min("Reference_Ranges").alias("Reference_Ranges"))
+    def flat_history(s, f):
+        """The wide table of all scopes, the least value of each cell; written once, as it has a row a test.  Cells are reduced before they are spread to columns."""
+        test = ["Test_Category", "Test_Name"]
+        cells = ins.organized_cells(yearly(s, f)).groupBy(*test, "date_lab").agg(F.min("Result").alias("Result"))
+        refs = ins.common_ranges(yearly(s, f)).groupBy(*test).agg(F.min("Reference_Range").alias("Reference_Ranges"))
+        return materialize(cells.groupBy(*test).pivot("date_lab", YEAR_LABS).agg(F.min("Result")).join(refs, test, "left"), "flat-history")
+
+    def write_stacked(s, wide, path, cols):
         line = lambda pre, vals: F.concat_ws(",", *[F.lit(v) for v in [*pre, *vals]])
         one = s.range(1)
         title = one.select(F.lit(0).alias("o"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), t.alias("value")) for i, t in enumerate([
