@@ -31,17 +31,15 @@ class KeyStore:
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
 
     def _read(self, schema: str, *paths: str) -> DataFrame:
-        found = []
-        for path in paths:
-            try:
-                found.append(self.spark.read.schema(schema).option("basePath", self.path + "/" + path.split("/")[0]).parquet(f"{self.path}/{path}"))
-            except AnalysisException as missing:
-                if missing.getCondition() != "PATH_NOT_FOUND":
-                    raise
-        out = self.spark.createDataFrame([], schema)
-        for df in found:
-            out = out.unionByName(df)
-        return out
+        """What lies in folders of one kind, by one scan however many they are;
+        one that isn't there holds nothing."""
+        try:
+            if paths:
+                return self.spark.read.schema(schema).option("basePath", self.path + "/" + paths[0].split("/")[0]).parquet(f"{self.path}/{{{','.join(paths)}}}")
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+        return self.spark.createDataFrame([], schema)
 
     def hashed(self, rows: DataFrame) -> DataFrame:
         """``rows`` with the slot, bit and bucket of their key."""
@@ -53,12 +51,15 @@ class KeyStore:
         merged = self._read(BITS + ", upto long", "merged").where(F.col("upto") < batch_id)
         upto = merged.agg(F.max("upto")).first()[0]
         upto = -1 if upto is None else upto
-        own = [self._read(BITS + ", batch long", f"bits/batch={b}") for b in range(upto + 1, batch_id)]
-        rows = merged.where(F.col("upto") == upto).select("slot", "bits")
-        for df in own:
-            rows = rows.unionByName(df.select("slot", "bits"))
+        own = self._read(BITS + ", batch long", *[f"bits/batch={b}" for b in range(upto + 1, batch_id)])
+        rows = merged.where(F.col("upto") == upto).select("slot", "bits").unionByName(own.select("slot", "bits"))
         return rows.groupBy("slot").agg(F.bitmap_or_agg("bits").alias("bits"))
 
+    def built(self, hashed: DataFrame) -> DataFrame:
+        """The bits of hashed rows.  The rows of a slot meet while they are two
+        numbers; bits that each task sets by itself are 4 kB a slot and task."""
+        return hashed.select("slot", "bit").repartition("slot").groupBy("slot").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
     def suspects(self, rows: DataFrame, batch_id: int) -> DataFrame:
         """The hashed rows whose bit is set: all that were seen before, and few others."""
         byte = F.conv(F.hex(F.substring(F.col("bits"), (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
@@ -81,6 +82,6 @@ class KeyStore:
         new = self.hashed(rows.select(self.key)).withColumn("batch", F.lit(batch_id).cast("long"))
         kept = new.select(self.key, "bucket", "batch").repartition("bucket")
         kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(f"{self.path}/keys")
-        new.groupBy("slot").agg(F.bitmap_construct_agg("bit").alias("bits")).write.mode("overwrite").parquet(f"{self.path}/bits/batch={batch_id}")
+        self.built(new).write.mode("overwrite").parquet(f"{self.path}/bits/batch={batch_id}")
         if (batch_id + 1) % MERGE == 0:
             self.bits(batch_id + 1).write.mode("overwrite").parquet(f"{self.path}/merged/upto={batch_id}")
