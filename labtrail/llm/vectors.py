@@ -92,7 +92,8 @@ def meet(
         F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"),
     )
     held = base.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))))
-    met = sent.join(held, ["block", "slot", "dim"])
+    # never a broadcast: sent is as large as the queries times the blocks, but Spark takes it for the queries
+    met = sent.join(held.hint("merge"), ["block", "slot", "dim"])
     out = arrow_schema(f"query_id long, vec_id long, score {score}")
     names = met.columns
 

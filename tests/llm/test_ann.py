@@ -77,3 +77,12 @@ def test_flat_arrays_round_trip():
     for a, b in zip(levels, again):
         assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
     assert all((near[near >= 0] < 300).all() for _, near in levels)
+
+
+def test_query_blocks_are_never_broadcast(spark):
+    # a query block is sent to every shard: what Spark expects of them is a small part of what they are
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v], 0, "") for i, v in enumerate(rng.normal(size=(600, 8)))]
+    df = A.nearest(spark.createDataFrame(rows, SCHEMA), every=5, shard_rows=100)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
