@@ -115,19 +115,19 @@ def override_statuses(fallback: Column, classifications: Column) -> Column:
     """Statuses by position after classified ones replaced them: positions out
     of range are ignored and N/A never replaces a known status."""
     items = F.from_json(classifications, "array<struct<index:int,status:string>>")
+    listed = F.coalesce(F.filter(items, lambda i: i["index"].isNotNull()), F.array().cast("array<struct<index:int,status:string>>"))
+    # the last of each index, before any status is read
     latest = F.aggregate(
-        F.coalesce(F.filter(items, lambda i: i["index"].isNotNull()), F.array().cast("array<struct<index:int,status:string>>")),
-        F.create_map().cast("map<int,string>"),
-        lambda acc, i: F.map_concat(
-            F.map_filter(acc, lambda k, v: k != i["index"]), F.create_map(i["index"], st.canonical_status(i["status"]))
-        ),
+        listed, F.create_map().cast("map<int,string>"),
+        lambda acc, i: F.map_concat(F.map_filter(acc, lambda k, v: k != i["index"]), F.create_map(i["index"], i["status"])),
     )
+    named = let(latest, lambda m: F.transform_values(m, lambda k, v: st.canonical_status(v)))
 
-    def merged(known: Column, at: Column) -> Column:
-        new = F.try_element_at(latest, at)
+    def merged(new: Column, known: Column) -> Column:
         return F.when(new.isNull() | ((new == "N/A") & (known != "N/A")), known).otherwise(new)
 
-    return F.transform(fallback, merged)
+    # once a row, not once for every use at every position
+    return let(named, lambda m: F.transform(fallback, lambda known, at: let(F.try_element_at(m, at), lambda new: merged(new, known))))
 
 
 # --- stored documents -------------------------------------------------------
