@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,9 +57,42 @@ def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written meanwhile go with the end of the write, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage with a table in the shared folder (survives lost executors)."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_dropped(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_by(df: DataFrame, label: str, key: str) -> DataFrame:
+    """:func:`materialize`, with the rows of a ``key`` in one bucket: whatever is grouped by it, or by it and more, needs no shuffle.
+
+    For tables that many aggregates read: each row is shuffled once, and the
+    shuffle is gone before they start.  Buckets are as many as shuffles have
+    partitions; a key is read by one task."""
+    spark, width = df.sparkSession, shuffle_width(df)
+    path = scratch_path(spark, label)
+    name = f"labtrail_{uuid.uuid4().hex}"
+    with shuffles_dropped(spark):
+        df.repartition(width, key).write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(width, key).sortBy(key).saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved: the name isn't needed any more, the files stay
+    spark.sql(f"DROP TABLE {name}")
+    return out
