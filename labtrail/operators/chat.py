@@ -33,14 +33,15 @@ def active_findings(findings: DataFrame, k: int = ACTIVE) -> DataFrame:
 def chat_context(findings: DataFrame, turns: DataFrame, kb: DataFrame, as_of: Column) -> DataFrame:
     """One row per question of a patient with findings: the message, its history, the prompt's parts and the guidelines' section.
 
-    Findings of patients without a question are left out before they are grouped."""
+    Findings of patients without a question are left out before they are grouped;
+    the others are written by patient, for all that reads them."""
     asking = turns.where("role = 'user'").select(SCOPE).distinct()
-    findings = findings.join(asking, SCOPE, "left_semi")
+    findings = tl.by_scope(findings.join(asking, SCOPE, "left_semi"))
     asked = chat_questions(turns).join(active_findings(findings), SCOPE)
     queries = asked.select("question_id", F.concat_ws(" ", "message", F.array_join("history", " ")).alias("query"), "findings")
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n\n")
     found = gl.retrieve(queries, kb, as_of).select("question_id", "rank", gl.guideline_section().alias("line"))
     sections = found.groupBy("question_id").agg(F.count("*").alias("n_guidelines"), lines.alias("guidelines"))
-    return asked.drop("findings").join(tl.prompt_parts(findings), SCOPE).join(sections, "question_id", "left").withColumns({
+    return asked.drop("findings").join(tl.prompt_parts(findings, met=True), SCOPE).join(sections, "question_id", "left").withColumns({
         "n_guidelines": F.coalesce("n_guidelines", F.lit(0)), "guidelines": F.coalesce("guidelines", F.lit("")),
     })
