@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labtrail.functions import values as va
@@ -134,11 +137,13 @@ def study_reports(reports: DataFrame, profiles: DataFrame, version: int = CURREN
 def save_reports(rows: DataFrame, reports: DataFrame) -> DataFrame:
     """Records of each report, normalized, with the report's inferred date and
     the version stamp; ready for the append sink."""
+    # rows meet their report's file by report and stay there: for its date and for their places
     scoped = rec.slice_by_file(rows, reports, fallback_to_all=False)
-    saved = resolve_records(scoped, REPORT)
-    day = va.parse_report_date(F.col("Test_Date"))
-    dates = scoped.groupBy(*REPORT).agg(F.min_by(day, F.when(day.isNotNull(), F.col(ORDER))).alias("report_date"))
-    return saved.join(dates, REPORT).withColumn("normalization_version", F.lit(CURRENT_VERSION))
+    scoped = scoped.where(reduce(and_, [F.col(c).isNotNull() for c in REPORT]))
+    first = F.min_by("_day", F.when(F.col("_day").isNotNull(), F.col(ORDER))).over(Window.partitionBy(*REPORT))
+    dated = scoped.withColumn("_day", va.parse_report_date(F.col("Test_Date"))).withColumn("report_date", first).drop("_day")
+    saved = resolve_records(dated, REPORT, met=True, spelled_in=rows)
+    return saved.withColumn("normalization_version", F.lit(CURRENT_VERSION))
 
 
 def _digest_parts(sig: Column) -> list[Column]:
