@@ -14,7 +14,7 @@ from labtrail.operators import insights as ins
 from labtrail.operators import records as rec
 from labtrail.operators.resolve import ORDER, resolve_records
 from labtrail.schema import PATIENT_INFO, RECORD, STORED_RECORD
-from labtrail.session import materialize
+from labtrail.session import materialize, materialize_by, shuffle_width
 
 REPORT = ["study_id", "report_id"]
 #: Rules by which stored records were normalized.
@@ -45,20 +45,23 @@ def combined_reports(stored: DataFrame, legacy: DataFrame, reports: DataFrame |
     ``stored`` rows were normalized when saved and are used as they are;
     ``legacy`` rows are cut to their report's file and normalized here.  Only
     studies with legacy rows are normalized again as a whole, and their rows
-    are the only ones shuffled for it.  Both intermediate tables are written to
-    the shared folder: each is read several times.  Without ``reports`` the
+    are the only ones read for it.  Both intermediate tables are written to
+    the shared folder: each is read several times, the second by study, without
+    a shuffle.  Without ``reports`` the
     legacy rows have their report's file in ``_file`` and lie by report already;
     ``spelled_in`` has them too, for the names.
     """
     sliced = rec.slice_deterministic(legacy, reports)
-    fresh = materialize(resolve_records(sliced, REPORT, met=reports is None, spelled_in=spelled_in), "fresh")
+    fresh = materialize(resolve_records(sliced, REPORT, met=True, spelled_in=legacy if spelled_in is None else spelled_in), "fresh")
     joined = rec.combine(stored.select(fresh.columns), fresh)
-    once = materialize(
-        rec.distinct_rows(joined, [c for c in joined.columns if c not in (ORDER, "report_id")]), "combined"
+    # rows of equal content are of one study, and so is all that is asked of them afterwards
+    of_study = joined.repartition(shuffle_width(joined), "study_id")
+    once = materialize_by(
+        rec.distinct_rows(of_study, [c for c in joined.columns if c not in (ORDER, "report_id")]), "combined", "study_id", met=True
     )
     redo = fresh.select("study_id").distinct()
     clean = once.join(redo, "study_id", "left_anti")
-    again = resolve_records(once.join(redo, "study_id", "left_semi"), ["study_id"])
+    again = resolve_records(once.join(redo, "study_id", "left_semi"), ["study_id"], met=True)
     return rec.combine(clean, again.select(clean.columns))
 
 

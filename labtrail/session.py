@@ -81,17 +81,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def materialize_by(df: DataFrame, label: str, key: str) -> DataFrame:
+def materialize_by(df: DataFrame, label: str, key: str, met: bool = False) -> DataFrame:
     """:func:`materialize`, with the rows of a ``key`` in one bucket: whatever is grouped by it, or by it and more, needs no shuffle.
 
     For tables that many aggregates read: each row is shuffled once, and the
     shuffle is gone before they start.  Buckets are as many as shuffles have
-    partitions; a key is read by one task."""
+    partitions; a key is read by one task.  With ``met`` the caller has
+    partitioned the rows by the key."""
     spark, width = df.sparkSession, shuffle_width(df)
     path = scratch_path(spark, label)
     name = f"labtrail_{uuid.uuid4().hex}"
     with shuffles_dropped(spark):
-        df.repartition(width, key).write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(width, key).sortBy(key).saveAsTable(name)
+        rows = df if met else df.repartition(width, key)
+        rows.write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(width, key).sortBy(key).saveAsTable(name)
     out = spark.table(name)
     out.schema  # resolved: the name isn't needed any more, the files stay
     spark.sql(f"DROP TABLE {name}")
