@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labtrail import fixed_values as fv
@@ -214,6 +214,6 @@ def unify_names(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     out = out.withColumn("Test_Category", F.when(missing, F.coalesce("_mode", "Test_Category")).otherwise(F.col("Test_Category")))
     out = out.withColumn("Test_Name", F.coalesce("_unified", "Test_Name")).drop("_unified", "_mode")
     keys = ["Test_Name", "Test_Date", "Result", "Patient_ID"]
-    rest = [c for c in out.columns if c not in keys]
-    first = out.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(ORDER)).alias("_r"))
-    return first.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*out.columns)
+    # a rank, not an aggregate of whole rows: columns that nobody reads are not shuffled
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(ORDER).asc_nulls_last()))
+    return out.withColumn("_place", first).where("_place = 1").drop("_place")
